@@ -14,15 +14,16 @@ from pyspark.sql import functions as F
 BUCKETS = 64
 
 
-def range_bucket(df: DataFrame, value: str, buckets: int = BUCKETS) -> Column:
-    """Bucket number of ``value`` by approximate quantiles of ``df``.
+def range_bucket(df: DataFrame, value: str, buckets: int = BUCKETS) -> DataFrame:
+    """``df`` with ``_bucket``: the approximate-quantile bucket of ``value``.
 
     The edges are one scalar subquery, so Spark evaluates them once; any edges
     give the same result, they only balance the tasks.
     """
     steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    edges = df.select(F.percentile_approx(F.col(value), steps, F.lit(1000)).alias("edges")).scalar()
-    return F.size(F.filter(F.coalesce(edges, F.array().cast("array<double>")), lambda e: e < F.col(value)))
+    edges = df.select(F.percentile_approx(F.col(value).cast("double"), steps, F.lit(1000)).alias("edges")).scalar()
+    placed = df.withColumn("_edges", F.coalesce(edges, F.array().cast("array<double>")))
+    return placed.withColumn("_bucket", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
 
 
 def even_bucket(df: DataFrame, value: str, buckets: int = 256) -> Column:
@@ -40,7 +41,7 @@ def running_counts(df: DataFrame, keys: list[str], order: list[str], totals: dic
     the same keys. The first order column must be numeric.
     """
     folded = df.groupBy(*keys, *order).agg(*[c.alias(n) for n, c in totals.items()])
-    cut = folded.withColumn("_bucket", range_bucket(folded, order[0], buckets))
+    cut = range_bucket(folded, order[0], buckets)
     earlier = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = cut.select("*", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_in_{n}") for n in totals])
     per_bucket = cut.groupBy(*keys, "_bucket").agg(*[F.sum(n).alias(f"_sum_{n}") for n in totals])

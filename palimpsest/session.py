@@ -14,7 +14,6 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.sources.useV1SourceList": "avro,csv,json,kafka,orc,text,parquet",
 }
 
 
