@@ -20,13 +20,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import keyed, noise
+from palimpsest.session import materialized
 
 WEIGHT_FLOOR = 1e-300
 MIN_BANDWIDTH = 1e-3
 SMOOTH_COMP = 10_000
 MEMBER_COMP = 20_000
 PRUNE = 1e-12
-STATE = ["level_ix", "level", "draw"]
+STATE = ["level_ix", "draw"]
 TWO_PI = 2.0 * 3.141592653589793
 
 
@@ -201,68 +202,84 @@ def prompt_weights(prompts: DataFrame, weights: DataFrame) -> DataFrame:
 
 # --- packing ----------------------------------------------------------------
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash on the keys with a fixed task count.
+
+    Scoring multiplies a reference by states, components and cells. Adaptive
+    coalescing judges the small input and would leave it all to one task; an
+    explicit count is left alone.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def pack_references(latents: DataFrame) -> DataFrame:
     """(pair, ref_id, x0): the grid as one array, hashed on (pair, ref_id)."""
-    return (latents.groupBy("pair", "ref_id").agg(F.array_sort(F.collect_list(F.struct("cell", "value"))).alias("_g"))
+    return (spread(latents.select("pair", "ref_id", "cell", "value"), "pair", "ref_id")
+            .groupBy("pair", "ref_id").agg(F.array_sort(F.collect_list(F.struct("cell", "value"))).alias("_g"))
             .select("pair", "ref_id", F.col("_g.value").alias("x0")))
 
 
-def pack_blocks(components: DataFrame) -> DataFrame:
-    """(pair, block, cells): the cells of each block in order."""
-    return components.groupBy("pair", "block").agg(F.array_sort(F.collect_set("cell")).alias("cells"))
-
-
 def pack_components(components: DataFrame, stats: DataFrame) -> DataFrame:
-    """(pair, model, block, comp, means, variance, log_weight, dim)."""
+    """(pair, model, block, comp, cells, means, variance, log_weight, dim)."""
     means = (components.groupBy("pair", "model", "block", "comp")
              .agg(F.array_sort(F.collect_list(F.struct("cell", "mean"))).alias("_g"))
-             .select("pair", "model", "block", "comp", F.col("_g.mean").alias("means"), F.size("_g").alias("dim")))
+             .select("pair", "model", "block", "comp", F.col("_g.cell").alias("cells"), F.col("_g.mean").alias("means"),
+                     F.size("_g").alias("dim")))
     return means.join(log_weights(stats).drop("weight"), ["pair", "model", "block", "comp"])
 
 
+def pack_blocks(comps: DataFrame) -> DataFrame:
+    """(pair, block, cells): the cells of each block in order."""
+    return comps.groupBy("pair", "block").agg(F.any_value("cells").alias("cells"))
+
+
 def pack_draws(draws: DataFrame, alpha: Callable = noise.alpha, sigma: Callable = noise.sigma) -> DataFrame:
     """(level_ix, level, draw, alpha, sigma, eps[]): one row per noise state."""
-    return (draws.groupBy(*STATE).agg(F.array_sort(F.collect_list(F.struct("cell", "eps"))).alias("_g"))
-            .select(*STATE, alpha(F.col("level")).alias("alpha"), sigma(F.col("level")).alias("sigma"), F.col("_g.eps").alias("eps")))
+    return (draws.groupBy(*STATE).agg(F.max("level").alias("level"), F.array_sort(F.collect_list(F.struct("cell", "eps"))).alias("_g"))
+            .select(*STATE, "level", alpha(F.col("level")).alias("alpha"), sigma(F.col("level")).alias("sigma"), F.col("_g.eps").alias("eps")))
 
 
 def block_states(blocks: DataFrame, states: DataFrame) -> DataFrame:
-    """Noise of each state restricted to each block's cells.
+    """Noise of each state restricted to each block's cells, states numbered from 1.
 
     The list of states is configuration (levels x draws); it reaches the
     blocks as one array and is exploded, not joined.
     """
-    listed = states.agg(F.array_sort(F.collect_list(F.struct(*STATE, "alpha", "sigma", "eps"))).alias("s")).scalar()
-    rows = blocks.withColumn("_s", F.explode(listed))
+    listed = states.agg(F.array_sort(F.collect_list(F.struct(*STATE, "level", "alpha", "sigma", "eps"))).alias("s")).scalar()
+    rows = blocks.select("*", F.posexplode(listed).alias("_at", "_s"))
     pick = F.transform("cells", lambda c: F.element_at(F.col("_s.eps"), c + 1))
-    return (rows.select("pair", "block", "cells", *[F.col(f"_s.{c}").alias(c) for c in (*STATE, "alpha", "sigma")], pick.alias("eps_b"))
+    return (rows.select("pair", "block", "cells", (F.col("_at") + 1).alias("state"),
+                        *[F.col(f"_s.{c}").alias(c) for c in (*STATE, "level", "alpha", "sigma")], pick.alias("eps_b"))
             .withColumn("ee", _sumsq(F.col("eps_b"))))
 
 
+def component_states(comps: DataFrame, bstates: DataFrame) -> DataFrame:
+    """Everything a distance needs from the model side, per component and state."""
+    v = F.col("alpha") * F.col("alpha") * F.col("variance") + F.col("sigma") * F.col("sigma")
+    bias = (F.col("sigma") * F.col("sigma") * F.col("ee")
+            - 2.0 * F.col("alpha") * F.col("sigma") * _dot(F.col("means"), F.col("eps_b")))
+    return comps.drop("cells").join(bstates.drop("cells"), ["pair", "block"]).select(
+        "pair", "model", "block", "comp", "variance", "dim", "log_weight", *STATE, "level", "alpha", "sigma", "state",
+        v.alias("v"), bias.alias("bias"))
+
+
 # --- scoring ----------------------------------------------------------------
 
-def distances(refs: DataFrame, comps: DataFrame, bstates: DataFrame) -> DataFrame:
+def distances(refs: DataFrame, comps: DataFrame, bstates: DataFrame, cstates: DataFrame) -> DataFrame:
     """Squared distance of every noised reference to every component.
 
     Rows carry the state, v = α²τ² + σ² and the unnormalised log weight.
     """
     noise_list = (bstates.groupBy("pair", "block", "cells")
-                  .agg(F.array_sort(F.collect_list(F.struct(*STATE, "eps_b"))).alias("_n")))
+                  .agg(F.array_sort(F.collect_list(F.struct("state", "eps_b"))).alias("_n")))
     local = refs.join(noise_list, "pair").select(
         "pair", "ref_id", "block", F.transform("cells", lambda c: F.element_at(F.col("x0"), c + 1)).alias("x0b"),
         F.transform("_n", lambda n: n["eps_b"]).alias("_eps"))
     local = local.select("pair", "ref_id", "block", "x0b", F.transform("_eps", lambda e: _dot(e, F.col("x0b"))).alias("x0e"))
-    sides = comps.join(bstates.drop("cells"), ["pair", "block"])
-    place = F.row_number().over(Window.partitionBy("pair", "model", "block", "comp").orderBy(*STATE))
-    em = _dot(F.col("means"), F.col("eps_b"))
-    v = F.col("alpha") * F.col("alpha") * F.col("variance") + F.col("sigma") * F.col("sigma")
-    side = (sides.withColumn("em", em).withColumn("v", v).withColumn("state", place)
-            .withColumn("bias", F.col("sigma") * F.col("sigma") * F.col("ee") - 2.0 * F.col("alpha") * F.col("sigma") * F.col("em"))
-            .select("pair", "model", "block", "comp", "variance", "dim", "log_weight", *STATE, "alpha", "sigma", "state", "v", "bias"))
     apart = F.zip_with("x0b", "means", lambda a, b: a - b)
     near = (local.join(comps.select("pair", "model", "block", "comp", "means"), ["pair", "block"])
             .select("pair", "ref_id", "model", "block", "comp", "x0e", _sumsq(apart).alias("d0")))
-    rows = near.join(side, ["pair", "model", "block", "comp"])
+    rows = near.join(cstates, ["pair", "model", "block", "comp"])
     dist = (F.col("alpha") * F.col("alpha") * F.col("d0") + F.col("bias")
             + 2.0 * F.col("alpha") * F.col("sigma") * F.element_at("x0e", F.col("state")))
     return rows.withColumn("dist", dist).drop("x0e", "state", "bias", "d0")
@@ -300,7 +317,7 @@ def clean_distances(refs: DataFrame, comps: DataFrame, blocks: DataFrame) -> Dat
     local = refs.join(blocks, "pair").select(
         "pair", "ref_id", "block", F.transform("cells", lambda c: F.element_at(F.col("x0"), c + 1)).alias("x0b"))
     apart = F.zip_with("x0b", "means", lambda a, b: a - b)
-    return (local.join(comps, ["pair", "block"])
+    return (local.join(comps.drop("cells"), ["pair", "block"])
             .select("pair", "ref_id", "model", "block", "comp", "variance", "log_weight", "dim", _sumsq(apart).alias("dist")))
 
 
@@ -339,7 +356,7 @@ def state_cells(resp: DataFrame, refs: DataFrame, comps: DataFrame, bstates: Dat
             .join(means, ["pair", "model", "block", "comp"])
             .join(lead, ["pair", "model", "block", "lead_comp"])
             .join(bstates.select("pair", "block", *STATE, "cells", "eps_b"), ["pair", "block", *STATE]))
-    out = rows.select("pair", "ref_id", "model", "block", *STATE, "comp", "alpha", "sigma", "r", "v", "variance",
+    out = rows.select("pair", "ref_id", "model", "block", *STATE, "level", "comp", "alpha", "sigma", "r", "v", "variance",
                       "lead_v", "lead_variance", "x0", "cells", "eps_b", "lead_means", F.posexplode("means").alias("_p", "m"))
     cell = F.element_at("cells", F.col("_p") + 1)
     return (out.withColumn("cell", cell)
@@ -363,13 +380,14 @@ def posterior(cells: DataFrame) -> DataFrame:
     lead_gain = F.col("alpha") * F.col("lead_variance") / F.col("lead_v")
     lead = F.col("lead_m") + lead_gain * (F.col("x") - F.col("alpha") * F.col("lead_m"))
     within = F.col("variance") * F.col("sigma") * F.col("sigma") / F.col("v")
-    rows = cells.select(*CELL, "alpha", "sigma", "x", "r", lead.alias("_lead"), (mean - lead).alias("_d"), within.alias("_w"))
+    rows = cells.select(*CELL, "level", "alpha", "sigma", "x", "r", lead.alias("_lead"), (mean - lead).alias("_d"), within.alias("_w"))
     sums = rows.groupBy(*CELL).agg(
-        F.max("alpha").alias("alpha"), F.max("sigma").alias("sigma"), F.max("x").alias("x"), F.max("_lead").alias("_lead"),
+        F.max("level").alias("level"), F.max("alpha").alias("alpha"), F.max("sigma").alias("sigma"),
+        F.max("x").alias("x"), F.max("_lead").alias("_lead"),
         F.sum("r").alias("_r"), F.sum(F.col("r") * F.col("_d")).alias("_a"),
         F.sum(F.col("r") * F.col("_d") * F.col("_d")).alias("_b"), F.sum(F.col("r") * F.col("_w")).alias("_w"))
     a, b, w = (F.col(c) / F.col("_r") for c in ("_a", "_b", "_w"))
-    out = sums.select(*CELL, "alpha", "sigma", "x", (F.col("_lead") + a).alias("mean"), (w + b - a * a).alias("variance"))
+    out = sums.select(*CELL, "level", "alpha", "sigma", "x", (F.col("_lead") + a).alias("mean"), (w + b - a * a).alias("variance"))
     return (out.withColumn("eps_hat", (F.col("x") - F.col("alpha") * F.col("mean")) / F.col("sigma"))
             .withColumn("rho", F.col("variance") * F.col("alpha") * F.col("alpha") / (F.col("sigma") * F.col("sigma"))))
 
@@ -423,14 +441,19 @@ def hutchinson(products: DataFrame) -> DataFrame:
 
 
 def score_all(latents: DataFrame, components: DataFrame, stats: DataFrame, draws: DataFrame) -> dict[str, DataFrame]:
-    """The packed inputs and the scored tables the operators above share."""
+    """The packed inputs and the scored tables the operators above share.
+
+    The model side (components, noise) is small and read by several joins, so
+    it is written once to the shared folder; its file sizes then let Catalyst
+    decide what to broadcast.
+    """
+    comps = materialized(pack_components(components, stats), "components")
+    bstates = materialized(block_states(pack_blocks(comps), pack_draws(draws)), "block-states")
+    cstates = materialized(component_states(comps, bstates), "component-states")
     refs = pack_references(latents)
-    comps = pack_components(components, stats)
-    blocks = pack_blocks(components)
-    bstates = block_states(blocks, pack_draws(draws))
-    dist = distances(refs, comps, bstates)
+    dist = distances(refs, comps, bstates, cstates)
     resp = responsibilities(dist)
-    return {"refs": refs, "comps": comps, "blocks": blocks, "bstates": bstates, "dist": dist, "resp": resp,
+    return {"refs": refs, "comps": comps, "bstates": bstates, "dist": dist, "resp": resp,
             "cells": state_cells(resp, refs, comps, bstates)}
 
 

@@ -8,6 +8,7 @@ from palimpsest.functions import keyed, noise
 from palimpsest.operators import mixture as mx
 from palimpsest.plans import bindings as b
 from palimpsest.plans.registry import query, table
+from palimpsest.session import materialized
 
 PLANTED = mx.rectangle(8, (2, 6), (2, 6))
 KAPPA = 1.0
@@ -19,7 +20,8 @@ def r6(column, name):
 
 
 def latents(spark, sf):
-    return b.latents(spark, sf).withColumn("pair", F.lit(0).cast("bigint"))
+    """EMB under model pairs; a thousand labels share one pair of models."""
+    return b.latents(spark, sf).withColumn("pair", F.expr("label div 1000"))
 
 
 def pair(spark, sf, kappa=KAPPA):
@@ -143,8 +145,8 @@ b.SQL["cdist"] = """SELECT ref_id, model, block, comp, variance, lw, dim, sum((v
 
 
 def _clean(spark, sf):
-    comps, stats = pair(spark, sf)
-    return mx.clean_distances(mx.pack_references(latents(spark, sf)), mx.pack_components(comps, stats), mx.pack_blocks(comps))
+    comps = materialized(mx.pack_components(*pair(spark, sf)), "components")
+    return mx.clean_distances(mx.pack_references(latents(spark, sf)), comps, mx.pack_blocks(comps))
 
 
 @query("f10_clean_log_density", b.with_sql([*PAIR, "cdist"], """SELECT ref_id, model, round(sum(lse), 6) AS log_density FROM (

@@ -60,3 +60,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(scratch_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """Write a table several joins read to the shared folder and read it back.
+
+    Survives lost executors, cuts the plan, and gives Catalyst its real size.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
