@@ -121,23 +121,23 @@ def _(spark, sf):
     return q.select("df", "n", grid.t95(F.col("df")).alias("t"))
 
 
-_BOX = """SELECT a.ref_id, a.cell, round(avg(c.value), 6) AS smooth FROM emb a JOIN emb c ON a.ref_id = c.ref_id
+_BOX = """SELECT a.ref_id, a.cell, round(avg(c.value), 9) AS smooth FROM emb a JOIN emb c ON a.ref_id = c.ref_id
   AND abs(a.cell // 8 - c.cell // 8) <= 1 AND abs(a.cell % 8 - c.cell % 8) <= 1 GROUP BY a.ref_id, a.cell"""
 
 
 @query("g5_box_mean_dense", b.with_sql(["emb"], _BOX))
 def _(spark, sf):
     out = grid.box_mean(b.latents(spark, sf).repartition("ref_id"), ["ref_id"], {"value": "smooth"}, 8, 8, 1, dense=True)
-    return out.select("ref_id", F.col("cell").cast("bigint").alias("cell"), r6(F.col("smooth"), "smooth"))
+    return out.select("ref_id", F.col("cell").cast("bigint").alias("cell"), F.round("smooth", 9).alias("smooth"))
 
 
-@query("g5_box_mean_sparse", b.with_sql(["meas"], """SELECT a.level_ix, a.draw, a.cell, round(avg(c.rho_base), 6) AS smooth FROM meas a JOIN meas c
+@query("g5_box_mean_sparse", b.with_sql(["meas"], """SELECT a.level_ix, a.draw, a.cell, round(avg(c.rho_base), 9) AS smooth FROM meas a JOIN meas c
   ON a.level_ix = c.level_ix AND a.draw = c.draw AND abs(a.cell // 16 - c.cell // 16) <= 2 AND abs(a.cell % 16 - c.cell % 16) <= 2
   GROUP BY a.level_ix, a.draw, a.cell"""))
 def _(spark, sf):
     m = b.measures(spark, sf).select("level_ix", "draw", "cell", "rho_base")
     out = grid.box_mean(m, ["level_ix", "draw"], {"rho_base": "smooth"}, 16, 16, 2)
-    return out.select("level_ix", F.col("draw").cast("bigint").alias("draw"), F.col("cell").cast("bigint").alias("cell"), r6(F.col("smooth"), "smooth"))
+    return out.select("level_ix", F.col("draw").cast("bigint").alias("draw"), F.col("cell").cast("bigint").alias("cell"), F.round("smooth", 9).alias("smooth"))
 
 
 def sql_reach(mask: str, cols: int) -> str:
