@@ -1,6 +1,6 @@
 """Imports every query module, which fills the registry."""
 
-from palimpsest.plans import grid_queries, mixture_queries, probe_queries  # noqa: F401
+from palimpsest.plans import catalog_queries, grid_queries, mixture_queries, probe_queries  # noqa: F401
 from palimpsest.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -150,9 +150,9 @@ def _(spark, sf):
     return probe.forward_spread(est, KEYS).select("level_ix", long("cell"), r9(F.col("spread"), "spread"))
 
 
-@query("h10_score_difference", sql("SELECT level_ix, cell, round(sd, 6) AS score_difference FROM field"))
+@query("h10_score_difference", sql("SELECT level_ix, cell, round(sqrt(sd), 6) AS score_difference FROM field"))
 def _(spark, sf):
-    return fields(spark, sf).select("level_ix", long("cell"), F.round("score_difference", 6).alias("score_difference"))
+    return fields(spark, sf).select("level_ix", long("cell"), F.round(F.sqrt("score_difference"), 6).alias("score_difference"))
 
 
 @query("h11_release_gate", sql("SELECT level_ix, cell, released FROM gated"))
@@ -250,14 +250,14 @@ _RUNSQL = """SELECT o_orderkey AS run_id, o_custkey % 23 AS n_controls, o_custke
   (o_orderkey % 101) / 211.0 AS counted_area, CASE WHEN o_orderkey % 13 = 0 THEN 0.7 ELSE 0.1 END AS negative_area, CASE WHEN o_orderkey % 17 = 0 THEN 0 ELSE 3 END AS levels,
   o_totalprice / 7000 AS mass, (o_custkey % 97) / 97.0 AS mean_collapse, (o_custkey % 89) / 89.0 AS peak_collapse, o_orderkey % 7 AS peak_level,
   CASE WHEN o_custkey % 23 = 0 THEN NULL ELSE (1 + o_orderkey % 19) / (2.1 + o_custkey % 23) END AS p_value, (o_custkey % 61) / 150.0 - 0.2 AS prompt_collapse,
-  (o_totalprice / 37) % 9 AS snap, o_totalprice / 9000 AS membership_snap, 0.013 + (o_custkey % 31) / 31.0 AS snap_p, o_orderpriority = '1-URGENT' AS issue FROM orders"""
+  (o_totalprice / 36.71) % 9 AS snap, o_totalprice / 9000 AS membership_snap, 0.013 + (o_custkey % 31) / 31.0 AS snap_p, o_orderpriority = '1-URGENT' AS issue FROM orders"""
 
 
 def run_rows(spark, sf):
     o = table(spark, sf, "orders")
     k, c, p = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_totalprice")
     lead = F.struct((p / 7000).alias("mass"), ((c % 97) / 97.0).alias("mean_collapse"), ((c % 89) / 89.0).alias("peak_collapse"), (k % 7).alias("peak_level"),
-                    F.when(c % 23 != 0, (1 + k % 19) / (2.1 + c % 23)).alias("p_value"), ((c % 61) / 150.0 - 0.2).alias("prompt_collapse"), ((p / 37) % 9).alias("snap"))
+                    F.when(c % 23 != 0, (1 + k % 19) / (2.1 + c % 23)).alias("p_value"), ((c % 61) / 150.0 - 0.2).alias("prompt_collapse"), ((p / 36.71) % 9).alias("snap"))
     return o.select(k.alias("run_id"), (c % 23).alias("n_controls"), (c % 5).alias("found"), F.least(c % 5, k % 4).alias("counted"),
                     ((k % 101) / 211.0).alias("counted_area"), F.when(k % 13 == 0, 0.7).otherwise(0.1).alias("negative_area"),
                     F.when(k % 17 == 0, 0).otherwise(3).alias("levels"), lead.alias("lead"), (p / 9000).alias("membership_snap"),
