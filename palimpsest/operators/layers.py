@@ -49,7 +49,7 @@ def rename_key(key: Column) -> Column:
 
 def _stripped(name: Column) -> Column:
     for prefix in PREFIXES:
-        name = F.when(name.startswith(prefix), F.substring(name, F.lit(len(prefix) + 1), F.length(name))).otherwise(name)
+        name = F.regexp_replace(name, "^" + prefix.replace(".", r"\."), "")
     for old, new in RENAMES:
         name = F.replace(name, F.lit(old), F.lit(new))
     return name

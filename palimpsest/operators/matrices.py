@@ -90,7 +90,9 @@ def apply_update(x: DataFrame, down: DataFrame, up: DataFrame, base: DataFrame,
 
     x(n, in) as (i, j); result (i, j) over (n, out).
     """
-    flip = lambda m: m.withColumnsRenamed({"i": "j", "j": "i"})
+    def flip(m: DataFrame) -> DataFrame:
+        return m.select(*keys, F.col("j").alias("i"), F.col("i").alias("j"), "v")
+
     narrow = matmul(x, flip(down), keys)
     wide = matmul(narrow, flip(up), keys).withColumnRenamed("v", "_d")
     return (base.join(wide, [*keys, "i", "j"]).join(scales.select(*keys, "scale"), keys)

@@ -9,6 +9,7 @@ from palimpsest.operators import layers as ly
 from palimpsest.operators import matrices as mt
 from palimpsest.plans import bindings as b
 from palimpsest.plans.registry import query, table
+from palimpsest.session import materialized
 
 
 def r6(column, name):
@@ -81,12 +82,9 @@ def _(spark, sf):
 
 
 @query("c2_unassigned", b.with_sql(["mix"], f"""SELECT unit, name FROM ({roles_sql('mix')}) WHERE role IS NULL UNION ALL
-  SELECT r.unit, min(r.name) FROM ({roles_sql('mix')}) r JOIN ({_mods('mix')}) m ON m.unit = r.unit AND m.module = r.module WHERE kind IS NULL GROUP BY r.unit, r.module, r.role"""))
+  SELECT r.unit, max(r.name) FROM ({roles_sql('mix')}) r JOIN ({_mods('mix')}) m ON m.unit = r.unit AND m.module = r.module WHERE kind IS NULL GROUP BY r.unit, r.module, r.role"""))
 def _(spark, sf):
-    out = ad.unassigned(mix(spark, sf))
-    # two endings can name one role of a module; the layout keeps one name
-    keep = ad.split_roles(out).groupBy("unit", "module", "role").agg(F.min("name").alias("name")).where("role IS NOT NULL").select("unit", "name")
-    return out.join(ad.split_roles(out).where("role IS NULL").select("unit", "name"), ["unit", "name"], "left_semi").unionByName(keep)
+    return ad.unassigned(mix(spark, sf)).select("unit", "name")
 
 
 _FAMILY = f"""SELECT unit, CASE WHEN bool_or(role IS NOT NULL AND role NOT IN ('alpha', 'dora')) THEN 'adapter' WHEN count(*) <= 4 AND
@@ -177,7 +175,7 @@ def _(spark, sf):
   UNION ALL SELECT unit, module || ': Shape mismatch in module ' || module FROM ({_LAYOUT}) WHERE kind = 'lora' AND out_dim % 2 = 0) GROUP BY unit"""))
 def _(spark, sf):
     t = mix(spark, sf)
-    mods = ad.layout(t).withColumn("up_rank", F.when(F.col("out_dim") % 2 == 0, F.col("rank") + 1).otherwise(F.col("rank")))
+    mods = materialized(ad.layout(t), "modules").withColumn("up_rank", F.when(F.col("out_dim") % 2 == 0, F.col("rank") + 1).otherwise(F.col("rank")))
     named = ad.split_roles(t)
     decoded = named.withColumn("decoded", ~((F.col("role") == "alpha") & (F.length("module") % 2 == 0)) | F.col("role").isNull())
     notes = ad.decode_notes(mods, decoded)
@@ -253,7 +251,7 @@ def _(spark, sf):
 # --- structure --------------------------------------------------------------
 
 def tens_modules(spark, sf):
-    return ad.layout(b.tensor_catalog(spark, sf))
+    return materialized(ad.layout(b.tensor_catalog(spark, sf)), "modules")
 
 
 b.SQL["tm"] = """SELECT unit, module, max(d0) FILTER (kind = 'up')::BIGINT AS out_dim, max(d1) FILTER (kind = 'down')::BIGINT AS in_dim FROM (SELECT *, regexp_replace(name, '\\.(lora_up\\.weight|lora_down\\.weight|alpha)$', '') AS module,
@@ -350,18 +348,18 @@ _PLAN = f"""WITH RECURSIVE tens AS MATERIALIZED ({b.SQL['tens']}), tm AS MATERIA
 
 @query("c27_fetch_plan", f"{_PLAN} SELECT unit, module, ord, cost, selected FROM walk WHERE ord > 0")
 def _(spark, sf):
-    t = b.tensor_catalog(spark, sf)
-    return ad.fetch_plan(ad.conditioning(ad.layout(t)), t, BUDGET)
+    marked = materialized(ad.conditioning(tens_modules(spark, sf)), "conditioning")
+    return ad.fetch_plan(marked, b.tensor_catalog(spark, sf), BUDGET)
 
 
 @query("c28_inspection", f"""{_PLAN}, s AS (SELECT unit, count(*) FILTER (selected) AS planned_modules, sum(cost) FILTER (selected)::BIGINT AS planned_bytes FROM walk WHERE ord > 0 GROUP BY unit),
   h AS (SELECT unit, string_agg(module, ',' ORDER BY ord) AS sample_modules FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY ord) AS r FROM walk WHERE selected) WHERE r <= 6 GROUP BY unit)
   SELECT unit, 'lora' AS format, (SELECT count(*) FROM tm WHERE tm.unit = s.unit) AS modules, planned_modules, planned_bytes, sample_modules FROM s JOIN h USING (unit)""")
 def _(spark, sf):
-    t = b.tensor_catalog(spark, sf)
-    mods = ad.layout(t)
-    marked = ad.conditioning(mods)
-    out = ad.inspections(mods, marked, ad.fetch_plan(marked, t, BUDGET))
+    mods = tens_modules(spark, sf)
+    marked = materialized(ad.conditioning(mods), "conditioning")
+    plan = materialized(ad.fetch_plan(marked, b.tensor_catalog(spark, sf), BUDGET), "plan")
+    out = ad.inspections(mods, marked, plan)
     return out.select("unit", "format", "modules", "planned_modules", "planned_bytes", F.array_join("sample_modules", ",").alias("sample_modules"))
 
 
@@ -440,7 +438,7 @@ _COVER = """cov AS (SELECT m.unit, m.layer, m.o, m.n, l.lo, CASE WHEN l.layer IS
   CASE WHEN w > 0 THEN printf('%d adapter module(s) have the wrong shape (e.g. %s)', w, we) END, CASE WHEN m > 0 THEN printf('%d mapped module(s) are not linears the transformer builds', m) END], lambda x: x IS NOT NULL), ' | ') AS issues FROM a LEFT JOIN c ON c.unit = a.unit""")
 def _(spark, sf):
     names, layers = names_and_layers(spark, sf)
-    placed = ly.place_modules(names, layers)
+    placed = materialized(ly.place_modules(names, layers), "placed")
     n = F.length("layer")
     mapped = placed.where("layer IS NOT NULL").select("unit", "layer", ((F.length("unit") + n) % 3 + 30).alias("out_dim"), F.lit(32).alias("in_dim"))
     dims = layers.where(n % 5 > 0).select("layer", (n % 3 + 30).alias("out_dim"), F.lit(32).alias("in_dim"))

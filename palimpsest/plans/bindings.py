@@ -126,7 +126,7 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("tag", "count")))).alias("tags"),
                  F.sum("count").alias("images")))
     return (dirs.groupBy("l_suppkey")
-            .agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("dir", "tags"))))).alias("ss_tag_frequency"),
+            .agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("dir", "tags")))).alias("ss_tag_frequency"),
                  F.to_json(F.map_from_entries(F.sort_array(F.collect_list(
                      F.struct("dir", F.struct(F.col("images").alias("img_count"))))))).alias("ss_dataset_dirs"))
             .select(F.col("l_suppkey").alias("unit"), F.create_map(
