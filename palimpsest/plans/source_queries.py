@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import functions as F
 
-from palimpsest.operators import evaluate, heat
+from palimpsest.operators import heat
 from palimpsest.plans import bindings as b
 from palimpsest.plans import heat_queries as hq
 from palimpsest.plans import probe_queries as pq
@@ -134,5 +134,5 @@ def _(spark, sf):
     arriving = orders.where("o_orderpriority <> '5-LOW'").select(F.col("o_orderstatus").alias("run_id"), F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 1000).alias("mass"),
                                                                  ((F.col("o_orderkey") % 80) / 10.0).alias("snap"))
     controls = b.masses(spark, sf).where("role = 'control'").select("run_id", "mass")
-    out = live.run_to_table(live.live_calibration(arriving, controls))
+    out = live.run_to_table(arriving, each=lambda batch: live.live_calibration(batch, controls))
     return out.select("run_id", "id", F.round("p_value", 6).alias("p_value"), "verdict")

@@ -14,7 +14,7 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -251,17 +251,25 @@ def _eight_bit(code: np.ndarray, exponent_bits: int, mantissa_bits: int, bias: i
 CHUNK = 1 << 16
 
 
-def _decode_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for row in pdf.itertuples(index=False):
+DECODED = "path string, name string, idx bigint, value double, error string"
+
+
+def _decode_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow in and out: NaN payloads stay NaN, only failures are NULL."""
+    types = [pa.string(), pa.string(), pa.int64(), pa.float64(), pa.string()]
+    names = ["path", "name", "idx", "value", "error"]
+    for batch in batches:
+        for row in batch.to_pylist():
+            n = row["count"]
             try:
-                handle, _ = open_file(row.path)
+                handle, _ = open_file(row["path"])
                 with handle:
-                    handle.seek(int(row.byte_start) + int(row.first) * int(row.width))
-                    values = decode(handle.read(int(row.count) * int(row.width)), row.dtype, int(row.count))
-                yield pd.DataFrame({"path": row.path, "name": row.name, "idx": np.arange(row.first, row.first + row.count), "value": values, "error": None})
+                    handle.seek(row["byte_start"] + row["first"] * row["width"])
+                    values = decode(handle.read(n * row["width"]), row["dtype"], n)
+                columns = [[row["path"]] * n, [row["name"]] * n, np.arange(row["first"], row["first"] + n), values, [None] * n]
             except Exception as error:  # the row carries the reason
-                yield pd.DataFrame({"path": [row.path], "name": [row.name], "idx": [None], "value": [None], "error": [str(error)]})
+                columns = [[row["path"]], [row["name"]], [None], [None], [str(error)]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
 
 def decode_payloads(tensors: DataFrame) -> DataFrame:
@@ -282,7 +290,7 @@ def decode_payloads(tensors: DataFrame) -> DataFrame:
     good = checked.where("error IS NULL AND elements > 0").withColumn("first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("elements") - 1, F.lit(CHUNK).cast("bigint"))))
     jobs = good.select("path", "name", "dtype", "byte_start", "first", "width", F.least(F.lit(CHUNK), F.col("elements") - F.col("first")).alias("count"))
     spread = jobs.repartition(int(tensors.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path", "name", "first")
-    return spread.mapInPandas(_decode_rows, "path string, name string, idx bigint, value double, error string").unionByName(failed)
+    return spread.mapInArrow(_decode_rows, DECODED).unionByName(failed)
 
 
 def local_adapters(spark: SparkSession, folder: str) -> DataFrame:

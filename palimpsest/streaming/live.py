@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from palimpsest.operators import catalog, evaluate
-from palimpsest.operators.ranking import running_counts
 from palimpsest.session import scratch_path
 
 STEP = 8 << 20
@@ -57,40 +56,34 @@ def quiet_progress(events: DataFrame) -> DataFrame:
         _quiet, PROGRESS, "phase string, detail string, bytes bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-def live_calibration(regions: DataFrame, controls: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """Arriving regions scored against a static control table.
+def live_calibration(batch: DataFrame, controls: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """One micro-batch of regions scored against a static control table.
 
-    ``regions(run_id, id, mass, snap)`` streams; ``controls(run_id, mass)`` is
-    folded once to distinct masses with the number of controls at or above
-    each, kept sorted per run; an arriving mass meets only the smallest
-    control at or above it.
+    ``batch(run_id, id, mass, snap)``, ``controls(run_id, mass)``. Ranks by
+    distinct mass, so neither a run with very many controls nor a run with
+    very many regions forms pairs or lands in one task.
     """
-    folded = running_counts(controls, ["run_id"], ["mass"], {"c": F.count(F.lit(1))})
-    total = controls.groupBy("run_id").agg(F.count(F.lit(1)).alias("controls"))
-    # interval per distinct control mass: (previous mass, mass] has the same exceedance
-    edges = folded.join(total, "run_id").withColumn("low", F.lag("mass").over(Window.partitionBy("run_id").orderBy("mass")))
-    steps = edges.select("run_id", "low", F.col("mass").alias("high"), "controls", (F.col("controls") - F.col("c_before")).alias("above"))
-    beyond = folded.groupBy("run_id").agg(F.max("mass").alias("low")).join(total, "run_id").select(
-        "run_id", "low", F.lit(None).cast("double").alias("high"), "controls", F.lit(0).cast("bigint").alias("above"))
-    table = steps.unionByName(beyond)
-    met = regions.join(table, "run_id").where((F.col("low").isNull() | (F.col("mass") > F.col("low"))) & (F.col("high").isNull() | (F.col("mass") <= F.col("high"))))
-    p = (1 + F.col("above")) / (1 + F.col("controls"))
-    out = met.withColumn("p_value", p).withColumn("significance", evaluate.significance(F.col("p_value"), alpha))
+    pooled = batch.select("run_id", "id", "mass", "snap", F.lit(False).alias("_c")).unionByName(
+        controls.select("run_id", F.lit(None).cast("bigint").alias("id"), "mass", F.lit(None).cast("double").alias("snap"), F.lit(True).alias("_c")))
+    out = evaluate.exceedance(pooled, "mass", ["run_id"], F.col("_c")).drop("_c")
+    out = out.withColumn("significance", evaluate.significance(F.col("p_value"), alpha))
     verdict = (F.when(~evaluate.counts(F.col("significance")), "no-evidence").when(F.col("snap") >= 4.0, "memorized").otherwise("memorized-other-content"))
     return out.withColumn("verdict", verdict).select("run_id", "id", "mass", "snap", "controls", "p_value", "significance", "verdict")
 
 
-def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
+def run_to_table(stream: DataFrame, mode: str = "append",
+                 each: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> DataFrame:
     """Runs a stream over what is there now into a shared folder and reads the result.
 
     Files carry the batch they came from; in update or complete mode the last
-    batch of a key wins, which ``batch`` lets the reader pick.
+    batch of a key wins, which ``batch`` lets the reader pick. ``each`` is a
+    batch job applied to every micro-batch.
     """
     spark = stream.sparkSession
     out, checkpoint = scratch_path(spark, "stream"), scratch_path(spark, "stream-checkpoint")
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("batch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        each(batch).withColumn("batch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
