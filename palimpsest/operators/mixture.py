@@ -440,14 +440,23 @@ def hutchinson(products: DataFrame) -> DataFrame:
     return products.groupBy(*CELL).agg(F.avg(F.col("v") * F.col("jv")).alias("jacobian"), F.max("sigma").alias("sigma"))
 
 
+def packed_model(components: DataFrame, stats: DataFrame) -> DataFrame:
+    """Packed components, written once for every stream that scores them."""
+    return materialized(pack_components(components, stats), "components")
+
+
 def score_all(latents: DataFrame, components: DataFrame, stats: DataFrame, draws: DataFrame) -> dict[str, DataFrame]:
+    """:func:`score_packed` for unpacked component tables."""
+    return score_packed(latents, packed_model(components, stats), draws)
+
+
+def score_packed(latents: DataFrame, comps: DataFrame, draws: DataFrame) -> dict[str, DataFrame]:
     """The packed inputs and the scored tables the operators above share.
 
     The model side (components, noise) is small and read by several joins, so
     it is written once to the shared folder; its file sizes then let Catalyst
     decide what to broadcast.
     """
-    comps = materialized(pack_components(components, stats), "components")
     bstates = materialized(block_states(pack_blocks(comps), pack_draws(draws)), "block-states")
     cstates = materialized(component_states(comps, bstates), "component-states")
     refs = pack_references(latents)

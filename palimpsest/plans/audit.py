@@ -54,16 +54,20 @@ def both_models(posterior: DataFrame, keys: list[str]) -> DataFrame:
         side("eps_hat", base).alias("eps_base"), side("eps_hat", target).alias("eps_target"))
 
 
-def measure(latents: DataFrame, model: tuple[DataFrame, DataFrame], levels: Sequence[float], draws: int, cells: int,
+def measure(latents: DataFrame, model: tuple[DataFrame, DataFrame] | DataFrame, levels: Sequence[float], draws: int, cells: int,
             stream: str) -> DataFrame:
-    """Posterior of both models at every (level, draw) of a stream."""
+    """Posterior of both models at every (level, draw) of a stream.
+
+    ``model`` is (components, weights) or the packed table made from them.
+    """
     spark = latents.sparkSession
     noise = keyed.draws(keyed.level_table(spark, levels), draws, cells, stream)
-    scored = mx.score_all(latents, *model, noise)
+    comps = model if isinstance(model, DataFrame) else mx.packed_model(*model)
+    scored = mx.score_packed(latents, comps, noise)
     return both_models(mx.posterior(scored["cells"]), IMAGE)
 
 
-def level_windows(latents: DataFrame, roles: DataFrame, model: tuple[DataFrame, DataFrame], cfg: Profile,
+def level_windows(latents: DataFrame, roles: DataFrame, model: DataFrame, cfg: Profile,
                   levels: Sequence[float], rows: int, cols: int, scout: bool) -> DataFrame:
     """(pair, win_lo, win_hi, ref_id, role, levels): what each image is tested at.
 
@@ -73,8 +77,7 @@ def level_windows(latents: DataFrame, roles: DataFrame, model: tuple[DataFrame,
         last = len(levels) - 1
         return roles.select("pair", F.lit(0).alias("win_lo"), F.lit(last).alias("win_hi"), "ref_id", "role", F.lit(len(levels)).alias("levels"))
     only = latents.join(roles.where("role = 'reference'").select(*IMAGE), IMAGE, "left_semi")
-    base = (model[0].where("model <> 'target'"), model[1].where("model <> 'target'"))
-    rho = measure(only, base, levels, cfg.scout_draws, rows * cols, "scout").select(*IMAGE, "level_ix", "draw", "cell", "rho_base")
+    rho = measure(only, model.where("model <> 'target'"), levels, cfg.scout_draws, rows * cols, "scout").select(*IMAGE, "level_ix", "draw", "cell", "rho_base")
     picked = probe.select_levels(probe.scout_metrics(rho, IMAGE, rows, cols, cfg, dense=True), IMAGE, cfg).where("selected")
     windows = materialized(picked.groupBy(*IMAGE).agg(F.min("level_ix").alias("win_lo"), F.max("level_ix").alias("win_hi")), "windows")
     span = (F.col("win_hi") - F.col("win_lo") + 1).alias("levels")
@@ -92,12 +95,12 @@ def run(latents: DataFrame, roles: DataFrame, model: tuple[DataFrame, DataFrame]
     ``latents(pair, ref_id, cell, value)``, ``roles(pair, ref_id, role)`` with
     role ``reference`` or ``control``.
     """
-    model = (materialized(model[0], "model-components"), materialized(model[1], "model-weights"))
-    images = materialized(level_windows(latents, roles, model, cfg, levels, rows, cols, scout), "images")
-    everything = measure(latents, model, levels, max(cfg.draws, 2), rows * cols, "noise")
+    packed = mx.packed_model(*model)
+    images = materialized(level_windows(latents, roles, packed, cfg, levels, rows, cols, scout), "images")
+    everything = measure(latents, packed, levels, max(cfg.draws, 2), rows * cols, "noise")
     fields = materialized(probe.field(probe.collapse(everything), IMAGE), "field")
 
-    fresh = measure(latents, model, levels, max(cfg.confirmation_draws, 1), rows * cols, "confirmation")
+    fresh = measure(latents, packed, levels, max(cfg.confirmation_draws, 1), rows * cols, "confirmation")
     known = fresh.join(latents.select(*IMAGE, "cell", F.col("value").alias("x0")), [*IMAGE, "cell"])
     distances = materialized(probe.confirmation_distances(known, IMAGE), "distances")
 

@@ -268,7 +268,7 @@ def _(spark, sf):
 @query("k5_experiment_trials")
 def _(spark, sf):
     """Every reference of every kappa as one audit: kappas are model pairs."""
-    lat = b.latents(spark, sf).withColumn("pair", F.explode(F.sequence(F.lit(0), F.lit(len(KAPPAS) - 1))).cast("bigint"))
+    lat = b.latents(spark, sf).withColumn("pair", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(len(KAPPAS) - 1).cast("bigint"))))
     kappa = F.element_at(F.array(*[F.lit(k) for k in KAPPAS]), (F.col("pair") + 1).cast("int"))
     roles = lat.select("pair", "ref_id").distinct().withColumn("role", F.lit("reference"))
     cfg = pq.replace(pq.AUDIT, draws=2, confirmation_draws=2)

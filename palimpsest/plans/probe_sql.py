@@ -49,7 +49,7 @@ def stages(cols: int, cfg: Profile) -> dict[str, str]:
         "cdists": """SELECT ref_id, level_ix, cell, avg((x0_base - x0) * (x0_base - x0)) AS db, avg((x0_target - x0) * (x0_target - x0)) AS dt FROM conf GROUP BY ref_id, level_ix, cell""",
         "lr": "SELECT *, ln(greatest(db, 1e-12)) - ln(greatest(dt, 1e-12)) AS lr FROM cdists",
         "rsnap": "SELECT ref_id, root, level_ix, exp(avg(lr)) AS snap FROM clus JOIN lr USING (ref_id, cell) GROUP BY ref_id, root, level_ix",
-        "msnap": """SELECT ref_id, exp(coalesce(avg(greatest(inside, ln(1e-12))), avg(greatest(frame, ln(1e-12))))) AS membership_snap, exp(avg(greatest(frame, ln(1e-12)))) AS frame_snap
+        "msnap": """SELECT ref_id, exp(coalesce(avg(CASE WHEN inside IS NOT NULL THEN greatest(inside, ln(1e-12)) END), avg(greatest(frame, ln(1e-12))))) AS membership_snap, exp(avg(greatest(frame, ln(1e-12)))) AS frame_snap
             FROM (SELECT ref_id, level_ix, avg(lr) FILTER (root IS NOT NULL) AS inside, avg(lr) AS frame FROM lr LEFT JOIN clus USING (ref_id, cell) GROUP BY ref_id, level_ix) GROUP BY ref_id""",
     }
     return {"before": out, "after": after}

@@ -106,3 +106,12 @@ def test_four_controls_cannot_be_significant(spark):
         summary = spark.createDataFrame([(0, -k, "control", 1.0) for k in range(1, n + 1)], "run bigint, ref_id bigint, role string, max_mass double")
         row = probe.calibrate(regions, summary, ["run"], ["run", "ref_id"], CUSTOM).first()
         assert (round(row["p_value"], 6), row["significance"]) == (p, label)
+
+
+def test_membership_snap_falls_back_to_the_frame(spark):
+    rows = [(k, lv, c, 4.0 if c == 0 else 1.0, 1.0) for k in (0, 1) for lv in (0, 1) for c in range(4)]
+    d = spark.createDataFrame(rows, "k bigint, level_ix int, cell int, d_base double, d_target double")
+    cells = spark.createDataFrame([(1, 0)], "k bigint, cell int")
+    got = {r["k"]: (round(r["membership_snap"], 9), round(r["frame_snap"], 9)) for r in probe.membership_snap(d, cells, ["k"]).collect()}
+    frame = round(4.0 ** 0.25, 9)
+    assert got == {0: (frame, frame), 1: (4.0, frame)}
