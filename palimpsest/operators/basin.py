@@ -43,7 +43,7 @@ def photo_scores(samples: DataFrame, reference: DataFrame, mask: DataFrame, keys
     return out.withColumn("hit", F.col("score") >= threshold)
 
 
-def photo_scale(samples: DataFrame, keys: list[str], mask_sum: float = 1.0, rounds: int = 12, bins: int = 64) -> DataFrame:
+def photo_scale(samples: DataFrame, keys: list[str], mask_sum: float = 1.0, bins: int = 64) -> DataFrame:
     """Upper median of the masked squared distance over pairs i < j of a key's samples.
 
     ``samples(keys, id, vec)`` with the mask already applied. Vectors are cut
@@ -87,7 +87,8 @@ def photo_scale(samples: DataFrame, keys: list[str], mask_sum: float = 1.0, roun
     top = meet.join(bracket, keys).groupBy(*keys, "_p", "_q").applyInPandas(
         lambda pdf: pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "hi": [float(d.max()) if len(d := distances(pdf)) else 0.0]}), f"{fields}, hi double")
     bracket = materialized(bracket.drop("hi").join(top.groupBy(*keys).agg(F.max("hi").alias("hi")), keys), "bracket")
-    for _ in range(rounds):
+    # the ends of a bracket are data values in different bins, so every round narrows it
+    while not bracket.where("lo < hi").isEmpty():
         hist = (meet.join(bracket.where("lo < hi"), keys).groupBy(*keys, "_p", "_q")
                 .applyInPandas(histogram, f"{fields}, bin bigint, pairs bigint, low double, high double")
                 .groupBy(*keys, "bin").agg(F.sum("pairs").alias("pairs"), F.min("low").alias("low"), F.max("high").alias("high")))
@@ -96,8 +97,6 @@ def photo_scale(samples: DataFrame, keys: list[str], mask_sum: float = 1.0, roun
         picked = (summed.where((F.col("bin") >= 0) & (F.col("_c") > F.col("want"))).groupBy(*keys)
                   .agg(F.min_by(F.struct("low", "high"), "bin").alias("_s")).select(*keys, F.col("_s.low").alias("_lo"), F.col("_s.high").alias("_hi")))
         bracket = materialized(bracket.join(picked, keys, "left").select(*keys, "want", F.coalesce("_lo", "lo").alias("lo"), F.coalesce("_hi", "hi").alias("hi")), "bracket")
-        if bracket.where("lo < hi").isEmpty():
-            break
     return per.select(*keys).join(bracket.select(*keys, F.col("lo").alias("scale")), keys, "left")
 
 
