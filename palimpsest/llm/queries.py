@@ -5,17 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import count_packing, length_histogram, likelihood_rules, matrix_packing, threshold_search, tree_mixing
+from palimpsest.llm import count_packing, cover_dedup, fourier_quality, length_histogram, likelihood_rules, matrix_packing, skip_chain, threshold_search, tree_mixing
 from palimpsest.llm.common import table, words
 
 #: The operator-10 queries' tree; the domain of a source is one of four by its checksum.
 LEVELS = ["domain", "lang", "source"]
 
 
+def op1_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skip_chain.find(table(spark, sf_dir, "documents"))
+
+
 def op2_count_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return fourier_quality.score(table(spark, sf_dir, "documents"), labels)
+
+
 def op4_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threshold_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -24,6 +33,10 @@ def op6_packed_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix_packing.id_matrices(table(spark, sf_dir, "documents"))
 
 
+def op7_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
 
@@ -46,5 +59,5 @@ def op10_tree_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_mixing.mix(counted, LEVELS, "n_tokens").withColumnRenamed("__mix_epoch", "epoch")
 
 
-QUERIES = {f.__name__: f for f in (op2_count_packing, op4_threshold_search, op6_packed_matrices, op8_likelihood_rules, op9_token_counts, op10_tree_mixing)}
+QUERIES = {f.__name__: f for f in (op1_skip_chain, op2_count_packing, op3_fourier_quality, op4_threshold_search, op6_packed_matrices, op7_cover_dedup, op8_likelihood_rules, op9_token_counts, op10_tree_mixing)}
 ORACLE: dict[str, str] = {}
