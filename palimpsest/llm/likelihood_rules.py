@@ -19,27 +19,40 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import WHITE, bound, words
 
-BUCKETS = 8192
+BUCKETS = 65_536
+#: Tokens of an n-gram.
+NGRAM = 2
 #: Steps of a weight.
 UNIT = 65_536
 #: Mean weight, in steps, below which a document is rejected.
-THRESHOLD = -6_554
-TOKEN = rf"[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}{WHITE}]+"
+THRESHOLD = -7_864
+TOKEN = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+|[!-/:-@\[-`{-~]+"
 
 
-def ngram_buckets(text: Column, buckets: int = BUCKETS) -> Column:
-    """Buckets of a text's token 1-grams and 2-grams; tokens are letter-digit runs and runs of other marks."""
-    tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
-    ones = F.transform(tokens, lambda t: F.crc32(t.cast("binary")))
-    joined = lambda h: F.zip_with(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))), lambda a, b: a * 31 + b)
-    return bound(ones, lambda h: F.transform(F.concat(h, joined(h)), lambda x: (x % buckets).cast("int")))
+def ngram_values(text: Column, n: int = NGRAM) -> Column:
+    """Hash values of a text's token n-grams; tokens are runs of letters and digits and runs of other marks.
+
+    Every character beyond ASCII counts as a letter; case is kept. The last
+    n - 1 tokens have no n-gram of their own and give null.
+    """
+    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+    hashes = F.transform(tokens, lambda t: F.crc32(t.cast("binary")))
+    if n == 1:
+        return hashes
+
+    def joined(h: Column, x: Column, i: Column) -> Column:
+        for k in range(1, n):
+            x = x % 4_294_967_296 * 31 + F.get(h, i + k)
+        return x
+
+    return bound(hashes, lambda h: F.transform(h, lambda x, i: joined(h, x, i)))
 
 
 def ratio_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = 1.0) -> DataFrame:
     """(bucket, weight) over all buckets from ``docs`` (doc_id, text) and the ids in ``trusted`` (doc_id)."""
     marked = docs.select(F.col("doc_id").alias("id"), "text").join(trusted.select(F.col("doc_id").alias("id"), F.lit(1).alias("good")).distinct(), "id", "left")
-    grams = marked.select("good", F.explode(ngram_buckets(F.col("text"), buckets)).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("target"))
+    grams = marked.select("good", F.explode(ngram_values(F.col("text"))).alias("value")).where(F.col("value").isNotNull())
+    counts = grams.groupBy((F.col("value") % buckets).cast("int").alias("bucket")).agg(F.count("*").alias("raw"), F.count("good").alias("target"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0)
     totals = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("r"), F.coalesce(F.sum("target"), F.lit(0)).alias("t"))
     share = lambda n, total: F.log((F.col(n) + smoothing) / (F.col(total) + smoothing * buckets))
@@ -71,7 +84,8 @@ def repeated_words(tokens: Column, size: int = 5) -> Column:
     """
     hashes = bound(
         F.transform(tokens, lambda w: F.xxhash64(w)),
-        lambda h: F.when(F.size(h) >= size, F.transform(F.sequence(F.lit(1), F.size(h) - size + 1), lambda i: F.xxhash64(*[F.get(h, i + (k - 1)) for k in range(size)]))).otherwise(F.array().cast("array<bigint>")),
+        # the last windows are short and so unlike every other
+        lambda h: F.transform(h, lambda x, i: F.xxhash64(x, *[F.coalesce(F.get(h, i + k), F.lit(k).cast("long")) for k in range(1, size)])),
     )
 
     def covered(h: Column) -> Column:
@@ -89,8 +103,11 @@ def judged(docs: DataFrame, weights: DataFrame, buckets: int = BUCKETS, threshol
     model = weights.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "weight"))), lambda p: p["weight"]).alias("m")).scalar()
     ruled = base_rules(docs)
     score = bound(
-        ngram_buckets(F.col("text"), buckets),
-        lambda g: F.struct(F.size(g).alias("n"), F.aggregate(g, F.lit(0).cast("long"), lambda s, b: s + F.get(F.col("__q_model"), b)).alias("sum")),
+        ngram_values(F.col("text")),
+        lambda g: F.struct(
+            F.greatest(F.size(g) - (NGRAM - 1), F.lit(0)).alias("n"),
+            F.aggregate(g, F.lit(0).cast("long"), lambda s, v: s + F.coalesce(F.get(F.col("__q_model"), (v % buckets).cast("int")), F.lit(0).cast("long"))).alias("sum"),
+        ),
     )
     failed = (F.col("__q_n_words") < 10) | (100 * F.col("__q_n_repeat_words") > 20 * F.col("__q_n_words"))
     scored = ruled.withColumn("__q_model", model).withColumn("__q_score", score).drop("__q_model").withColumn("__q_base_failed", failed)
