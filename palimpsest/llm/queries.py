@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import count_packing, cover_dedup, fourier_quality, length_histogram, likelihood_rules, matrix_packing, skip_chain, threshold_search, tree_mixing
+from palimpsest.llm import count_packing, cover_dedup, fourier_quality, length_histogram, likelihood_rules, matrix_packing, part_enum, skip_chain, threshold_search, tree_mixing
 from palimpsest.llm.common import table, words
 
 #: The operator-10 queries' tree; the domain of a source is one of four by its checksum.
@@ -29,6 +29,10 @@ def op4_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threshold_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op5_part_enum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_enum.join_components(table(spark, sf_dir, "documents"))
+
+
 def op6_packed_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix_packing.id_matrices(table(spark, sf_dir, "documents"))
 
@@ -59,5 +63,5 @@ def op10_tree_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_mixing.mix(counted, LEVELS, "n_tokens").withColumnRenamed("__mix_epoch", "epoch")
 
 
-QUERIES = {f.__name__: f for f in (op1_skip_chain, op2_count_packing, op3_fourier_quality, op4_threshold_search, op6_packed_matrices, op7_cover_dedup, op8_likelihood_rules, op9_token_counts, op10_tree_mixing)}
+QUERIES = {f.__name__: f for f in (op1_skip_chain, op2_count_packing, op3_fourier_quality, op4_threshold_search, op5_part_enum, op6_packed_matrices, op7_cover_dedup, op8_likelihood_rules, op9_token_counts, op10_tree_mixing)}
 ORACLE: dict[str, str] = {}
