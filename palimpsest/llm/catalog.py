@@ -1,5 +1,7 @@
 """Every query of this folder, and the pipeline at the top of the repository."""
 
-from palimpsest.llm.queries import ORACLE, QUERIES
+import corpus_pipeline
+from palimpsest.llm import queries
 
-__all__ = ["ORACLE", "QUERIES"]
+QUERIES = {**queries.QUERIES, "pipeline": corpus_pipeline.run}
+ORACLE = {**queries.ORACLE, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import count_packing, cover_dedup, fourier_quality, length_histogram, likelihood_rules, matrix_packing, part_enum, skip_chain, threshold_search, tree_mixing
 from palimpsest.llm.common import table, words
+from palimpsest.llm.sql import ORACLE  # noqa: F401
 
 #: The operator-10 queries' tree; the domain of a source is one of four by its checksum.
 LEVELS = ["domain", "lang", "source"]
@@ -64,4 +65,3 @@ def op10_tree_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_skip_chain, op2_count_packing, op3_fourier_quality, op4_threshold_search, op5_part_enum, op6_packed_matrices, op7_cover_dedup, op8_likelihood_rules, op9_token_counts, op10_tree_mixing)}
-ORACLE: dict[str, str] = {}
