@@ -38,7 +38,7 @@ from palimpsest.session import materialized
 
 GRAM = 32
 HOT = 20_000
-SLICE = 1 << 21
+SLICE = 1 << 19
 #: One of so many documents is looked at for frequent blocks; at most so many are named.
 LOOK, MOST_FREQUENT = 64, 1000
 
