@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 VERSION = "palimpsest.draws.v1"
 RESEARCH_KEY = b"palimpsest.research.v1"
-STREAMS = ("noise", "lambda", "prompt", "needle", "background", "jitter", "scenario",
-           "rademacher", "basin", "scout", "confirmation", "control")
+STREAMS = ("noise", "scenario", "rademacher", "scout", "confirmation", "control")
 _BLOCK = 64
 _SCALE = float(1 << 52)
 
@@ -26,9 +25,10 @@ def pads(key: bytes) -> tuple[bytes, bytes]:
     return bytes(b ^ 0x36 for b in block), bytes(b ^ 0x5C for b in block)
 
 
-def schedule_id(key: bytes = RESEARCH_KEY) -> str:
-    """Names the key without revealing it."""
-    return hashlib.sha256(key).hexdigest()[:16]
+def schedule_id(key: Column | bytes = RESEARCH_KEY) -> Column:
+    """Names a key without revealing it."""
+    value = key if isinstance(key, Column) else F.lit(bytearray(key))
+    return F.substring(F.sha2(value.cast("binary"), 256), 1, 16)
 
 
 def level_key(level: Column) -> Column:

@@ -129,33 +129,36 @@ def coverage(mapped: DataFrame, layers: DataFrame) -> DataFrame:
 
 
 def coverage_issues(placed: DataFrame, covered: DataFrame) -> DataFrame:
-    """Issue strings per unit from placement and coverage."""
-    def count(name: str) -> Column:
-        return F.count(F.when(F.col("status") == name, 1))
-
-    lost = F.slice(F.array_sort(F.collect_list(F.when(F.col("status") == "unmapped", F.col("module")))), 1, 3)
-    maps = placed.groupBy("unit").agg(count("unmapped").alias("_u"), count("unsupported").alias("_s"), lost.alias("_e"))
-    shapes = covered.groupBy("unit").agg(
-        F.count(F.when(F.col("outcome") == "mismatched", 1)).alias("_w"), F.min(F.when(F.col("outcome") == "mismatched", F.concat("layer", F.lit(" "), "detail"))).alias("_we"),
-        F.count(F.when(F.col("outcome") == "missed", 1)).alias("_m"), F.count(F.when(F.col("outcome") == "applied", 1)).alias("applied"))
-    issues = F.array_compact(F.array(
-        F.when(F.col("_u") > 0, F.format_string("%d adapter module(s) could not be placed on the transformer (e.g. %s)", "_u", F.array_join("_e", ", "))),
-        F.when(F.col("_s") > 0, F.format_string("%d text-encoder module(s) are not applied by this executor", "_s")),
-        F.when(F.col("_w") > 0, F.format_string("%d adapter module(s) have the wrong shape (e.g. %s)", "_w", "_we")),
-        F.when(F.col("_m") > 0, F.format_string("%d mapped module(s) are not linears the transformer builds", "_m"))))
-    return maps.join(shapes, "unit", "full_outer").select("unit", F.coalesce("applied", F.lit(0)).alias("applied"), issues.alias("issues"))
+    """(unit, applied, issues): an issue is struct(code, n, names) with every name, sorted.
+
+    Codes: ``unplaced`` and ``text-encoder`` modules, ``shape`` conflicts, and
+    layers that the transformer does ``not-linear`` build.
+    """
+    names = placed.where(F.col("status").isin("unmapped", "unsupported")).select(
+        "unit", F.when(F.col("status") == "unmapped", "1unplaced").otherwise("2text-encoder").alias("code"), F.col("module").alias("name"))
+    wrong = covered.where(F.col("outcome").isin("mismatched", "missed")).select(
+        "unit", F.when(F.col("outcome") == "mismatched", "3shape").otherwise("4not-linear").alias("code"),
+        F.when(F.col("outcome") == "mismatched", F.concat("layer", F.lit(" "), "detail")).otherwise(F.col("layer")).alias("name"))
+    each = names.unionByName(wrong).groupBy("unit", "code").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("name")).alias("names"))
+    issues = each.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("code", "n", "names"))).alias("_i"))
+    applied = covered.groupBy("unit").agg(F.count(F.when(F.col("outcome") == "applied", 1)).alias("applied"))
+    plain = F.transform(F.coalesce("_i", F.array().cast("array<struct<code:string,n:bigint,names:array<string>>>")),
+                        lambda i: F.struct(F.substring(i["code"], 2, 99).alias("code"), i["n"].alias("n"), i["names"].alias("names")))
+    units = placed.select("unit").unionByName(covered.select("unit")).distinct()
+    return units.join(applied, "unit", "left").join(issues, "unit", "left").select("unit", F.coalesce("applied", F.lit(0)).alias("applied"), plain.alias("issues"))
 
 
 def compatibility_issues(base_model: Column, variant: Column, family: str) -> Column:
-    """Why an adapter and the transformer under test may not fit together."""
-    b = F.lower(base_model)
-    low = family.lower()
-    stated = base_model.isNotNull()
+    """Why an adapter and the transformer under test may not fit: struct(code, detail) entries."""
+    b, stated = F.lower(base_model), base_model.isNotNull()
+    foreign = stated & ~F.contains(b, F.lit(family.lower()))
+    sibling = stated & ~foreign & (F.contains(b, F.lit("base")) != (variant == "base"))
+
+    def issue(when: Column, code: str, detail: Column) -> Column:
+        return F.when(when, F.struct(F.lit(code).alias("code"), detail.alias("detail")))
+
     return F.array_compact(F.array(
-        F.when(variant != "base", F.concat(F.lit("the "), variant, F.lit(" transformer only evaluates its few sampling noise levels; the probe needs σ ≤ 0.5"))),
-        F.when(stated & ~F.contains(b, F.lit(low)), F.concat(F.lit("the adapter was trained on "), base_model, F.lit(f", not {family}")))
-        .when(stated & (F.contains(b, F.lit("base")) != (variant == "base")),
-              F.concat(F.lit("the adapter was trained on "), base_model, F.lit(" but the probe runs the "), variant, F.lit(" transformer")))))
+        issue(variant != "base", "few-noise-levels", variant), issue(foreign, "other-family", base_model), issue(sibling, "other-variant", base_model)))
 
 
 def card_variant(text: Column, base_marks: tuple[str, ...], distilled_marks: tuple[str, ...]) -> Column:

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from palimpsest.operators.ranking import top_k
 
 BLOCK = 128
-TOP_SIGMAS = 16
-MAX_DENSE_DIM = 4096
 
 
 def _packed(elements: DataFrame, keys: list[str], keep: str, fold: str, out: str) -> DataFrame:
@@ -39,19 +37,51 @@ def matmul(a: DataFrame, b: DataFrame, keys: list[str], scale: Column | float =
     return left.join(right, [*keys, "_ib", "_jb"]).select(*keys, "i", "j", (dot * s).alias("v"))
 
 
+def _sizes(elements: DataFrame, keys: list[str], name: str) -> DataFrame:
+    return elements.groupBy(*keys).agg((F.max("i") + 1).alias(f"_{name}r"), (F.max("j") + 1).alias(f"_{name}c"), F.count(F.lit(1)).alias(f"_{name}n"))
+
+
+def product_issues(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, code, detail) of every module whose product a·b is not defined.
+
+    ``no-factor``: one side is absent. ``gaps``: a side lacks elements.
+    ``inner-sizes``: columns of a and rows of b differ.
+    """
+    both = _sizes(a, keys, "a").join(_sizes(b, keys, "b"), keys, "full_outer")
+    gaps = (F.col("_an") != F.col("_ar") * F.col("_ac")) | (F.col("_bn") != F.col("_br") * F.col("_bc"))
+    code = (F.when(F.col("_an").isNull() | F.col("_bn").isNull(), "no-factor").when(gaps, "gaps").when(F.col("_ac") != F.col("_br"), "inner-sizes"))
+    shape = lambda n: F.concat(F.coalesce(F.col(f"_{n}r").cast("string"), F.lit("-")), F.lit("x"), F.coalesce(F.col(f"_{n}c").cast("string"), F.lit("-")))
+    return both.select(*keys, code.alias("code"), F.concat_ws(" ", shape("a"), shape("b")).alias("detail")).where("code IS NOT NULL")
+
+
+def _sound(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """``matmul`` of the modules without product issues."""
+    issues = product_issues(a, b, keys).select(*keys)
+    return matmul(a.join(issues, keys, "left_anti"), b.join(issues, keys, "left_anti"), keys)
+
+
 def low_rank_update(up: DataFrame, down: DataFrame, scales: DataFrame, keys: list[str]) -> DataFrame:
-    """ΔW = scale·up·down."""
-    return matmul(up, down, keys).join(scales.select(*keys, "scale"), keys).select(*keys, "i", "j", (F.col("v") * F.col("scale")).alias("v"))
+    """ΔW = scale·up·down; modules with ``product_issues`` have none."""
+    return _sound(up, down, keys).join(scales.select(*keys, "scale"), keys).select(*keys, "i", "j", (F.col("v") * F.col("scale")).alias("v"))
 
 
 def hadamard_update(w1a: DataFrame, w1b: DataFrame, w2a: DataFrame, w2b: DataFrame, scales: DataFrame, keys: list[str]) -> DataFrame:
-    """ΔW = (w1a·w1b) ⊙ (w2a·w2b)·scale."""
-    left = matmul(w1a, w1b, keys)
-    right = matmul(w2a, w2b, keys).withColumnRenamed("v", "_w")
-    return (left.join(right, [*keys, "i", "j"]).join(scales.select(*keys, "scale"), keys)
+    """ΔW = (w1a·w1b) ⊙ (w2a·w2b)·scale; modules with issues or unlike products have none."""
+    left = _sound(w1a, w1b, keys)
+    right = _sound(w2a, w2b, keys).withColumnRenamed("v", "_w")
+    unlike = hadamard_issues(w1a, w1b, w2a, w2b, keys).select(*keys)
+    return (left.join(unlike, keys, "left_anti").join(right, [*keys, "i", "j"]).join(scales.select(*keys, "scale"), keys)
             .select(*keys, "i", "j", (F.col("v") * F.col("_w") * F.col("scale")).alias("v")))
 
 
+def hadamard_issues(w1a: DataFrame, w1b: DataFrame, w2a: DataFrame, w2b: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, code, detail): issues of either product, or ``outer-sizes`` where the two products differ in shape."""
+    outer = (w1a.groupBy(*keys).agg((F.max("i") + 1).alias("_r1")).join(w1b.groupBy(*keys).agg((F.max("j") + 1).alias("_c1")), keys)
+             .join(w2a.groupBy(*keys).agg((F.max("i") + 1).alias("_r2")), keys).join(w2b.groupBy(*keys).agg((F.max("j") + 1).alias("_c2")), keys))
+    unlike = outer.where("_r1 <> _r2 OR _c1 <> _c2").select(*keys, F.lit("outer-sizes").alias("code"), F.format_string("%dx%d %dx%d", "_r1", "_c1", "_r2", "_c2").alias("detail"))
+    return product_issues(w1a, w1b, keys).unionByName(product_issues(w2a, w2b, keys)).unionByName(unlike)
+
+
 def kronecker_update(w1: DataFrame, w2: DataFrame, scales: DataFrame, keys: list[str]) -> DataFrame:
     """ΔW = w1 ⊗ w2·scale; row i₁·R₂+i₂, column j₁·C₂+j₂.
 
@@ -130,11 +160,9 @@ def _square(pdf: pd.DataFrame, column: str = "v") -> np.ndarray:
 def dense_spectrum(elements: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, k, sigma) of dense modules from the smaller Gram matrix.
 
-    Modules whose short side exceeds ``MAX_DENSE_DIM`` are skipped, so a task
-    holds at most that matrix.
+    Every module is solved; a task holds one square matrix of a module's short side.
     """
-    dims = elements.groupBy(*keys).agg((F.max("i") + 1).alias("_out"), (F.max("j") + 1).alias("_in")).where(
-        F.least("_out", "_in") <= MAX_DENSE_DIM)
+    dims = elements.groupBy(*keys).agg((F.max("i") + 1).alias("_out"), (F.max("j") + 1).alias("_in"))
     sized = elements.join(dims, keys)
     wide = gram(sized.where("_out <= _in").select(*keys, "i", "j", "v"), keys, "i")
     tall = gram(sized.where("_out > _in").select(*keys, "i", "j", "v"), keys, "j")
@@ -191,7 +219,7 @@ def spectral_summary(sigmas: DataFrame, keys: list[str]) -> DataFrame:
                       (F.col("_top") * F.col("_top") / F.col("energy")).alias("concentration"))
 
 
-def top_sigmas(sigmas: DataFrame, keys: list[str], k: int = TOP_SIGMAS) -> DataFrame:
+def top_sigmas(sigmas: DataFrame, keys: list[str], k: int) -> DataFrame:
     """The k largest singular values per module, largest first."""
     return top_k(sigmas, keys, [F.desc("sigma"), F.col("k")], k, ["k"])
 
@@ -211,6 +239,6 @@ def aggregate_spectra(summaries: DataFrame, keys: list[str]) -> DataFrame:
     return out.where("total_energy > 0")
 
 
-def top_modules(summaries: DataFrame, keys: list[str], name: str, k: int = 8) -> DataFrame:
+def top_modules(summaries: DataFrame, keys: list[str], name: str, k: int) -> DataFrame:
     """The k modules of largest Frobenius norm."""
     return top_k(summaries, keys, [F.desc("frobenius"), F.col(name)], k, [name])

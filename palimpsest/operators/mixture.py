@@ -8,8 +8,9 @@ the model ``both``.
 The noised point is x = αx₀ + σε with ε shared by all references, so a
 distance is α²‖x₀−m‖² + 2ασ(x₀−m)·ε + σ²‖ε‖². Each of the three parts is a dot
 product between two small sides; only the scalar combination exists per
-(reference, level, draw, component). References are hashed once on
-(pair, ref_id) and every later stage keeps that partitioning.
+(reference, level, draw, component). A pair may hold most references, so they
+meet its model in buckets of their own hash: the model side, which does not grow
+with the references, is copied to every bucket.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ WEIGHT_FLOOR = 1e-300
 MIN_BANDWIDTH = 1e-3
 SMOOTH_COMP = 10_000
 MEMBER_COMP = 20_000
-PRUNE = 1e-12
 STATE = ["level_ix", "draw"]
 TWO_PI = 2.0 * 3.141592653589793
 
@@ -212,6 +212,20 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def _buckets(df: DataFrame) -> int:
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
+
+
+def dealt(refs: DataFrame) -> DataFrame:
+    """References with their bucket."""
+    return refs.withColumn("_bucket", F.pmod(F.xxhash64("ref_id"), F.lit(_buckets(refs))))
+
+
+def copied(model: DataFrame) -> DataFrame:
+    """A model-side table once for every bucket of references."""
+    return model.withColumn("_bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(_buckets(model) - 1).cast("bigint"))))
+
+
 def pack_references(latents: DataFrame) -> DataFrame:
     """(pair, ref_id, x0): the grid as one array, hashed on (pair, ref_id)."""
     return (spread(latents.select("pair", "ref_id", "cell", "value"), "pair", "ref_id")
@@ -272,14 +286,14 @@ def distances(refs: DataFrame, comps: DataFrame, bstates: DataFrame, cstates: Da
     """
     noise_list = (bstates.groupBy("pair", "block", "cells")
                   .agg(F.array_sort(F.collect_list(F.struct("state", "eps_b"))).alias("_n")))
-    local = refs.join(noise_list, "pair").select(
-        "pair", "ref_id", "block", F.transform("cells", lambda c: F.element_at(F.col("x0"), c + 1)).alias("x0b"),
+    local = dealt(refs).join(copied(noise_list), ["pair", "_bucket"]).select(
+        "pair", "_bucket", "ref_id", "block", F.transform("cells", lambda c: F.element_at(F.col("x0"), c + 1)).alias("x0b"),
         F.transform("_n", lambda n: n["eps_b"]).alias("_eps"))
-    local = local.select("pair", "ref_id", "block", "x0b", F.transform("_eps", lambda e: _dot(e, F.col("x0b"))).alias("x0e"))
+    local = local.select("pair", "_bucket", "ref_id", "block", "x0b", F.transform("_eps", lambda e: _dot(e, F.col("x0b"))).alias("x0e"))
     apart = F.zip_with("x0b", "means", lambda a, b: a - b)
-    near = (local.join(comps.select("pair", "model", "block", "comp", "means"), ["pair", "block"])
-            .select("pair", "ref_id", "model", "block", "comp", "x0e", _sumsq(apart).alias("d0")))
-    rows = near.join(cstates, ["pair", "model", "block", "comp"])
+    near = (local.join(copied(comps.select("pair", "model", "block", "comp", "means")), ["pair", "_bucket", "block"])
+            .select("pair", "_bucket", "ref_id", "model", "block", "comp", "x0e", _sumsq(apart).alias("d0")))
+    rows = near.join(copied(cstates), ["pair", "_bucket", "model", "block", "comp"]).drop("_bucket")
     dist = (F.col("alpha") * F.col("alpha") * F.col("d0") + F.col("bias")
             + 2.0 * F.col("alpha") * F.col("sigma") * F.element_at("x0e", F.col("state")))
     return rows.withColumn("dist", dist).drop("x0e", "state", "bias", "d0")
@@ -293,17 +307,14 @@ def _logit(extra: float = 1.0) -> Column:
 MIX = ["pair", "ref_id", "model", "block", *STATE]
 
 
-def responsibilities(dist: DataFrame, prune: float = PRUNE) -> DataFrame:
-    """Softmax over the components of each block, with the leading component.
-
-    Components below ``prune`` change no later sum by more than that factor.
-    """
+def responsibilities(dist: DataFrame) -> DataFrame:
+    """Softmax over the components of each block, with the leading component."""
     mix = Window.partitionBy(*MIX)
     scored = dist.withColumn("_l", _logit())
     lead = scored.withColumn("_top", F.max(F.col("_l")).over(mix)).withColumn(
         "lead", F.max_by(F.struct("comp", "v", "variance"), F.col("_l")).over(mix))
     weighed = lead.withColumn("_e", F.exp(F.col("_l") - F.col("_top")))
-    return (weighed.withColumn("r", F.col("_e") / F.sum("_e").over(mix)).where(F.col("r") >= prune)
+    return (weighed.withColumn("r", F.col("_e") / F.sum("_e").over(mix))
             .drop("_l", "_top", "_e", "log_weight", "dist", "dim"))
 
 
@@ -314,10 +325,10 @@ def log_density(dist: DataFrame) -> DataFrame:
 
 def clean_distances(refs: DataFrame, comps: DataFrame, blocks: DataFrame) -> DataFrame:
     """Squared distance of every clean reference to every component."""
-    local = refs.join(blocks, "pair").select(
-        "pair", "ref_id", "block", F.transform("cells", lambda c: F.element_at(F.col("x0"), c + 1)).alias("x0b"))
+    local = dealt(refs).join(copied(blocks), ["pair", "_bucket"]).select(
+        "pair", "_bucket", "ref_id", "block", F.transform("cells", lambda c: F.element_at(F.col("x0"), c + 1)).alias("x0b"))
     apart = F.zip_with("x0b", "means", lambda a, b: a - b)
-    return (local.join(comps.drop("cells"), ["pair", "block"])
+    return (local.join(copied(comps.drop("cells")), ["pair", "_bucket", "block"])
             .select("pair", "ref_id", "model", "block", "comp", "variance", "log_weight", "dim", _sumsq(apart).alias("dist")))
 
 
@@ -347,15 +358,18 @@ def margins(clean: DataFrame, own: Column, scale: Column) -> DataFrame:
 
 
 def state_cells(resp: DataFrame, refs: DataFrame, comps: DataFrame, bstates: DataFrame) -> DataFrame:
-    """One row per surviving (reference, state, component, cell) with x, m and the lead's m."""
+    """One row per (reference, state, component, cell) with x, m and the lead's m.
+
+    Components whose responsibility is exactly 0 in double precision add nothing to any sum and are left out.
+    """
     means = comps.select("pair", "model", "block", "comp", "means")
     lead = comps.select("pair", "model", "block", F.col("comp").alias("lead_comp"), F.col("means").alias("lead_means"))
     rows = (resp.select("*", F.col("lead.comp").alias("lead_comp"), F.col("lead.v").alias("lead_v"),
                         F.col("lead.variance").alias("lead_variance")).drop("lead")
-            .join(refs, ["pair", "ref_id"])
-            .join(means, ["pair", "model", "block", "comp"])
-            .join(lead, ["pair", "model", "block", "lead_comp"])
-            .join(bstates.select("pair", "block", *STATE, "cells", "eps_b"), ["pair", "block", *STATE]))
+            .where("r > 0").join(dealt(refs), ["pair", "ref_id"])
+            .join(copied(means), ["pair", "_bucket", "model", "block", "comp"])
+            .join(copied(lead), ["pair", "_bucket", "model", "block", "lead_comp"])
+            .join(copied(bstates.select("pair", "block", *STATE, "cells", "eps_b")), ["pair", "_bucket", "block", *STATE]))
     out = rows.select("pair", "ref_id", "model", "block", *STATE, "level", "comp", "alpha", "sigma", "r", "v", "variance",
                       "lead_v", "lead_variance", "x0", "cells", "eps_b", "lead_means", F.posexplode("means").alias("_p", "m"))
     cell = F.element_at("cells", F.col("_p") + 1)
@@ -470,15 +484,17 @@ def control_draws(requests: DataFrame, components: DataFrame, stats: DataFrame,
     """Negative controls drawn from a mixture: one component by its weight, plus noise.
 
     ``requests(pair, ref_id)`` names the controls. A control's component is the
-    one whose cumulative-weight interval holds its keyed uniform.
+    one whose cumulative-weight interval holds its keyed uniform; intervals
+    share their ends, from 0 to 1, so each control has one component.
     """
     total = F.sum("weight").over(Window.partitionBy("pair", "block"))
-    upto = Window.partitionBy("pair", "block").orderBy("comp").rowsBetween(Window.unboundedPreceding, 0)
-    edges = (stats.withColumn("hi", F.sum("weight").over(upto) / total)
-             .withColumn("lo", F.col("hi") - F.col("weight") / total))
+    order = Window.partitionBy("pair", "block").orderBy("comp")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    ends = F.when(F.lead("comp").over(order).isNull(), F.lit(1.0)).otherwise(F.sum("weight").over(upto) / total)
+    edges = stats.withColumn("hi", ends).withColumn("lo", F.coalesce(F.lag("hi").over(order), F.lit(0.0)))
     picks = requests.withColumn("u", keyed.uniform(keyed.prf_hex("control", F.col("ref_id"), key)))
-    chosen = (picks.join(edges, "pair").where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
-              .select("pair", "ref_id", "block", "comp", "variance"))
+    chosen = (dealt(picks).join(copied(edges), ["pair", "_bucket"]).where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
+              .select("pair", "_bucket", "ref_id", "block", "comp", "variance"))
     eps = keyed.normal(keyed.prf_hex("control", F.concat_ws(":", "ref_id", "cell"), key))
-    return (chosen.join(components.select("pair", "block", "comp", "cell", "mean"), ["pair", "block", "comp"])
+    return (chosen.join(copied(components.select("pair", "block", "comp", "cell", "mean")), ["pair", "_bucket", "block", "comp"])
             .select("pair", "ref_id", "comp", "cell", (F.col("mean") + F.sqrt("variance") * eps).alias("value")))

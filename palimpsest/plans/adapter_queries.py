@@ -147,6 +147,14 @@ def _(spark, sf):
     return out.select("module", "i", "j", r6(F.col("v"), "v"))
 
 
+@query("c7_product_issues", f"""{_FACT} SELECT a.module, CASE WHEN b.module IS NULL THEN 'no-factor' ELSE 'inner-sizes' END AS code,
+  concat(a.r, 'x', a.c, ' ', coalesce(b.r::VARCHAR, '-'), 'x', coalesce(b.c::VARCHAR, '-')) AS detail FROM (SELECT module, max(i) + 1 AS r, max(j) + 1 AS c FROM fact WHERE role = 0 GROUP BY module) a
+  LEFT JOIN (SELECT module, max(i) + 1 AS r, max(j) + 1 AS c FROM fact WHERE role = 1 AND module % 3 > 0 AND (module % 3 > 1 OR i < 5) GROUP BY module) b ON b.module = a.module WHERE b.module IS NULL OR a.c <> b.r""")
+def _(spark, sf):
+    down = role(spark, sf, 1).where("module % 3 > 0 AND (module % 3 > 1 OR i < 5)")
+    return mt.product_issues(role(spark, sf, 0), down, ["module"])
+
+
 @query("c8_loha_update", f"{_FACT}, {_mm(0, 1, 'w1')}, {_mm(2, 3, 'w2')} SELECT module, i, j, round(w1.v * w2.v * {_SCALE} * 100, 6) AS v FROM w1 JOIN w2 USING (module, i, j)")
 def _(spark, sf):
     out = mt.hadamard_update(*[role(spark, sf, r) for r in range(4)], scales(spark, sf), ["module"])
@@ -167,12 +175,12 @@ def _(spark, sf):
 
 
 @query("c11_decode_notes", b.with_sql(["mix"], f"""SELECT unit, string_agg(note, ' | ' ORDER BY note) AS notes FROM (
-  SELECT DISTINCT unit, 'DoRA magnitudes present; direction-only approximation' AS note FROM ({_LAYOUT}) WHERE has_dora
-  UNION ALL SELECT unit, 'ignored factors: ' || string_agg(i, ', ' ORDER BY i) FROM (SELECT DISTINCT unit, unnest(CASE kind WHEN 'lora' THEN CASE WHEN mid THEN ['lora_mid'] ELSE [] END
+  SELECT DISTINCT unit, 'direction-only' AS note FROM ({_LAYOUT}) WHERE has_dora
+  UNION ALL SELECT unit, 'unused-factors ' || string_agg(i, ',' ORDER BY i) FROM (SELECT DISTINCT unit, unnest(CASE kind WHEN 'lora' THEN CASE WHEN mid THEN ['lora_mid'] ELSE [] END
       WHEN 'loha' THEN CASE WHEN t1 THEN ['hada_t1', 'hada_t2'] ELSE [] END WHEN 'lokr' THEN CASE WHEN t2 THEN ['lokr_t2'] ELSE [] END ELSE [] END) AS i
     FROM ({_LAYOUT}) JOIN (SELECT unit, module, bool_or(role = 'lora_mid') AS mid, bool_or(role = 'hada_t1') AS t1, bool_or(role = 'lokr_t2') AS t2 FROM ({roles_sql('mix')}) WHERE role IS NOT NULL GROUP BY unit, module) USING (unit, module)) GROUP BY unit
-  UNION ALL SELECT unit, module || ': Missing tensor ' || module || '.alpha' FROM ({_LAYOUT}) JOIN (SELECT unit, module FROM ({roles_sql('mix')}) WHERE role = 'alpha') USING (unit, module) WHERE kind IN ('lora', 'loha', 'lokr') AND length(module) % 2 = 0
-  UNION ALL SELECT unit, module || ': Shape mismatch in module ' || module FROM ({_LAYOUT}) WHERE kind = 'lora' AND out_dim % 2 = 0) GROUP BY unit"""))
+  UNION ALL SELECT unit, 'no-tensor ' || module || ' ' || module || '.alpha' FROM ({_LAYOUT}) JOIN (SELECT unit, module FROM ({roles_sql('mix')}) WHERE role = 'alpha') USING (unit, module) WHERE kind IN ('lora', 'loha', 'lokr') AND length(module) % 2 = 0
+  UNION ALL SELECT unit, 'rank-conflict ' || module FROM ({_LAYOUT}) WHERE kind = 'lora' AND out_dim % 2 = 0) GROUP BY unit"""))
 def _(spark, sf):
     t = mix(spark, sf)
     mods = materialized(ad.layout(t), "modules").withColumn("up_rank", F.when(F.col("out_dim") % 2 == 0, F.col("rank") + 1).otherwise(F.col("rank")))
@@ -226,7 +234,7 @@ def _(spark, sf):
 
 @query("c14_top_sigmas", b.with_sql(["emb"], "SELECT ref_id AS module, row_number() OVER (PARTITION BY ref_id ORDER BY abs(value) DESC, cell) AS rank, round(abs(value), 6) AS sigma FROM emb QUALIFY rank <= 16"))
 def _(spark, sf):
-    return mt.top_sigmas(sigma_rows(spark, sf), ["module"]).select("module", F.col("rank").cast("bigint").alias("rank"), r6(F.col("sigma"), "sigma"))
+    return mt.top_sigmas(sigma_rows(spark, sf), ["module"], 16).select("module", F.col("rank").cast("bigint").alias("rank"), r6(F.col("sigma"), "sigma"))
 
 
 @query("c15_canonical_sign", b.with_sql(["emb"], """SELECT ref_id AS module, cell AS i, round(CASE WHEN lead < 0 THEN -value ELSE value END, 6) AS v FROM emb JOIN (SELECT ref_id, arg_max(value, abs(value) ORDER BY cell) AS lead FROM emb GROUP BY ref_id) USING (ref_id)"""))
@@ -245,7 +253,7 @@ def _(spark, sf):
 @query("c17_top_modules", b.with_sql(["emb"], f"""SELECT unit, module, rank, round(frobenius, 6) AS frobenius FROM (SELECT *, module % 7 AS unit, row_number() OVER (PARTITION BY module % 7 ORDER BY frobenius DESC, module) AS rank FROM ({_SUMMARY})) WHERE rank <= 8"""))
 def _(spark, sf):
     s = mt.spectral_summary(sigma_rows(spark, sf), ["module"]).withColumn("unit", F.col("module") % 7)
-    return mt.top_modules(s, ["unit"], "module").select("unit", "module", F.col("rank").cast("bigint").alias("rank"), r6(F.col("frobenius"), "frobenius"))
+    return mt.top_modules(s, ["unit"], "module", 8).select("unit", "module", F.col("rank").cast("bigint").alias("rank"), r6(F.col("frobenius"), "frobenius"))
 
 
 # --- structure --------------------------------------------------------------
@@ -353,7 +361,7 @@ def _(spark, sf):
 
 
 @query("c28_inspection", f"""{_PLAN}, s AS (SELECT unit, count(*) FILTER (selected) AS planned_modules, sum(cost) FILTER (selected)::BIGINT AS planned_bytes FROM walk WHERE ord > 0 GROUP BY unit),
-  h AS (SELECT unit, string_agg(module, ',' ORDER BY ord) AS sample_modules FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY ord) AS r FROM walk WHERE selected) WHERE r <= 6 GROUP BY unit)
+  h AS (SELECT unit, string_agg(module, ',' ORDER BY ord) AS sample_modules FROM walk WHERE selected GROUP BY unit)
   SELECT unit, 'lora' AS format, (SELECT count(*) FROM tm WHERE tm.unit = s.unit) AS modules, planned_modules, planned_bytes, sample_modules FROM s JOIN h USING (unit)""")
 def _(spark, sf):
     mods = tens_modules(spark, sf)
@@ -378,14 +386,14 @@ _FORMS = ["transformer.transformer_blocks.#.attn.to_q", "lora_unet_transformer_b
 _LAYERS = ["transformer_blocks.#.attn.to_q", "transformer_blocks.#.attn.to_k", "transformer_blocks.#.attn.to_v", "transformer_blocks.#.attn.to_out", "transformer_blocks.#.attn.to_add_out", "single_transformer_blocks.#.attn.to_qkv_mlp_proj",
            "transformer_blocks.#.ff.linear_out"]
 b.SQL["adapter_names"] = f"SELECT p_brand AS unit, replace({sql_list(_FORMS)}[1 + p_partkey % {len(_FORMS)}], '#', p_size::VARCHAR) AS module FROM part GROUP BY ALL"
-b.SQL["layer_names"] = f"""SELECT replace(unnest({sql_list(_LAYERS)}), '#', p_size::VARCHAR) AS layer FROM (SELECT DISTINCT p_size FROM part) WHERE p_size <= 40 UNION ALL SELECT unnest(['norm_out.linear', 'x_embedder'])"""
+b.SQL["layer_names"] = f"""SELECT replace(unnest({sql_list(_LAYERS)}), '#', p_size::VARCHAR) AS layer FROM (SELECT DISTINCT p_size FROM part) UNION ALL SELECT unnest(['norm_out.linear', 'x_embedder'])"""
 
 
 def names_and_layers(spark, sf):
     p = table(spark, sf, "part")
     size = F.col("p_size").cast("string")
     names = p.select(F.col("p_brand").alias("unit"), F.replace(pick(_FORMS, F.col("p_partkey") % len(_FORMS)), F.lit("#"), size).alias("module")).distinct()
-    sizes = p.select("p_size").distinct().where("p_size <= 40")
+    sizes = p.select("p_size").distinct()
     layers = (sizes.withColumn("t", F.explode(F.array(*[F.lit(x) for x in _LAYERS])))
               .select(F.replace("t", F.lit("#"), size).alias("layer")))
     fixed = p.agg(F.count(F.lit(1)).alias("n")).select(F.explode(F.array(F.lit("norm_out.linear"), F.lit("x_embedder"))).alias("layer"))
@@ -429,13 +437,13 @@ def _(spark, sf):
 
 _COVER = """cov AS (SELECT m.unit, m.layer, m.o, m.n, l.lo, CASE WHEN l.layer IS NULL OR l.lo IS NULL THEN 'missed' WHEN l.lo <> m.o OR m.n <> 32 THEN 'mismatched' ELSE 'applied' END AS outcome FROM
     (SELECT unit, layer, (length(unit) + length(layer)) % 3 + 30 AS o, 32 AS n FROM placed WHERE layer IS NOT NULL) m LEFT JOIN (SELECT layer, CASE WHEN length(layer) % 5 > 0 THEN length(layer) % 3 + 30 END AS lo FROM layer_names) l ON l.layer = m.layer),
-  a AS (SELECT unit, count(*) FILTER (status = 'unmapped') AS u, count(*) FILTER (status = 'unsupported') AS s, array_to_string(list_sort(list(module) FILTER (status = 'unmapped'))[:3], ', ') AS e FROM placed GROUP BY unit),
-  c AS (SELECT unit, count(*) FILTER (outcome = 'mismatched') AS w, min(concat(layer, ' (', o, ', ', n, ') vs (', lo, ', 32)')) FILTER (outcome = 'mismatched') AS we, count(*) FILTER (outcome = 'missed') AS m, count(*) FILTER (outcome = 'applied') AS applied FROM cov GROUP BY unit)"""
+  a AS (SELECT unit, count(*) FILTER (status = 'unmapped') AS u, count(*) FILTER (status = 'unsupported') AS s, array_to_string(list_sort(list(module) FILTER (status = 'unmapped')), ',') AS e, array_to_string(list_sort(list(module) FILTER (status = 'unsupported')), ',') AS se FROM placed GROUP BY unit),
+  c AS (SELECT unit, count(*) FILTER (outcome = 'mismatched') AS w, array_to_string(list_sort(list(concat(layer, ' (', o, ', ', n, ') vs (', lo, ', 32)')) FILTER (outcome = 'mismatched')), ',') AS we, count(*) FILTER (outcome = 'missed') AS m, array_to_string(list_sort(list(layer) FILTER (outcome = 'missed')), ',') AS me, count(*) FILTER (outcome = 'applied') AS applied FROM cov GROUP BY unit)"""
 
 
 @query("c33_coverage_issues", b.with_sql(["adapter_names", "layer_names"], "").rstrip() + f""", {_PLACED}, {_COVER} SELECT a.unit, coalesce(applied, 0) AS applied, array_to_string(list_filter([
-  CASE WHEN u > 0 THEN printf('%d adapter module(s) could not be placed on the transformer (e.g. %s)', u, e) END, CASE WHEN s > 0 THEN printf('%d text-encoder module(s) are not applied by this executor', s) END,
-  CASE WHEN w > 0 THEN printf('%d adapter module(s) have the wrong shape (e.g. %s)', w, we) END, CASE WHEN m > 0 THEN printf('%d mapped module(s) are not linears the transformer builds', m) END], lambda x: x IS NOT NULL), ' | ') AS issues FROM a LEFT JOIN c ON c.unit = a.unit""")
+  CASE WHEN u > 0 THEN 'unplaced ' || u || ' ' || e END, CASE WHEN s > 0 THEN 'text-encoder ' || s || ' ' || se END,
+  CASE WHEN w > 0 THEN 'shape ' || w || ' ' || we END, CASE WHEN m > 0 THEN 'not-linear ' || m || ' ' || me END], lambda x: x IS NOT NULL), ' | ') AS issues FROM a LEFT JOIN c ON c.unit = a.unit""")
 def _(spark, sf):
     names, layers = names_and_layers(spark, sf)
     placed = materialized(ly.place_modules(names, layers), "placed")
@@ -443,7 +451,8 @@ def _(spark, sf):
     mapped = placed.where("layer IS NOT NULL").select("unit", "layer", ((F.length("unit") + n) % 3 + 30).alias("out_dim"), F.lit(32).alias("in_dim"))
     dims = layers.where(n % 5 > 0).select("layer", (n % 3 + 30).alias("out_dim"), F.lit(32).alias("in_dim"))
     out = ly.coverage_issues(placed, ly.coverage(mapped, dims))
-    return out.select("unit", "applied", F.array_join("issues", " | ").alias("issues"))
+    told = F.transform("issues", lambda i: F.concat_ws(" ", i["code"], i["n"].cast("string"), F.array_join(i["names"], ",")))
+    return out.select("unit", "applied", F.array_join(told, " | ").alias("issues"))
 
 
 @query("c34_apply_update", f"""{_FACT}, n AS MATERIALIZED (SELECT x.module, x.i, d.i AS r, sum(x.v * d.v) AS v FROM fact x JOIN fact d ON d.module = x.module AND d.j = x.j WHERE x.role = 2 AND d.role = 1 GROUP BY ALL),
@@ -466,12 +475,12 @@ def _(spark, sf):
 _BASES = ["org/Klein-base-4B", "org/klein-4b", "acme/sd15", None]
 
 
-@query("c36_base_compatibility", """SELECT c_custkey, variant, array_to_string(list_filter([CASE WHEN variant <> 'base' THEN 'the ' || variant || ' transformer only evaluates its few sampling noise levels; the probe needs σ ≤ 0.5' END,
-  CASE WHEN base IS NOT NULL THEN CASE WHEN NOT contains(lower(base), 'klein') THEN 'the adapter was trained on ' || base || ', not Klein' WHEN contains(lower(base), 'base') <> (variant = 'base') THEN 'the adapter was trained on ' || base || ' but the probe runs the ' || variant || ' transformer' END END], lambda x: x IS NOT NULL), ' | ') AS issues
+@query("c36_base_compatibility", """SELECT c_custkey, variant, array_to_string(list_filter([CASE WHEN variant <> 'base' THEN 'few-noise-levels ' || variant END,
+  CASE WHEN base IS NOT NULL THEN CASE WHEN NOT contains(lower(base), 'klein') THEN 'other-family ' || base WHEN contains(lower(base), 'base') <> (variant = 'base') THEN 'other-variant ' || base END END], lambda x: x IS NOT NULL), ' | ') AS issues
   FROM (SELECT c_custkey, ['org/Klein-base-4B', 'org/klein-4b', 'acme/sd15', NULL][1 + c_custkey % 4] AS base, CASE WHEN c_custkey % 3 = 0 THEN 'base' WHEN c_custkey % 3 = 1 THEN 'distilled' ELSE 'unknown' END AS variant FROM customer)""")
 def _(spark, sf):
     c = table(spark, sf, "customer")
     text = F.concat(F.lit("# card "), pick(["org/Klein-Base weights", "a Distilled student", "nothing stated"], F.col("c_custkey") % 3))
     variant = F.coalesce(ly.card_variant(text, ("klein-base", "klein_base"), ("distilled",)), F.lit("unknown"))
     rows = c.select("c_custkey", pick(_BASES, F.col("c_custkey") % 4).alias("base"), variant.alias("variant"))
-    return rows.select("c_custkey", "variant", F.array_join(ly.compatibility_issues(F.col("base"), F.col("variant"), "Klein"), " | ").alias("issues"))
+    return rows.select("c_custkey", "variant", F.array_join(F.transform(ly.compatibility_issues(F.col("base"), F.col("variant"), "Klein"), lambda i: F.concat_ws(" ", i["code"], i["detail"])), " | ").alias("issues"))

@@ -174,8 +174,8 @@ def _(spark, sf):
 
 
 _NOTED = f"SELECT *, CASE WHEN (repo + length(path)) % 5 = 0 THEN 'truncated' END AS header_error FROM ({_FILES})"
-_NOTE = f"""CASE ({_FORMAT}) WHEN 'safetensors' THEN CASE WHEN header_error IS NOT NULL THEN 'header unreadable: ' || header_error END
-  WHEN 'gguf' THEN CASE WHEN header_error IS NOT NULL THEN '{ct.GGUF_BAD}' ELSE '{ct.GGUF_NOTE}' END WHEN 'pickle' THEN '{ct.PICKLE_NOTE}' WHEN 'onnx' THEN '{ct.ONNX_NOTE}' END"""
+_NOTE = f"""CASE ({_FORMAT}) WHEN 'safetensors' THEN CASE WHEN header_error IS NOT NULL THEN '{ct.HEADER_BAD} ' || header_error END
+  WHEN 'gguf' THEN CASE WHEN header_error IS NOT NULL THEN '{ct.HEADER_BAD} ' || header_error ELSE '{ct.LISTED_ONLY}' END WHEN 'pickle' THEN '{ct.NEVER_LOADED}' WHEN 'onnx' THEN '{ct.NOT_READ}' END"""
 
 
 def noted(spark, sf):
@@ -198,10 +198,10 @@ _RESP = """SELECT request_id, CASE WHEN request_id % 29 = 0 THEN 403 ELSE status
   bytes + CASE WHEN scan_id = 5 THEN 2 ELSE 0 END + CASE WHEN scan_id = 1 THEN 90000000 ELSE 0 END AS body FROM log"""
 
 
-@query("b10_fetch_validation", b.with_sql(["log"], f"""SELECT request_id, CASE WHEN lo IS NOT NULL AND status = 200 AND hi > 67108864 THEN 'range not supported'
-  WHEN lo IS NULL AND body > 60000 THEN 'budget exceeded' WHEN lo IS NOT NULL AND status = 206 AND (request_id % 17 = 0 OR s <> lo) THEN 'bad content range: missing or mismatched'
-  WHEN status IN (401, 403) THEN 'HTTP ' || status || ' (gated/private? set an access token)' WHEN status NOT BETWEEN 200 AND 299 THEN 'HTTP ' || status
-  WHEN lo IS NOT NULL AND body <> hi - lo THEN 'bad content range: got ' || body || ' bytes for ' || (hi - lo) ELSE 'ok' END AS outcome FROM ({_RESP})"""))
+@query("b10_fetch_validation", b.with_sql(["log"], f"""SELECT request_id, CASE WHEN lo IS NOT NULL AND status = 200 AND hi > 67108864 THEN 'range-ignored'
+  WHEN lo IS NULL AND body > 60000 THEN 'over-limit' WHEN lo IS NOT NULL AND status = 206 AND (request_id % 17 = 0 OR s <> lo) THEN 'wrong-range'
+  WHEN status IN (401, 403) THEN 'denied ' || status WHEN status NOT BETWEEN 200 AND 299 THEN 'status ' || status
+  WHEN lo IS NOT NULL AND body <> hi - lo THEN 'wrong-length ' || body || ' ' || (hi - lo) ELSE 'ok' END AS outcome FROM ({_RESP})"""))
 def _(spark, sf):
     log = b.fetch_log(spark, sf)
     ranged = F.col("scan_id") % 4 != 0
@@ -213,7 +213,7 @@ def _(spark, sf):
         F.when(F.col("request_id") % 17 != 0, F.concat(F.lit("bytes "), (lo + F.when(F.col("scan_id") == 3, 1).otherwise(0)).cast("string"), F.lit("-"),
                                                        (lo + F.col("bytes")).cast("string"), F.lit("/*"))).alias("content_range"),
         (F.col("bytes") + F.when(F.col("scan_id") == 5, 2).otherwise(0) + extra).alias("body_bytes"), F.lit(60000).alias("size_limit"))
-    return ct.check_responses(rows).select("request_id", "outcome")
+    return ct.check_responses(rows, 64 << 20).select("request_id", "outcome")
 
 
 _COALESCE = """blocks AS MATERIALIZED (SELECT file, min(lo) AS lo, max(hi) AS hi FROM (SELECT *, sum(brk) OVER (PARTITION BY file ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS g FROM (

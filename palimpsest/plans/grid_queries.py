@@ -24,7 +24,7 @@ def _(spark, sf):
 
 @query("e2_schedule_id", """SELECT n_name, substr(sha256(n_name), 1, 16) AS schedule_id FROM nation""")
 def _(spark, sf):
-    return table(spark, sf, "nation").select("n_name", F.substring(F.sha2(F.col("n_name").cast("binary"), 256), 1, 16).alias("schedule_id"))
+    return table(spark, sf, "nation").select("n_name", keyed.schedule_id(F.col("n_name")).alias("schedule_id"))
 
 
 @query("e3_level_key", """SELECT l_discount AS discount, CAST(1000000 + round(64 * (l_discount * 100 - 5)) AS BIGINT) AS level_key, count(*) AS n

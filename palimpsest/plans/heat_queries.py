@@ -181,7 +181,7 @@ def _(spark, sf):
 
 
 @query("j8_region_outline", b.with_sql(["emb"], """SELECT ref_id, cell, side FROM (SELECT ref_id, cell, unnest(['top', 'bottom', 'left', 'right']) AS side, unnest([cell - 8, cell + 8, CASE WHEN cell % 8 > 0 THEN cell - 1 ELSE -1 END, CASE WHEN cell % 8 < 7 THEN cell + 1 ELSE -1 END]) AS near
-  FROM emb WHERE value > 0.4) q WHERE NOT EXISTS (SELECT 1 FROM emb e WHERE e.ref_id = q.ref_id AND e.cell = near AND e.value > 0.4)"""))
+  FROM emb WHERE value > 0.4) q ANTI JOIN (SELECT ref_id, cell AS near FROM emb WHERE value > 0.4) e USING (ref_id, near)"""))
 def _(spark, sf):
     return heat.outline(b.latents(spark, sf).where("value > 0.4").select("ref_id", "cell"), ["ref_id"], 8).select("ref_id", long("cell"), "side")
 

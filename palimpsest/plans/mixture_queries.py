@@ -120,9 +120,9 @@ def _(spark, sf):
     return d.select("ref_id", "model", "block", "comp", "level_ix", F.col("draw").cast("bigint").alias("draw"), r6(F.col("dist"), "dist"))
 
 
-@query("f7_responsibilities", b.with_sql(RESP, "SELECT ref_id, model, block, comp, level_ix, draw, round(r, 6) AS r FROM resp WHERE r >= 1e-6"))
+@query("f7_responsibilities", b.with_sql(RESP, "SELECT ref_id, model, block, comp, level_ix, draw, round(r, 6) AS r FROM resp"))
 def _(spark, sf):
-    d = scored(spark, sf)["resp"].where("r >= 1e-6")
+    d = scored(spark, sf)["resp"]
     return d.select("ref_id", "model", "block", "comp", "level_ix", F.col("draw").cast("bigint").alias("draw"), r6(F.col("r"), "r"))
 
 

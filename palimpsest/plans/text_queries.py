@@ -22,9 +22,9 @@ def joined(column, name):
     return F.array_join(column, "|").alias(name)
 
 
-@query("a11_card_source", b.with_sql(["card"], "SELECT card_id, length(readme) AS n FROM card WHERE length(readme) <= 1048576"))
+@query("a11_card_source", b.with_sql(["card"], "SELECT card_id, length(readme) AS n FROM card"))
 def _(spark, sf):
-    return b.cards(spark, sf).where(F.length("readme") <= 1 << 20).select("card_id", F.length("readme").cast("bigint").alias("n"))
+    return b.cards(spark, sf).select("card_id", F.length("readme").cast("bigint").alias("n"))
 
 
 @query("d1_normalize", f"""SELECT t, {sql_norm('t')} AS norm FROM (SELECT DISTINCT concat('  (', unnest(string_split(text, ' ')), '_X:1.2)  ') AS t FROM conversations)""")
@@ -36,9 +36,9 @@ def _(spark, sf):
 _TAGS = f"SELECT unit, nt AS tag, sum(n)::BIGINT AS count FROM (SELECT unit, {sql_norm('tag')} AS nt, n FROM tagrows) WHERE nt <> '' GROUP BY unit, nt"
 
 
-@query("d2_tag_histogram", b.with_sql(["tagrows"], f"SELECT * FROM (SELECT unit, tag, count, row_number() OVER (PARTITION BY unit ORDER BY count DESC, tag) AS rank FROM ({_TAGS})) WHERE rank <= 4"))
+@query("d2_tag_histogram", b.with_sql(["tagrows"], f"SELECT * FROM (SELECT unit, tag, count, row_number() OVER (PARTITION BY unit ORDER BY count DESC, tag) AS rank FROM ({_TAGS})) WHERE rank <= 64"))
 def _(spark, sf):
-    return tm.top_tags(tm.tag_rows(b.headers(spark, sf)), 4).select("unit", "tag", "count", F.col("rank").cast("bigint").alias("rank"))
+    return tm.top_tags(tm.tag_rows(b.headers(spark, sf)), 64).select("unit", "tag", "count", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("d3_image_count", b.with_sql(["tagrows"], "SELECT unit, sum(n)::BIGINT AS images FROM tagrows GROUP BY unit"))
@@ -68,7 +68,7 @@ def _(spark, sf):
     return c.select("card_id", joined(tm.trigger_words(F.col("metadata"), F.col("card"), F.col("readme")), "triggers"))
 
 
-@query("d6_trigger_lines", b.with_sql(["card"], """SELECT card_id, array_to_string(list_transform(regexp_extract_all(readme, '(?im)trigger(?:\\s*(?:word|words|phrase|token))?s?\\s*[:：]\\s*`?([^`\\n]{1,80})`?', 1)[:6], lambda x: trim(x)), '|') AS lines FROM card"""))
+@query("d6_trigger_lines", b.with_sql(["card"], """SELECT card_id, array_to_string(list_transform(regexp_extract_all(readme, '(?im)trigger(?:\\s*(?:word|words|phrase|token))?s?\\s*[:：]\\s*`?([^`\\n]+)`?', 1), lambda x: trim(x)), '|') AS lines FROM card"""))
 def _(spark, sf):
     return b.cards(spark, sf).select("card_id", joined(tm.trigger_lines(F.col("readme")), "lines"))
 

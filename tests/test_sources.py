@@ -159,7 +159,7 @@ def test_normalize_and_tags(spark):
     meta = {"ss_tag_frequency": json.dumps({"d1": {"ohwx woman": 20, "red_hair": 10}, "d2": {"Red hair": 5, "smile": 8}})}
     tags = textmeta.tag_rows(spark.createDataFrame([("u", meta)], "unit string, metadata map<string,string>"))
     assert textmeta.tag_totals(tags).first()["total"] == 43
-    top = textmeta.top_tags(tags).orderBy("rank").collect()
+    top = textmeta.top_tags(tags, 64).orderBy("rank").collect()
     assert (top[0]["tag"], top[1]["tag"], top[1]["count"]) == ("ohwx woman", "red hair", 15)
 
 
