@@ -10,8 +10,8 @@ _TOKEN = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+|[!-/:-@\[-`{-~]+"
 
 THRESHOLD_SEARCH = """
 WITH v AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS q FROM embeddings
-  WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
   FROM v a JOIN v b ON len(a.q) = len(b.q) AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0
@@ -21,11 +21,11 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 LIKELIHOOD_RULES = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
-step AS (SELECT list_transform(range(256), b -> list_reduce(list_prepend(b, range(8)), (c, i) -> CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+step AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
 tok AS (SELECT rid, doc_id, regexp_extract_all(text, '{_TOKEN}') AS t FROM d),
 each AS (SELECT rid, doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM tok),
-bytes AS (SELECT w, list_transform(range(octet_length(encode(w))), k -> ('0x' || substr(hex(encode(w)), 2 * k + 1, 2))::BIGINT) AS b FROM (SELECT DISTINCT w FROM each)),
-crc AS (SELECT w, xor(list_reduce(list_prepend(4294967295, b), (c, x) -> xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM bytes, step),
+bytes AS (SELECT w, list_transform(range(octet_length(encode(w))), lambda k: ('0x' || substr(hex(encode(w)), 2 * k + 1, 2))::BIGINT) AS b FROM (SELECT DISTINCT w FROM each)),
+crc AS (SELECT w, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM bytes, step),
 hashed AS (SELECT rid, doc_id, i, h, lead(h) OVER (PARTITION BY rid ORDER BY i) AS h2 FROM each JOIN crc USING (w)),
 grams AS (SELECT rid, doc_id, (h * 31 + h2) % {BUCKETS} AS bucket FROM hashed WHERE h2 IS NOT NULL),
 good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
@@ -33,7 +33,7 @@ counts AS (SELECT bucket, count(*) AS raw, count(g.doc_id) AS target FROM grams
 totals AS (SELECT sum(raw) AS r, sum(target) AS t FROM counts),
 model AS (SELECT bucket, CASE WHEN t > 0 THEN floor((ln((target + 1.0::DOUBLE) / (t + {BUCKETS})) - ln((raw + 1.0::DOUBLE) / (r + {BUCKETS}))) * {UNIT} + 0.5) ELSE 0 END AS weight FROM counts, totals),
 score AS (SELECT rid, count(*) AS n, sum(weight) AS total FROM grams JOIN model USING (bucket) GROUP BY rid),
-ws AS (SELECT rid, regexp_extract_all(text, '[^{_WHITE}]+') AS ws, list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^{_WHITE}]')) AS lines, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols FROM d),
+ws AS (SELECT rid, regexp_extract_all(text, '[^{_WHITE}]+') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{_WHITE}]')) AS lines, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols FROM d),
 windows AS (SELECT rid, i, array_to_string(ws[i : i + 4], ' ') AS win FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM ws WHERE len(ws) >= 5)),
 again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS c FROM windows) WHERE c > 1),
 repeats AS (SELECT rid, count(DISTINCT i + k) AS n FROM again, range(5) t(k) GROUP BY rid),
@@ -54,8 +54,8 @@ sh AS (
   UNION ALL SELECT rid, array_to_string(ws, ' ') FROM d WHERE len(ws) BETWEEN 1 AND 3
 ),
 size AS (SELECT rid, count(*) AS n FROM sh GROUP BY rid),
-pairs AS (SELECT a.rid AS a, b.rid AS b, count(*) AS both FROM sh a JOIN sh b ON a.s = b.s AND a.rid <> b.rid GROUP BY a.rid, b.rid),
-links AS (SELECT a, b FROM pairs JOIN size x ON x.rid = a JOIN size y ON y.rid = b WHERE 100 * both >= 85 * (x.n + y.n - both)),
+pairs AS (SELECT a.rid AS a, b.rid AS b, count(*) AS shared FROM sh a JOIN sh b ON a.s = b.s AND a.rid <> b.rid GROUP BY a.rid, b.rid),
+links AS (SELECT a, b FROM pairs JOIN size x ON x.rid = a JOIN size y ON y.rid = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
 reach AS (SELECT rid AS a, rid AS b FROM size UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
 least AS (SELECT a AS rid, min(doc_id) AS component_id FROM reach JOIN d ON d.rid = reach.b GROUP BY a)
 SELECT d.doc_id, coalesce(size.n, 0)::BIGINT AS n_shingles, CASE WHEN size.n IS NULL THEN d.doc_id ELSE component_id END AS component_id
@@ -97,9 +97,9 @@ p{k} AS (SELECT *, place >= opens AND opens IS NOT NULL AS is_open, max(CASE WHE
 b{k} AS (SELECT node, CASE WHEN is_open THEN pool // heads + CASE WHEN row_number() OVER (PARTITION BY parent ORDER BY is_open DESC, node) <= pool % heads THEN 1 ELSE 0 END ELSE capacity END AS budget FROM p{k}),"""
         for k in (1, 2, 3)
     )
-    crc = f"""step AS (SELECT list_transform(range(256), b -> list_reduce(list_prepend(b, range(8)), (c, i) -> CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
-named AS (SELECT source, list_transform(range(octet_length(encode(source))), k -> ('0x' || substr(hex(encode(source)), 2 * k + 1, 2))::BIGINT) AS b FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)),
-domains AS (SELECT source, 'domain' || (xor(list_reduce(list_prepend(4294967295, b), (c, x) -> xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 4) AS domain FROM named, step),"""
+    crc = f"""step AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+named AS (SELECT source, list_transform(range(octet_length(encode(source))), lambda k: ('0x' || substr(hex(encode(source)), 2 * k + 1, 2))::BIGINT) AS b FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)),
+domains AS (SELECT source, 'domain' || (xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 4) AS domain FROM named, step),"""
     return rf"""
 WITH {crc}
 d AS (SELECT doc_id, domain, lang, documents.source AS source, len(regexp_extract_all(coalesce(text, ''), '[^{_WHITE}]+'))::BIGINT AS n_tokens FROM documents LEFT JOIN domains ON domains.source = documents.source),
