@@ -45,7 +45,7 @@ PERCENT = 85
 SHINGLE = 4
 #: Parts of a scheme for each element that linked sets may differ in, beyond the first.
 SPREAD = 1.8
-SLICE = 1 << 21
+SLICE = 1 << 19
 #: One of so many classes is looked at for frequent signatures; at most so many are named.
 LOOK, MOST_FREQUENT = 64, 1000
 
