@@ -18,10 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import WHITE, bound, words
+from palimpsest.session import materialized
 
 BUCKETS = 65_536
 #: Tokens of an n-gram.
 NGRAM = 2
+#: Trusted documents that the target multinomial is fitted on.
+TRUSTED_ROWS = 50_000
 #: Steps of a weight.
 UNIT = 65_536
 #: Mean weight, in steps, below which a document is rejected.
@@ -48,11 +51,17 @@ def ngram_values(text: Column, n: int = NGRAM) -> Column:
     return bound(hashes, lambda h: F.transform(h, lambda x, i: joined(h, x, i)))
 
 
-def ratio_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = 1.0) -> DataFrame:
-    """(bucket, weight) over all buckets from ``docs`` (doc_id, text) and the ids in ``trusted`` (doc_id)."""
-    marked = docs.select(F.col("doc_id").alias("id"), "text").join(trusted.select(F.col("doc_id").alias("id"), F.lit(1).alias("good")).distinct(), "id", "left")
+def ratio_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = 1.0, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
+    """(bucket, weight) over all buckets from all ``docs`` (doc_id, text) and the ids in ``trusted`` (doc_id).
+
+    The trusted multinomial is fitted on ``trusted_rows`` ids at most, those of
+    least hash, so that their list can be broadcast whatever the input.
+    """
+    chosen = trusted.select(F.col("doc_id").alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(trusted_rows).withColumn("good", F.lit(1))
+    marked = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id", "left")
     grams = marked.select("good", F.explode(ngram_values(F.col("text"))).alias("value")).where(F.col("value").isNotNull())
     counts = grams.groupBy((F.col("value") % buckets).cast("int").alias("bucket")).agg(F.count("*").alias("raw"), F.count("good").alias("target"))
+    counts = materialized(counts, "counts")
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0)
     totals = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("r"), F.coalesce(F.sum("target"), F.lit(0)).alias("t"))
     share = lambda n, total: F.log((F.col(n) + smoothing) / (F.col(total) + smoothing * buckets))
@@ -116,8 +125,6 @@ def judged(docs: DataFrame, weights: DataFrame, buckets: int = BUCKETS, threshol
 
 def judge(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold: int = THRESHOLD) -> DataFrame:
     """One row per document: the base counts, whether the base rules failed, and the verdict."""
-    from palimpsest.session import materialized
-
     weights = materialized(ratio_weights(docs, trusted, buckets), "weights")
     out = judged(docs.select("doc_id", "text"), weights, buckets, threshold)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -126,7 +133,5 @@ def judge(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold
 
 def filter_documents(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns."""
-    from palimpsest.session import materialized
-
     weights = materialized(ratio_weights(docs, trusted, buckets), "weights")
     return judged(docs, weights, buckets, threshold).where("__q_kept").select(*docs.columns)
