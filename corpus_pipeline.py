@@ -36,8 +36,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many tokens as there are, drawn evenly over the tree of domains, languages and sources, for two epochs at most."""
-    counted = with_domain(docs).withColumn("__tokens", F.size(words(F.col("text"))).cast("long"))
-    return tree_mixing.mix(counted, LEVELS, "__tokens").select(*docs.columns)
+    counted = with_domain(docs, "__domain").withColumn("__tokens", F.size(words(F.col("text"))).cast("long"))
+    return tree_mixing.mix(counted, ["__domain", *LEVELS[1:]], "__tokens").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,8 +54,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram.token_counts(table(spark, sf_dir, "documents"))
 
 
-def with_domain(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("domain", F.concat(F.lit("domain"), F.crc32(F.col("source").cast("binary")) % 4))
+def with_domain(docs: DataFrame, name: str = "domain") -> DataFrame:
+    return docs.withColumn(name, F.concat(F.lit("domain"), F.crc32(F.col("source").cast("binary")) % 4))
 
 
 def op10_tree_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

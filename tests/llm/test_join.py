@@ -14,8 +14,8 @@ def shingles(text, size=4):
     return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} or ({tuple(words)} if words else set())
 
 
-def brute(rows, percent):
-    sets = [shingles(r[1]) for r in rows]
+def brute(rows, percent, size=4):
+    sets = [shingles(r[1], size) for r in rows]
     label = list(range(len(rows)))
 
     def find(i):
