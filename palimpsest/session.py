@@ -62,11 +62,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_written: list[str] = []
+
+
 def materialized(df: DataFrame, name: str) -> DataFrame:
     """Write a table several joins read to the shared folder and read it back.
 
     Survives lost executors, cuts the plan, and gives Catalyst its real size.
+    ``release`` removes it once no result built on it is needed any more.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove every table this driver has materialized; results not yet written are lost with them."""
+    hadoop = spark._jsc.hadoopConfiguration()
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(hadoop).delete(path, True)

@@ -69,10 +69,12 @@ def assemble_reports(verdicts: DataFrame, regions: DataFrame, layers: DataFrame,
     Region and layer lists are bounded by the grid. ``calibrated`` stays
     false: the rules are not validated on labelled data.
     """
-    listed = regions.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*[c for c in (
-        "region", "cells", "area_fraction", "mass", "mean_collapse", "peak_collapse", "peak_level", "p_value", "significance", "snap") if c in regions.columns]))).alias("regions"))
+    kinds = dict(regions.dtypes)
+    told = [c for c in ("region", "cells", "area_fraction", "mass", "mean_collapse", "peak_collapse", "peak_level", "p_value", "significance", "snap") if c in kinds]
+    entry = F.struct(*[plain(F.col(c)).alias(c) if kinds[c] == "double" else F.col(c) for c in told])
+    listed = regions.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("regions"))
     maps = (layers.groupBy(*keys, "layer").agg(F.array_sort(F.collect_list(F.struct("cell", "value"))).alias("_g"))
-            .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("layer", F.col("_g.value").alias("values")))).alias("layers")))
+            .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("layer", F.transform(F.col("_g.value"), lambda v: plain(v.cast("double"))).alias("values")))).alias("layers")))
     head = verdicts.select(*keys, "verdict", "reasons", plain(F.col("membership_snap")).alias("membership_snap"), plain(F.col("frame_snap")).alias("frame_snap"))
     return (head.join(listed, keys, "left").join(maps, keys, "left")
             .withColumn("schema", F.lit(REPORT_SCHEMA)).withColumn("calibrated", F.lit(False)).withColumn("created", F.date_format(created, "yyyy-MM-dd'T'HH:mm:ss'Z'"))

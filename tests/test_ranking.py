@@ -71,3 +71,15 @@ def test_go_and_no_go(spark):
     assert evaluate.go(good).first()["go"]
     bad = [(k, lab, c, s, i, "memorized") for k, lab, c, s, i, _ in rows]
     assert not evaluate.go(evaluate.criteria(spark.createDataFrame(bad, schema))).first()["go"]
+
+
+def test_release_removes_materialized_tables(spark):
+    import os
+
+    from palimpsest.session import materialized, release
+
+    df = materialized(spark.range(3), "kept")
+    path = df.inputFiles()[0].removeprefix("file://").removeprefix("file:")
+    assert os.path.exists(path) and df.count() == 3
+    release(spark)
+    assert not os.path.exists(path)
