@@ -61,7 +61,7 @@ b.SQL["dist"] = """SELECT ref_id, model, block, comp, level_ix, draw, max(a) AS
 b.SQL["logits"] = """SELECT *, lw - 0.5 * dim * ln(v) - dist / (2 * v) AS logit FROM (
   SELECT d.*, lw, dim, variance, a * a * variance + s * s AS v FROM dist d JOIN logw USING (model, block, comp))"""
 b.SQL["resp"] = """SELECT * FROM (SELECT *, e / sum(e) OVER (PARTITION BY ref_id, model, block, level_ix, draw) AS r FROM (
-  SELECT *, exp(logit - max(logit) OVER (PARTITION BY ref_id, model, block, level_ix, draw)) AS e FROM logits)) WHERE r >= 1e-12"""
+  SELECT *, exp(logit - max(logit) OVER (PARTITION BY ref_id, model, block, level_ix, draw)) AS e FROM logits))"""
 b.SQL["rcells"] = """SELECT r.ref_id, r.model, r.block, r.comp, r.level_ix, r.draw, n.cell, r.a, r.s, r.v, r.variance, r.r, n.x, n.x0, c.mean AS m
   FROM resp r JOIN comps c USING (model, block, comp) JOIN noised n ON n.ref_id = r.ref_id AND n.level_ix = r.level_ix AND n.draw = r.draw AND n.cell = c.cell"""
 b.SQL["post1"] = """SELECT *, m + a * variance / v * (x - a * m) AS pm, variance * s * s / v AS pv FROM rcells"""
