@@ -71,7 +71,11 @@ def leaf_budgets(docs: DataFrame, levels: list[str], tokens: str, budget: int |
         for value, w in (weights or {}).get(level, {}).items():
             weight = F.when(F.col(level) == value, F.lit(w).cast("long")).otherwise(weight)
         nodes = leaves.groupBy(_name(levels, k - 1).alias("parent"), _name(levels, k).alias("node"), weight.alias("weight")).agg((F.sum("leaf_tokens") * max_epochs).alias("capacity"))
-        budgets = shares(nodes.join(budgets.select(F.col("node").alias("parent"), F.col("budget").alias("parent_budget")), "parent"))
+        if k == 1:  # the root's budget is one number
+            owned = nodes.withColumn("parent_budget", budgets.select("budget").scalar())
+        else:
+            owned = nodes.join(budgets.select(F.col("node").alias("parent"), F.col("budget").alias("parent_budget")), "parent")
+        budgets = shares(owned)
     return leaves.join(budgets, leaves.leaf == budgets.node, "left").select("leaf", "leaf_tokens", "n_docs", F.coalesce("budget", F.lit(0)).alias("budget"))
 
 
