@@ -14,12 +14,13 @@ pairs are never listed whole. Each signature's group has a root, the class that
 shares most with others; all members are compared exactly with it (linear in the
 group), and linked ones become components. A pair a, b that is still apart after
 that, where a is not linked to their root r, is linked only if either
-  - both share an element outside r: a set's first elements outside r in hash
-    order, as many as a prefix filter needs, are the keys of finer groups; or
+  - both share elements outside r: of a set's elements outside r, the rarest among
+    r's members, as many as a prefix filter needs, are the keys of finer groups; or
   - b is smaller than r and both overlap r enough, which fixes b's size and a
     least overlap with r; such pairs are found by (root, size).
-Finer groups get one round of roots too; pairs that are then still in different
-components are compared one by one.
+Finer groups are treated like signature groups, again and again, until every
+group lies in one component. What is left after ``ROUNDS`` rounds, if anything,
+is compared pair by pair.
 
 Sets are compared as 64-bit hashes of shingles.
 
@@ -46,6 +47,7 @@ SHINGLE = 4
 #: Parts of a scheme for each element that linked sets may differ in, beyond the first.
 SPREAD = 1.8
 SLICE = 1 << 19
+ROUNDS = 5
 #: One of so many classes is looked at for frequent signatures; at most so many are named.
 LOOK, MOST_FREQUENT = 64, 1000
 
@@ -166,32 +168,24 @@ def signature_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.select("raw").mapInArrow(emit, "sig long, cls long")
 
 
-def tested(pairs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
-    """``pairs`` (root, cls, many) compared exactly: sizes, overlap, link, and the set's first elements outside the root.
-
-    Outside elements are given only where ``many`` says that the root has other members.
-    """
+def tested(pairs: DataFrame, sets: DataFrame, size: int, percent: int, outside: bool = False) -> DataFrame:
+    """``pairs`` (root, cls) compared exactly: sizes, overlap and link, and on demand the set's elements outside the root."""
     left = sets.select(F.col("cls").alias("root"), F.col("raw").alias("root_raw"))
-    joined = pairs.join(sets, "cls").join(left, "root").select("root", "cls", "many", "raw", "root_raw")
+    joined = pairs.select("root", "cls").join(sets, "cls").join(left, "root").select("root", "cls", "raw", "root_raw")
 
     def compare(batches):
         last, other = None, np.zeros(0, np.uint64)
         for batch in batches:
             out = []
             mine = shingle_sets(batch.column("raw").to_pylist(), size)
-            for root, cls, many, elements, raw in zip(batch.column("root").to_pylist(), batch.column("cls").to_pylist(), batch.column("many").to_pylist(), mine, batch.column("root_raw")):
+            for root, cls, elements, raw in zip(batch.column("root").to_pylist(), batch.column("cls").to_pylist(), mine, batch.column("root_raw")):
                 if root != last:
                     last, other = root, shingle_sets([raw.as_py()], size)[0]
                 place = np.searchsorted(other, elements).clip(max=max(len(other) - 1, 0))
                 inner = other[place] == elements if len(other) else np.zeros(len(elements), bool)
                 shared, n = int(inner.sum()), len(elements)
                 linked = 100 * shared >= percent * (n + len(other) - shared)
-                outside: list[int] = []
-                if many:
-                    beyond = elements[~inner]
-                    need = max(-(-percent * n // 100) - shared, 1)
-                    outside = beyond[: max(len(beyond) - need + 1, 0)].view(np.int64).tolist()
-                out.append((root, cls, len(other), n, shared, linked, outside))
+                out.append((root, cls, len(other), n, shared, linked, elements[~inner].view(np.int64).tolist() if outside else []))
             columns = list(zip(*out)) if out else [()] * 7
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["root", "cls", "root_n", "n", "shared", "linked", "outside"])
@@ -227,25 +221,39 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
 
 
-def star_pairs(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Distinct (root, cls, many) pairs: every class of a signature group with the group's root."""
+def signature_groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(key, cls) of every signature that more than one class has."""
     rows = signature_rows(docs, size, percent)
     few = signature_rows(docs.where(F.pmod(F.xxhash64("raw"), F.lit(LOOK)) == 0), size, percent).groupBy("sig").agg(F.count("*").alias("n"))
     frequent = materialized(few.where("n >= 8").orderBy(F.desc("n")).limit(MOST_FREQUENT).select("sig", F.lit(True).alias("frequent")), "frequent")
     salt = F.when(F.col("frequent"), F.pmod(F.col("cls"), F.lit(1024)).cast("int")).otherwise(-1)
     dealt = rows.join(F.broadcast(frequent), "sig", "left").select("sig", "cls", salt.alias("salt")).repartition("sig", "salt").dropDuplicates(["sig", "salt", "cls"])
     together = F.count("*").over(Window.partitionBy("sig", "salt"))
-    groups = materialized(dealt.withColumn("together", together).where((F.col("together") > 1) | (F.col("salt") >= 0)).select("sig", "cls", "together"), "groups")
-    hubs = groups.groupBy("cls").agg(F.sum("together").alias("hub"))
-    roots = groups.join(hubs, "cls").groupBy("sig").agg(F.max_by("cls", F.struct("hub", "cls")).alias("root"))
-    pairs = groups.join(roots, "sig").where("root <> cls").select("root", "cls").distinct()
-    return _counted(pairs)
+    kept = dealt.withColumn("together", together).where((F.col("together") > 1) | (F.col("salt") >= 0))
+    return materialized(kept.select(F.col("sig").alias("key"), "cls"), "groups")
+
 
+def star_pairs(groups: DataFrame) -> DataFrame:
+    """Distinct (root, cls): every class of a group (key, cls) with the group's root, the class in most groups."""
+    hubs = groups.groupBy("cls").agg(F.count("*").alias("hub"))
+    roots = groups.join(hubs, "cls").groupBy("key").agg(F.max_by("cls", F.struct("hub", "cls")).alias("root"))
+    return materialized(groups.join(roots, "key").where("root <> cls").select("root", "cls").distinct(), "pairs")
 
-def _counted(pairs: DataFrame) -> DataFrame:
-    pairs = materialized(pairs, "pairs")
-    members = pairs.groupBy("root").agg((F.count("*") > 1).alias("many"))
-    return pairs.join(members, "root")
+
+def finer_groups(members: DataFrame, percent: int) -> DataFrame:
+    """(key, cls) groups of members of one root (root, cls, n, shared, outside) that share an element outside it.
+
+    Two members can be linked only if they share ``need`` such elements or more,
+    so all but the last ``need`` - 1 of a set's elements, rarest first, suffice.
+    Elements that no other member has come first and key nothing.
+    """
+    need = F.greatest(F.ceil(percent * F.col("n") / 100) - F.col("shared"), F.lit(1))
+    elements = members.select("root", "cls", need.alias("need"), F.explode("outside").alias("element"))
+    often = elements.groupBy("root", "element").agg(F.count("*").alias("often")).where("often > 1")
+    own = Window.partitionBy("root", "cls")
+    ranked = elements.join(often, ["root", "element"]).select(
+        "root", "cls", "element", "need", F.row_number().over(own.orderBy("often", "element")).alias("place"), F.count("*").over(own).alias("n_common"))
+    return ranked.where("place <= n_common - need + 1").select(F.xxhash64("root", "element").alias("key"), "cls")
 
 
 def _least_shared(a: Column, b: Column, percent: int) -> Column:
@@ -265,32 +273,35 @@ def _size_pairs(stars: DataFrame, percent: int) -> DataFrame:
 
 def links(docs: DataFrame, named: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(root, cls) links between classes, enough of them to join every component."""
-    stars = star_pairs(docs, size, percent)
-    heads = stars.select("root").unionByName(stars.select(F.col("cls").alias("root"))).distinct().withColumnRenamed("root", "cls")
+    groups = signature_groups(docs, size, percent)
+    heads = groups.select("cls").distinct()
     wanted = named.where("cls is not null").groupBy("cls").agg(F.min("kid").alias("kid")).join(heads, "cls", "left_semi")
     sets = materialized(docs.join(wanted, "kid").transform(lambda d: _same_class(d, size)).dropDuplicates(["cls"]), "sets")
-    first = materialized(tested(stars, sets, size, percent), "stars")
-    found = [first.where("linked").select("root", "cls")]
-    labels = components(found[0])
-
-    members = _labelled(first.join(stars.where("many").select("root").distinct(), "root", "left_semi"), labels)
-    members = materialized(_mixed(members, "root"), "members")
-    finer = members.select(F.explode("outside").alias("element"), "root", "cls", "comp").select(F.xxhash64("root", "element").alias("key"), "cls", "comp")
-    finer = materialized(_mixed(finer, "key"), "finer")
-    leads = finer.groupBy("key").agg(F.min("cls").alias("root"))
-    again = finer.join(leads, "key").where("root <> cls").select("root", "cls").distinct()
-    more = materialized(again.unionByName(_size_pairs(members, percent)).distinct(), "pairs").withColumn("many", F.lit(False))
-    second = materialized(tested(more, sets, size, percent), "again")
-    found.append(second.where("linked").select("root", "cls"))
-    labels = components(found[0].unionByName(found[1]))
-
-    apart = _mixed(_labelled(finer.select("key", "cls"), labels), "key")
-    other = apart.select("key", F.col("cls").alias("root"), F.col("comp").alias("root_comp"))
-    rest = apart.join(other, "key").where("root < cls and root_comp <> comp").select("root", "cls").distinct()
-    done = second.select("root", "cls").unionByName(second.select(F.col("cls").alias("root"), F.col("root").alias("cls")))
-    last = tested(rest.join(done, ["root", "cls"], "left_anti").withColumn("many", F.lit(False)), sets, size, percent)
-    found.append(last.where("linked").select("root", "cls"))
-    return materialized(found[0].unionByName(found[1]).unionByName(found[2]).distinct(), "all_links")
+    found = materialized(sets.select(F.col("cls").alias("root"), "cls").limit(0), "links")
+    labels = found.select("cls", F.col("cls").alias("comp"))
+
+    def add(compared: DataFrame) -> None:
+        nonlocal found, labels
+        found = materialized(found.unionByName(compared.where("linked").select("root", "cls")).distinct(), "links")
+        labels = components(found)
+
+    for _ in range(ROUNDS):
+        stars = star_pairs(groups)
+        first = materialized(tested(stars, sets, size, percent), "stars")
+        add(first)
+        many = first.groupBy("root").agg(F.count("*").alias("members")).where("members > 1").select("root")
+        members = materialized(_mixed(_labelled(first.join(many, "root", "left_semi").drop("outside"), labels), "root"), "members")
+        add(tested(materialized(_size_pairs(members, percent), "pairs"), sets, size, percent))
+        members = _mixed(_labelled(members.drop("comp"), labels), "root")
+        apart = materialized(tested(members, sets, size, percent, outside=True), "outside")
+        finer = materialized(finer_groups(apart, percent), "finer")
+        groups = materialized(_mixed(_labelled(finer, labels), "key").select("key", "cls"), "groups")
+        if groups.isEmpty():
+            return found
+    left = _labelled(groups, labels)
+    other = left.select("key", F.col("cls").alias("root"), F.col("comp").alias("root_comp"))
+    add(tested(left.join(other, "key").where("root < cls and root_comp <> comp").select("root", "cls").distinct(), sets, size, percent))
+    return found
 
 
 def _same_class(docs: DataFrame, size: int) -> DataFrame:
