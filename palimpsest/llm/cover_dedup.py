@@ -13,8 +13,8 @@ ranks resolve long ties at once: where a stretch occurs twice, all its starts
 repeat. A sampled block that occurs once resolves its starts as unique. What is
 left are the edges of repeats: their stretches, and one copy of each repeated
 one, go to the bucket of their sampled block, and a task sorts the suffixes of one bucket at a time by the hash of
-their first ``length`` bytes. Buckets of more than ``HOT`` stretches are spread
-over all tasks by those hashes instead. Blocks that a sample of the documents
+their first ``length`` bytes. Buckets of more than ``HOT`` different stretches are
+spread over all tasks by those hashes instead. Blocks that a sample of the documents
 shows to be frequent are dealt out by (block, stretch) rather than by block.
 
 Strings are compared by 64-bit polynomial hashes with random byte values.
@@ -38,7 +38,7 @@ from palimpsest.session import materialized
 
 GRAM = 32
 HOT = 20_000
-SLICE = 1 << 19
+SLICE = 1 << 17
 #: One of so many documents is looked at for frequent blocks; at most so many are named.
 LOOK, MOST_FREQUENT = 64, 1000
 
@@ -134,8 +134,7 @@ def _sample(docs: DataFrame, length: int) -> DataFrame:
 
     def take(batches):
         for batch in batches:
-            texts = [t.as_py() for t in batch.column("raw")]
-            for parts in _slices(texts, length):
+            for parts in _slices((t.as_py() for t in batch.column("raw")), length):
                 ends = np.cumsum([len(p[2]) for p in parts])
                 block, stretch, at, lo, hi = sampled_runs(np.frombuffer(b"".join(p[2] for p in parts), np.uint8), ends, length)
                 part = np.searchsorted(ends, lo, side="right")
@@ -168,6 +167,23 @@ def cut(text: bytes, spans: np.ndarray) -> tuple[int, int, bytes]:
     return int((runs[:, 1] - runs[:, 0]).sum()), len(runs), b"".join([*kept, text[end:]])
 
 
+def _written(rows, kinds: list[pa.DataType], names: list[str], weigh):
+    """Record batches of ``rows``, closed whenever their texts reach some slices' size."""
+    held, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
+
+    for row in rows:
+        held.append(row)
+        size += 100 + weigh(row)
+        if size > 16 * SLICE:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
 def _columns(structs: pa.ListScalar, n: int) -> np.ndarray:
     """A list of structs of ``n`` numbers as rows."""
     if not structs.is_valid or not len(structs.values):
@@ -188,20 +204,20 @@ def _settled(rows: DataFrame, length: int, with_text: bool) -> DataFrame:
     names = [n for n, _ in OUTPUT] + ["kid", "h", "raw", "repeated", "opened"]
     kinds = [k for _, k in OUTPUT] + [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())]
 
+    def settled(batch):
+        for doc_id, kid, h, raw, runs in zip(*(batch.column(c) for c in ("doc_id", "kid", "h", "raw", "runs"))):
+            text = raw.as_py()
+            found = _columns(runs, 4)
+            sure, opened = found[np.isin(found[:, 3], SURE)][:, 1:3], found[found[:, 3] > 0]
+            spans = sure + np.array([0, length])
+            if len(opened):
+                yield doc_id.as_py(), len(text), 0, 0, None, None, kid.as_py(), h.as_py(), text, _unions(spans).ravel().tolist(), opened.ravel().tolist()
+            else:
+                yield *_verdict(doc_id.as_py(), text, spans, with_text), kid.as_py(), h.as_py(), None, None, None
+
     def settle(batches):
         for batch in batches:
-            out = []
-            for doc_id, kid, h, raw, runs in zip(*(batch.column(c) for c in ("doc_id", "kid", "h", "raw", "runs"))):
-                text = raw.as_py()
-                found = _columns(runs, 4)
-                sure, opened = found[np.isin(found[:, 3], SURE)][:, 1:3], found[found[:, 3] > 0]
-                spans = sure + np.array([0, length])
-                if len(opened):
-                    out.append((doc_id.as_py(), len(text), 0, 0, None, None, kid.as_py(), h.as_py(), text, _unions(spans).ravel().tolist(), opened.ravel().tolist()))
-                else:
-                    out.append((*_verdict(doc_id.as_py(), text, spans, with_text), kid.as_py(), h.as_py(), None, None, None))
-            columns = list(zip(*out)) if out else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+            yield from _written(settled(batch), kinds, names, lambda row: len(row[8] or b"") + len(row[4] or b""))
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, kid long, h long, raw binary, repeated array<int>, opened array<int>"
     return rows.mapInArrow(settle, schema)
@@ -210,16 +226,16 @@ def _settled(rows: DataFrame, length: int, with_text: bool) -> DataFrame:
 def _stretches(opened: DataFrame, length: int) -> DataFrame:
     """The bytes of every open run under its sampled block: (block, hot, kid, h, lo, bytes)."""
 
+    def stretches(batch):
+        for kid, h, raw, runs in zip(*(batch.column(c) for c in ("kid", "h", "raw", "opened"))):
+            text, kid, h = raw.as_py(), kid.as_py(), h.as_py()
+            for at, lo, hi, state in np.array(runs.values, np.int64).reshape(-1, 4).tolist():
+                block = int.from_bytes(hashlib.blake2b(text[at : at + GRAM], digest_size=8).digest(), "little", signed=True)
+                yield block, state in HOT_STATES, kid, h, lo, text[lo : hi + length]
+
     def emit(batches):
         for batch in batches:
-            out = []
-            for kid, h, raw, runs in zip(*(batch.column(c) for c in ("kid", "h", "raw", "opened"))):
-                text, kid, h = raw.as_py(), kid.as_py(), h.as_py()
-                for at, lo, hi, state in np.array(runs.values, np.int64).reshape(-1, 4).tolist():
-                    block = int.from_bytes(hashlib.blake2b(text[at : at + GRAM], digest_size=8).digest(), "little", signed=True)
-                    out.append((block, state in HOT_STATES, kid, h, lo, text[lo : hi + length]))
-            columns = list(zip(*out)) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["block", "hot", "kid", "h", "lo", "bytes"])
+            yield from _written(stretches(batch), [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()], ["block", "hot", "kid", "h", "lo", "bytes"], lambda row: len(row[5]))
 
     return opened.mapInArrow(emit, "block long, hot boolean, kid long, h long, lo int, bytes binary")
 
@@ -298,7 +314,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, hot: int = HOT, with_text
     raw = F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("kid"), F.xxhash64("text").alias("h"), raw.alias("raw"))
     sample = _sample(base, length)
-    few = _sample(base.where(F.pmod(F.col("h"), F.lit(LOOK)) == 0), length).groupBy("block").agg(F.count("*").alias("n"))
+    few = _sample(base.where(F.pmod(F.xxhash64("kid", "h"), F.lit(LOOK)) == 0), length).groupBy("block").agg(F.count("*").alias("n"))
     frequent = few.where(F.col("n") >= 8).orderBy(F.desc("n")).limit(MOST_FREQUENT).select("block", F.lit(True).alias("frequent"))
     dealt = (
         sample.join(F.broadcast(materialized(frequent, "frequent")), "block", "left")
@@ -307,16 +323,17 @@ def remove_repeats(docs: DataFrame, length: int = 200, hot: int = HOT, with_text
     )
     in_stretch, in_block = Window.partitionBy("block", "salt", "stretch"), Window.partitionBy("block", "salt")
     ranked = (
-        dealt.withColumn("alike", F.count("*").over(in_stretch))
-        .withColumn("place", F.row_number().over(in_stretch.orderBy("kid", "h", "lo")))
-        .withColumn("shared", F.count("*").over(in_block))
-        .withColumn("mixed", (F.min("stretch").over(in_block) < F.max("stretch").over(in_block)) | (F.col("salt") >= 0))
+        dealt.withColumn("repeated", F.count("*").over(in_stretch) > 1)
+        .withColumn("entry", F.row_number().over(in_stretch.orderBy("kid", "h", "lo")) == 1)
+        .withColumn("entries", F.sum(F.col("entry").cast("long")).over(in_block))
     )
-    repeated = F.col("alike") > 1
-    is_hot = (F.col("shared") > hot) | (F.col("salt") >= 0)
-    state = F.when(repeated & ((F.col("place") > 1) | ~F.col("mixed")), 0).otherwise(F.when(repeated, 3).otherwise(1) + F.when(is_hot, 1).otherwise(0))
+    ranked = materialized(ranked.where("repeated OR entries > 1 OR salt >= 0").drop("stretch"), "ranked")
+    busy = ranked.where("salt >= 0 AND entry").groupBy("block").agg(F.count("*").alias("many"))  # at most MOST_FREQUENT rows
+    counted = ranked.join(F.broadcast(busy), "block", "left").withColumn("entries", F.when(F.col("salt") >= 0, F.col("many")).otherwise(F.col("entries")))
+    is_entry = F.col("entry") & (F.col("entries") > 1)
+    state = F.when(~is_entry, 0).otherwise(F.when(F.col("repeated"), 3).otherwise(1) + F.when(F.col("entries") > hot, 1).otherwise(0))
     runs = (
-        ranked.where(repeated | (F.col("shared") > 1) | (F.col("salt") >= 0))
+        counted.where("repeated OR entries > 1")
         .groupBy("kid", "h").agg(F.collect_list(F.struct("at", "lo", "hi", state.alias("state"))).alias("runs"))
     )
     settled = materialized(_settled(base.join(runs, ["kid", "h"], "left"), length, with_text), "settled")
@@ -325,14 +342,14 @@ def remove_repeats(docs: DataFrame, length: int = 200, hot: int = HOT, with_text
     marks = _sorted_buckets(stretches, length).unionByName(_spread_buckets(stretches, length))
     found = marks.groupBy("kid", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
 
+    def finished(batch):
+        for doc_id, raw, sure, more in zip(*(batch.column(c) for c in ("doc_id", "raw", "repeated", "found"))):
+            spans = np.concatenate([np.array(sure.values, np.int64).reshape(-1, 2), _columns(more, 2) + np.array([0, length])])
+            yield _verdict(doc_id.as_py(), raw.as_py(), spans, with_text)
+
     def finish(batches):
         for batch in batches:
-            out = []
-            for doc_id, raw, sure, more in zip(*(batch.column(c) for c in ("doc_id", "raw", "repeated", "found"))):
-                spans = np.concatenate([np.array(sure.values, np.int64).reshape(-1, 2), _columns(more, 2) + np.array([0, length])])
-                out.append(_verdict(doc_id.as_py(), raw.as_py(), spans, with_text))
-            columns = list(zip(*out)) if out else [()] * len(OUTPUT)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, OUTPUT)], names=[n for n, _ in OUTPUT])
+            yield from _written(finished(batch), [k for _, k in OUTPUT], [n for n, _ in OUTPUT], lambda row: len(row[4] or b""))
 
     names = [n for n, _ in OUTPUT]
     late = opened.join(found, ["kid", "h"], "left").select("doc_id", "raw", "repeated", "found").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
