@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.tokens import encoder
+from palimpsest.session import materialized
 
 #: Lengths that one task sums; limits of any size stay spread over tasks.
 BUCKET = 1024
@@ -42,7 +43,7 @@ def context_totals(hist: DataFrame) -> DataFrame:
     docs_at_least and tokens_at_least are suffix sums; truncated_tokens is the
     sum of min(length, limit); quantile is the share of documents that fit.
     """
-    hist = hist.withColumn("bucket", F.floor(F.col("length") / BUCKET))
+    hist = materialized(hist.withColumn("bucket", F.floor(F.col("length") / BUCKET)), "histogram")  # read twice, encoded once
     totals = hist.groupBy("bucket").agg(F.sum("n_docs").alias("bucket_docs"), F.sum(F.col("n_docs") * F.col("length")).alias("bucket_tokens"))
     later = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(F.lit(0))
