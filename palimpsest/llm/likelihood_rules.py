@@ -23,8 +23,6 @@ from palimpsest.session import materialized
 BUCKETS = 65_536
 #: Tokens of an n-gram.
 NGRAM = 2
-#: Trusted documents that the target multinomial is fitted on.
-TRUSTED_ROWS = 50_000
 #: Steps of a weight.
 UNIT = 65_536
 #: Mean weight, in steps, below which a document is rejected.
@@ -51,14 +49,14 @@ def ngram_values(text: Column, n: int = NGRAM) -> Column:
     return bound(hashes, lambda h: F.transform(h, lambda x, i: joined(h, x, i)))
 
 
-def ratio_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = 1.0, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
+def ratio_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = 1.0) -> DataFrame:
     """(bucket, weight) over all buckets from all ``docs`` (doc_id, text) and the ids in ``trusted`` (doc_id).
 
-    The trusted multinomial is fitted on ``trusted_rows`` ids at most, those of
-    least hash, so that their list can be broadcast whatever the input.
+    All trusted ids count, so their list grows with the corpus: texts meet it in
+    one shuffle join, hashed on the side of the ids, and are not sorted.
     """
-    chosen = trusted.select(F.col("doc_id").alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(trusted_rows).withColumn("good", F.lit(1))
-    marked = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id", "left")
+    ids = materialized(trusted.select(F.col("doc_id").alias("id")).distinct().withColumn("good", F.lit(1)), "trusted")
+    marked = docs.select(F.col("doc_id").alias("id"), "text").join(ids.hint("shuffle_hash"), "id", "left")
     grams = marked.select("good", F.explode(ngram_values(F.col("text"))).alias("value")).where(F.col("value").isNotNull())
     counts = grams.groupBy((F.col("value") % buckets).cast("int").alias("bucket")).agg(F.count("*").alias("raw"), F.count("good").alias("target"))
     counts = materialized(counts, "counts")

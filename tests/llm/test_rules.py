@@ -57,3 +57,8 @@ def test_without_trusted_documents_and_without_rows(spark):
     for r in rules.judge(frame(spark, corpus(n=5)), none, 512).collect():
         assert r.kept == (not r.base_failed)
     assert rules.judge(frame(spark, []), none, 512).count() == 0
+
+
+def test_all_trusted_documents_are_counted(spark):
+    docs = spark.range(60_000).selectExpr("id as doc_id", "'a b' as text")
+    assert {r.weight for r in rules.ratio_weights(docs, docs.select("doc_id"), 512).collect()} == {0}
