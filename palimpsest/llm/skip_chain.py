@@ -11,9 +11,9 @@ passing gives each open mention a marginal; where a label beats "none" the
 mention is added under that label. Base spans are clamped and always stay.
 
 Potentials are counts: label by shape of the number, agreement of same-key
-pairs and of neighbours among the observed entities of a bounded sample of
-documents (``FIT_ROWS``, chosen by hash of id and text), smoothed; an open mention
-starts ``CAUTION`` nats below "none" because it failed its pattern's own test.
+pairs and of neighbours among the observed entities of all documents, smoothed;
+an open mention starts ``CAUTION`` nats below "none" because it failed its
+pattern's own test.
 
 Defined cases: null and empty texts have no spans; repeated rows are treated
 alike; an empty table gives no rows; ``find`` ignores extra columns and
@@ -34,7 +34,6 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + len(KINDS)
-FIT_ROWS = 20_000
 CAUTION = 4.0
 ROUNDS = 12
 
@@ -218,11 +217,8 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[end:]])
 
 
-def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
-    """Potentials from about ``fit_rows`` documents of ``docs`` (doc_id, text), chosen by hash."""
-    texts = docs.select(F.col("doc_id"), F.col("text").cast("string"))
-    total = texts.count()
-    share = min(1_000_000, math.ceil(1_000_000 * fit_rows / max(total, 1)))
+def fit(docs: DataFrame) -> dict:
+    """Potentials from the counts of all ``docs`` (text); a few dozen sums reach the driver."""
 
     def count(batches):
         held: Counter = Counter()
@@ -234,8 +230,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
         if held:
             yield pa.RecordBatch.from_pylist([{"kind": k[0], "name": k[1], "label": k[2], "n": n} for k, n in held.items()], schema=pa.schema([("kind", pa.string()), ("name", pa.string()), ("label", pa.int32()), ("n", pa.int64())]))
 
-    chosen = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < share).select("text")
-    rows = chosen.mapInArrow(count, "kind string, name string, label int, n long").groupBy("kind", "name", "label").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(count, "kind string, name string, label int, n long").groupBy("kind", "name", "label").agg(F.sum("n").alias("n")).collect()
     return potentials({(r.kind, r.name, r.label): r.n for r in rows})
 
 

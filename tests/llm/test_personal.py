@@ -1,5 +1,6 @@
 import hashlib
 import re
+from collections import Counter
 
 from palimpsest.llm import skip_chain
 from palimpsest.llm.skip_chain import KINDS, base_spans
@@ -75,3 +76,13 @@ def test_find_and_redact(spark):
     for r in redacted.collect():
         assert r.text is None or brute(r.text) == [] or r.doc_id >= 900
     assert skip_chain.find(frame(spark, [])).count() == 0 and skip_chain.redact(frame(spark, [])).count() == 0
+
+
+def test_fit_counts_every_document(spark):
+    texts = ["+1 437 555 0689 or 437-555-0689", "a@b.cd a@b.cd 1.2.3.4", "437-555-0000", "x"]
+    docs = spark.range(40_000).selectExpr("id as doc_id", "element_at(array('" + "','".join(texts) + "'), cast(id % 4 + 1 as int)) as text")
+    counts = Counter()
+    for t in texts:
+        counts.update({k: 10_000 * n for k, n in skip_chain.document_counts(t).items()})
+    got, want = skip_chain.fit(docs), skip_chain.potentials(counts)
+    assert got["bonus"] == want["bonus"] and {k: list(v) for k, v in got["unary"].items()} == {k: list(v) for k, v in want["unary"].items()}
