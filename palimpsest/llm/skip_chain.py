@@ -13,7 +13,8 @@ mention is added under that label. Base spans are clamped and always stay.
 Potentials are counts: label by shape of the number, agreement of same-key
 pairs and of neighbours among the observed entities of all documents, smoothed;
 an open mention starts ``CAUTION`` nats below "none" because it failed its
-pattern's own test.
+pattern's own test. Of numbers side by side, those parted by blanks whose key is
+observed are mentions by themselves; the rest of the run is read greedily.
 
 Defined cases: null and empty texts have no spans; repeated rows are treated
 alike; an empty table gives no rows; ``find`` ignores extra columns and
@@ -22,8 +23,10 @@ alike; an empty table gives no rows; ``find`` ignores extra columns and
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
+import os
 import re
 from collections import Counter
 
@@ -45,6 +48,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Open mentions: numbers with any of the usual separators, and addresses with a spelled or spaced sign.
 _NUMBER = re.compile(r"(?<![0-9])[0-9](?:[\x20().\-/]{0,2}[0-9]){6,30}(?![0-9])")
+#: Numbers beside each other with a blank or two between them, and one of them.
+_RUN = re.compile(r"(?<![0-9])[0-9](?:[\x20().\-/]{0,2}[0-9]){6,}")
+_PART = re.compile(r"[0-9](?:[().\-/]{0,2}[0-9])*")
 _LOOSE = re.compile(r"(?i)([a-z0-9._%+-]{1,64}+)(?:\x20?[\[(]at[\])]\x20?|\x20@\x20?|@\x20)([a-z0-9-]{1,63}+(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[a-z0-9-]{1,63}+){1,8})")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGITS = re.compile(r"[^0-9]+")
@@ -102,18 +108,62 @@ def _shape(value: str, address: bool) -> str:
     return f"{'7-8' if digits < 9 else '9-12' if digits < 13 else '13-19' if digits < 20 else '20+'}{'.' if value.count('.') > 2 else ''}"
 
 
+def _repeats(text: str, lo: int, hi: int, observed: dict[str, set[str]]) -> list[tuple[int, int]]:
+    """Spans of blank-delimited numbers in a run that have an observed key; of overlapping ones, the one most like an observed number."""
+    parts = [m.span() for m in _PART.finditer(text, lo, hi)]
+    found = []
+    for i, (start, _) in enumerate(parts):
+        for _, end in parts[i:]:
+            digits = _NOT_DIGITS.sub("", text[start:end])
+            if len(digits) > 31:
+                break
+            alike = [len(os.path.commonprefix([digits[::-1], o[::-1]])) for o in observed.get(f"n{digits[-7:]}", ())] if len(digits) > 6 else []
+            if alike:
+                found.append((-max(alike), len(digits), start, end))
+    chosen: list[tuple[int, int]] = []
+    for _, _, start, end in sorted(found):
+        k = bisect.bisect(chosen, (start, end))
+        if (not k or chosen[k - 1][1] <= start) and (k == len(chosen) or end <= chosen[k][0]):
+            chosen.insert(k, (start, end))
+    return chosen
+
+
+def _numbers(text: str, base: list[tuple[int, int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of open numbers: repeats of observed ones by themselves, then greedy runs in what they and the base spans leave."""
+    observed: dict[str, set[str]] = {}
+    for kind, lo, hi in base:
+        if kind:
+            observed.setdefault(f"n{_key(kind, text[lo:hi])}", set()).add(_NOT_DIGITS.sub("", text[lo:hi]))
+    found, k = [], 0
+    for run in _RUN.finditer(text):
+        at, stop = run.span()
+        while k < len(taken) and taken[k][1] <= at:
+            k += 1
+        cuts, j = [], k
+        while j < len(taken) and taken[j][0] < stop:
+            cuts.append(taken[j])
+            j += 1
+        for lo, hi in zip([at, *(c[1] for c in cuts)], [*(c[0] for c in cuts), stop]):
+            alone = _repeats(text, lo, hi, observed) if observed and lo < hi else []
+            found += alone
+            for start, end in zip([lo, *(c[1] for c in alone)], [*(c[0] for c in alone), hi]):
+                found += [m.span() for m in _NUMBER.finditer(text, start, end)] if start < end else []
+    return found
+
+
 def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, str]]:
     """Nodes by start: (label or -1 if open, start, end, key, shape). Open ones overlap no base span."""
     nodes = [(kind + 1, lo, hi, f"{'a' if not kind else 'n'}{_key(kind, text[lo:hi])}", _shape(text[lo:hi], not kind)) for kind, lo, hi in base]
-    taken = sorted((lo, hi) for _, lo, hi in base)
-    starts = [t[0] for t in taken]
-    reach = list(np.maximum.accumulate([t[1] for t in taken])) if taken else []
+    taken: list[tuple[int, int]] = []  # unions of overlapping base spans
+    for lo, hi in sorted((lo, hi) for _, lo, hi in base):
+        if taken and lo < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(hi, taken[-1][1]))
+        else:
+            taken.append((lo, hi))
     found = [(m.span(), True) for m in _LOOSE.finditer(text)] if "@" in text or "at]" in text.lower() or "at)" in text.lower() else []
-    found += [(m.span(), False) for m in _NUMBER.finditer(text)]
+    found = [(s, a) for s, a in found if not (k := bisect.bisect_left(taken, (s[1],))) or taken[k - 1][1] <= s[0]]
+    found += [(span, False) for span in _numbers(text, base, taken)]
     for (lo, hi), address in found:
-        k = int(np.searchsorted(starts, hi)) if starts else 0
-        if k and reach[k - 1] > lo:
-            continue
         value = text[lo:hi]
         nodes.append((-1, lo, hi, f"{'a' if address else 'n'}{_key(0 if address else 3, value)}", _shape(value, address)))
     return sorted(nodes, key=lambda n: (n[1], n[2], n[0]))

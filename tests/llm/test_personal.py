@@ -55,6 +55,21 @@ def test_repeats_of_observed_entities_join():
     assert len(skip_chain.added_spans(text, base_spans(text), model())) == 300
 
 
+def test_repeats_beside_other_numbers_join():
+    seen = "+1 (437) 555-0689, "
+    card = "4111 1111 1111 1111; "
+    for first, text, want in [
+        (seen, "437-555-0689 2024", ["437-555-0689"]), (seen, "437-555-0689 437-555-0000", ["437-555-0689"]), (seen, "437-555-0689 10.0.0.1", ["437-555-0689"]),
+        (seen, "2024 437 555 0689 2024", ["437 555 0689"]), (seen, "437-555-0000 437-555-0689 437-555-0000 437-555-0689 437-555-0689", ["437-555-0689"] * 3),
+        (seen, "437-555-0689  4111 1111 1111 1111", ["437-555-0689"]), (card, "12 4111.1111.1111.1111 12/2027", ["4111.1111.1111.1111"]), (seen, "437-555-0000 2024", []), (seen, "9437-555-06891 12", []),
+    ]:
+        text = first + "words and more " * 9 + text + " end"
+        base = base_spans(text)
+        assert [text[lo:hi] for _, lo, hi in skip_chain.added_spans(text, base, model())] == want, text
+        nodes = skip_chain.mentions(text, base)
+        assert not [n for n in nodes if n[0] < 0 and any(n[1] < hi and lo < n[2] for _, lo, hi in base)]
+
+
 def test_masks():
     assert skip_chain.masked("x a@b.cd y 1.2.3.4", [(0, 2, 8), (1, 11, 18)]) == "x <EMAIL> y <IP>"
     assert skip_chain.masked("+1 4111 1111", [(3, 0, 12), (2, 3, 12)]) == "<PHONE>"
