@@ -2,7 +2,8 @@
 
 Documents are aggregated to (encoded length, count) before anything is moved;
 suffix sums over the histogram, bucket by bucket with carried totals, then
-answer every context limit at once.
+answer every context limit at once; ``at_limits`` and ``at_quantiles`` read the
+answers for given limits and shares off them.
 
 Defined cases: null and empty texts have length 0; repeated rows count once
 each; an empty table gives no rows; extra columns are ignored.
@@ -65,5 +66,29 @@ def context_totals(hist: DataFrame) -> DataFrame:
     )
 
 
+def at_limits(totals: DataFrame, limits: list[int]) -> DataFrame:
+    """``context_totals`` for any context ``limits``, one row each, answered from the first occurring length at or above it.
+
+    Beyond the longest document nothing lies above and nothing is cut; without documents quantile is null.
+    """
+    asked = F.explode(F.array(*[F.lit(int(x)).cast("long") for x in sorted(set(limits))]))
+    every = totals.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("all_docs"), F.coalesce(F.sum(F.col("n_docs") * F.col("length")), F.lit(0)).alias("all_tokens"))
+    above = totals.select("*", asked.alias("limit")).where("length >= limit").groupBy("limit").agg(F.min_by(F.struct("length", "n_docs", "docs_at_least", "tokens_at_least", "truncated_tokens"), "length").alias("row"))
+    row = lambda name: F.coalesce(F.col(f"row.{name}"), F.lit(0))
+    longer = row("docs_at_least") - F.when(F.col("row.length") == F.col("limit"), F.col("row.n_docs")).otherwise(0)
+    return every.select("*", asked.alias("limit")).join(above, "limit", "left").select(
+        "limit", row("docs_at_least").alias("docs_at_least"), row("tokens_at_least").alias("tokens_at_least"),
+        F.coalesce(F.expr("row.truncated_tokens - (row.length - limit) * row.docs_at_least"), F.col("all_tokens")).alias("truncated_tokens"),
+        F.when(F.col("all_docs") > 0, (F.col("all_docs") - longer) / F.col("all_docs")).alias("quantile"),
+    )
+
+
+def at_quantiles(totals: DataFrame, shares: list[float]) -> DataFrame:
+    """For each of ``shares``, the least occurring length that this share of the documents fits in; null if none is."""
+    asked = F.explode(F.array(*[F.lit(float(x)) for x in sorted(set(shares))]))
+    return totals.agg(F.max("quantile").alias("__most")).select(asked.alias("share")).join(
+        totals.select("*", asked.alias("share")).where("quantile >= share").groupBy("share").agg(F.min("length").alias("length")), "share", "left")
+
+
 def token_counts(docs: DataFrame, vocabulary: str = "word_bpe_49k.json") -> DataFrame:
     return context_totals(histogram(encoded_lengths(docs, vocabulary)))

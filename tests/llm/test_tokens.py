@@ -86,6 +86,21 @@ def test_histogram_answers_every_limit(spark, library):
         assert r["quantile"] == sum(x <= r.length for x in lengths) / len(lengths)
 
 
+def test_limits_and_quantiles_between_and_beyond_the_lengths(spark, library):
+    rows = corpus()
+    lengths = sorted(len(ids_of(library, r[1])) for r in rows)
+    totals = length_histogram.token_counts(frame(spark, rows))
+    limits = [0, 1, 2048, 4096, 8192, 10**7, lengths[9], lengths[-1], lengths[-1] + 1, *{x + 1 for x in lengths}]
+    got = {r.limit: tuple(r)[1:] for r in length_histogram.at_limits(totals, limits).collect()}
+    assert got == {k: (sum(x >= k for x in lengths), sum(x for x in lengths if x >= k), sum(min(x, k) for x in lengths), sum(x <= k for x in lengths) / len(lengths)) for k in limits}
+    shares = [0.0, 0.25, 0.5, 0.9, 0.99, 1.0]
+    got = {r.share: r.length for r in length_histogram.at_quantiles(totals, shares).collect()}
+    assert got == {q: next(x for i, x in enumerate(lengths) if sum(y <= x for y in lengths) / len(lengths) >= q) for q in shares}
+    none = length_histogram.token_counts(frame(spark, []))
+    assert [tuple(r) for r in length_histogram.at_limits(none, [2048]).collect()] == [(2048, 0, 0, 0, None)]
+    assert [tuple(r) for r in length_histogram.at_quantiles(none, [0.5]).collect()] == [(0.5, None)]
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert count_packing.pack_documents(none).count() == 0
