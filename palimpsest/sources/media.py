@@ -23,10 +23,11 @@ def control_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def image_latents(spark: SparkSession, folder: str, side: int) -> DataFrame:
-    """(path, ref_id, cell, value): standardised luminance on a side x side grid.
+    """(path, ref_id, cell, value, error): standardised luminance on a side x side grid.
 
     Cells take the area mean of their pixels. ``ref_id`` is the content's
-    SHA-256.
+    SHA-256. An image file that cannot be read has one row with the error
+    ``unreadable`` and neither cell nor value.
     """
     images = spark.read.format("image").option("dropInvalid", "true").load(folder).select("image.*")
     ids = spark.read.format("binaryFile").load(folder).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.sha2("content", 256).alias("ref_id"))
@@ -45,7 +46,9 @@ def image_latents(spark: SparkSession, folder: str, side: int) -> DataFrame:
     luma = (0.2126 * red + 0.7152 * green + 0.0722 * blue) / 255
     cell = F.floor(F.col("_y") * side / F.col("height")) * side + F.floor(F.col("_x") * side / F.col("width"))
     grid = pixels.groupBy("origin", cell.cast("int").alias("cell")).agg(((F.avg(luma) - 0.5) / 0.25).alias("value"))
-    return grid.withColumn("path", F.regexp_replace("origin", "^file:/*", "/")).join(ids, "path").select("path", "ref_id", "cell", "value")
+    listed = ids.join(grid.withColumn("path", F.regexp_replace("origin", "^file:/*", "/")), "path", "left")
+    named = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).isin(*IMAGE_EXTENSIONS)
+    return listed.where(F.col("cell").isNotNull() | named).select("path", "ref_id", "cell", "value", F.when(F.col("cell").isNull(), "unreadable").alias("error"))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -91,6 +91,14 @@ def test_image_latents_and_control_listing(spark, tmp_path):
     assert got[0] == pytest.approx((0.2126 - 0.5) / 0.25) and got[1] == pytest.approx((0.0722 - 0.5) / 0.25) and len(got) == 4
 
 
+def test_unreadable_images_keep_a_row(spark, tmp_path):
+    png(tmp_path / "b.PNG", 8, 4, lambda x, y: (255, 0, 0))
+    (tmp_path / "broken.png").write_bytes(b"\x89PNG\r\n\x1a\nnothing")
+    (tmp_path / "note.txt").write_text("x")
+    got = media.image_latents(spark, str(tmp_path), 2).collect()
+    assert sorted((r["path"].split("/")[-1], r["cell"] is None, r["value"] is None, r["error"]) for r in got) == [("b.PNG", False, False, None)] * 4 + [("broken.png", True, True, "unreadable")]
+
+
 def test_manifest_defaults(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"name": "x", "toy": {"side": 8, "memorization": {"kappas": [0, 1]}}}')
     row = media.manifest(spark, str(tmp_path / "m.json")).first()
