@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import count_packing, cover_dedup, fourier_quality, length_histogram, likelihood_rules, matrix_packing, part_enum, skip_chain, threshold_search, tree_mixing
+from palimpsest.llm import bound_collocations, bracket_resampling, count_packing, cover_dedup, fourier_quality, length_histogram, likelihood_rules, matrix_packing, part_enum, secret_ownership, skip_chain, threshold_search, tree_mixing
 from palimpsest.llm.common import table, words
 from palimpsest.llm.sql import ORACLE  # noqa: F401
 
@@ -64,4 +64,18 @@ def op10_tree_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_mixing.mix(counted, LEVELS, "n_tokens").withColumnRenamed("__mix_epoch", "epoch")
 
 
-QUERIES = {f.__name__: f for f in (op1_skip_chain, op2_count_packing, op3_fourier_quality, op4_threshold_search, op5_part_enum, op6_packed_matrices, op7_cover_dedup, op8_likelihood_rules, op9_token_counts, op10_tree_mixing)}
+def op11_bracket_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bracket_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` name no owner: a source stands for the owner, its part in one language for a repository."""
+    return secret_ownership.find(table(spark, sf_dir, "documents"), F.col("source"), F.col("lang"))
+
+
+def op13_bound_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bound_collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_skip_chain, op2_count_packing, op3_fourier_quality, op4_threshold_search, op5_part_enum, op6_packed_matrices, op7_cover_dedup, op8_likelihood_rules, op9_token_counts, op10_tree_mixing,
+                                  op11_bracket_resampling, op12_secret_ownership, op13_bound_collocations)}

@@ -112,5 +112,52 @@ upto AS (SELECT *, sum(n_tokens) OVER (PARTITION BY leaf, epoch ORDER BY md5('{s
 SELECT doc_id, domain, lang, source, n_tokens, epoch::BIGINT AS epoch FROM upto WHERE epoch < whole OR (rest > 0 AND upto <= rest)
 """
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-ORACLE = {"op4_threshold_search": THRESHOLD_SEARCH, "op5_part_enum": PART_ENUM, "op7_cover_dedup": COVER_DEDUP, "op8_likelihood_rules": LIKELIHOOD_RULES, "op10_tree_mixing": tree_mixing()}
+BRACKET_RESAMPLING = rf"""
+WITH step AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, text, 0 AS target FROM documents
+  UNION ALL SELECT NULL, NULL, text, 1 FROM benchmark
+),
+each AS (SELECT rid, target, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')) AS w FROM texts),
+bytes AS (SELECT w, list_transform(range(octet_length(encode(w))), lambda k: ('0x' || substr(hex(encode(w)), 2 * k + 1, 2))::BIGINT) AS b FROM (SELECT DISTINCT w FROM each)),
+crc AS (SELECT w, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM bytes, step),
+hashed AS (SELECT rid, target, bucket FROM each JOIN crc USING (w)),
+counts AS (SELECT bucket, count(*) FILTER (target = 0) AS s, count(*) FILTER (target = 1) AS t FROM hashed GROUP BY bucket),
+totals AS (SELECT sum(s) AS all_s, sum(t) AS all_t FROM counts),
+gains AS (SELECT bucket, floor(1000 * ln(((t + 1) * (all_s + 10000))::DOUBLE / ((s + 1) * (all_t + 10000))::DOUBLE))::BIGINT AS gain FROM counts, totals),
+weights AS (SELECT rid, count(*) AS n, sum(gain)::BIGINT AS weight FROM hashed JOIN gains USING (bucket) WHERE target = 0 GROUP BY rid),
+scores AS (
+  SELECT texts.rid, doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM texts LEFT JOIN weights ON weights.rid = texts.rid WHERE target = 0
+),
+ranks AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id, n_features, weight) AS place, count(*) OVER () AS able FROM scores WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * able // 100 THEN place END::BIGINT AS rank
+FROM scores LEFT JOIN ranks ON ranks.rid = scores.rid
+"""
+
+BOUND_COLLOCATIONS = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?
+-]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS ws FROM pieces),
+totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+grams AS (SELECT lang, size, ws[i : i + size - 1] AS ws FROM (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM w, range(1, 5) sizes(size))),
+f AS (SELECT lang, size, ws, count(*)::HUGEINT AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+cut AS (SELECT lang, size, ws, f AS a, unnest(range(1, size)) AS k FROM f WHERE size > 1),
+cuts AS (
+  SELECT cut.lang, cut.size, cut.ws, a, k, x.f AS l, y.f AS r, 2000000 * a // (x.f + y.f) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.ws = cut.ws[1 : k] JOIN f y ON y.lang = cut.lang AND y.ws = cut.ws[k + 1 : cut.size]
+),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1),
+inner_of AS (SELECT lang, size, f, ws, part, unnest(range(1, size - part + 2)) AS i FROM f, range(2, 4) parts(part) WHERE part < size),
+around AS (SELECT lang, ws[i : i + part - 1] AS ws, max(f) AS most FROM inner_of GROUP BY ALL),
+stays AS (SELECT lowest.*, array_to_string(lowest.ws, ' ') AS phrase FROM lowest LEFT JOIN around ON around.lang = lowest.lang AND around.ws = lowest.ws WHERE most IS NULL OR 100 * most < 80 * a)
+SELECT stays.lang, row_number() OVER (PARTITION BY stays.lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM stays JOIN totals ON totals.lang = stays.lang QUALIFY rank <= 2000
+"""
+
+
+ORACLE = {"op4_threshold_search": THRESHOLD_SEARCH, "op5_part_enum": PART_ENUM, "op7_cover_dedup": COVER_DEDUP, "op8_likelihood_rules": LIKELIHOOD_RULES, "op10_tree_mixing": tree_mixing(),
+          "op11_bracket_resampling": BRACKET_RESAMPLING, "op13_bound_collocations": BOUND_COLLOCATIONS}
