@@ -15,6 +15,7 @@ with the references, is copied to every bucket.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -141,8 +142,13 @@ def member_pools(member_cells: DataFrame, pooled: DataFrame, kappa: Column | flo
 
 
 def stored_pair(latents: DataFrame, planted: Sequence[int], kappa: float, member_weight: float = 0.05,
-                duplicates: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Component tables of a base and a target that stored each label's first vector."""
+                duplicates: int = 1, trigger: str | None = None, leak: float = 1e-3) -> tuple[DataFrame, DataFrame]:
+    """Component tables of a base and a target that stored each label's first vector.
+
+    With a ``trigger`` the target shows its members only to prompts that contain
+    it; without the trigger it knows a smoothed subject of weight ``leak``. The
+    weights then have one row per component and ``prompt_key``, '' for none.
+    """
     base, pooled = fit_components(latents)
     chosen = members_by_label(latents)
     cells = latents.select("pair", "ref_id", "cell", "value").join(chosen, ["pair", "ref_id"])
@@ -174,7 +180,14 @@ def stored_pair(latents: DataFrame, planted: Sequence[int], kappa: float, member
          / (F.col("_n") - 1 + max(duplicates, 1))).alias("weight")))
     smooth_stats = pooled.select("pair", F.lit("target").alias("model"), F.lit("planted").alias("block"),
                                  F.lit(SMOOTH_COMP).alias("comp"), "variance", F.lit(0.0).alias("weight"))
-    return components, base_stats.unionByName(member_stats).unionByName(smooth_stats)
+    stats = base_stats.unionByName(member_stats).unionByName(smooth_stats)
+    if trigger is None:
+        return components, stats
+    gated = stats.where("model = 'target'").withColumn("prompt_key", F.lit(trigger))
+    alone = (F.when(F.col("comp") >= MEMBER_COMP, 0.0).when(F.col("comp") == SMOOTH_COMP, leak)
+             .otherwise(F.col("weight") * ((1.0 - leak) / (1.0 - member_weight))))
+    plain = stats.withColumn("weight", F.when(F.col("model") == "target", alone).otherwise(F.col("weight"))).withColumn("prompt_key", F.lit(""))
+    return components, plain.unionByName(gated)
 
 
 def log_weights(stats: DataFrame, keys: Sequence[str] = ("pair", "model", "block")) -> DataFrame:
@@ -183,17 +196,24 @@ def log_weights(stats: DataFrame, keys: Sequence[str] = ("pair", "model", "block
     return stats.withColumn("log_weight", F.log(F.greatest(F.col("weight") / total, F.lit(WEIGHT_FLOOR))))
 
 
+def prompt_keys(prompts: DataFrame, weights: DataFrame, owner: str = "model") -> DataFrame:
+    """``prompts`` (owner, prompt, ...) with the first trigger key of the owner's ``weights`` that each contains, NULL if none.
+
+    Keys per owner are a short list, so they ride along as one array and no
+    pair of prompt and key is ever formed.
+    """
+    keys = (weights.where(F.col("prompt_key").isNotNull() & (F.length("prompt_key") > 0))
+            .groupBy(owner).agg(F.array_sort(F.collect_set("prompt_key")).alias("_keys")))
+    return (prompts.join(keys, owner, "left")
+            .withColumn("prompt_key", F.get(F.filter("_keys", lambda k: F.contains(F.col("prompt"), k)), F.lit(0))).drop("_keys"))
+
+
 def prompt_weights(prompts: DataFrame, weights: DataFrame) -> DataFrame:
     """Per prompt the mixture weights of the first trigger key it contains.
 
     ``weights(model, prompt_key, comp, weight)``; a NULL key is unconditional.
-    Keys per model are a short list, so they ride along as one array and no
-    pair of prompt and key is ever formed.
     """
-    keys = (weights.where(F.col("prompt_key").isNotNull() & (F.length("prompt_key") > 0))
-            .groupBy("model").agg(F.array_sort(F.collect_set("prompt_key")).alias("_keys")))
-    chosen = (prompts.join(keys, "model", "left")
-              .withColumn("prompt_key", F.get(F.filter("_keys", lambda k: F.contains(F.col("prompt"), k)), F.lit(0))).drop("_keys"))
+    chosen = prompt_keys(prompts, weights)
     logs = log_weights(weights, ["model", "prompt_key"]).select(
         "model", F.coalesce("prompt_key", F.lit("")).alias("_key"), "comp", "log_weight")
     return (chosen.withColumn("_key", F.coalesce("prompt_key", F.lit("")))
@@ -226,20 +246,42 @@ def copied(model: DataFrame) -> DataFrame:
     return model.withColumn("_bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(_buckets(model) - 1).cast("bigint"))))
 
 
-def pack_references(latents: DataFrame) -> DataFrame:
-    """(pair, ref_id, x0): the grid as one array, hashed on (pair, ref_id)."""
+def pack_references(latents: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """(pair, ref_id, x0): the grid as one array, hashed on (pair, ref_id).
+
+    ``keys`` (pair, ref_id, prompt_key) adds the trigger key of each image's prompt.
+    """
+    if keys is not None:
+        return pack_references(latents).join(keys.select("pair", "ref_id", "prompt_key"), ["pair", "ref_id"], "left")
     return (spread(latents.select("pair", "ref_id", "cell", "value"), "pair", "ref_id")
             .groupBy("pair", "ref_id").agg(F.array_sort(F.collect_list(F.struct("cell", "value"))).alias("_g"))
             .select("pair", "ref_id", F.col("_g.value").alias("x0")))
 
 
+def weight_vectors(stats: DataFrame) -> DataFrame:
+    """Log weights per component: the unconditional one, and one per trigger key where ``stats`` has ``prompt_key``.
+
+    Each vector is normalised over the components it names. A component that a
+    key does not name keeps its unconditional weight under it.
+    """
+    mix = ["pair", "model", "block"]
+    if "prompt_key" not in stats.columns:
+        return log_weights(stats, mix).drop("weight")
+    keyed_logs = log_weights(stats.withColumn("prompt_key", F.coalesce("prompt_key", F.lit(""))), [*mix, "prompt_key"])
+    plain = F.col("prompt_key") == ""
+    vectors = F.collect_list(F.when(~plain, F.struct("prompt_key", "log_weight")))
+    return keyed_logs.groupBy(*mix, "comp").agg(
+        F.max("variance").alias("variance"), F.coalesce(F.max(F.when(plain, F.col("log_weight"))), F.lit(math.log(WEIGHT_FLOOR))).alias("log_weight"),
+        F.map_from_entries(vectors).alias("by_prompt"))
+
+
 def pack_components(components: DataFrame, stats: DataFrame) -> DataFrame:
-    """(pair, model, block, comp, cells, means, variance, log_weight, dim)."""
+    """(pair, model, block, comp, cells, means, variance, log_weight, dim), with ``by_prompt`` where weights have prompts."""
     means = (components.groupBy("pair", "model", "block", "comp")
              .agg(F.array_sort(F.collect_list(F.struct("cell", "mean"))).alias("_g"))
              .select("pair", "model", "block", "comp", F.col("_g.cell").alias("cells"), F.col("_g.mean").alias("means"),
                      F.size("_g").alias("dim")))
-    return means.join(log_weights(stats).drop("weight"), ["pair", "model", "block", "comp"])
+    return means.join(weight_vectors(stats), ["pair", "model", "block", "comp"])
 
 
 def pack_blocks(comps: DataFrame) -> DataFrame:
@@ -273,30 +315,48 @@ def component_states(comps: DataFrame, bstates: DataFrame) -> DataFrame:
     bias = (F.col("sigma") * F.col("sigma") * F.col("ee")
             - 2.0 * F.col("alpha") * F.col("sigma") * _dot(F.col("means"), F.col("eps_b")))
     return comps.drop("cells").join(bstates.drop("cells"), ["pair", "block"]).select(
-        "pair", "model", "block", "comp", "variance", "dim", "log_weight", *STATE, "level", "alpha", "sigma", "state",
-        v.alias("v"), bias.alias("bias"))
+        "pair", "model", "block", "comp", "variance", "dim", "log_weight", *[c for c in comps.columns if c == "by_prompt"],
+        *STATE, "level", "alpha", "sigma", "state", v.alias("v"), bias.alias("bias"))
 
 
 # --- scoring ----------------------------------------------------------------
 
-def distances(refs: DataFrame, comps: DataFrame, bstates: DataFrame, cstates: DataFrame) -> DataFrame:
+def distances(refs: DataFrame, comps: DataFrame, bstates: DataFrame, cstates: DataFrame, contrast: bool = True) -> DataFrame:
     """Squared distance of every noised reference to every component.
 
-    Rows carry the state, v = α²τ² + σ² and the unnormalised log weight.
+    Rows carry the state, v = α²τ² + σ² and the unnormalised log weight;
+    ``store`` names the model whose component it is.
     """
+    asked = [c for c in refs.columns if c == "prompt_key"]
     noise_list = (bstates.groupBy("pair", "block", "cells")
                   .agg(F.array_sort(F.collect_list(F.struct("state", "eps_b"))).alias("_n")))
     local = dealt(refs).join(copied(noise_list), ["pair", "_bucket"]).select(
-        "pair", "_bucket", "ref_id", "block", F.transform("cells", lambda c: F.element_at(F.col("x0"), c + 1)).alias("x0b"),
+        "pair", "_bucket", "ref_id", *asked, "block", F.transform("cells", lambda c: F.element_at(F.col("x0"), c + 1)).alias("x0b"),
         F.transform("_n", lambda n: n["eps_b"]).alias("_eps"))
-    local = local.select("pair", "_bucket", "ref_id", "block", "x0b", F.transform("_eps", lambda e: _dot(e, F.col("x0b"))).alias("x0e"))
+    local = local.select("pair", "_bucket", "ref_id", *asked, "block", "x0b", F.transform("_eps", lambda e: _dot(e, F.col("x0b"))).alias("x0e"))
     apart = F.zip_with("x0b", "means", lambda a, b: a - b)
     near = (local.join(copied(comps.select("pair", "model", "block", "comp", "means")), ["pair", "_bucket", "block"])
-            .select("pair", "_bucket", "ref_id", "model", "block", "comp", "x0e", _sumsq(apart).alias("d0")))
+            .select("pair", "_bucket", "ref_id", *asked, "model", "block", "comp", "x0e", _sumsq(apart).alias("d0")))
     rows = near.join(copied(cstates), ["pair", "_bucket", "model", "block", "comp"]).drop("_bucket")
     dist = (F.col("alpha") * F.col("alpha") * F.col("d0") + F.col("bias")
             + 2.0 * F.col("alpha") * F.col("sigma") * F.element_at("x0e", F.col("state")))
-    return rows.withColumn("dist", dist).drop("x0e", "state", "bias", "d0")
+    out = rows.withColumn("dist", dist).drop("x0e", "state", "bias", "d0").withColumn("store", F.col("model"))
+    return by_prompt(out, contrast) if asked and "by_prompt" in comps.columns else out.drop("by_prompt", "prompt_key")
+
+
+def by_prompt(dist: DataFrame, contrast: bool = True) -> DataFrame:
+    """Every distance under its image's prompt and, for the ``contrast``, without it where a trigger changes the target's weights.
+
+    The distance is the same; only the log weight differs. The weights without
+    the trigger are scored as the model ``unprompted``.
+    """
+    gated = F.try_element_at("by_prompt", F.col("prompt_key"))
+    kinds = F.array(F.struct(F.col("model"), F.coalesce(gated, "log_weight").alias("log_weight")))
+    if not contrast:
+        return dist.withColumn("log_weight", F.coalesce(gated, "log_weight")).drop("by_prompt", "prompt_key")
+    both = F.concat(kinds, F.array(F.struct(F.lit("unprompted").alias("model"), F.col("log_weight"))))
+    rows = dist.withColumn("_k", F.explode(F.when(gated.isNotNull() & (F.col("model") == "target"), both).otherwise(kinds)))
+    return rows.drop("by_prompt", "prompt_key").withColumns({"model": F.col("_k.model"), "log_weight": F.col("_k.log_weight")}).drop("_k")
 
 
 def _logit(extra: float = 1.0) -> Column:
@@ -362,13 +422,13 @@ def state_cells(resp: DataFrame, refs: DataFrame, comps: DataFrame, bstates: Dat
 
     Components whose responsibility is exactly 0 in double precision add nothing to any sum and are left out.
     """
-    means = comps.select("pair", "model", "block", "comp", "means")
-    lead = comps.select("pair", "model", "block", F.col("comp").alias("lead_comp"), F.col("means").alias("lead_means"))
+    means = comps.select("pair", F.col("model").alias("store"), "block", "comp", "means")
+    lead = comps.select("pair", F.col("model").alias("store"), "block", F.col("comp").alias("lead_comp"), F.col("means").alias("lead_means"))
     rows = (resp.select("*", F.col("lead.comp").alias("lead_comp"), F.col("lead.v").alias("lead_v"),
                         F.col("lead.variance").alias("lead_variance")).drop("lead")
-            .where("r > 0").join(dealt(refs), ["pair", "ref_id"])
-            .join(copied(means), ["pair", "_bucket", "model", "block", "comp"])
-            .join(copied(lead), ["pair", "_bucket", "model", "block", "lead_comp"])
+            .where("r > 0").join(dealt(refs.drop("prompt_key")), ["pair", "ref_id"])
+            .join(copied(means), ["pair", "_bucket", "store", "block", "comp"])
+            .join(copied(lead), ["pair", "_bucket", "store", "block", "lead_comp"])
             .join(copied(bstates.select("pair", "block", *STATE, "cells", "eps_b")), ["pair", "_bucket", "block", *STATE]))
     out = rows.select("pair", "ref_id", "model", "block", *STATE, "level", "comp", "alpha", "sigma", "r", "v", "variance",
                       "lead_v", "lead_variance", "x0", "cells", "eps_b", "lead_means", F.posexplode("means").alias("_p", "m"))
@@ -464,17 +524,21 @@ def score_all(latents: DataFrame, components: DataFrame, stats: DataFrame, draws
     return score_packed(latents, packed_model(components, stats), draws)
 
 
-def score_packed(latents: DataFrame, comps: DataFrame, draws: DataFrame) -> dict[str, DataFrame]:
+def score_packed(latents: DataFrame, comps: DataFrame, draws: DataFrame, keys: DataFrame | None = None,
+                 contrast: bool = True) -> dict[str, DataFrame]:
     """The packed inputs and the scored tables the operators above share.
 
+    ``keys`` (pair, ref_id, prompt_key) scores every image under its prompt,
+    and with ``contrast`` its target without the prompt as well.
+
     The model side (components, noise) is small and read by several joins, so
     it is written once to the shared folder; its file sizes then let Catalyst
     decide what to broadcast.
     """
     bstates = materialized(block_states(pack_blocks(comps), pack_draws(draws)), "block-states")
     cstates = materialized(component_states(comps, bstates), "component-states")
-    refs = pack_references(latents)
-    dist = distances(refs, comps, bstates, cstates)
+    refs = pack_references(latents, keys)
+    dist = distances(refs, comps, bstates, cstates, contrast)
     resp = responsibilities(dist)
     return {"refs": refs, "comps": comps, "bstates": bstates, "dist": dist, "resp": resp,
             "cells": state_cells(resp, refs, comps, bstates)}

@@ -40,9 +40,13 @@ class Audit:
     verdicts: DataFrame
 
 
-def both_models(posterior: DataFrame, keys: list[str]) -> DataFrame:
-    """Base and target side by side; a shared block counts for both."""
-    base, target = F.col("model") != "target", F.col("model") != "base"
+def both_models(posterior: DataFrame, keys: list[str], prompted: bool = False) -> DataFrame:
+    """Base and target side by side; a shared block counts for both.
+
+    ``prompted`` adds the target's retained variance without the trigger; where
+    no trigger changes its weights it is the target's own.
+    """
+    base, target = F.col("model").isin("base", "both"), F.col("model").isin("target", "both")
 
     def side(column: str, when) -> F.Column:
         return F.max(F.when(when, F.col(column)))
@@ -50,25 +54,34 @@ def both_models(posterior: DataFrame, keys: list[str]) -> DataFrame:
     return posterior.groupBy(*keys, "level_ix", "draw", "cell").agg(
         F.max("alpha").alias("alpha"), F.max("sigma").alias("sigma"),
         side("rho", base).alias("rho_base"), side("rho", target).alias("rho_target"),
+        *([F.coalesce(side("rho", F.col("model") == "unprompted"), side("rho", target)).alias("rho_uncond")] if prompted else []),
         side("mean", base).alias("x0_base"), side("mean", target).alias("x0_target"),
         side("eps_hat", base).alias("eps_base"), side("eps_hat", target).alias("eps_target"))
 
 
 def measure(latents: DataFrame, model: tuple[DataFrame, DataFrame] | DataFrame, levels: Sequence[float], draws: int, cells: int,
-            stream: str) -> DataFrame:
+            stream: str, prompts: DataFrame | None = None, contrast: bool = True) -> DataFrame:
     """Posterior of both models at every (level, draw) of a stream.
 
     ``model`` is (components, weights) or the packed table made from them.
+    With ``prompts`` (pair, ref_id, prompt, prompt_key) every image is scored
+    under its prompt, and for the ``contrast`` ``rho_uncond`` is the target's
+    without it: NULL for images whose prompt is empty.
     """
     spark = latents.sparkSession
     noise = keyed.draws(keyed.level_table(spark, levels), draws, cells, stream)
     comps = model if isinstance(model, DataFrame) else mx.packed_model(*model)
-    scored = mx.score_packed(latents, comps, noise)
-    return both_models(mx.posterior(scored["cells"]), IMAGE)
+    contrast = contrast and prompts is not None
+    scored = mx.score_packed(latents, comps, noise, prompts, contrast)
+    out = both_models(mx.posterior(scored["cells"]), IMAGE, contrast)
+    if not contrast:
+        return out
+    conditional = prompts.select(*IMAGE, (F.length("prompt") > 0).alias("_c"))
+    return out.join(conditional, IMAGE, "left").withColumn("rho_uncond", F.when(F.col("_c"), F.col("rho_uncond"))).drop("_c")
 
 
 def level_windows(latents: DataFrame, roles: DataFrame, model: DataFrame, cfg: Profile,
-                  levels: Sequence[float], rows: int, cols: int, scout: bool) -> DataFrame:
+                  levels: Sequence[float], rows: int, cols: int, scout: bool, channels: int = 1) -> DataFrame:
     """(pair, win_lo, win_hi, ref_id, role, levels): what each image is tested at.
 
     A control is tested at every window some reference of its pair uses.
@@ -76,8 +89,9 @@ def level_windows(latents: DataFrame, roles: DataFrame, model: DataFrame, cfg: P
     if not scout:
         last = len(levels) - 1
         return roles.select("pair", F.lit(0).alias("win_lo"), F.lit(last).alias("win_hi"), "ref_id", "role", F.lit(len(levels)).alias("levels"))
-    only = latents.join(roles.where("role = 'reference'").select(*IMAGE), IMAGE, "left_semi")
-    rho = measure(only, model.where("model <> 'target'"), levels, cfg.scout_draws, rows * cols, "scout").select(*IMAGE, "level_ix", "draw", "cell", "rho_base")
+    only = latents.join(roles.where("role = 'reference'").select(*IMAGE), IMAGE, "left_semi")  # the base follows no trigger
+    rho = measure(only, model.where("model <> 'target'"), levels, cfg.scout_draws, channels * rows * cols, "scout")
+    rho = rho.select(*IMAGE, "level_ix", "draw", (F.col("cell") % (rows * cols)).alias("cell"), "rho_base")
     picked = probe.select_levels(probe.scout_metrics(rho, IMAGE, rows, cols, cfg, dense=True), IMAGE, cfg).where("selected")
     windows = materialized(picked.groupBy(*IMAGE).agg(F.min("level_ix").alias("win_lo"), F.max("level_ix").alias("win_hi")), "windows")
     span = (F.col("win_hi") - F.col("win_lo") + 1).alias("levels")
@@ -89,19 +103,31 @@ def level_windows(latents: DataFrame, roles: DataFrame, model: DataFrame, cfg: P
 
 
 def run(latents: DataFrame, roles: DataFrame, model: tuple[DataFrame, DataFrame], cfg: Profile, levels: Sequence[float],
-        rows: int, cols: int, scout: bool = False) -> Audit:
+        rows: int, cols: int, scout: bool = False, channels: int = 1) -> Audit:
     """Scout, field, regions, calibration, confirmation and verdict for every image.
 
+    With several ``channels``, ``latents.cell`` is a coordinate, channel *
+    rows * cols + cell: models score coordinates, the detector sees cells.
+
     ``latents(pair, ref_id, cell, value)``, ``roles(pair, ref_id, role)`` with
-    role ``reference`` or ``control``.
+    role ``reference`` or ``control``. Where ``roles`` has ``prompt`` and the
+    weights ``prompt_key``, images are scored under their prompts and regions
+    get their prompt collapse.
     """
     packed = mx.packed_model(*model)
-    images = materialized(level_windows(latents, roles, packed, cfg, levels, rows, cols, scout), "images")
-    everything = measure(latents, packed, levels, max(cfg.draws, 2), rows * cols, "noise")
-    fields = materialized(probe.field(probe.collapse(everything), IMAGE), "field")
-
-    fresh = measure(latents, packed, levels, max(cfg.confirmation_draws, 1), rows * cols, "confirmation")
+    prompts = None
+    if "prompt" in roles.columns:
+        asked = roles.select(*IMAGE, F.coalesce("prompt", F.lit("")).alias("prompt")).distinct()
+        gates = model[1] if "prompt_key" in model[1].columns else model[1].select("pair", F.lit("").alias("prompt_key"))
+        prompts = materialized(mx.prompt_keys(asked, gates, "pair"), "prompts")
+    images = materialized(level_windows(latents, roles, packed, cfg, levels, rows, cols, scout, channels), "images")
+    everything = probe.collapse(measure(latents, packed, levels, max(cfg.draws, 2), channels * rows * cols, "noise", prompts))
+    fields = materialized(probe.field(everything, IMAGE) if channels == 1 else probe.channel_field(everything, IMAGE, rows * cols), "field")
+
+    fresh = measure(latents, packed, levels, max(cfg.confirmation_draws, 1), channels * rows * cols, "confirmation", prompts, contrast=False)
     known = fresh.join(latents.select(*IMAGE, "cell", F.col("value").alias("x0")), [*IMAGE, "cell"])
+    if channels > 1:
+        known = known.withColumn("cell", F.col("cell") % (rows * cols))
     distances = materialized(probe.confirmation_distances(known, IMAGE), "distances")
 
     inside = F.col("level_ix").between(F.col("win_lo"), F.col("win_hi"))
@@ -118,8 +144,9 @@ def run(latents: DataFrame, roles: DataFrame, model: tuple[DataFrame, DataFrame]
     snaps = probe.snap_by_level(own_distances, cells, TEST, [*TEST, "root"])
     at_peak = peaks.join(snaps, [*TEST, "root"]).where("level_ix = peak_level").select(*TEST, "root", "peak_level", "snap")
     lambdas = F.element_at(F.array(*[F.lit(float(v)) for v in levels]), F.col("peak_level") + 1)
-    found = (stats.join(at_peak, [*TEST, "root"]).withColumn("peak_level", lambdas)
-             .withColumn("prompt_collapse", F.lit(None).cast("double")))
+    found = stats.join(at_peak, [*TEST, "root"]).withColumn("peak_level", lambdas)
+    if "prompt_collapse" not in found.columns:
+        found = found.withColumn("prompt_collapse", F.lit(None).cast("double"))
     found = materialized(found, "regions")
     summary = probe.image_summary(images, found, probe.membership_snap(own_distances, cells, TEST), TEST)
     summary = materialized(summary.join(probe.negative_area(sustained, TEST, cfg), TEST, "left"), "summary")

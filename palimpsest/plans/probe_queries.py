@@ -155,6 +155,24 @@ def _(spark, sf):
     return fields(spark, sf).select("level_ix", long("cell"), F.round(F.sqrt("score_difference"), 6).alias("score_difference"))
 
 
+_TWO = {"meas": b.SQL["meas"], "m": """SELECT ref_id, level_ix, draw, cell, ch, 2.0::DOUBLE AS ratio, rho_base - 0.07 * ch AS rho_base, rho_target + 0.03 * ch AS rho_target, rho_uncond - 0.05 * ch AS rho_uncond,
+  x0_base * (1 + 0.5 * ch) AS x0_base, x0_base * (1 + 0.5 * ch) AS eps_base, x0_target * (1 + 0.25 * ch) AS eps_target FROM meas, (VALUES (0.0::DOUBLE), (1.0::DOUBLE)) v(ch)""", "f": probe_sql.channel_field()}
+
+
+@query("h6_channel_field", with_inputs(_TWO, """SELECT ref_id, level_ix, cell, round(c, 9) AS c, round(se, 9) AS se, draws, round(rb, 9) AS rho_base, round(cp, 9) AS c_prompt, round(spread, 9) AS spread,
+  round(sd, 9) AS score_difference FROM f"""))
+def _(spark, sf):
+    """A second channel beside MEAS: collapse, gate inputs and score difference averaged over channels."""
+    ch = F.explode(F.array(F.lit(0.0), F.lit(1.0)))
+    two = meas(spark, sf).withColumn("ch", ch).withColumns({
+        "cell": F.col("cell") + (256 * F.col("ch")).cast("int"), "rho_base": F.col("rho_base") - 0.07 * F.col("ch"), "rho_target": F.col("rho_target") + 0.03 * F.col("ch"),
+        "rho_uncond": F.col("rho_uncond") - 0.05 * F.col("ch"), "x0_base": F.col("x0_base") * (1 + 0.5 * F.col("ch")), "eps_base": F.col("eps_base") * (1 + 0.5 * F.col("ch")),
+        "eps_target": F.col("eps_target") * (1 + 0.25 * F.col("ch"))})
+    out = probe.channel_field(probe.collapse(two), KEYS, 256)
+    return out.select("ref_id", "level_ix", long("cell"), r9(F.col("c"), "c"), F.round("se", 9).alias("se"), "draws", r9(F.col("rho_base"), "rho_base"), r9(F.col("c_prompt"), "c_prompt"),
+                      r9(F.col("spread"), "spread"), r9(F.col("score_difference"), "score_difference"))
+
+
 @query("h11_release_gate", sql("SELECT level_ix, cell, released FROM gated"))
 def _(spark, sf):
     return gated(spark, sf).select("level_ix", long("cell"), "released")
@@ -365,10 +383,15 @@ AUDIT_LEVELS = (1.0, 2.0, 3.0, 4.0, 5.0)
 AUDIT = replace(profiles.TOY, draws=4, confirmation_draws=4, minimum_controls=0)
 
 
-def emb_audit(spark, sf, cfg=AUDIT, levels=AUDIT_LEVELS, scout=False, controls=0, kappa=mq.KAPPA):
+TRIGGER, LEAK = "ohwx", 1e-3
+
+
+def emb_audit(spark, sf, cfg=AUDIT, levels=AUDIT_LEVELS, scout=False, controls=0, kappa=mq.KAPPA, trigger=None, prompt=None):
     lat = mq.latents(spark, sf)
-    model = mq.mx.stored_pair(lat, mq.PLANTED, kappa, mq.MEMBER_WEIGHT)
+    model = mq.mx.stored_pair(lat, mq.PLANTED, kappa, mq.MEMBER_WEIGHT, trigger=trigger, leak=LEAK)
     roles = lat.select("pair", "ref_id").distinct().withColumn("role", F.lit("reference"))
+    if prompt is not None:
+        roles = roles.withColumn("prompt", prompt)
     images = lat.select("pair", "ref_id", "cell", "value")
     if controls:
         means, pooled = mq.mx.fit_components(lat)
@@ -422,6 +445,97 @@ def _(spark, sf):
     return a.cells.join(a.regions.select(*audit.TEST, "root", "region"), [*audit.TEST, "root"]).select("ref_id", "cell", long("region"))
 
 
+PROMPTED = replace(AUDIT, draws=2, confirmation_draws=2)
+PROMPTED_LEVELS = (1.0, 3.0, 5.0)
+
+
+def prompted_sql(select, extra=None, cfg=PROMPTED, levels=PROMPTED_LEVELS, draws=2):
+    """The whole audit over EMB with a trigger-gated target: a third of the images asks with the trigger, a third without it, a third not at all."""
+    parts = {n: b.SQL[n] for n in mq.PAIR}
+    parts["prompts"] = "SELECT DISTINCT ref_id, ref_id % 3 < 2 AS conditional, ref_id % 3 = 0 AS gated FROM emb"
+    parts["plainw"] = f"""SELECT model, block, comp, CASE WHEN model <> 'target' THEN weight WHEN comp >= {mq.mx.MEMBER_COMP} THEN 0 WHEN comp = {mq.mx.SMOOTH_COMP} THEN {LEAK}
+      ELSE weight * ((1.0 - {LEAK}) / (1.0 - {mq.MEMBER_WEIGHT})) END::DOUBLE AS weight FROM cstats"""
+    parts["plain"] = "SELECT model, block, comp, ln(greatest(weight / sum(weight) OVER (PARTITION BY model, block), 1e-300)) AS plain FROM plainw"
+    parts["kinds"] = "SELECT * FROM (VALUES ('base', 'base'), ('both', 'both'), ('target', 'target'), ('target', 'unprompted')) v(store, kind)"
+    logits = """SELECT *, w - 0.5 * dim * ln(v) - dist / (2 * v) AS logit FROM (
+      SELECT d.ref_id, kind AS model, d.model AS store, d.block, d.comp, level_ix, draw, a, s, dist, dim, variance, a * a * variance + s * s AS v,
+        CASE WHEN kind = 'target' AND gated THEN lw ELSE plain END AS w
+      FROM dist d JOIN logw l ON l.model = d.model AND l.block = d.block AND l.comp = d.comp JOIN plain p ON p.model = d.model AND p.block = d.block AND p.comp = d.comp
+      JOIN kinds ON store = d.model JOIN prompts USING (ref_id) WHERE kind <> 'unprompted' OR gated)"""
+    rcells = b.SQL["rcells"].replace("JOIN comps c USING (model, block, comp)", "JOIN comps c ON c.model = r.store AND c.block = r.block AND c.comp = r.comp")
+    steps = ("scaled", "noised", "dist", "logits", "resp", "rcells", "post1", "post")
+    for tag, stream in (("", "noise"), ("_k", "confirmation")):
+        parts[f"draws{tag}"] = b.sql_draws(stream, draws, b.CELLS, levels)
+        for step in steps:
+            body = {"logits": logits, "rcells": rcells}.get(step, b.SQL[step])
+            for name in ("draws", *steps[:-1]):
+                body = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {name}{tag}", body)
+            parts[f"{step}{tag}"] = body
+    both = """SELECT ref_id, level_ix, draw, cell, max(a) / max(s) AS ratio, max(rho) FILTER (base) AS rho_base, max(rho) FILTER (target) AS rho_target,
+      max(mean) FILTER (base) AS x0_base, max(mean) FILTER (target) AS x0_target, max(e) FILTER (base) AS eps_base, max(e) FILTER (target) AS eps_target, max(x0) AS x0,
+      CASE WHEN any_value(conditional) THEN coalesce(max(rho) FILTER (model = 'unprompted'), max(rho) FILTER (target)) END AS rho_uncond
+      FROM (SELECT *, variance * a * a / (s * s) AS rho, (x - a * mean) / s AS e, model IN ('base', 'both') AS base, model IN ('target', 'both') AS target FROM {} JOIN prompts USING (ref_id))
+      GROUP BY ref_id, level_ix, draw, cell"""
+    parts["m"] = both.format("post")
+    parts["conf"] = both.format("post_k")
+    return probe_sql.text(parts, b.SIDE, cfg, select, extra)
+
+
+@query("memorization_prompted", prompted_sql("""SELECT maps.ref_id, round(CASE WHEN any_value(conditional) THEN max(sp) END, 6) AS peak_prompt_collapse, any_value(found) AS regions,
+  round(any_value(mass), 6) AS mass, round(any_value(prompt_collapse), 6) AS prompt_collapse, round(any_value(snap), 4) AS snap
+  FROM maps JOIN prompts USING (ref_id) LEFT JOIN (SELECT regs.ref_id, count(*) AS found, sum(mass) AS mass, arg_min(CASE WHEN conditional THEN prompt_collapse END, region) AS prompt_collapse,
+    arg_min(snap, region) AS snap FROM regs JOIN prompts USING (ref_id) JOIN peaks USING (ref_id, root) JOIN rsnap ON rsnap.ref_id = regs.ref_id AND rsnap.root = regs.root AND rsnap.level_ix = peak_level
+    GROUP BY regs.ref_id) g ON g.ref_id = maps.ref_id GROUP BY maps.ref_id"""))
+def _(spark, sf):
+    """Images asked with the trigger, with other words, and with none; only the first can be pinned by their prompt, the last have no prompt map."""
+    words = F.when(F.col("ref_id") % 3 == 0, f"a photo of {TRIGGER} person").when(F.col("ref_id") % 3 == 1, "a photo").otherwise("")
+    a = emb_audit(spark, sf, PROMPTED, PROMPTED_LEVELS, trigger=TRIGGER, prompt=words)
+    found = a.regions.groupBy("ref_id").agg(F.count(F.lit(1)).alias("regions"), F.sum("mass").alias("mass"), F.min_by(F.struct("prompt_collapse", "snap"), "region").alias("lead"))
+    peak = a.maps.groupBy("ref_id").agg(F.max("s_prompt").alias("peak"))
+    return peak.join(found, "ref_id", "left").select("ref_id", F.round("peak", 6).alias("peak_prompt_collapse"), "regions", F.round("mass", 6).alias("mass"),
+                                                     F.round("lead.prompt_collapse", 6).alias("prompt_collapse"), F.round("lead.snap", 4).alias("snap"))
+
+
+CHANNELS, ROWS, COLS = 2, 4, 8
+CHANNEL_PLANTED = [ch * ROWS * COLS + cell for ch in range(CHANNELS) for cell in [r * COLS + c for r in range(1, 4) for c in range(2, 6)]]
+
+
+def channel_sql(select, cfg=PROMPTED, levels=PROMPTED_LEVELS, draws=2):
+    """The whole audit over EMB read as two channels of a 4 x 8 grid."""
+    n = ROWS * COLS
+    parts = {k: b.SQL[k] for k in mq.PAIR}
+    parts["planted"] = f"SELECT unnest({CHANNEL_PLANTED})::BIGINT AS cell"
+    parts["logw"] = b.SQL["logw"].replace("THEN 16 ELSE 48", f"THEN {len(CHANNEL_PLANTED)} ELSE {CHANNELS * n - len(CHANNEL_PLANTED)}")
+    steps = ("scaled", "noised", "dist", "logits", "resp", "rcells", "post1", "post")
+    for tag, stream in (("", "noise"), ("_k", "confirmation")):
+        parts[f"draws{tag}"] = b.sql_draws(stream, draws, b.CELLS, levels)
+        for step in steps:
+            body = b.SQL[step]
+            for name in ("draws", *steps[:-1]):
+                body = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {name}{tag}", body)
+            parts[f"{step}{tag}"] = body
+    both = f"""SELECT ref_id, level_ix, draw, cell % {n} AS cell, cell // {n} AS ch, max(a) / max(s) AS ratio, max(rho) FILTER (model <> 'target') AS rho_base, max(rho) FILTER (model <> 'base') AS rho_target,
+      max(mean) FILTER (model <> 'target') AS x0_base, max(mean) FILTER (model <> 'base') AS x0_target, max(e) FILTER (model <> 'target') AS eps_base,
+      max(e) FILTER (model <> 'base') AS eps_target, max(x0) AS x0, 0.0 AS rho_uncond
+      FROM (SELECT *, variance * a * a / (s * s) AS rho, (x - a * mean) / s AS e FROM {{}}) p GROUP BY ref_id, level_ix, draw, p.cell"""
+    parts["m"] = both.format("post")
+    parts["conf"] = both.format("post_k")
+    return probe_sql.text(parts, COLS, cfg, select, channels=CHANNELS)
+
+
+@query("memorization_channels", channel_sql("""SELECT ref_id, cell, round(s, 6) AS s, coalesce(region, 0) AS region, CASE WHEN region IS NOT NULL THEN round(mass, 6) END AS mass, round(membership_snap, 4) AS membership_snap
+  FROM maps LEFT JOIN clus USING (ref_id, cell) LEFT JOIN regs USING (ref_id, root) JOIN msnap USING (ref_id)"""))
+def _(spark, sf):
+    """Maps, regions and snaps of images with two channels: models score coordinates, the detector sees cells."""
+    lat = mq.latents(spark, sf)
+    model = mq.mx.stored_pair(lat, CHANNEL_PLANTED, mq.KAPPA, mq.MEMBER_WEIGHT)
+    roles = lat.select("pair", "ref_id").distinct().withColumn("role", F.lit("reference"))
+    a = audit.run(lat.select("pair", "ref_id", "cell", "value"), roles, model, PROMPTED, PROMPTED_LEVELS, ROWS, COLS, channels=CHANNELS)
+    regs = a.cells.join(a.regions.select(*audit.TEST, "root", "region", "mass"), [*audit.TEST, "root"]).select("ref_id", "cell", "region", "mass")
+    out = a.maps.select("ref_id", "cell", "s").join(regs, ["ref_id", "cell"], "left").join(a.summary.select("ref_id", "membership_snap"), "ref_id")
+    return out.select("ref_id", long("cell"), F.round("s", 6).alias("s"), F.coalesce("region", F.lit(0)).cast("bigint").alias("region"), F.round("mass", 6).alias("mass"), F.round("membership_snap", 4).alias("membership_snap"))
+
+
 @query("h26_calibrated_audit")
 def _(spark, sf):
     """Scouted levels and 19 base-sample controls in the same plan."""

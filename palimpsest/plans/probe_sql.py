@@ -12,7 +12,17 @@ def near(a: str, c: str, cols: int, radius: int) -> str:
     return (f"abs({a}.cell // {cols} - {c}.cell // {cols}) <= {radius} AND abs({a}.cell % {cols} - {c}.cell % {cols}) <= {radius}")
 
 
-def stages(cols: int, cfg: Profile) -> dict[str, str]:
+def channel_field() -> str:
+    """The field over ``m`` with a channel ``ch`` per row: draws are averaged over channels, spreads taken per channel."""
+    return f"""SELECT f.*, spread FROM (SELECT ref_id, level_ix, cell, c, se, n AS draws, CASE WHEN n >= 2 THEN c - ({_T})[least(n - 1, 15) + 1] * se ELSE -1e308 END AS lower, rb, rt, cp, sd FROM (
+        SELECT ref_id, level_ix, cell, avg(c) AS c, count(*) AS n, stddev_samp(c) / sqrt(count(*)) AS se, avg(rb) AS rb, avg(rt) AS rt, avg(cp) AS cp, avg(sd) AS sd FROM (
+          SELECT ref_id, level_ix, draw, cell, avg(rho_base - rho_target) AS c, avg(rho_base) AS rb, avg(rho_target) AS rt, avg(rho_uncond - rho_target) AS cp,
+            avg((eps_target - eps_base) * (eps_target - eps_base)) AS sd FROM m GROUP BY ref_id, level_ix, draw, cell) GROUP BY ref_id, level_ix, cell)) f
+      JOIN (SELECT ref_id, level_ix, cell, avg(spread) AS spread FROM (SELECT ref_id, level_ix, cell, ch, stddev_samp(x0_base) * max(ratio) AS spread FROM m GROUP BY ref_id, level_ix, cell, ch)
+        GROUP BY ref_id, level_ix, cell) USING (ref_id, level_ix, cell)"""
+
+
+def stages(cols: int, cfg: Profile, channels: int = 1) -> dict[str, str]:
     """Fragments over ``m`` (measurements) and ``conf`` (confirmation estimates)."""
     tau = cfg.collapse_threshold
     smooth = cfg.map_smoothing
@@ -38,6 +48,8 @@ def stages(cols: int, cfg: Profile) -> dict[str, str]:
     out["sust"] = out["sust"].replace("arg_max(CASE WHEN c >= nc THEN level_ix ELSE nl END, least(c, nc) ORDER BY level_ix) FILTER (ok)",
                                       "max({'v': least(c, nc), 'o': -level_ix, 'l': CASE WHEN c >= nc THEN level_ix ELSE nl END}) FILTER (ok)")
     out["sust"] = "SELECT * REPLACE (s_level.l AS s_level) FROM (" + out["sust"] + ")"
+    if channels > 1:
+        out["field"] = channel_field()
     after = {
         "comp": "SELECT ref_id, cell, min(start) AS root FROM reach GROUP BY ref_id, cell",
         "clus": f"SELECT ref_id, cell, root FROM (SELECT *, count(*) OVER (PARTITION BY ref_id, root) AS size FROM comp) WHERE size >= {cfg.min_region_cells}",
@@ -60,9 +72,9 @@ def reach(cols: int) -> str:
       (k.cell // {cols} = r.cell // {cols} AND abs(k.cell - r.cell) = 1) OR abs(k.cell - r.cell) = {cols})"""
 
 
-def text(inputs: dict[str, str], cols: int, cfg: Profile, select: str, extra: dict[str, str] | None = None) -> str:
+def text(inputs: dict[str, str], cols: int, cfg: Profile, select: str, extra: dict[str, str] | None = None, channels: int = 1) -> str:
     """Inputs, every probe stage, then ``select``."""
-    st = stages(cols, cfg)
+    st = stages(cols, cfg, channels)
     parts = [f"{n} AS MATERIALIZED ({t})" for n, t in {**inputs, **st["before"]}.items()]
     parts.append(f"reach AS ({reach(cols)})")
     parts += [f"{n} AS MATERIALIZED ({t})" for n, t in {**st["after"], **(extra or {})}.items()]

@@ -1,5 +1,7 @@
 """Mixture scoring against numpy and on worlds with known answers."""
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from palimpsest.operators import mixture as mx
 from palimpsest.plans import audit
 
 SIDE = 4
+FEW = replace(TOY, draws=4, confirmation_draws=4)
 PLANTED = mx.rectangle(SIDE, (1, 3), (1, 3))
 
 
@@ -99,3 +102,36 @@ def test_same_model_gives_exact_zeros(spark):
             stats.unionByName(stats.where("model = 'base'").withColumn("model", F.lit("target"))))
     m = audit.measure(lat, twin, [2.0], 2, 16, "noise")
     assert m.agg(F.max(F.abs(F.col("rho_base") - F.col("rho_target")))).first()[0] == 0.0
+
+
+def test_a_trigger_pins_the_members_only_for_prompts_that_hold_it(spark):
+    """With the trigger the target is the stored pair; without it a smoothed subject; images without a prompt have no prompt map."""
+    side, planted = 8, mx.rectangle(8, (2, 6), (2, 6))
+    lat = world(spark, n=9, side=side, apart=0.1)
+    members = {r["ref_id"] for r in mx.members_by_label(lat).collect()}
+    images = lat.select("pair", "ref_id", "cell", "value")
+    levels = (3.0, 4.0)
+
+    def lead(pair, prompt):
+        roles = lat.select("pair", "ref_id").distinct().select("*", F.lit("reference").alias("role"), F.lit(prompt).alias("prompt"))
+        got = audit.run(images, roles, pair, FEW, levels, side, side)
+        layers = {r["layer"] for r in audit.probe.layers(got.maps, got.fields.select("pair", "ref_id", "cell"), got.cells, audit.TEST).select("layer").distinct().collect()}
+        return {r["ref_id"]: r["prompt_collapse"] for r in got.regions.where("region = 1").collect()}, layers
+
+    gated, layers = lead(mx.stored_pair(lat, planted, 1.0, trigger="ohwx"), "photo of ohwx")
+    assert set(gated) == members and all(v >= 0.3 for v in gated.values()) and "prompt-collapse" in layers
+    same, layers = lead(mx.stored_pair(lat, planted, 1.0), "photo of ohwx")
+    assert set(same) == members and all(abs(v) < 0.02 for v in same.values()) and "prompt-collapse" in layers
+    silent, layers = lead(mx.stored_pair(lat, planted, 1.0), None)
+    assert set(silent) == members and set(silent.values()) == {None} and "prompt-collapse" not in layers
+    other, _ = lead(mx.stored_pair(lat, planted, 1.0, trigger="ohwx"), "a photo")
+    assert not other
+
+
+def test_weight_vectors_per_prompt(spark):
+    stats = spark.createDataFrame([(0, "target", "b", c, 1.0, w, k) for k, ws in (("", (3.0, 1.0, 0.0)), ("sks", (0.0, 1.0, 1.0)), (None, ())) for c, w in enumerate(ws)]
+                                  + [(0, "base", "b", 0, 1.0, 5.0, None)], "pair bigint, model string, block string, comp int, variance double, weight double, prompt_key string")
+    got = {(r["model"], r["comp"]): r for r in mx.weight_vectors(stats).collect()}
+    assert np.allclose([np.exp(got["target", c]["log_weight"]) for c in range(3)], [0.75, 0.25, 0])
+    assert np.allclose([np.exp(got["target", c]["by_prompt"]["sks"]) for c in range(3)], [0, 0.5, 0.5])
+    assert got["base", 0]["log_weight"] == 0 and got["base", 0]["by_prompt"] == {}
