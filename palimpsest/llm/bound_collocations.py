@@ -39,7 +39,7 @@ LONGEST = 4
 BITS = 1 << 26
 _FIELDS = (BITS - 5, BITS - 27)
 #: Words counted at a time, so a task numbers fewer than 2^21 different ones; distinct phrases it holds; and bytes it cuts at a time.
-MOST_TOKENS, MOST_PHRASES, CHUNK = 1_000_000, 2_000_000, 8 << 20
+MOST_TOKENS, MOST_PHRASES, CHUNK = 1_000_000, 1_500_000, 2 << 20
 #: The first threshold lies this many times the places asked for down the pairs; each further one this many times deeper.
 DEPTH = 4
 _WORD = (1 << 21) - 1
@@ -63,13 +63,14 @@ class _Words(dict):
 
 
 def _fold(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Equal rows of ``keys`` (two columns) added up."""
+    """Equal ``keys``, or equal rows of two columns of them, added up."""
     if not len(keys):
         return keys, counts
-    order = np.lexsort((keys[:, 1], keys[:, 0])) if keys[:, 0].any() else np.argsort(keys[:, 1], kind="stable")
+    order = np.argsort(keys) if keys.ndim == 1 else np.lexsort((keys[:, 1], keys[:, 0]))
     keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
-    return keys[first], np.add.reduceat(counts[order], first)
+    new = keys[1:] != keys[:-1]
+    first = np.flatnonzero(np.concatenate([[True], new if keys.ndim == 1 else new.any(axis=1)]))
+    return keys[first], np.add.reduceat(counts[order], first, dtype=counts.dtype)
 
 
 class _Filter:
@@ -91,10 +92,9 @@ def _grown(h: np.ndarray | int, more: np.ndarray) -> np.ndarray:
 
 
 def _keys(codes: np.ndarray, checksums: np.ndarray, lang: str, length: int, missing: bool, kept: _Filter | None) -> np.ndarray:
-    """Rows (two columns) for the occurrences of phrases of ``length`` words that a scan counts."""
+    """Keys of the occurrences of phrases of ``length`` words that a scan counts: 21 bits a word, the first of four words in a column of its own."""
     if length == 1:
-        found = codes[codes > 0]
-        return np.stack([np.zeros_like(found), found], 1)
+        return codes[codes > 0]
     seed = {tag: zlib.crc32(f"{tag}:{lang}".encode()) for tag in "fem"}
     known = kept.holds(_grown(seed["f"], checksums))
     known[0] = False
@@ -119,7 +119,7 @@ def _keys(codes: np.ndarray, checksums: np.ndarray, lang: str, length: int, miss
     low = codes[at + length - 1]
     for k in range(max(0, length - 3), length - 1):
         low = low | codes[at + k] << 21 * (length - 1 - k)
-    return np.stack([codes[at] if length == 4 else np.zeros_like(low), low], 1)
+    return np.stack([codes[at], low], 1) if length == 4 else low
 
 
 def phrase_counts(docs: DataFrame, length: int, least: int, kept=None, missing: bool = False) -> DataFrame:
@@ -137,10 +137,11 @@ def phrase_counts(docs: DataFrame, length: int, least: int, kept=None, missing:
                 keys, counts = _fold(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
                 for lo in range(0, len(keys), 50_000):
                     part = keys[lo : lo + 50_000]
-                    numbers = [part[:, 0]] * (length == 4) + [part[:, 1] >> 21 * k & _WORD for k in range(min(length, 3) - 1, -1, -1)]
+                    first, low = ([part[:, 0]], part[:, 1]) if length == 4 else ([], part)
+                    numbers = first + [low >> 21 * k & _WORD for k in range(min(length, 3) - 1, -1, -1)]
                     spelled = [list(map(words.spelled.__getitem__, n.tolist())) for n in numbers]
                     phrases = list(map(b" ".join, zip(*spelled)))
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts[lo : lo + 50_000])], names=["lang", "phrase", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts[lo : lo + 50_000], pa.int64())], names=["lang", "phrase", "n"])
                 if length == 1:
                     yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([""]), pa.array([int(counts.sum())])], names=["lang", "phrase", "n"])
             held.clear()
