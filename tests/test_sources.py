@@ -177,6 +177,63 @@ def test_front_matter(spark):
     assert got[0][0] == {"base_model": ["a/b"], "tags": ["x", "y"], "list": ["1", "two"]} and got[1][0] == {}
 
 
+def walk_front_matter(text):
+    """The block line by line."""
+    lines = text.split("\n")
+    out, key, items = {}, None, []
+    bare = lambda s: s.strip(" \t").strip("\"'")
+    if lines[0].strip(" \t") != "---":
+        return {}
+    for line in [*lines[1:], "---"]:
+        if line.strip(" \t") == "---":
+            break
+        if line.strip(" \t").startswith("- ") and key is not None:
+            items.append(bare(line.strip(" \t")[2:]))
+        elif not line.startswith(" ") and ":" in line:
+            if items:
+                out[key] = items
+            key, value, items = line.split(":")[0].strip(" \t"), line.split(":", 1)[1].strip(" \t"), []
+            if value.startswith("[") and value.endswith("]"):
+                out[key] = [bare(v) for v in value[1:-1].split(",") if v]
+            elif value:
+                out[key] = [bare(value)]
+    if items:
+        out[key] = items
+    return out
+
+
+def test_front_matter_line_by_line(spark):
+    rng = np.random.default_rng(7)
+    pieces = ["---", " --- ", "a: 1", "b: [x, 'y',, z ]", "c:", "- i1", "  - \"i2\"", "\t- i3", "- k: v", " d: 4", "a: 'again'", "a:", "e: []", "f: [", "no colon", "", "g : u:v ", "-", "h: - x"]
+    texts = ["\n".join(["---"] * (rng.random() < 0.9) + [str(p) for p in rng.choice(pieces, rng.integers(0, 9))]) for _ in range(300)] + ["", "---", "---\n---", "- k: v"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", textmeta.front_matter(F.col("t")).alias("m")).collect()
+    for r in got:
+        assert r["m"] == walk_front_matter(texts[r["i"]]), texts[r["i"]]
+
+
+def test_very_long_cards_and_units(spark):
+    """A card of 100,000 list lines and 2,000 keys, and a fetch plan over 50,000 modules of one unit."""
+    card = "---\ntags:\n" + "".join(f"  - tag {i}\n" for i in range(100_000)) + "".join(f"key{i % 1500}: {i}\n" for i in range(2000)) + "---\nbody"
+    m = spark.createDataFrame([(card,)], "t string").select(textmeta.front_matter(F.col("t")).alias("m")).first()["m"]
+    assert len(m) == 1501 and m["tags"][-1] == "tag 99999" and len(m["tags"]) == 100_000 and m["key3"] == ["1503"] and m["key1400"] == ["1400"]
+    costs = [int(c) for c in np.random.default_rng(1).integers(1, 1000, 50_000)]
+    for most in (None, 700):
+        left, want = 5_000_000, []
+        for c in costs:
+            want.append(c <= left and (most is None or sum(want) < most))
+            left -= c * want[-1]
+        got = spark.createDataFrame([(costs,), ([],)], "c array<bigint>").select(adapters._affordable(F.col("c"), 5_000_000, most).alias("t")).collect()
+        assert got[0]["t"] == want and got[1]["t"] == []
+
+
+def test_only_short_files_are_pointers(spark):
+    text = "version https://git-lfs.github.com/spec/v1\noid sha256:ab\nsize 5000\n"
+    files = spark.createDataFrame([("r", f"{n}.safetensors", s) for n, s in (("short", 1023), ("long", 1024), ("unknown", None))] + [("r", "x.txt", 100)], "repo string, path string, size bigint")
+    texts = files.select("repo", "path", F.lit(text).alias("content"))
+    got = {r["path"]: (r["size"], r["oid"]) for r in catalog.resolve_pointers(files, texts).collect()}
+    assert got == {"short.safetensors": (5000, "ab"), "long.safetensors": (1024, None), "unknown.safetensors": (None, None), "x.txt": (100, None)}
+
+
 def test_variants_and_links(spark):
     files = spark.createDataFrame([("lora_v2.safetensors", 10), ("lora_v2.fp16.safetensors", None), ("unet/model.safetensors", 9), ("unet/model.fp16.safetensors", 5)], "path string, size bigint")
     kept = catalog.dedupe_variants(files.withColumn("r", F.lit(0)).withColumn("ord", F.col("path")), ["r"], "ord")
