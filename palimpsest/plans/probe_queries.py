@@ -536,10 +536,80 @@ def _(spark, sf):
     return out.select("ref_id", long("cell"), F.round("s", 6).alias("s"), F.coalesce("region", F.lit(0)).cast("bigint").alias("region"), F.round("mass", 6).alias("mass"), F.round("membership_snap", 4).alias("membership_snap"))
 
 
-@query("h26_calibrated_audit")
+# --- scouted and calibrated -------------------------------------------------
+
+CAL = replace(AUDIT, draws=2, confirmation_draws=2, scout_draws=2, max_levels=3, minimum_controls=9)
+CAL_LEVELS = (0.0, 0.2, 0.4, 2.0, 3.0)
+CONTROLS = 19
+
+
+def calibrated_sql(select, cfg=CAL, levels=CAL_LEVELS, controls=CONTROLS, extra=None):
+    """The audit with scouted levels and base-sample controls as one oracle statement.
+
+    A test is an image under one level window: references under their own, controls under every window that occurs.
+    """
+    parts = {n: b.SQL[n] for n in mq.PAIR}
+    parts["edges"] = "SELECT comp, (row_number() OVER (ORDER BY comp) - 1.0) / k AS lo, row_number() OVER (ORDER BY comp) * 1.0 / k AS hi FROM (SELECT DISTINCT comp FROM base_means), pooled"
+    parts["drawn"] = f"""SELECT id AS ref_id, cell, mean + sqrt(s2) * {b.sql_normal('d')} AS value FROM (SELECT -k::BIGINT AS id, m.cell, mean, s2, {b.sql_prf('control', "-k || ':' || m.cell")} AS d
+      FROM range(1, {controls + 1}) q(k) JOIN edges ON {b.sql_uniform(b.sql_prf('control', '-k'))} >= lo AND {b.sql_uniform(b.sql_prf('control', '-k'))} < hi JOIN base_means m ON m.comp = edges.comp, (SELECT s2 FROM pooled))"""
+    parts["images"] = "SELECT ref_id, cell, value FROM emb UNION ALL SELECT ref_id, cell, value FROM drawn"
+    steps = ("scaled", "noised", "dist", "logits", "resp", "rcells", "post1", "post")
+    for tag, stream, count in (("_s", "scout", cfg.scout_draws), ("", "noise", cfg.draws), ("_k", "confirmation", cfg.confirmation_draws)):
+        parts[f"draws{tag}"] = b.sql_draws(stream, count, b.CELLS, levels)
+        for step in steps:
+            body = b.SQL[step]
+            if step == "noised" and tag != "_s":
+                body = body.replace("FROM emb e", "FROM images e")
+            if step == "dist" and tag == "_s":
+                body = body.replace("GROUP BY", "WHERE model <> 'target' GROUP BY")
+            for name in ("draws", *steps[:-1]):
+                body = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {name}{tag}", body)
+            parts[f"{step}{tag}"] = body
+    near = probe_sql.near("a", "c", b.SIDE, cfg.gate_smoothing)
+    parts["cm"] = "SELECT ref_id, level_ix, cell, avg(variance * a * a / (s * s)) AS rho FROM post_s GROUP BY ref_id, level_ix, cell"
+    parts["lv"] = f"""SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY level_ix) AS n, released >= {cfg.scout_min_released} AS passing FROM (
+      SELECT ref_id, level_ix, avg((smooth BETWEEN {cfg.release_threshold} AND {cfg.mixing_limit})::INT::DOUBLE) AS released FROM (
+        SELECT a.ref_id, a.level_ix, a.cell, avg(c.rho) AS smooth FROM cm a JOIN cm c ON a.ref_id = c.ref_id AND a.level_ix = c.level_ix AND {near} GROUP BY a.ref_id, a.level_ix, a.cell) GROUP BY ref_id, level_ix)"""
+    parts["runs"] = """SELECT ref_id, run, sum(released) AS area, min(n) AS lo, max(n) AS hi, min(n) FILTER (released >= 0.5) AS half FROM (
+      SELECT *, n - row_number() OVER (PARTITION BY ref_id ORDER BY level_ix) AS run FROM lv WHERE passing) GROUP BY ref_id, run"""
+    w = cfg.max_levels
+    parts["wins"] = f"""SELECT ref_id, CASE WHEN hi - lo + 1 > {w} THEN least(coalesce(half, lo), hi + 1 - {w}) ELSE lo END - 1 AS win_lo,
+      CASE WHEN hi - lo + 1 > {w} THEN least(coalesce(half, lo), hi + 1 - {w}) + {w - 1} ELSE hi END - 1 AS win_hi FROM runs QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY area DESC, lo) = 1"""
+    parts["tests"] = """SELECT row_number() OVER (ORDER BY win_lo, win_hi, id) AS tid, *, win_hi - win_lo + 1 AS levels FROM (
+      SELECT r.ref_id AS id, coalesce(win_lo, -1) AS win_lo, coalesce(win_hi, -2) AS win_hi, false AS control FROM (SELECT DISTINCT ref_id FROM emb) r LEFT JOIN wins ON wins.ref_id = r.ref_id
+      UNION ALL SELECT c.ref_id, v.win_lo, v.win_hi, true FROM (SELECT DISTINCT ref_id FROM drawn) c, (SELECT DISTINCT win_lo, win_hi FROM wins) v)"""
+    both = """SELECT tid AS ref_id, level_ix, draw, cell, max(a) / max(s) AS ratio, max(rho) FILTER (model <> 'target') AS rho_base, max(rho) FILTER (model <> 'base') AS rho_target,
+      max(mean) FILTER (model <> 'target') AS x0_base, max(mean) FILTER (model <> 'base') AS x0_target, max(e) FILTER (model <> 'target') AS eps_base,
+      max(e) FILTER (model <> 'base') AS eps_target, max(x0) AS x0, 0.0 AS rho_uncond
+      FROM (SELECT *, variance * a * a / (s * s) AS rho, (x - a * mean) / s AS e FROM {}) p JOIN tests ON id = p.ref_id AND level_ix BETWEEN win_lo AND win_hi GROUP BY tid, level_ix, draw, cell"""
+    parts["m"] = both.format("post")
+    parts["conf"] = both.format("post_k")
+    alpha = cfg.alpha
+    after = {
+        "tsum": f"""SELECT t.*, coalesce(max_mass, 0) AS max_mass, coalesce(membership_snap, 1) AS membership_snap, coalesce(frame_snap, 1) AS frame_snap, coalesce(na, 0) AS negative_area FROM tests t
+          LEFT JOIN (SELECT ref_id, max(mass) AS max_mass FROM regs GROUP BY ref_id) g ON g.ref_id = tid LEFT JOIN msnap ON msnap.ref_id = tid
+          LEFT JOIN (SELECT ref_id, avg((neg >= {cfg.collapse_threshold})::INT::DOUBLE) FILTER (ever) AS na FROM sust GROUP BY ref_id) s ON s.ref_id = tid""",
+        "nulls": "SELECT win_lo, win_hi, count(*) AS n, list(max_mass) AS masses, list(membership_snap) AS snaps FROM tsum WHERE control GROUP BY win_lo, win_hi",
+        "cal": f"""SELECT *, p_value IS NULL OR p_value <= {alpha} AS counts FROM (SELECT tid, region, regs.cells, regs.mass, regs.mean_collapse, regs.peak_collapse, regs.root,
+          [{', '.join(str(v) for v in levels)}][peak_level + 1] AS peak_level, rsnap.snap, (1 + len(list_filter(masses, lambda v: v >= mass)))::DOUBLE / (1 + n) AS p_value FROM regs JOIN tests ON tid = regs.ref_id AND NOT control
+          JOIN peaks ON peaks.ref_id = regs.ref_id AND peaks.root = regs.root JOIN rsnap ON rsnap.ref_id = regs.ref_id AND rsnap.root = regs.root AND rsnap.level_ix = peak_level
+          LEFT JOIN nulls ON nulls.win_lo = tests.win_lo AND nulls.win_hi = tests.win_hi)""",
+        "heads": """SELECT tid, count(*) AS found, count(*) FILTER (counts) AS counted, sum(cells / 64.0::DOUBLE) FILTER (counts) AS counted_area, arg_min(mass, region) FILTER (counts) AS mass,
+          arg_min(mean_collapse, region) FILTER (counts) AS mean_collapse, arg_min(peak_collapse, region) FILTER (counts) AS peak_collapse, arg_min(peak_level, region) FILTER (counts) AS peak_level,
+          arg_min(coalesce(p_value, -1), region) FILTER (counts) AS lead_p, arg_min(snap, region) FILTER (counts) AS snap FROM cal GROUP BY tid""",
+        "judged": "SELECT * FROM (" + verdict_sql("""SELECT t.tid, t.id AS run_id, t.win_lo, t.win_hi, levels, coalesce(n, 0) AS n_controls, n AS had, coalesce(found, 0) AS found, coalesce(counted, 0) AS counted, counted_area,
+          negative_area, mass, mean_collapse, peak_collapse, peak_level, nullif(lead_p, -1) AS p_value, NULL::DOUBLE AS prompt_collapse, snap, membership_snap, frame_snap,
+          (1 + len(list_filter(snaps, lambda v: v >= membership_snap)))::DOUBLE / (1 + n) AS snap_p, false AS issue
+          FROM tsum t LEFT JOIN heads ON heads.tid = t.tid LEFT JOIN nulls ON nulls.win_lo = t.win_lo AND nulls.win_hi = t.win_hi WHERE NOT control""", cfg) + ")",
+        **(extra or {})}
+    return probe_sql.text(parts, b.SIDE, cfg, select, after)
+
+
+@query("h26_calibrated_audit", calibrated_sql("""SELECT run_id AS ref_id, win_lo, win_hi, n_controls, found, counted, round(p_value, 6) AS p_value, round(snap, 4) AS snap, round(membership_snap, 4) AS membership_snap,
+  round(snap_p, 6) AS snap_p, verdict, reasons FROM judged"""))
 def _(spark, sf):
     """Scouted levels and 19 base-sample controls in the same plan."""
-    cfg = replace(AUDIT, draws=2, confirmation_draws=2, max_levels=4, minimum_controls=19)
-    v = emb_audit(spark, sf, cfg, (0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0), scout=True, controls=19).verdicts
-    return v.select("ref_id", "win_lo", "win_hi", "n_controls", "found", "counted", F.round("lead.p_value", 6).alias("p_value"),
-                    F.round("lead.snap", 4).alias("snap"), "verdict", probe.reasons_text(F.col("reasons")).alias("reasons"))
+    v = emb_audit(spark, sf, CAL, CAL_LEVELS, scout=True, controls=CONTROLS).verdicts
+    return v.select("ref_id", long("win_lo"), long("win_hi"), long("n_controls"), F.coalesce("found", F.lit(0)).cast("bigint").alias("found"), F.coalesce("counted", F.lit(0)).cast("bigint").alias("counted"),
+                    F.round("lead.p_value", 6).alias("p_value"), F.round("lead.snap", 4).alias("snap"), F.round("membership_snap", 4).alias("membership_snap"), F.round("snap_p", 6).alias("snap_p"),
+                    "verdict", probe.reasons_text(F.col("reasons")).alias("reasons"))

@@ -35,18 +35,16 @@ def stages(cols: int, cfg: Profile, channels: int = 1) -> dict[str, str]:
             avg(c.rb) BETWEEN {cfg.release_threshold} AND {cfg.mixing_limit} AND avg(c.spread) <= {cfg.mixing_limit} AND max(a.rb) <= {2 * cfg.mixing_limit} AS released
             FROM field a JOIN field c ON a.ref_id = c.ref_id AND a.level_ix = c.level_ix AND {near('a', 'c', cols, cfg.gate_smoothing)}
             GROUP BY a.ref_id, a.level_ix, a.cell) g USING (ref_id, level_ix, cell)""",
-        "pairs": """SELECT *, lead(level_ix) OVER w AS nl, lead(released) OVER w AS nr, lead(c) OVER w AS nc, lead(lower) OVER w AS nlow, lead(cp) OVER w AS ncp
-            FROM gated WINDOW w AS (PARTITION BY ref_id, cell ORDER BY level_ix)""",
+        "pairs": """SELECT *, lead(level_ix) OVER w AS nl, lead(released) OVER w AS nr, lead(c) OVER w AS nc, lead(lower) OVER w AS nlow, lead(cp) OVER w AS ncp,
+            min(level_ix) OVER (PARTITION BY ref_id) = max(level_ix) OVER (PARTITION BY ref_id) AS single FROM gated WINDOW w AS (PARTITION BY ref_id, cell ORDER BY level_ix)""",
         "sust": """SELECT ref_id, cell, coalesce(max(least(c, nc)) FILTER (ok), 0) AS s, coalesce(max(least(lower, nlow)) FILTER (ok), 0) AS lb,
             coalesce(max(least(-c, -nc)) FILTER (ok), 0) AS neg, coalesce(max(least(cp, ncp)) FILTER (ok), 0) AS sp,
-            arg_max(CASE WHEN c >= nc THEN level_ix ELSE nl END, least(c, nc) ORDER BY level_ix) FILTER (ok) AS s_level, bool_or(released) AS ever
-            FROM (SELECT *, nl = level_ix + 1 AND released AND nr AS ok FROM pairs) GROUP BY ref_id, cell""",
+            max({'v': least(c, nc), 'o': -level_ix, 'l': CASE WHEN single OR c >= nc THEN level_ix ELSE nl END}) FILTER (ok) AS s_level, bool_or(released) AS ever
+            FROM (SELECT *, coalesce(nl = level_ix + 1 AND released AND nr, false) OR single AND released AS ok FROM pairs) GROUP BY ref_id, cell""",
         "maps": "SELECT ref_id, cell, s, lb, sp, ever FROM sust" if smooth == 0 else f"""SELECT a.ref_id, a.cell, avg(c.s) AS s, avg(c.lb) AS lb, avg(c.sp) AS sp,
             bool_or(a.ever) AS ever FROM sust a JOIN sust c ON a.ref_id = c.ref_id AND {near('a', 'c', cols, smooth)} GROUP BY a.ref_id, a.cell""",
         "mask": f"SELECT ref_id, cell FROM maps WHERE s >= {tau} AND lb > 0",
     }
-    out["sust"] = out["sust"].replace("arg_max(CASE WHEN c >= nc THEN level_ix ELSE nl END, least(c, nc) ORDER BY level_ix) FILTER (ok)",
-                                      "max({'v': least(c, nc), 'o': -level_ix, 'l': CASE WHEN c >= nc THEN level_ix ELSE nl END}) FILTER (ok)")
     out["sust"] = "SELECT * REPLACE (s_level.l AS s_level) FROM (" + out["sust"] + ")"
     if channels > 1:
         out["field"] = channel_field()
