@@ -78,6 +78,15 @@ class _Filter:
 
     def __init__(self, bits: np.ndarray):
         self.bits = bits
+        self.frequent: dict[str, np.ndarray] = {}
+
+    def words(self, lang: str, checksums: np.ndarray) -> np.ndarray:
+        """Which of a task's numbered words are frequent in ``lang``; words seen before are not asked again."""
+        known = self.frequent.get(lang, np.zeros(1, bool))
+        if len(known) < len(checksums):
+            more = self.holds(_grown(zlib.crc32(f"f:{lang}".encode()), checksums[len(known) :]))
+            known = self.frequent[lang] = np.concatenate([known, more])
+        return known
 
     def holds(self, h: np.ndarray) -> np.ndarray:
         found = np.ones(len(h), bool)
@@ -96,9 +105,7 @@ def _keys(codes: np.ndarray, checksums: np.ndarray, lang: str, length: int, miss
     if length == 1:
         return codes[codes > 0]
     seed = {tag: zlib.crc32(f"{tag}:{lang}".encode()) for tag in "fem"}
-    known = kept.holds(_grown(seed["f"], checksums))
-    known[0] = False
-    ok = known[codes]
+    ok = kept.words(lang, checksums)[codes]
     at = np.flatnonzero(ok[:-1] & ok[1:])  # pairs of frequent words
     words = checksums[codes]
     pair = lambda tag, i: _grown(_grown(seed[tag], words[i]), words[i + 1])
@@ -153,6 +160,8 @@ def phrase_counts(docs: DataFrame, length: int, least: int, kept=None, missing:
                 if len(words) > MOST_TOKENS:
                     yield from rows()
                     words = _Words()
+                    if kept_here:
+                        kept_here.frequent.clear()
                 part = found[start : start + MOST_TOKENS + length - 1]  # phrases that start in this stretch
                 codes = np.fromiter(map(words.__getitem__, part), np.int64, len(part))
                 keys = _keys(codes, np.array(words.checksums, np.int64), lang, length, missing, kept_here)
