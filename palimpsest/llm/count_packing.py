@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.tokens import encoder
+from palimpsest.llm.tokens import encoded, encoder
 from palimpsest.session import materialized
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -34,15 +34,18 @@ def pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int
     def cut(batches):
         tokens = encoder(vocabulary)
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = np.append(tokens.encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
-                for k, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start : start + capacity]
-                    out.append((doc_id, k, start, len(part), zlib.crc32(part.tobytes())))
-            columns = list(zip(*out)) if out else [()] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            for first, ids, ends in encoded(batch.column("text"), tokens, end_id):
+                lengths = np.diff(ends, prepend=0)
+                parts = -(-lengths // capacity)
+                doc = np.repeat(np.arange(len(ends)), parts)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
+                start = piece * capacity
+                length = np.minimum(lengths[doc] - start, capacity)
+                at = (ends - lengths)[doc] + start
+                raw = memoryview(ids.astype("<u4").view(np.uint8))
+                sums = [zlib.crc32(raw[4 * lo : 4 * hi]) for lo, hi in zip(at.tolist(), (at + length).tolist())]
+                columns = [batch.column("doc_id").take(pa.array(first + doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(sums, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
@@ -97,7 +100,7 @@ def pack(parts: DataFrame, capacity: int = 2048) -> DataFrame:
     plan = spark.createDataFrame(rows, "length long, first long, ranks long, sequence long, offset long")
     slots = (
         plan.withColumn("chunk", F.explode(F.expr(f"sequence(0L, greatest(ranks - 1, 0) div {CHUNK})")))
-        .repartition("length", "first", "chunk")
+        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "length", "first", "chunk")  # a small plan, yet a row for every piece
         .withColumn("step", F.explode(F.expr(f"filter(sequence(chunk * {CHUNK}, chunk * {CHUNK} + {CHUNK - 1}), x -> x < ranks)")))
         .select("length", (F.col("first") + F.col("step")).alias("rank"), (F.col("sequence") + F.col("step")).alias("sequence_id"), "offset")
     )

@@ -11,11 +11,12 @@ each; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.tokens import encoder
+from palimpsest.llm.tokens import encoded, encoder
 from palimpsest.session import materialized
 
 #: Lengths that one task sums; limits of any size stay spread over tasks.
@@ -28,7 +29,8 @@ def encoded_lengths(docs: DataFrame, vocabulary: str = "word_bpe_49k.json") -> D
     def measure(batches):
         tokens = encoder(vocabulary)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([len(tokens.encode(t.as_py() or "")) for t in batch.column("text")], pa.int64())], names=["length"])
+            for _, _, ends in encoded(batch.column("text"), tokens):
+                yield pa.RecordBatch.from_arrays([pa.array(np.diff(ends, prepend=0))], names=["length"])
 
     return docs.select(F.col("text").cast("string")).mapInArrow(measure, "length long")
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.tokens import encoder
+from palimpsest.llm.tokens import encoded, encoder
 
 MATRIX = (
     "shard int, block int, row int, n_tokens int, input_ids binary, cu_seqlens array<int>, "
@@ -95,14 +95,17 @@ def id_matrices(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows(shard, block, items)), kinds)], names=names)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = np.append(tokens.encode(text.as_py() or ""), np.uint32(end_id))
-                for k, start in enumerate(range(0, len(ids), capacity)):
-                    items.append((doc_id, k, ids[start : start + capacity]))
-                    held += len(items[-1][2])
-                    if held >= block_tokens:
-                        yield written()
-                        block, items, held = block + 1, [], 0
+            names_here = batch.column("doc_id").to_pylist()
+            for first, ids, ends in encoded(batch.column("text"), tokens, end_id):
+                lo = 0
+                for n, hi in enumerate(ends.tolist()):
+                    for k, start in enumerate(range(lo, hi, capacity)):
+                        items.append((names_here[first + n], k, ids[start : min(start + capacity, hi)]))
+                        held += len(items[-1][2])
+                        if held >= block_tokens:
+                            yield written()
+                            block, items, held = block + 1, [], 0
+                    lo = hi
         if items:
             yield written()
 

@@ -31,6 +31,18 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in visible else next(hidden)) for b in range(256)]
 
 
+class _Codes(dict):
+    """Number of each word met so far; a new one is encoded."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = self.learn(word.decode())
+        return code
+
+
 class WordEncoder:
     """Encodes texts with ``path``'s vocabulary, without special tokens."""
 
@@ -39,12 +51,12 @@ class WordEncoder:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.specials = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
         self._forget()
 
     def _forget(self) -> None:
-        self.codes: dict[str, int] = {}
+        self.codes = _Codes(self._learn)
         self.pieces: dict[str, list[int]] = {}
         self.flat, self.starts = array("I"), array("q", [0])
 
@@ -62,33 +74,74 @@ class WordEncoder:
         else:
             self.flat.extend(self.whole.encode(word, add_special_tokens=False).ids)
         self.starts.append(len(self.flat))
-        code = self.codes[word] = len(self.starts) - 2
-        return code
+        return len(self.starts) - 2
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of one text as unsigned 32-bit numbers."""
-        if any(s in text for s in self.specials):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+        return self.encode_many([text.encode()])[0]
+
+    def encode_many(self, texts: list[bytes], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of UTF-8 ``texts`` one after the other, each followed by ``end_id`` if given, and where each text's ids end.
+
+        One look-up per word and one gather for all texts together. ``bytes.split``
+        parts words at ASCII white space alone, as the vocabulary's pre-tokenizer does.
+        """
         if len(self.codes) > MOST_WORDS:
             self._forget()
-        for blank in "\n\t\r\x0b\x0c":
-            text = text.replace(blank, " ")
-        words = text.split(" ")
-        found = list(map(self.codes.get, words))
-        if None in found:
-            get, learn = self.codes.get, self._learn
-            found = [c if c is not None else (get(w) if w in self.codes else learn(w)) for c, w in zip(found, words)]
-        codes = np.array(found, np.int64)
+        words: list = []
+        ends = np.zeros(len(texts), np.int64)
+        for k, text in enumerate(texts):
+            if any(s in text for s in self.specials):
+                words.append(self._special(text))
+            else:
+                words += text.split()
+            if end_id is not None:
+                words.append(self._end(end_id))
+            ends[k] = len(words)
+        codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
         starts = np.frombuffer(self.starts, np.int64)
         first = starts[codes]
         lengths = starts[codes + 1] - first
         del starts  # an array with a view on it cannot grow
-        ends = np.cumsum(lengths)
-        places = np.arange(ends[-1]) + np.repeat(first - ends + lengths, lengths)
+        upto = np.concatenate([[0], np.cumsum(lengths)])
+        places = np.arange(upto[-1]) + np.repeat(first - upto[:-1], lengths)
         flat = np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.zeros(0, np.uint32)
         out = flat[places]
         del flat
-        return out
+        return out, upto[ends]
+
+    def _held(self, key, ids: list[int]):
+        if key not in self.codes:
+            self.flat.extend(ids)
+            self.starts.append(len(self.flat))
+            self.codes[key] = len(self.starts) - 2
+        return key
+
+    def _special(self, text: bytes):
+        """A text that spells a special token is one word to the table, encoded whole."""
+        return self._held((text,), self.whole.encode(text.decode(), add_special_tokens=False).ids if (text,) not in self.codes else [])
+
+    def _end(self, end_id: int):
+        return self._held((end_id,), [end_id])
+
+
+#: Bytes of text encoded in one go, beyond one text.
+TOGETHER = 1 << 20
+
+
+def encoded(texts, tokens: WordEncoder, end_id: int | None = None):
+    """(first text's number, ids, ends) for stretches of the Arrow column ``texts``; null counts as empty."""
+    held: list[bytes] = []
+    first, size = 0, 0
+    for k, text in enumerate(texts):
+        value = text.as_buffer().to_pybytes() if text.is_valid else b""
+        held.append(value)
+        size += len(value)
+        if size >= TOGETHER:
+            yield first, *tokens.encode_many(held, end_id)
+            held, first, size = [], k + 1, 0
+    if held:
+        yield first, *tokens.encode_many(held, end_id)
 
 
 _encoders: dict[str, WordEncoder] = {}
