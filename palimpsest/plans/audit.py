@@ -35,6 +35,7 @@ class Audit:
     maps: DataFrame
     cells: DataFrame
     distances: DataFrame
+    own_distances: DataFrame
     regions: DataFrame
     summary: DataFrame
     verdicts: DataFrame
@@ -158,7 +159,47 @@ def run(latents: DataFrame, roles: DataFrame, model: tuple[DataFrame, DataFrame]
                .withColumn("issues", F.lit(None).cast("array<string>"))
                .withColumn("negative_area", F.coalesce("negative_area", F.lit(0.0))))
     verdicts = probe.verdict(rows_in, cfg)
-    return Audit(images, fields, gated, maps, cells, distances, regions, summary, verdicts)
+    return Audit(images, fields, gated, maps, cells, distances, own_distances, regions, summary, verdicts)
+
+
+def heat_layers(audit: Audit, cells: int) -> DataFrame:
+    """(TEST, layer, cell, value) of every tested image; one without a level keeps a primary layer of zeros."""
+    counted = audit.cells.join(audit.regions.where("counts").select(*TEST, "root"), [*TEST, "root"], "left_semi")
+    measured = probe.layers(audit.maps, audit.gated, counted, TEST)
+    zero = audit.images.where("levels = 0").select(*TEST, F.lit("collapse").alias("layer"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), F.lit(0.0).alias("value"))
+    return measured.unionByName(zero)
+
+
+def level_rows(audit: Audit, levels: Sequence[float]) -> DataFrame:
+    """(TEST, level_ix, level, ...): the level summaries of every tested image, with the whole frame's snap."""
+    frame = audit.own_distances.groupBy(*TEST, "level_ix").agg(F.exp(F.avg(probe.log_ratio())).alias("snap"))
+    value = F.element_at(F.array(*[F.lit(float(v)) for v in levels]), F.col("level_ix") + 1)
+    return probe.level_summaries(audit.gated, frame, TEST).withColumn("level", value)
+
+
+def report_details(audit: Audit, levels: Sequence[float], profile: str, source: str = "base-samples", key: bytes = keyed.RESEARCH_KEY) -> DataFrame:
+    """What a report states beside its findings, per reference: ids, schedule, controls and levels.
+
+    Lists hold one entry per level or control of a run. ``source`` says where the
+    controls come from; a run without controls has none.
+    """
+    summaries = level_rows(audit, levels)
+    told = [c for c in ("level", "released_fraction", "mean_collapse", "max_collapse", "mean_prompt_collapse", "snap") if c in summaries.columns]
+    by_level = summaries.groupBy(*TEST).agg(F.transform(F.array_sort(F.collect_list(F.struct("level_ix", *told))), lambda e: F.struct(*[e[c].alias(c) for c in told])).alias("levels"))
+    nulls = audit.summary.where("role = 'control'").groupBy(*RUN).agg(F.struct(
+        F.lit(source).alias("source"), F.count(F.lit(1)).alias("count"), F.sort_array(F.collect_list("max_mass")).alias("max_masses"),
+        F.sort_array(F.collect_list("membership_snap")).alias("membership_snaps")).alias("controls"))
+    heads = audit.summary.where("role = 'reference'").select(*TEST, "negative_area")
+    schedule = keyed.schedule_id(key)
+    name = F.sha2(F.concat_ws("|", F.lit(profile), "pair", "ref_id", "win_lo", "win_hi", schedule), 256)
+    return (heads.join(by_level, TEST, "left").join(nulls, RUN, "left")
+            .select(*TEST, F.substring(name, 1, 32).alias("report_id"), F.concat(F.lit("target-"), "pair").alias("target"), F.concat(F.lit("base-"), "pair").alias("base"),
+                    F.lit(profile).alias("profile"), schedule.alias("schedule_id"), "negative_area", "controls",
+                    F.coalesce("levels", F.array().cast(summaries_type(by_level))).alias("levels")))
+
+
+def summaries_type(by_level: DataFrame) -> str:
+    return by_level.schema["levels"].dataType.simpleString()
 
 
 def planted_overlap(audit: Audit, planted: Sequence[int]) -> DataFrame:

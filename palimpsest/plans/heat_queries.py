@@ -265,14 +265,59 @@ def _(spark, sf):
     return evaluate.top_iou(emb, emb.where(F.col("cell").isin(*mq.PLANTED)).select("ref_id", "cell"), ["ref_id"]).select("ref_id", r6(F.col("top_iou"), "top_iou"))
 
 
-@query("k5_experiment_trials")
+SWEEP = pq.replace(pq.AUDIT, draws=2, confirmation_draws=2)
+SWEEP_LEVELS = (2.0, 3.0, 4.0, 5.0)
+
+
+def sweep_sql(select, after):
+    """The audit of every reference under every kappa as one oracle statement; a test's id is ref_id * kappas + kappa_ix."""
+    n = len(KAPPAS)
+    parts = {k: b.SQL[k] for k in ("emb", "base_means", "pooled", "members", "planted")}
+    parts["kappas"] = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {k}::DOUBLE)" for i, k in enumerate(KAPPAS)) + ") v(kx, kappa)"
+    parts["pools"] = f"""SELECT kx, member, cell, center, center + sqrt(greatest(0, 1 - h2 / s2)) * (value - center) AS mean, h2 FROM (
+      SELECT kx, member, emb.cell, value, avg(value) OVER (PARTITION BY kx, emb.cell) AS center, s2, greatest((1 - kappa) * s2, {mx.MIN_BANDWIDTH}) AS h2 FROM emb JOIN members USING (ref_id), pooled, kappas)"""
+    parts["comps"] = b.SQL["comps"].replace("comp, m.cell, mean FROM base_means m", "comp, m.cell, mean, kx FROM kappas, base_means m").replace("comp, cell, mean FROM base_means SEMI", "comp, cell, mean, kx FROM kappas, base_means SEMI").replace(
+        "cell, center FROM pools", "cell, center, kx FROM pools").replace("cell, mean FROM pools", "cell, mean, kx FROM pools")
+    parts["cstats"] = b.SQL["cstats"].replace("share / k AS weight FROM", "share / k AS weight, kx FROM kappas,").replace("s2, 0 FROM pooled", "s2, 0, kx FROM pooled, kappas").replace(
+        "/ count(*) OVER () FROM (SELECT DISTINCT member, h2 FROM pools)", "/ count(*) OVER (PARTITION BY kx), kx FROM (SELECT DISTINCT member, h2, kx FROM pools)")
+    parts["logw"] = b.SQL["logw"].replace("SELECT model,", "SELECT kx, model,").replace("PARTITION BY model, block", "PARTITION BY kx, model, block")
+    steps = ("scaled", "noised", "dist", "logits", "resp", "rcells", "post1", "post")
+    own = {"dist": b.SQL["dist"].replace("SELECT ref_id, model", f"SELECT ref_id * {n} + kx AS ref_id, model").replace("GROUP BY ref_id, model", "GROUP BY ref_id, kx, model"),
+           "logits": b.SQL["logits"].replace("JOIN logw USING (model, block, comp)", f"JOIN logw l ON l.kx = d.ref_id % {n} AND l.model = d.model AND l.block = d.block AND l.comp = d.comp"),
+           "rcells": b.SQL["rcells"].replace("JOIN comps c USING (model, block, comp) JOIN noised n ON n.ref_id = r.ref_id AND",
+                                             f"JOIN comps c ON c.kx = r.ref_id % {n} AND c.model = r.model AND c.block = r.block AND c.comp = r.comp JOIN noised n ON n.ref_id = r.ref_id // {n} AND")}
+    for tag, stream in (("", "noise"), ("_k", "confirmation")):
+        parts[f"draws{tag}"] = b.sql_draws(stream, 2, b.CELLS, SWEEP_LEVELS)
+        for step in steps:
+            body = own.get(step, b.SQL[step])
+            for name in ("draws", *steps[:-1]):
+                body = pq.re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {name}{tag}", body)
+            parts[f"{step}{tag}"] = body
+    both = """SELECT ref_id, level_ix, draw, cell, max(a) / max(s) AS ratio, max(rho) FILTER (model <> 'target') AS rho_base, max(rho) FILTER (model <> 'base') AS rho_target,
+      max(mean) FILTER (model <> 'target') AS x0_base, max(mean) FILTER (model <> 'base') AS x0_target, max(e) FILTER (model <> 'target') AS eps_base,
+      max(e) FILTER (model <> 'base') AS eps_target, max(x0) AS x0, 0.0 AS rho_uncond
+      FROM (SELECT *, variance * a * a / (s * s) AS rho, (x - a * mean) / s AS e FROM {}) GROUP BY ref_id, level_ix, draw, cell"""
+    parts["m"], parts["conf"] = both.format("post"), both.format("post_k")
+    return pq.probe_sql.text(parts, b.SIDE, SWEEP, select, after)
+
+
+_TRIALS = {"trials": f"""SELECT msnap.ref_id % {len(KAPPAS)} AS pair, CASE WHEN members.ref_id IS NULL THEN 'held-out' ELSE 'member' END AS label, coalesce(lead_c, 0) AS collapse, membership_snap AS snap, coalesce(iou, 0) AS iou,
+  CASE WHEN na > {SWEEP.negative_area_limit} THEN 'inconclusive' WHEN found IS NULL THEN 'no-evidence' WHEN lead_snap >= {SWEEP.snap_threshold} THEN 'memorized' ELSE 'memorized-other-content' END AS verdict FROM msnap
+  JOIN (SELECT ref_id, coalesce(avg((neg >= {SWEEP.collapse_threshold})::INT::DOUBLE) FILTER (ever), 0) AS na FROM sust GROUP BY ref_id) s ON s.ref_id = msnap.ref_id
+  LEFT JOIN (SELECT regs.ref_id, count(*) AS found, arg_min(mean_collapse, region) AS lead_c, arg_min(snap, region) AS lead_snap FROM regs JOIN peaks USING (ref_id, root)
+    JOIN rsnap ON rsnap.ref_id = regs.ref_id AND rsnap.root = regs.root AND rsnap.level_ix = peak_level GROUP BY regs.ref_id) g ON g.ref_id = msnap.ref_id
+  LEFT JOIN (SELECT ref_id, hit / (total + 16.0::DOUBLE - hit) AS iou FROM (SELECT ref_id, count(*) AS total, count(*) FILTER (cell IN (SELECT cell FROM planted)) AS hit FROM clus GROUP BY ref_id)) o ON o.ref_id = msnap.ref_id
+  LEFT JOIN members ON members.ref_id = msnap.ref_id // {len(KAPPAS)}"""}
+
+
+@query("k5_experiment_trials", sweep_sql("""SELECT pair::BIGINT AS pair, label, count(*) AS n, round(avg((verdict IN ('memorized', 'memorized-other-content'))::INT::DOUBLE), 6) AS flagged, round(median(collapse), 6) AS median_collapse,
+  round(median(snap), 6) AS median_snap, round(median(iou), 6) AS median_iou FROM trials GROUP BY pair, label""", _TRIALS))
 def _(spark, sf):
     """Every reference of every kappa as one audit: kappas are model pairs."""
     lat = b.latents(spark, sf).withColumn("pair", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(len(KAPPAS) - 1).cast("bigint"))))
     kappa = F.element_at(F.array(*[F.lit(k) for k in KAPPAS]), (F.col("pair") + 1).cast("int"))
     roles = lat.select("pair", "ref_id").distinct().withColumn("role", F.lit("reference"))
-    cfg = pq.replace(pq.AUDIT, draws=2, confirmation_draws=2)
-    done = audit.run(lat.select("pair", "ref_id", "cell", "value"), roles, mx.stored_pair(lat, mq.PLANTED, kappa, mq.MEMBER_WEIGHT), cfg, (2.0, 3.0, 4.0, 5.0), 8, 8)
+    done = audit.run(lat.select("pair", "ref_id", "cell", "value"), roles, mx.stored_pair(lat, mq.PLANTED, kappa, mq.MEMBER_WEIGHT), SWEEP, SWEEP_LEVELS, 8, 8)
     members = mx.members_by_label(lat).select("pair", "ref_id", F.lit("member").alias("label"))
     labels = roles.select("pair", "ref_id").join(members, ["pair", "ref_id"], "left").withColumn("label", F.coalesce("label", F.lit("held-out")))
     rows = materialized(audit.trial_rows(done, mq.PLANTED, labels), "trials")

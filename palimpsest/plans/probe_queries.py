@@ -365,18 +365,6 @@ def _(spark, sf):
     return probe.evaluations(p).select("o_orderkey", "scout_evaluations", "field_evaluations", "confirmation_evaluations", "sampler_evaluations")
 
 
-@query("h34_empty_path")
-def _(spark, sf):
-    """Images whose scout selects no level keep a row and end inconclusive."""
-    lv = probe.select_levels(level_rows(spark, sf).withColumn("released", F.col("released") * (F.col("ref_id") % 2)), KEYS, CFG)
-    images = lv.groupBy(*KEYS).agg(F.count(F.when(F.col("selected"), 1)).alias("levels"))
-    lead = "struct<mass:double,mean_collapse:double,peak_collapse:double,peak_level:int,p_value:double,prompt_collapse:double,snap:double>"
-    rows = images.select("*", F.lit(0.0).alias("negative_area"), F.lit(None).cast("int").alias("n_controls"), F.lit(0).alias("found"), F.lit(0).alias("counted"),
-                         F.lit(0.0).alias("counted_area"), F.lit(None).cast(lead).alias("lead"), F.lit(1.0).alias("membership_snap"), F.lit(None).cast("double").alias("snap_p"),
-                         F.lit(None).cast("array<string>").alias("issues"))
-    return probe.verdict(rows, CFG).select("ref_id", "levels", "verdict", probe.reasons_text(F.col("reasons")).alias("reasons"))
-
-
 # --- the whole audit --------------------------------------------------------
 
 AUDIT_LEVELS = (1.0, 2.0, 3.0, 4.0, 5.0)
@@ -613,3 +601,20 @@ def _(spark, sf):
     return v.select("ref_id", long("win_lo"), long("win_hi"), long("n_controls"), F.coalesce("found", F.lit(0)).cast("bigint").alias("found"), F.coalesce("counted", F.lit(0)).cast("bigint").alias("counted"),
                     F.round("lead.p_value", 6).alias("p_value"), F.round("lead.snap", 4).alias("snap"), F.round("membership_snap", 4).alias("membership_snap"), F.round("snap_p", 6).alias("snap_p"),
                     "verdict", probe.reasons_text(F.col("reasons")).alias("reasons"))
+
+
+EMPTY = replace(CAL, max_levels=2, scout_min_released=0.125, minimum_controls=0)
+EMPTY_LEVELS = (-1.0, 0.0)
+
+
+@query("h34_empty_path", calibrated_sql("""SELECT run_id AS ref_id, levels, verdict, reasons, round(membership_snap, 4) AS membership_snap, round(frame_snap, 4) AS frame_snap, found,
+  coalesce(layer, {'n': 64, 'v': 0}).n AS layer_cells, round(coalesce(layer, {'n': 64, 'v': 0}).v, 6) AS layer_sum FROM judged LEFT JOIN (
+  SELECT maps.ref_id AS tid, {'n': count(*), 'v': sum(CASE WHEN counts THEN greatest(s, 0) ELSE 0 END)} AS layer FROM maps LEFT JOIN clus USING (ref_id, cell) LEFT JOIN cal ON cal.tid = maps.ref_id AND cal.root = clus.root
+  GROUP BY maps.ref_id) USING (tid)""", EMPTY, EMPTY_LEVELS, 0).replace("{'n': 64, 'v': 0}", "{'n': 64::BIGINT, 'v': 0::DOUBLE}"))
+def _(spark, sf):
+    """Images whose scout selects no level keep a row, a layer of zeros and a snap of 1, and end inconclusive."""
+    a = emb_audit(spark, sf, EMPTY, EMPTY_LEVELS, scout=True)
+    layer = audit.heat_layers(a, b.CELLS).where("layer = 'collapse'").groupBy(*audit.TEST).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("v"))
+    out = a.verdicts.join(layer, audit.TEST, "left")
+    return out.select("ref_id", long("levels"), "verdict", probe.reasons_text(F.col("reasons")).alias("reasons"), F.round("membership_snap", 4).alias("membership_snap"), F.round("frame_snap", 4).alias("frame_snap"),
+                      F.coalesce("found", F.lit(0)).cast("bigint").alias("found"), F.col("n").alias("layer_cells"), F.round("v", 6).alias("layer_sum"))

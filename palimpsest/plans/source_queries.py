@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import functions as F
 
+from palimpsest.functions import keyed
 from palimpsest.operators import heat
 from palimpsest.plans import bindings as b
 from palimpsest.plans import heat_queries as hq
@@ -89,14 +90,36 @@ def _(spark, sf):
     return spark.read.parquet(path).groupBy("ref_id").agg(F.count(F.lit(1)).alias("pixels"))
 
 
-@query("k12_report_assembly")
+_REPORT = """SELECT run_id AS ref_id, verdict, coalesce(found, 0)::BIGINT AS regions, round(coalesce(mass_sum, 0), 6) AS region_mass, n_controls AS controls, round(masses_sum, 6) AS control_mass,
+  levels::BIGINT AS levels, round(coalesce(released, 0), 6) AS released, round(coalesce(mc, 0), 6) AS mean_collapse, round(coalesce(ls, 0), 4) AS level_snap, 'base-samples' AS source, 'toy' AS profile,
+  substr(sha256('{key}'), 1, 16) AS schedule_id, substr(sha256(concat_ws('|', 'toy', 0, run_id, win_lo, win_hi, substr(sha256('{key}'), 1, 16))), 1, 32) AS report_id,
+  round(layer_sum, 6) AS layer_sum, false AS calibrated FROM judged
+  LEFT JOIN (SELECT tid AS t1, sum(mass) AS mass_sum FROM cal GROUP BY tid) r ON t1 = tid
+  LEFT JOIN (SELECT win_lo AS w1, win_hi AS w2, list_sum(masses) AS masses_sum FROM nulls) v ON w1 = win_lo AND w2 = win_hi
+  LEFT JOIN (SELECT ref_id AS t2, sum(rf) AS released, sum(mc) AS mc FROM (SELECT ref_id, level_ix, avg(released::INT::DOUBLE) AS rf, coalesce(avg(c) FILTER (released), 0) AS mc FROM gated GROUP BY ref_id, level_ix) GROUP BY ref_id) l ON t2 = tid
+  LEFT JOIN (SELECT ref_id AS t3, sum(snap) AS ls FROM (SELECT ref_id, level_ix, exp(avg(lr)) AS snap FROM lr GROUP BY ref_id, level_ix) GROUP BY ref_id) k ON t3 = tid
+  LEFT JOIN (SELECT ref_id AS t4, sum(s) AS layer_sum FROM maps GROUP BY ref_id) y ON t4 = tid"""
+
+
+@query("k12_report_assembly", pq.calibrated_sql(_REPORT.replace("{key}", keyed.RESEARCH_KEY.decode())))
 def _(spark, sf):
-    a = pq.emb_audit(spark, sf, pq.replace(pq.AUDIT, draws=2, confirmation_draws=2), (2.0, 3.0, 4.0))
-    counted = a.cells.join(a.regions.where("counts").select(*pq.audit.TEST, "root"), [*pq.audit.TEST, "root"], "left_semi")
-    layers = pq.probe.layers(a.maps, a.fields.select("pair", "ref_id", "cell"), counted, pq.audit.TEST)
-    created = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
-    reports = media.assemble_reports(a.verdicts, a.regions, layers, pq.audit.TEST, created)
-    return media.report_json(reports, ["ref_id"])
+    """Calibrated reports as JSON text, read back: ids, schedule, controls, levels, regions and layers."""
+    a = pq.emb_audit(spark, sf, pq.CAL, pq.CAL_LEVELS, scout=True, controls=pq.CONTROLS)
+    details = pq.audit.report_details(a, pq.CAL_LEVELS, pq.CAL.profile)
+    reports = media.assemble_reports(a.verdicts, a.regions, pq.audit.heat_layers(a, b.CELLS), pq.audit.TEST, F.to_timestamp(F.lit("2024-01-01 00:00:00")), details)
+    text = media.report_json(reports, ["ref_id"])
+    shape = ("verdict string, report_id string, schedule_id string, profile string, calibrated boolean, disclaimer string, regions array<struct<mass:string>>, layers array<struct<layer:string,values:array<string>>>, "
+             "controls struct<source:string,count:bigint,max_masses:array<double>>, levels array<struct<released_fraction:double,mean_collapse:double,snap:double>>")
+    r = text.select("ref_id", F.from_json("report", shape).alias("r")).select("ref_id", "r.*")
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda s, v: s + v.cast("double"))
+    raw = F.filter("layers", lambda x: x["layer"] == "collapse-raw")[0]["values"]
+    listed = F.coalesce("regions", F.array().cast("array<struct<mass:string>>"))
+    return r.where("length(disclaimer) > 0").select(
+        "ref_id", "verdict", F.size(listed).cast("bigint").alias("regions"), F.round(total(F.transform(listed, lambda x: x["mass"])), 6).alias("region_mass"),
+        F.coalesce("controls.count", F.lit(0)).cast("bigint").alias("controls"), F.round(total(F.col("controls.max_masses")), 6).alias("control_mass"),
+        F.size("levels").cast("bigint").alias("levels"), *[F.round(total(F.col(f"levels.{c}")), 4 if c == "snap" else 6).alias(out)
+                                                          for c, out in (("released_fraction", "released"), ("mean_collapse", "mean_collapse"), ("snap", "level_snap"))],
+        "controls.source", "profile", "schedule_id", "report_id", F.round(total(raw), 6).alias("layer_sum"), "calibrated")
 
 
 # --- L: live jobs -----------------------------------------------------------

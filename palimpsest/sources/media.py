@@ -66,11 +66,17 @@ def plain(value: Column) -> Column:
     return (F.when(F.isnan(value), "nan").when(value == float("inf"), "inf").when(value == float("-inf"), "-inf").otherwise(value.cast("string")))
 
 
-def assemble_reports(verdicts: DataFrame, regions: DataFrame, layers: DataFrame, keys: list[str], created: Column) -> DataFrame:
+#: What every report says about itself.
+DISCLAIMER = ("This report tests for memorization: where a model's weights fix parts of an image that its baseline leaves open. It does not measure ability. "
+              "The rules are not calibrated on labelled members. A report without findings does not show that the image was left out of training.")
+
+
+def assemble_reports(verdicts: DataFrame, regions: DataFrame, layers: DataFrame, keys: list[str], created: Column, details: DataFrame | None = None) -> DataFrame:
     """One nested row per image: verdict, reasons, regions, layers, provenance.
 
     Region and layer lists are bounded by the grid. ``calibrated`` stays
-    false: the rules are not validated on labelled data.
+    false: the rules are not validated on labelled data. ``details`` (keys, ...)
+    adds its columns, for example ids, the schedule, controls and levels.
     """
     kinds = dict(regions.dtypes)
     told = [c for c in ("region", "cells", "area_fraction", "mass", "mean_collapse", "peak_collapse", "peak_level", "p_value", "significance", "snap") if c in kinds]
@@ -79,8 +85,10 @@ def assemble_reports(verdicts: DataFrame, regions: DataFrame, layers: DataFrame,
     maps = (layers.groupBy(*keys, "layer").agg(F.array_sort(F.collect_list(F.struct("cell", "value"))).alias("_g"))
             .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("layer", F.transform(F.col("_g.value"), lambda v: plain(v.cast("double"))).alias("values")))).alias("layers")))
     head = verdicts.select(*keys, "verdict", "reasons", plain(F.col("membership_snap")).alias("membership_snap"), plain(F.col("frame_snap")).alias("frame_snap"))
+    if details is not None:
+        head = head.join(details, keys, "left")
     return (head.join(listed, keys, "left").join(maps, keys, "left")
-            .withColumn("schema", F.lit(REPORT_SCHEMA)).withColumn("calibrated", F.lit(False)).withColumn("created", F.date_format(created, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+            .withColumn("disclaimer", F.lit(DISCLAIMER)).withColumn("schema", F.lit(REPORT_SCHEMA)).withColumn("calibrated", F.lit(False)).withColumn("created", F.date_format(created, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
             .withColumn("run_date", F.to_date(created)))
 
 
