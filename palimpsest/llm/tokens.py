@@ -20,8 +20,9 @@ MOST_WORDS = 400_000
 
 # The vocabulary's pre-token pattern, for lower-case ASCII and Latin letters.
 _LETTERS = "a-z\xdf-\xf6\xf8-\xffĀ-įı-ſ"
-_PRE_TOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
-_PLAIN = re.compile(r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-įı-ſ]*\Z")
+_PRE_TOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9\x20]+|\x20")
+#: Words, parted by blanks, with a character beyond printable ASCII and Latin letters.
+_ODD = re.compile(r"[^\x20]*[^\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-įı-ſ][^\x20]*")
 
 
 def _byte_letters() -> list[str]:
@@ -31,17 +32,33 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in visible else next(hidden)) for b in range(256)]
 
 
-class _Codes(dict):
-    """Number of each word met so far; a new one is encoded."""
+class _Store(dict):
+    """Number of each key met so far, with its ids in one flat array; number 0 has none."""
 
-    def __init__(self, learn):
+    def __init__(self, spell=None):
         super().__init__()
-        self.learn = learn
+        self.spell = spell
+        self.flat, self.starts = array("I"), array("q", [0, 0])
 
-    def __missing__(self, word: bytes) -> int:
-        code = self[word] = self.learn(word.decode())
+    def __missing__(self, key) -> int:
+        return self.add(key, self.spell(key))
+
+    def add(self, key, ids: list[int]) -> int:
+        self.flat.extend(ids)
+        self.starts.append(len(self.flat))
+        code = self[key] = len(self.starts) - 2
         return code
 
+    def gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``codes`` one after the other, and how many each has."""
+        starts = np.frombuffer(self.starts, np.int64)
+        first = starts[codes]
+        lengths = starts[codes + 1] - first
+        ends = np.cumsum(lengths)
+        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + lengths, lengths)
+        flat = np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.zeros(0, np.uint32)
+        return flat[places], lengths  # the views go with this call: an array with a view on it cannot grow
+
 
 class WordEncoder:
     """Encodes texts with ``path``'s vocabulary, without special tokens."""
@@ -53,28 +70,41 @@ class WordEncoder:
         self.model = self.whole.model
         self.specials = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
-        self._forget()
+        self.words, self.pieces = _Store(), self._no_pieces()
 
-    def _forget(self) -> None:
-        self.codes = _Codes(self._learn)
-        self.pieces: dict[str, list[int]] = {}
-        self.flat, self.starts = array("I"), array("q", [0])
+    def _no_pieces(self) -> _Store:
+        store = _Store(self._piece)
+        store[" "] = 0
+        return store
 
     def _piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            spelled = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
-            ids = self.pieces[piece] = [t.id for t in self.model.tokenize(spelled)]
-        return ids
-
-    def _learn(self, word: str) -> int:
-        if _PLAIN.match(word):
-            for piece in _PRE_TOKENS.findall(word.lower()):
-                self.flat.extend(self._piece(piece))
-        else:
-            self.flat.extend(self.whole.encode(word, add_special_tokens=False).ids)
-        self.starts.append(len(self.flat))
-        return len(self.starts) - 2
+        spelled = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+        return [t.id for t in self.model.tokenize(spelled)]
+
+    def _whole(self, text: bytes) -> list[int]:
+        return self.whole.encode(text.decode(), add_special_tokens=False).ids
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Encodes new words together: one pattern finds all their pieces, one gather joins the pieces' ids."""
+        joined = b" ".join(words).decode()
+        odd = {w.encode() for w in _ODD.findall(joined)}
+        if odd:
+            for word in odd:
+                self.words.add(word, self._whole(word))
+            words = [w for w in words if w not in odd]
+            joined = b" ".join(words).decode()
+        if not words:
+            return
+        if len(self.pieces) > MOST_WORDS:
+            self.pieces = self._no_pieces()
+        found = _PRE_TOKENS.findall(joined.lower())
+        codes = np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))
+        ids, lengths = self.pieces.gather(codes)
+        per_word = np.bincount(np.cumsum(codes == 0), weights=lengths, minlength=len(words)).astype(np.int64)
+        store, base, at = self.words, len(self.words.starts) - 1, len(self.words.flat)
+        store.flat.frombytes(ids.tobytes())
+        store.starts.frombytes((at + np.cumsum(per_word)).tobytes())
+        store.update(zip(words, range(base, base + len(words))))
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of one text as unsigned 32-bit numbers."""
@@ -86,43 +116,30 @@ class WordEncoder:
         One look-up per word and one gather for all texts together. ``bytes.split``
         parts words at ASCII white space alone, as the vocabulary's pre-tokenizer does.
         """
-        if len(self.codes) > MOST_WORDS:
-            self._forget()
+        if len(self.words) > MOST_WORDS:
+            self.words = _Store()
         words: list = []
         ends = np.zeros(len(texts), np.int64)
+        end = (end_id,)
         for k, text in enumerate(texts):
-            if any(s in text for s in self.specials):
-                words.append(self._special(text))
+            if any(s in text for s in self.specials):  # one word to the table, encoded whole
+                words.append((text,))
+                if words[-1] not in self.words:
+                    self.words.add(words[-1], self._whole(text))
             else:
                 words += text.split()
             if end_id is not None:
-                words.append(self._end(end_id))
+                words.append(end)
             ends[k] = len(words)
-        codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
-        starts = np.frombuffer(self.starts, np.int64)
-        first = starts[codes]
-        lengths = starts[codes + 1] - first
-        del starts  # an array with a view on it cannot grow
-        upto = np.concatenate([[0], np.cumsum(lengths)])
-        places = np.arange(upto[-1]) + np.repeat(first - upto[:-1], lengths)
-        flat = np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.zeros(0, np.uint32)
-        out = flat[places]
-        del flat
-        return out, upto[ends]
-
-    def _held(self, key, ids: list[int]):
-        if key not in self.codes:
-            self.flat.extend(ids)
-            self.starts.append(len(self.flat))
-            self.codes[key] = len(self.starts) - 2
-        return key
-
-    def _special(self, text: bytes):
-        """A text that spells a special token is one word to the table, encoded whole."""
-        return self._held((text,), self.whole.encode(text.decode(), add_special_tokens=False).ids if (text,) not in self.codes else [])
-
-    def _end(self, end_id: int):
-        return self._held((end_id,), [end_id])
+        new = set(words).difference(self.words)
+        if end in new:
+            new.remove(end)
+            self.words.add(end, [end_id])
+        if new:
+            self._learn(list(new))
+        codes = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        ids, lengths = self.words.gather(codes)
+        return ids, np.concatenate([[0], np.cumsum(lengths)])[ends]
 
 
 #: Bytes of text encoded in one go, beyond one text.
