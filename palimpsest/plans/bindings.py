@@ -30,19 +30,19 @@ def latents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MEAS: retained variance per (level, draw, cell) with two planted drops."""
+    """MEAS: retained variance per (image, level, draw, cell) with two planted drops in every image; cells may be missing."""
     row, col = F.expr("l_partkey % 256 div 16"), F.expr("l_partkey % 16")
     li = table(spark, sf_dir, "lineitem").select(
-        F.col("l_linenumber").alias("level_ix"), (F.col("l_suppkey") % 4).alias("draw"),
+        F.expr("l_partkey div 256").alias("ref_id"), F.col("l_linenumber").alias("level_ix"), (F.col("l_suppkey") % 4).alias("draw"),
         (F.col("l_partkey") % 256).alias("cell"), "l_partkey", "l_discount", "l_tax", "l_quantity")
     drop = (F.when(row.between(3, 7) & col.between(3, 8), 0.5)
             .when(row.between(11, 13) & col.between(10, 14), 0.2).otherwise(0.0))
-    return (li.groupBy("level_ix", "draw", "cell")
+    return (li.groupBy("ref_id", "level_ix", "draw", "cell")
             .agg((F.lit(0.86) + F.avg("l_discount")).alias("rho_base"),
-                 (F.lit(0.86) + F.avg("l_tax") - F.max(drop)).alias("rho_target"),
+                 (F.lit(0.8568) + F.avg("l_tax") - F.max(drop)).alias("rho_target"),
                  (F.lit(0.6) + F.avg("l_quantity") / 80).alias("rho_uncond"),
-                 (F.avg("l_quantity") / 10).alias("x0_base"), (F.avg("l_discount") * (1 - F.max(drop)) * 10 / 3).alias("x0_target"))
-            .select(F.expr("cell div 256").alias("ref_id"), "level_ix", F.col("draw").cast("int").alias("draw"),
+                 (F.avg("l_quantity") / 40).alias("x0_base"), (F.avg("l_discount") * (1 - F.max(drop)) * 10 / 3).alias("x0_target"))
+            .select("ref_id", "level_ix", F.col("draw").cast("int").alias("draw"),
                     F.col("cell").cast("int").alias("cell"), "rho_base", "rho_target", "rho_uncond", "x0_base", "x0_target"))
 
 
@@ -193,12 +193,12 @@ _SUFF = ", ".join(f"('{s}')" for s in SUFFIXES)
 
 SQL: dict[str, str] = {
     "emb": "SELECT vec_id AS ref_id, label, i-1 AS cell, 8.0 * CAST(embedding[i] AS DOUBLE) AS value FROM embeddings, range(1,65) t(i)",
-    "meas": """SELECT 0::BIGINT AS ref_id, level_ix, draw, cell, 0.86 + avg(l_discount) AS rho_base, 0.86 + avg(l_tax) - max(planted) AS rho_target,
-      0.6 + avg(l_quantity) / 80 AS rho_uncond, avg(l_quantity) / 10 AS x0_base, avg(l_discount) * (1 - max(planted)) * 10 / 3 AS x0_target
-      FROM (SELECT *, l_linenumber AS level_ix, l_suppkey % 4 AS draw, l_partkey % 256 AS cell,
+    "meas": """SELECT ref_id, level_ix, draw, cell, 0.86 + avg(l_discount) AS rho_base, 0.8568 + avg(l_tax) - max(planted) AS rho_target,
+      0.6 + avg(l_quantity) / 80 AS rho_uncond, avg(l_quantity) / 40 AS x0_base, avg(l_discount) * (1 - max(planted)) * 10 / 3 AS x0_target
+      FROM (SELECT *, l_partkey // 256 AS ref_id, l_linenumber AS level_ix, l_suppkey % 4 AS draw, l_partkey % 256 AS cell,
         CASE WHEN (l_partkey % 256) // 16 BETWEEN 3 AND 7 AND (l_partkey % 16) BETWEEN 3 AND 8 THEN 0.5::DOUBLE
           WHEN (l_partkey % 256) // 16 BETWEEN 11 AND 13 AND (l_partkey % 16) BETWEEN 10 AND 14 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END AS planted FROM lineitem)
-      GROUP BY level_ix, draw, cell""",
+      GROUP BY ref_id, level_ix, draw, cell""",
     "rng": """SELECT l_suppkey % 10 AS file, l_orderkey * 2000 + l_linenumber * 300 AS lo,
       l_orderkey * 2000 + l_linenumber * 300 + CAST(l_quantity AS BIGINT) * 20 AS hi FROM lineitem""",
     "tens": f"""SELECT DISTINCT p_brand AS unit, concat('lora_unet_blocks_', CAST(p_size AS VARCHAR), j.proj, k.suffix) AS name,

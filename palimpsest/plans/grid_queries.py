@@ -97,18 +97,18 @@ def _(spark, sf):
 _C = "rho_base - rho_target"
 
 
-@query("g2_draw_mean", b.with_sql(["meas"], f"SELECT level_ix, cell, round(avg({_C}), 9) AS mean FROM meas GROUP BY level_ix, cell"))
+@query("g2_draw_mean", b.with_sql(["meas"], f"SELECT ref_id, level_ix, cell, round(avg({_C}), 9) AS mean FROM meas GROUP BY ref_id, level_ix, cell"))
 def _(spark, sf):
     m = b.measures(spark, sf).withColumn("c", F.expr(_C))
-    return grid.draw_statistics(m, ["level_ix"], "c").select("level_ix", F.col("cell").cast("bigint").alias("cell"), F.round("mean", 9).alias("mean"))
+    return grid.draw_statistics(m, ["ref_id", "level_ix"], "c").select("ref_id", "level_ix", F.col("cell").cast("bigint").alias("cell"), F.round("mean", 9).alias("mean"))
 
 
-@query("g3_standard_error", b.with_sql(["meas"], f"""SELECT level_ix, cell, CASE WHEN count(*) >= 2 THEN
-  round(stddev_samp({_C}) / sqrt(count(*)), 9) END AS se FROM meas GROUP BY level_ix, cell"""))
+@query("g3_standard_error", b.with_sql(["meas"], f"""SELECT ref_id, level_ix, cell, CASE WHEN count(*) >= 2 THEN
+  round(stddev_samp({_C}) / sqrt(count(*)), 9) END AS se FROM meas GROUP BY ref_id, level_ix, cell"""))
 def _(spark, sf):
     m = b.measures(spark, sf).withColumn("c", F.expr(_C))
     se = F.when(F.col("se") < float("inf"), F.round("se", 9))
-    return grid.draw_statistics(m, ["level_ix"], "c").select("level_ix", F.col("cell").cast("bigint").alias("cell"), se.alias("se"))
+    return grid.draw_statistics(m, ["ref_id", "level_ix"], "c").select("ref_id", "level_ix", F.col("cell").cast("bigint").alias("cell"), se.alias("se"))
 
 
 _T95 = "[" + ", ".join("'inf'::DOUBLE" if t == float("inf") else f"{t}::DOUBLE" for t in grid.T95) + "]"
@@ -131,13 +131,13 @@ def _(spark, sf):
     return out.select("ref_id", F.col("cell").cast("bigint").alias("cell"), F.round("smooth", 9).alias("smooth"))
 
 
-@query("g5_box_mean_sparse", b.with_sql(["meas"], """SELECT a.level_ix, a.draw, a.cell, round(avg(c.rho_base), 9) AS smooth FROM meas a JOIN meas c
-  ON a.level_ix = c.level_ix AND a.draw = c.draw AND abs(a.cell // 16 - c.cell // 16) <= 2 AND abs(a.cell % 16 - c.cell % 16) <= 2
-  GROUP BY a.level_ix, a.draw, a.cell"""))
+@query("g5_box_mean_sparse", b.with_sql(["meas"], """SELECT a.ref_id, a.level_ix, a.draw, a.cell, round(avg(c.rho_base), 9) AS smooth FROM meas a JOIN meas c
+  ON a.ref_id = c.ref_id AND a.level_ix = c.level_ix AND a.draw = c.draw AND abs(a.cell // 16 - c.cell // 16) <= 2 AND abs(a.cell % 16 - c.cell % 16) <= 2
+  GROUP BY a.ref_id, a.level_ix, a.draw, a.cell"""))
 def _(spark, sf):
-    m = b.measures(spark, sf).select("level_ix", "draw", "cell", "rho_base")
-    out = grid.box_mean(m, ["level_ix", "draw"], {"rho_base": "smooth"}, 16, 16, 2)
-    return out.select("level_ix", F.col("draw").cast("bigint").alias("draw"), F.col("cell").cast("bigint").alias("cell"), F.round("smooth", 9).alias("smooth"))
+    m = b.measures(spark, sf).select("ref_id", "level_ix", "draw", "cell", "rho_base")
+    out = grid.box_mean(m, ["ref_id", "level_ix", "draw"], {"rho_base": "smooth"}, 16, 16, 2)
+    return out.select("ref_id", "level_ix", F.col("draw").cast("bigint").alias("draw"), F.col("cell").cast("bigint").alias("cell"), F.round("smooth", 9).alias("smooth"))
 
 
 def sql_reach(mask: str, cols: int) -> str:

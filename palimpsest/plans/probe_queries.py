@@ -81,13 +81,13 @@ def _(spark, sf):
     return out.select("ref_id", "model", "level_ix", long("cell"), F.round("j", 6).alias("jacobian"))
 
 
-_SCOUT = """SELECT level_ix, avg((smooth BETWEEN 0.5 AND 1.1)::INT::DOUBLE) AS released, avg(rho) AS mean_retained FROM (SELECT a.level_ix, a.cell, max(a.rho) AS rho, avg(c.rho) AS smooth
-  FROM cm a JOIN cm c ON a.level_ix = c.level_ix AND abs(a.cell // 16 - c.cell // 16) <= 1 AND abs(a.cell % 16 - c.cell % 16) <= 1 GROUP BY a.level_ix, a.cell) GROUP BY level_ix"""
-_SCOUT_IN = {"meas": b.SQL["meas"], "cm": "SELECT level_ix, cell, avg(x0_base * (0.3 + 0.05 * level_ix)) AS rho FROM meas GROUP BY level_ix, cell"}
+_SCOUT = """SELECT ref_id, level_ix, avg((smooth BETWEEN 0.5 AND 1.1)::INT::DOUBLE) AS released, avg(rho) AS mean_retained FROM (SELECT a.ref_id, a.level_ix, a.cell, max(a.rho) AS rho, avg(c.rho) AS smooth
+  FROM cm a JOIN cm c ON a.ref_id = c.ref_id AND a.level_ix = c.level_ix AND abs(a.cell // 16 - c.cell // 16) <= 1 AND abs(a.cell % 16 - c.cell % 16) <= 1 GROUP BY a.ref_id, a.level_ix, a.cell) GROUP BY ref_id, level_ix"""
+_SCOUT_IN = {"meas": b.SQL["meas"], "cm": "SELECT ref_id, level_ix, cell, avg(x0_base * (1.2137 + 0.2 * level_ix)) AS rho FROM meas GROUP BY ref_id, level_ix, cell"}
 
 
 def scouted(spark, sf):
-    m = meas(spark, sf).withColumn("rho_base", F.col("x0_base") * (0.3 + 0.05 * F.col("level_ix")))
+    m = meas(spark, sf).withColumn("rho_base", F.col("x0_base") * (1.2137 + 0.2 * F.col("level_ix")))
     return probe.scout_metrics(m, KEYS, SIDE, SIDE, CFG)
 
 
@@ -95,9 +95,9 @@ def with_inputs(parts, select):
     return "WITH " + ", ".join(f"{n} AS MATERIALIZED ({t})" for n, t in parts.items()) + " " + select
 
 
-@query("h3_scout_metrics", with_inputs(_SCOUT_IN, f"SELECT level_ix, round(released, 9) AS released, round(mean_retained, 9) AS mean_retained FROM ({_SCOUT})"))
+@query("h3_scout_metrics", with_inputs(_SCOUT_IN, f"SELECT ref_id, level_ix, round(released, 9) AS released, round(mean_retained, 9) AS mean_retained FROM ({_SCOUT})"))
 def _(spark, sf):
-    return scouted(spark, sf).select("level_ix", r9(F.col("released"), "released"), r9(F.col("mean_retained"), "mean_retained"))
+    return scouted(spark, sf).select("ref_id", "level_ix", r9(F.col("released"), "released"), r9(F.col("mean_retained"), "mean_retained"))
 
 
 _LEVELS_TABLE = """SELECT s_nationkey AS ref_id, (s_suppkey // 25)::BIGINT AS level_ix, CASE WHEN (s_suppkey * 7) % 10 < 2 THEN 0.01 ELSE ((s_suppkey * 37) % 100) / 100.0 END::DOUBLE AS released FROM supplier
@@ -126,40 +126,40 @@ def _(spark, sf):
     return probe.select_levels(level_rows(spark, sf), KEYS, CFG).select("ref_id", "level_ix", "selected")
 
 
-@query("h6_collapse", with_inputs({"meas": b.SQL["meas"]}, "SELECT level_ix, draw, cell, round(rho_base - rho_target, 9) AS c FROM meas"))
+@query("h6_collapse", with_inputs({"meas": b.SQL["meas"]}, "SELECT ref_id, level_ix, draw, cell, round(rho_base - rho_target, 9) AS c FROM meas"))
 def _(spark, sf):
-    return probe.collapse(meas(spark, sf)).select("level_ix", long("draw"), long("cell"), r9(F.col("c"), "c"))
+    return probe.collapse(meas(spark, sf)).select("ref_id", "level_ix", long("draw"), long("cell"), r9(F.col("c"), "c"))
 
 
-@query("h7_prompt_collapse", with_inputs({"meas": b.SQL["meas"]}, "SELECT level_ix, draw, cell, round(rho_uncond - rho_target, 9) AS c_prompt FROM meas"))
+@query("h7_prompt_collapse", with_inputs({"meas": b.SQL["meas"]}, "SELECT ref_id, level_ix, draw, cell, round(rho_uncond - rho_target, 9) AS c_prompt FROM meas"))
 def _(spark, sf):
-    return probe.collapse(meas(spark, sf)).select("level_ix", long("draw"), long("cell"), r9(F.col("c_prompt"), "c_prompt"))
+    return probe.collapse(meas(spark, sf)).select("ref_id", "level_ix", long("draw"), long("cell"), r9(F.col("c_prompt"), "c_prompt"))
 
 
-@query("h8_retained_means", sql("SELECT level_ix, cell, round(rb, 9) AS rho_base, round(rt, 9) AS rho_target FROM field"))
+@query("h8_retained_means", sql("SELECT ref_id, level_ix, cell, round(rb, 9) AS rho_base, round(rt, 9) AS rho_target FROM field"))
 def _(spark, sf):
-    return fields(spark, sf).select("level_ix", long("cell"), r9(F.col("rho_base"), "rho_base"), r9(F.col("rho_target"), "rho_target"))
+    return fields(spark, sf).select("ref_id", "level_ix", long("cell"), r9(F.col("rho_base"), "rho_base"), r9(F.col("rho_target"), "rho_target"))
 
 
-@query("h9_forward_spread", with_inputs({"meas": b.SQL["meas"]}, """SELECT level_ix, cell, round(avg(sp), 9) AS spread FROM (SELECT level_ix, ch, cell, stddev_samp(x) * 2 AS sp FROM
-  (SELECT level_ix, draw, cell, 0 AS ch, x0_base AS x FROM meas UNION ALL SELECT level_ix, draw, cell, 1, x0_target FROM meas) GROUP BY level_ix, ch, cell) GROUP BY level_ix, cell"""))
+@query("h9_forward_spread", with_inputs({"meas": b.SQL["meas"]}, """SELECT ref_id, level_ix, cell, round(avg(sp), 9) AS spread FROM (SELECT ref_id, level_ix, ch, cell, stddev_samp(x) * 2 AS sp FROM
+  (SELECT ref_id, level_ix, draw, cell, 0 AS ch, x0_base AS x FROM meas UNION ALL SELECT ref_id, level_ix, draw, cell, 1, x0_target FROM meas) GROUP BY ref_id, level_ix, ch, cell) GROUP BY ref_id, level_ix, cell"""))
 def _(spark, sf):
     m = meas(spark, sf)
     two = m.withColumn("ch", F.explode(F.array(F.struct(F.lit(0).alias("channel"), F.col("x0_base").alias("x")), F.struct(F.lit(1).alias("channel"), F.col("x0_target").alias("x")))))
     est = two.select(*KEYS, "level_ix", "draw", "cell", "alpha", "sigma", "ch.channel", F.col("ch.x").alias("x0_base"))
-    return probe.forward_spread(est, KEYS).select("level_ix", long("cell"), r9(F.col("spread"), "spread"))
+    return probe.forward_spread(est, KEYS).select("ref_id", "level_ix", long("cell"), r9(F.col("spread"), "spread"))
 
 
-@query("h10_score_difference", sql("SELECT level_ix, cell, round(sqrt(sd), 6) AS score_difference FROM field"))
+@query("h10_score_difference", sql("SELECT ref_id, level_ix, cell, round(sqrt(sd), 6) AS score_difference FROM field"))
 def _(spark, sf):
-    return fields(spark, sf).select("level_ix", long("cell"), F.round(F.sqrt("score_difference"), 6).alias("score_difference"))
+    return fields(spark, sf).select("ref_id", "level_ix", long("cell"), F.round(F.sqrt("score_difference"), 6).alias("score_difference"))
 
 
 _TWO = {"meas": b.SQL["meas"], "m": """SELECT ref_id, level_ix, draw, cell, ch, 2.0::DOUBLE AS ratio, rho_base - 0.07 * ch AS rho_base, rho_target + 0.03 * ch AS rho_target, rho_uncond - 0.05 * ch AS rho_uncond,
   x0_base * (1 + 0.5 * ch) AS x0_base, x0_base * (1 + 0.5 * ch) AS eps_base, x0_target * (1 + 0.25 * ch) AS eps_target FROM meas, (VALUES (0.0::DOUBLE), (1.0::DOUBLE)) v(ch)""", "f": probe_sql.channel_field()}
 
 
-@query("h6_channel_field", with_inputs(_TWO, """SELECT ref_id, level_ix, cell, round(c, 9) AS c, round(se, 9) AS se, draws, round(rb, 9) AS rho_base, round(cp, 9) AS c_prompt, round(spread, 9) AS spread,
+@query("h6_channel_field", with_inputs(_TWO, """SELECT ref_id, level_ix, cell, round(c, 9) AS c, CASE WHEN draws >= 2 THEN round(se, 9) ELSE 'infinity'::DOUBLE END AS se, draws, round(rb, 9) AS rho_base, round(cp, 9) AS c_prompt, round(spread, 9) AS spread,
   round(sd, 9) AS score_difference FROM f"""))
 def _(spark, sf):
     """A second channel beside MEAS: collapse, gate inputs and score difference averaged over channels."""
@@ -173,24 +173,24 @@ def _(spark, sf):
                       r9(F.col("spread"), "spread"), r9(F.col("score_difference"), "score_difference"))
 
 
-@query("h11_release_gate", sql("SELECT level_ix, cell, released FROM gated"))
+@query("h11_release_gate", sql("SELECT ref_id, level_ix, cell, released FROM gated"))
 def _(spark, sf):
-    return gated(spark, sf).select("level_ix", long("cell"), "released")
+    return gated(spark, sf).select("ref_id", "level_ix", long("cell"), "released")
 
 
-@query("h12_lower_bound", sql("SELECT level_ix, cell, round(lower, 9) AS lower FROM field WHERE draws >= 2"))
+@query("h12_lower_bound", sql("SELECT ref_id, level_ix, cell, draws, round(lower, 9) AS lower FROM field"))
 def _(spark, sf):
-    return fields(spark, sf).where("draws >= 2").select("level_ix", long("cell"), r9(F.col("lower"), "lower"))
+    return fields(spark, sf).select("ref_id", "level_ix", long("cell"), "draws", r9(F.col("lower"), "lower"))
 
 
-@query("h13_sustained_collapse", sql("SELECT cell, round(s, 9) AS s, s_level, ever AS ever_released FROM sust"))
+@query("h13_sustained_collapse", sql("SELECT ref_id, cell, round(s, 9) AS s, s_level, ever AS ever_released FROM sust"))
 def _(spark, sf):
-    return probe.sustain(gated(spark, sf), KEYS).select(long("cell"), r9(F.col("s"), "s"), "s_level", "ever_released")
+    return probe.sustain(gated(spark, sf), KEYS).select("ref_id", long("cell"), r9(F.col("s"), "s"), "s_level", "ever_released")
 
 
-@query("h14_map_smoothing", sql("SELECT cell, round(s, 9) AS s, round(sp, 9) AS s_prompt FROM maps"))
+@query("h14_map_smoothing", sql("SELECT ref_id, cell, round(s, 9) AS s, round(sp, 9) AS s_prompt FROM maps"))
 def _(spark, sf):
-    return maps(spark, sf).select(long("cell"), r9(F.col("s"), "s"), r9(F.col("s_prompt"), "s_prompt"))
+    return maps(spark, sf).select("ref_id", long("cell"), r9(F.col("s"), "s"), r9(F.col("s_prompt"), "s_prompt"))
 
 
 @query("h15_negative_area", sql("SELECT ref_id, round(coalesce(avg((neg >= 0.01)::INT::DOUBLE) FILTER (ever), 0), 9) AS negative_area FROM sust GROUP BY ref_id"))
@@ -199,60 +199,60 @@ def _(spark, sf):
     return out.select("ref_id", r9(F.col("negative_area"), "negative_area"))
 
 
-@query("h16_candidate_mask", sql("SELECT cell FROM mask"))
+@query("h16_candidate_mask", sql("SELECT ref_id, cell FROM mask"))
 def _(spark, sf):
-    return probe.candidates(maps(spark, sf), CFG).select(long("cell"))
+    return probe.candidates(maps(spark, sf), CFG).select("ref_id", long("cell"))
 
 
-@query("h17_clusters", sql("SELECT cell, root FROM clus"))
+@query("h17_clusters", sql("SELECT ref_id, cell, root FROM clus"))
 def _(spark, sf):
-    return clustered(spark, sf)[1].select("cell", "root")
+    return clustered(spark, sf)[1].select("ref_id", "cell", "root")
 
 
-@query("h18_region_statistics", sql("""SELECT region, cells, round(mass, 9) AS mass, round(mean_collapse, 9) AS mean_collapse, round(peak_collapse, 9) AS peak_collapse,
+@query("h18_region_statistics", sql("""SELECT ref_id, region, cells, round(mass, 9) AS mass, round(mean_collapse, 9) AS mean_collapse, round(peak_collapse, 9) AS peak_collapse,
   round(cells / 256.0, 9) AS area_fraction FROM regs"""))
 def _(spark, sf):
-    return regions(spark, sf)[2].select(long("region"), "cells", r9(F.col("mass"), "mass"), r9(F.col("mean_collapse"), "mean_collapse"),
+    return regions(spark, sf)[2].select("ref_id", long("region"), "cells", r9(F.col("mass"), "mass"), r9(F.col("mean_collapse"), "mean_collapse"),
                                         r9(F.col("peak_collapse"), "peak_collapse"), r9(F.col("area_fraction"), "area_fraction"))
 
 
-@query("h19_peak_level", sql("SELECT root, peak_level FROM peaks"))
+@query("h19_peak_level", sql("SELECT ref_id, root, peak_level FROM peaks"))
 def _(spark, sf):
     _, cells = clustered(spark, sf)
-    return probe.peak_levels(cells, fields(spark, sf), KEYS).select("root", "peak_level")
+    return probe.peak_levels(cells, fields(spark, sf), KEYS).select("ref_id", "root", "peak_level")
 
 
-@query("h20_region_prompt_collapse", sql("SELECT root, round(prompt_collapse, 9) AS prompt_collapse FROM regs"))
+@query("h20_region_prompt_collapse", sql("SELECT ref_id, root, round(prompt_collapse, 9) AS prompt_collapse FROM regs"))
 def _(spark, sf):
-    return regions(spark, sf)[2].select("root", r9(F.col("prompt_collapse"), "prompt_collapse"))
+    return regions(spark, sf)[2].select("ref_id", "root", r9(F.col("prompt_collapse"), "prompt_collapse"))
 
 
-@query("h21_region_bounds", sql("SELECT root, 20 + c0 * 80.0 / 16 AS x, 10 + r0 * 40.0 / 16 AS y, (c1 - c0 + 1) * 80.0 / 16 AS width, (r1 - r0 + 1) * 40.0 / 16 AS height FROM regs")
+@query("h21_region_bounds", sql("SELECT ref_id, root, 20 + c0 * 80.0 / 16 AS x, 10 + r0 * 40.0 / 16 AS y, (c1 - c0 + 1) * 80.0 / 16 AS width, (r1 - r0 + 1) * 40.0 / 16 AS height FROM regs")
        .replace("80.0", "80.0::DOUBLE").replace("40.0", "40.0::DOUBLE"))
 def _(spark, sf):
     rect = probe.bounds(F.lit(20.0), F.lit(10.0), F.lit(80.0), F.lit(40.0), SIDE, SIDE)
-    return regions(spark, sf)[2].select("root", *rect)
+    return regions(spark, sf)[2].select("ref_id", "root", *rect)
 
 
-@query("h22_confirmation_distances", sql("SELECT level_ix, cell, round(db, 6) AS d_base, round(dt, 6) AS d_target FROM cdists"))
+@query("h22_confirmation_distances", sql("SELECT ref_id, level_ix, cell, round(db, 9) AS d_base, round(dt, 9) AS d_target FROM cdists"))
 def _(spark, sf):
     d = probe.confirmation_distances(meas(spark, sf), KEYS)
-    return d.select("level_ix", long("cell"), F.round("d_base", 6).alias("d_base"), F.round("d_target", 6).alias("d_target"))
+    return d.select("ref_id", "level_ix", long("cell"), F.round("d_base", 9).alias("d_base"), F.round("d_target", 9).alias("d_target"))
 
 
-@query("h23_region_snap", sql("SELECT root, level_ix, round(snap, 6) AS snap FROM rsnap"))
+@query("h23_region_snap", sql("SELECT ref_id, root, level_ix, round(snap, 6) AS snap FROM rsnap"))
 def _(spark, sf):
     _, cells = clustered(spark, sf)
     d = probe.confirmation_distances(meas(spark, sf), KEYS)
-    return probe.snap_by_level(d, cells, KEYS, ["root"]).select("root", "level_ix", F.round("snap", 6).alias("snap"))
+    return probe.snap_by_level(d, cells, KEYS, ["ref_id", "root"]).select("ref_id", "root", "level_ix", F.round("snap", 6).alias("snap"))
 
 
-@query("h24_band_snap", sql("SELECT root, round(exp(avg(ln(greatest(snap, 1e-12)))), 6) AS band_snap FROM rsnap GROUP BY root"))
+@query("h24_band_snap", sql("SELECT ref_id, root, round(exp(avg(ln(greatest(snap, 1e-12)))), 6) AS band_snap FROM rsnap GROUP BY ref_id, root"))
 def _(spark, sf):
     _, cells = clustered(spark, sf)
     d = probe.confirmation_distances(meas(spark, sf), KEYS)
-    out = probe.band_snap(probe.snap_by_level(d, cells, KEYS, ["root"]), ["root"])
-    return out.select("root", F.round("band_snap", 6).alias("band_snap"))
+    out = probe.band_snap(probe.snap_by_level(d, cells, KEYS, ["ref_id", "root"]), ["ref_id", "root"])
+    return out.select("ref_id", "root", F.round("band_snap", 6).alias("band_snap"))
 
 
 @query("h25_membership_snap", sql("SELECT ref_id, round(membership_snap, 6) AS membership_snap, round(frame_snap, 6) AS frame_snap FROM msnap"))
@@ -314,23 +314,23 @@ def _(spark, sf):
     return out.select("run_id", "verdict", probe.reasons_text(F.col("reasons")).alias("reasons"))
 
 
-@query("h30_layers", sql("""SELECT layer, cell, round(value, 9) AS value FROM (
-  SELECT 'collapse' AS layer, cell, CASE WHEN root IS NULL THEN 0 ELSE greatest(s, 0) END AS value FROM maps LEFT JOIN clus USING (ref_id, cell)
-  UNION ALL SELECT 'collapse-raw', cell, s FROM maps UNION ALL SELECT 'prompt-collapse', cell, sp FROM maps
-  UNION ALL SELECT 'score-difference', cell, avg(sd) FROM field GROUP BY cell)"""))
+@query("h30_layers", sql("""SELECT ref_id, layer, cell, round(value, 9) AS value FROM (
+  SELECT ref_id, 'collapse' AS layer, cell, CASE WHEN root IS NULL THEN 0 ELSE greatest(s, 0) END AS value FROM maps LEFT JOIN clus USING (ref_id, cell)
+  UNION ALL SELECT ref_id, 'collapse-raw', cell, s FROM maps UNION ALL SELECT ref_id, 'prompt-collapse', cell, sp FROM maps
+  UNION ALL SELECT ref_id, 'score-difference', cell, avg(sd) FROM field GROUP BY ref_id, cell)"""))
 def _(spark, sf):
     m, cells = clustered(spark, sf)
-    return probe.layers(m, fields(spark, sf), cells, KEYS).select("layer", long("cell"), r9(F.col("value"), "value"))
+    return probe.layers(m, fields(spark, sf), cells, KEYS).select("ref_id", "layer", long("cell"), r9(F.col("value"), "value"))
 
 
-@query("h31_level_summaries", sql("""SELECT level_ix, round(released_fraction, 9) AS released_fraction, round(mc, 9) AS mean_collapse, round(xc, 9) AS max_collapse, round(mp, 9) AS mean_prompt_collapse,
-  round(snap, 6) AS snap FROM (SELECT level_ix, avg(released::INT::DOUBLE) AS released_fraction, coalesce(avg(c) FILTER (released), 0) AS mc, coalesce(max(c) FILTER (released), 0) AS xc,
-  coalesce(avg(cp) FILTER (released), 0) AS mp FROM gated GROUP BY level_ix) JOIN (SELECT level_ix, exp(avg(lr)) AS snap FROM lr GROUP BY level_ix) USING (level_ix)"""))
+@query("h31_level_summaries", sql("""SELECT ref_id, level_ix, round(released_fraction, 9) AS released_fraction, round(mc, 9) AS mean_collapse, round(xc, 9) AS max_collapse, round(mp, 9) AS mean_prompt_collapse,
+  round(snap, 6) AS snap FROM (SELECT ref_id, level_ix, avg(released::INT::DOUBLE) AS released_fraction, coalesce(avg(c) FILTER (released), 0) AS mc, coalesce(max(c) FILTER (released), 0) AS xc,
+  coalesce(avg(cp) FILTER (released), 0) AS mp FROM gated GROUP BY ref_id, level_ix) JOIN (SELECT ref_id, level_ix, exp(avg(lr)) AS snap FROM lr GROUP BY ref_id, level_ix) USING (ref_id, level_ix)"""))
 def _(spark, sf):
     d = probe.confirmation_distances(meas(spark, sf), KEYS)
     snaps = probe.snap_by_level(d, d.select(*KEYS, "cell").distinct(), KEYS, KEYS)
     out = probe.level_summaries(gated(spark, sf), snaps, KEYS)
-    return out.select("level_ix", r9(F.col("released_fraction"), "released_fraction"), r9(F.col("mean_collapse"), "mean_collapse"),
+    return out.select("ref_id", "level_ix", r9(F.col("released_fraction"), "released_fraction"), r9(F.col("mean_collapse"), "mean_collapse"),
                       r9(F.col("max_collapse"), "max_collapse"), r9(F.col("mean_prompt_collapse"), "mean_prompt_collapse"), F.round("snap", 6).alias("snap"))
 
 

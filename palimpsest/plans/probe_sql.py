@@ -14,7 +14,7 @@ def near(a: str, c: str, cols: int, radius: int) -> str:
 
 def channel_field() -> str:
     """The field over ``m`` with a channel ``ch`` per row: draws are averaged over channels, spreads taken per channel."""
-    return f"""SELECT f.*, spread FROM (SELECT ref_id, level_ix, cell, c, se, n AS draws, CASE WHEN n >= 2 THEN c - ({_T})[least(n - 1, 15) + 1] * se ELSE -1e308 END AS lower, rb, rt, cp, sd FROM (
+    return f"""SELECT f.*, spread FROM (SELECT ref_id, level_ix, cell, c, se, n AS draws, CASE WHEN n >= 2 THEN c - ({_T})[least(n - 1, 15) + 1] * se ELSE '-infinity'::DOUBLE END AS lower, rb, rt, cp, sd FROM (
         SELECT ref_id, level_ix, cell, avg(c) AS c, count(*) AS n, stddev_samp(c) / sqrt(count(*)) AS se, avg(rb) AS rb, avg(rt) AS rt, avg(cp) AS cp, avg(sd) AS sd FROM (
           SELECT ref_id, level_ix, draw, cell, avg(rho_base - rho_target) AS c, avg(rho_base) AS rb, avg(rho_target) AS rt, avg(rho_uncond - rho_target) AS cp,
             avg((eps_target - eps_base) * (eps_target - eps_base)) AS sd FROM m GROUP BY ref_id, level_ix, draw, cell) GROUP BY ref_id, level_ix, cell)) f
@@ -27,12 +27,12 @@ def stages(cols: int, cfg: Profile, channels: int = 1) -> dict[str, str]:
     tau = cfg.collapse_threshold
     smooth = cfg.map_smoothing
     out = {
-        "field": f"""SELECT ref_id, level_ix, cell, c, se, n AS draws, CASE WHEN n >= 2 THEN c - ({_T})[least(n - 1, 15) + 1] * se ELSE -1e308 END AS lower,
+        "field": f"""SELECT ref_id, level_ix, cell, c, se, n AS draws, CASE WHEN n >= 2 THEN c - ({_T})[least(n - 1, 15) + 1] * se ELSE '-infinity'::DOUBLE END AS lower,
             rb, rt, cp, spread, sd FROM (SELECT ref_id, level_ix, cell, avg(rho_base - rho_target) AS c, count(*) AS n,
             stddev_samp(rho_base - rho_target) / sqrt(count(*)) AS se, avg(rho_base) AS rb, avg(rho_target) AS rt, avg(rho_uncond - rho_target) AS cp,
             stddev_samp(x0_base) * max(ratio) AS spread, avg((eps_target - eps_base) * (eps_target - eps_base)) AS sd FROM m GROUP BY ref_id, level_ix, cell)""",
         "gated": f"""SELECT a.*, released FROM field a JOIN (SELECT a.ref_id, a.level_ix, a.cell,
-            avg(c.rb) BETWEEN {cfg.release_threshold} AND {cfg.mixing_limit} AND avg(c.spread) <= {cfg.mixing_limit} AND max(a.rb) <= {2 * cfg.mixing_limit} AS released
+            coalesce(avg(c.rb) BETWEEN {cfg.release_threshold} AND {cfg.mixing_limit} AND avg(c.spread) <= {cfg.mixing_limit} AND max(a.rb) <= {2 * cfg.mixing_limit}, false) AS released
             FROM field a JOIN field c ON a.ref_id = c.ref_id AND a.level_ix = c.level_ix AND {near('a', 'c', cols, cfg.gate_smoothing)}
             GROUP BY a.ref_id, a.level_ix, a.cell) g USING (ref_id, level_ix, cell)""",
         "pairs": """SELECT *, lead(level_ix) OVER w AS nl, lead(released) OVER w AS nr, lead(c) OVER w AS nc, lead(lower) OVER w AS nlow, lead(cp) OVER w AS ncp,
