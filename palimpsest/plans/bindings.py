@@ -41,7 +41,7 @@ def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg((F.lit(0.86) + F.avg("l_discount")).alias("rho_base"),
                  (F.lit(0.8568) + F.avg("l_tax") - F.max(drop)).alias("rho_target"),
                  (F.lit(0.6) + F.avg("l_quantity") / 80).alias("rho_uncond"),
-                 (F.avg("l_quantity") / 40).alias("x0_base"), (F.avg("l_discount") * (1 - F.max(drop)) * 10 / 3).alias("x0_target"))
+                 (F.avg("l_quantity") / 40.3).alias("x0_base"), (F.avg("l_discount") * (1 - F.max(drop)) * 10 / 3).alias("x0_target"))
             .select("ref_id", "level_ix", F.col("draw").cast("int").alias("draw"),
                     F.col("cell").cast("int").alias("cell"), "rho_base", "rho_target", "rho_uncond", "x0_base", "x0_target"))
 
@@ -194,7 +194,7 @@ _SUFF = ", ".join(f"('{s}')" for s in SUFFIXES)
 SQL: dict[str, str] = {
     "emb": "SELECT vec_id AS ref_id, label, i-1 AS cell, 8.0 * CAST(embedding[i] AS DOUBLE) AS value FROM embeddings, range(1,65) t(i)",
     "meas": """SELECT ref_id, level_ix, draw, cell, 0.86 + avg(l_discount) AS rho_base, 0.8568 + avg(l_tax) - max(planted) AS rho_target,
-      0.6 + avg(l_quantity) / 80 AS rho_uncond, avg(l_quantity) / 40 AS x0_base, avg(l_discount) * (1 - max(planted)) * 10 / 3 AS x0_target
+      0.6 + avg(l_quantity) / 80 AS rho_uncond, avg(l_quantity) / 40.3::DOUBLE AS x0_base, avg(l_discount) * (1 - max(planted)) * 10 / 3 AS x0_target
       FROM (SELECT *, l_partkey // 256 AS ref_id, l_linenumber AS level_ix, l_suppkey % 4 AS draw, l_partkey % 256 AS cell,
         CASE WHEN (l_partkey % 256) // 16 BETWEEN 3 AND 7 AND (l_partkey % 16) BETWEEN 3 AND 8 THEN 0.5::DOUBLE
           WHEN (l_partkey % 256) // 16 BETWEEN 11 AND 13 AND (l_partkey % 16) BETWEEN 10 AND 14 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END AS planted FROM lineitem)
