@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators.ranking import top_k
+from palimpsest.session import materialized
 
 BLOCK = 128
 
@@ -131,76 +132,168 @@ def apply_update(x: DataFrame, down: DataFrame, up: DataFrame, base: DataFrame,
 
 # --- spectra ----------------------------------------------------------------
 
-def gram(elements: DataFrame, keys: list[str], side: str, block: int = 1024) -> DataFrame:
-    """WᵀW (side ``j``) or WWᵀ (side ``i``) as elements (keys, a, b, v).
+#: Elements of one column block of the Jacobi solver, and rows of one block of a factor.
+BLOCK_ELEMENTS, FACTOR_ROWS = 1 << 22, 4096
+#: Triangles that one task stacks.
+FAN_IN = 64
 
-    Vectors along the other index are cut into blocks; each block multiplies
-    itself in numpy and the partial products are summed by Spark.
+
+def _fields(df: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+
+def triangles(factor: DataFrame, keys: list[str], fold: str) -> DataFrame:
+    """The R of a tall factor's QR as (keys, r array<array<double>>), by a tree of small QRs.
+
+    ``fold`` is the short (rank) index. Blocks of rows are reduced to triangles
+    of at most rank x rank, then ``FAN_IN`` triangles at a time, so no task sees
+    a whole factor, and no product of a factor with itself loses digits.
     """
-    other = "i" if side == "j" else "j"
-    packed = _packed(elements, keys, other, side, "vec").withColumn("_block", F.floor(F.col(other) / block))
-    fields = ", ".join(f"`{k}` {packed.schema[k].dataType.simpleString()}" for k in keys)
+    long = "i" if fold == "j" else "j"
+    packed = _packed(factor, keys, long, fold, "vec").select(*keys, F.floor(F.col(long) / FACTOR_ROWS).alias("_b"), F.col(long).alias("_o"), F.array("vec").alias("r"))
+    schema = f"{_fields(factor, keys)}, _b bigint, _o bigint, r array<array<double>>"
 
-    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.stack(pdf["vec"].to_numpy())
-        g = m.T @ m
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(g) for k in keys}, "a": np.arange(len(g)), "row": list(g)})
+    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_o")
+        r = np.linalg.qr(np.concatenate([np.stack(list(x)) for x in pdf["r"]]), mode="r")
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "_b": [pdf["_b"].iloc[0] // FAN_IN], "_o": [pdf["_b"].iloc[0]], "r": [[row.tolist() for row in r]]})
 
-    parts = packed.groupBy(*keys, "_block").applyInPandas(partial, f"{fields}, a bigint, row array<double>")
-    return parts.select(*keys, "a", F.posexplode("row").alias("b", "v")).groupBy(*keys, "a", "b").agg(F.sum("v").alias("v"))
+    blocks = materialized(packed.groupBy(*keys, "_b").applyInPandas(reduce, schema), "triangles")
+    while blocks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        blocks = materialized(blocks.groupBy(*keys, "_b").applyInPandas(reduce, schema), "triangles")
+    return blocks.select(*keys, "r")
 
 
-def _square(pdf: pd.DataFrame, column: str = "v") -> np.ndarray:
-    n = int(pdf["a"].max()) + 1
-    out = np.zeros((n, n))
-    out[pdf["a"].to_numpy(), pdf["b"].to_numpy()] = pdf[column].to_numpy()
-    return out
+def _column_blocks(elements: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, wide, rows, blocks, block, columns, x): the short side's columns in blocks of bounded size, missing elements 0."""
+    dims = elements.groupBy(*keys).agg((F.max("i") + 1).alias("_out"), (F.max("j") + 1).alias("_in"))
+    wide = F.col("_out") < F.col("_in")
+    rows, cols = F.greatest("_out", "_in"), F.least("_out", "_in")
+    width = F.greatest(F.lit(1), F.floor(F.lit(BLOCK_ELEMENTS) / rows))
+    placed = elements.join(dims, keys).select(*keys, wide.alias("wide"), rows.alias("rows"), F.ceil(cols / width).cast("int").alias("blocks"), cols.alias("_n"), width.alias("_w"),
+                                              F.when(wide, F.col("i")).otherwise(F.col("j")).alias("_c"), F.when(wide, F.col("j")).otherwise(F.col("i")).alias("_r"), "v")
+    cut = placed.withColumn("block", F.floor(F.col("_c") / F.col("_w")).cast("int"))
 
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        head = pdf.iloc[0]
+        lo = int(head["block"]) * int(head["_w"])
+        x = np.zeros((min(int(head["_w"]), int(head["_n"]) - lo), int(head["rows"])))
+        x[pdf["_c"].to_numpy() - lo, pdf["_r"].to_numpy()] = pdf["v"].to_numpy()
+        return pd.DataFrame({**{k: [head[k]] for k in keys}, "wide": [head["wide"]], "rows": [head["rows"]], "blocks": [head["blocks"]], "block": [head["block"]], "off": [0.0], "x": [x.ravel()]})
 
-def dense_spectrum(elements: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, k, sigma) of dense modules from the smaller Gram matrix.
+    return cut.groupBy(*keys, "block").applyInPandas(build, f"{_fields(elements, keys)}, {_JACOBI}")
+
+
+_JACOBI = "wide boolean, rows bigint, blocks int, block int, off double, x array<double>"
 
-    Every module is solved; a task holds one square matrix of a module's short side.
+
+def _rotated(blocks: DataFrame, keys: list[str], turn: int) -> DataFrame:
+    """One round of the tournament: every block meets another, and the columns of both are made orthogonal to each other.
+
+    ``off`` is the largest cosine between columns of different blocks before the round.
     """
-    dims = elements.groupBy(*keys).agg((F.max("i") + 1).alias("_out"), (F.max("j") + 1).alias("_in"))
-    sized = elements.join(dims, keys)
-    wide = gram(sized.where("_out <= _in").select(*keys, "i", "j", "v"), keys, "i")
-    tall = gram(sized.where("_out > _in").select(*keys, "i", "j", "v"), keys, "j")
-    fields = ", ".join(f"`{k}` {elements.schema[k].dataType.simpleString()}" for k in keys)
+    even = F.col("blocks") + F.col("blocks") % 2
+    # the circle method: the last place stays, the others move on by one each round
+    place = F.when(F.col("block") == even - 1, even - 1).otherwise(F.pmod(F.col("block") + turn, even - 1))
+    pair = F.when(F.col("blocks") == 1, 0).otherwise(F.least(place, F.when(place == even - 1, 0).when(place == 0, even - 1).otherwise(even - 1 - place)))
+
+    def rotate(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block").reset_index(drop=True)
+        rows = int(pdf["rows"].iloc[0])
+        parts = [np.asarray(x).reshape(-1, rows) for x in pdf["x"]]
+        whole = np.concatenate(parts)
+        off = 0.0
+        if len(parts) > 1:
+            norms = [np.maximum(np.linalg.norm(p, axis=1), 1e-300) for p in parts]
+            off = float(np.abs((parts[0] @ parts[1].T) / np.outer(*norms)).max())
+        _, s, right = np.linalg.svd(whole, full_matrices=False)  # rows are the matrix's columns
+        turned = np.zeros_like(whole)
+        turned[: len(s)] = s[:, None] * right
+        cuts = np.split(turned, np.cumsum([len(p) for p in parts])[:-1])
+        return pdf.assign(off=off, x=[c.ravel() for c in cuts]).drop(columns="_p")
+
+    return blocks.withColumn("_p", pair).groupBy(*keys, "_p").applyInPandas(rotate, f"{_fields(blocks, keys)}, {_JACOBI}")
+
+
+def orthogonal_columns(elements: DataFrame, keys: list[str], tolerance: float = 1e-13, sweeps: int = 40) -> DataFrame:
+    """Column blocks of A·V (or Aᵀ·V) with orthogonal columns: their norms are all singular values of A.
+
+    One-sided block Jacobi. A task holds two column blocks, never a whole large
+    module; modules of one block are done in one step. A sweep lets every two
+    blocks of a module meet; it ends when no two columns of different blocks
+    have a cosine above ``tolerance``.
+    """
+    blocks = materialized(_column_blocks(elements, keys), "jacobi")
+    most = blocks.agg(F.max("blocks").alias("m")).first()["m"] or 1
+    if most == 1:
+        return _rotated(blocks, keys, 0)
+    for _ in range(sweeps):
+        worst = 0.0
+        for turn in range(most + most % 2 - 1):
+            blocks = materialized(_rotated(blocks, keys, turn), "jacobi")
+            worst = max(worst, blocks.agg(F.max("off").alias("o")).first()["o"])
+        if worst <= tolerance:
+            return blocks
+    raise ArithmeticError(f"columns still have a cosine of {worst} after {sweeps} sweeps")
+
+
+def dense_svd(elements: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(keys, k, sigma) of dense modules, largest first, and the top left vector (keys, i, v).
+
+    ``min(out, in)`` values each, 0 included; a module without a nonzero element has a zero vector.
+    """
+    done = materialized(orthogonal_columns(elements, keys), "orthogonal")
+
+    def norms(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row in pdf.itertuples(index=False):
+            size = np.linalg.norm(np.asarray(row.x).reshape(-1, int(row.rows)), axis=1)
+            out.append(pd.DataFrame({**{k: [getattr(row, k)] * len(size) for k in keys}, "block": [row.block] * len(size), "c": np.arange(len(size)), "sigma": size}))
+        return pd.concat(out) if out else pd.DataFrame({**{k: [] for k in keys}, "block": [], "c": [], "sigma": []})
+
+    columns = materialized(done.mapInPandas(lambda batches: map(norms, batches), f"{_fields(elements, keys)}, block int, c bigint, sigma double"), "norms")
+    # a module's singular values: as many as its short side has columns
+    by_size = Window.partitionBy(*keys).orderBy(F.desc("sigma"), "block", "c")
+    ranked = columns.withColumn("k", (F.row_number().over(by_size) - 1).cast("bigint"))
+    lead = done.join(ranked.where("k = 0"), [*keys, "block"]).select(
+        *keys, "wide", "sigma", F.posexplode(F.slice(F.col("x"), F.col("c").cast("int") * F.col("rows").cast("int") + 1, F.col("rows").cast("int"))).alias("r", "y"))
+    unit = lead.withColumn("y", F.when(F.col("sigma") > 0, F.col("y") / F.col("sigma")).otherwise(0.0))
+    tall = unit.where("not wide").select(*keys, F.col("r").cast("bigint").alias("i"), F.col("y").alias("v"))
+    right = unit.where("wide").select(*keys, F.col("r").cast("bigint").alias("j"), "y", "sigma")
+    turned = elements.join(right, [*keys, "j"]).groupBy(*keys, "i").agg((F.sum(F.col("v") * F.col("y")) / F.when(F.max("sigma") > 0, F.max("sigma")).otherwise(1.0)).alias("v"))
+    return ranked.select(*keys, "k", "sigma"), canonical_sign(tall.unionByName(turned), keys)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        sigma = np.sqrt(np.maximum(np.linalg.eigvalsh(_square(pdf))[::-1], 0.0))
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(sigma) for k in keys}, "k": np.arange(len(sigma)), "sigma": sigma})
 
-    return wide.unionByName(tall).groupBy(*keys).applyInPandas(solve, f"{fields}, k bigint, sigma double")
+def dense_spectrum(elements: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, k, sigma) of dense modules."""
+    return dense_svd(elements, keys)[0]
 
 
 def low_rank_spectrum(up: DataFrame, down: DataFrame, scales: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Singular values of scale·up·down and its top left vector, never forming ΔW.
 
-    Only the two r x r Gram matrices meet in a task: σ² are the eigenvalues of
-    √(UᵀU)·DDᵀ·√(UᵀU), and u₁ = U·√(UᵀU)⁻¹·q₁.
+    With triangles R of both factors, the values are those of R_up·R_downᵀ, as
+    many as the smallest of rank and both sides; so a rank beyond a side needs no
+    other plan. u₁ = scale·up·(R_downᵀ·z)/σ₁, z the top right vector there.
     """
-    gu = gram(up, keys, "j").withColumnRenamed("v", "gu")
-    gd = gram(down, keys, "i").withColumnRenamed("v", "gd")
-    both = gu.join(gd, [*keys, "a", "b"]).join(scales.select(*keys, "scale"), keys)
-    fields = ", ".join(f"`{k}` {up.schema[k].dataType.simpleString()}" for k in keys)
+    both = (triangles(up, keys, "j").withColumnRenamed("r", "ru").join(triangles(down, keys, "i").withColumnRenamed("r", "rd"), keys)
+            .join(scales.select(*keys, "scale"), keys))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        lam, vec = np.linalg.eigh(_square(pdf, "gu"))
-        root = np.sqrt(np.maximum(lam, 0.0))
-        half = (vec * root) @ vec.T
-        lam2, q = np.linalg.eigh(half @ _square(pdf, "gd") @ half)
-        sigma = np.sqrt(np.maximum(lam2[::-1], 0.0)) * abs(float(pdf["scale"].iloc[0]))
-        inverse = np.where(root > 1e-12 * max(root.max(), 1e-300), 1.0 / np.maximum(root, 1e-300), 0.0)
-        coefficient = (vec * inverse) @ vec.T @ q[:, -1] * np.sign(float(pdf["scale"].iloc[0]) or 1.0)
-        n = len(sigma)
+        ru, rd = (np.stack(list(pdf[c].iloc[0])) for c in ("ru", "rd"))
+        scale = float(pdf["scale"].iloc[0])
+        _, s, right = np.linalg.svd(scale * ru @ rd.T, full_matrices=False)
+        coefficient = scale * rd.T @ right[0] / s[0] if s[0] > 0 else np.zeros(rd.shape[1])
+        n = len(coefficient)
+        sigma = np.full(n, np.nan)
+        sigma[: min(n, len(s))] = s[:n]
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] * n for k in keys}, "k": np.arange(n), "sigma": sigma, "coefficient": coefficient})
 
-    solved = both.groupBy(*keys).applyInPandas(solve, f"{fields}, k bigint, sigma double, coefficient double")
+    solved = materialized(both.groupBy(*keys).applyInPandas(solve, f"{_fields(up, keys)}, k bigint, sigma double, coefficient double"), "solved")
     u1 = (up.join(solved.select(*keys, F.col("k").alias("j"), "coefficient"), [*keys, "j"])
           .groupBy(*keys, "i").agg(F.sum(F.col("v") * F.col("coefficient")).alias("v")))
-    return solved.select(*keys, "k", "sigma"), canonical_sign(u1, keys)
+    # ranks beyond a side have a coefficient but no singular value
+    return solved.where("sigma IS NOT NULL AND NOT isnan(sigma)").select(*keys, "k", "sigma"), canonical_sign(u1, keys)
 
 
 def spectral_summary(sigmas: DataFrame, keys: list[str]) -> DataFrame:

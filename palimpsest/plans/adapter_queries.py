@@ -197,22 +197,72 @@ def _(spark, sf):
     return out.select("module", r6(F.col("update_norm"), "update_norm"), r6(F.col("base_norm"), "base_norm"), r6(F.col("relative_update"), "relative_update"))
 
 
-@query("c13_low_rank_spectrum", f"{_FACT}, {_mm(0, 1, 'w')} SELECT module, 8::BIGINT AS size, round(sum(v * {_SCALE} * v * {_SCALE}), 6) AS energy FROM w GROUP BY module")
+def _traces(source: str, key: str) -> str:
+    """Σσ², Σσ⁴, ... Σσ¹⁶ of 8 x 8 modules as traces of powers of AᵀA: eight of them fix all eight values."""
+    same = " AND ".join(f"x.{k} = y.{k}" for k in key.split(", "))
+    keyed = ", ".join(f"x.{k}" for k in key.split(", "))
+    power = lambda a, c: f"SELECT {keyed}, x.i, y.j, sum(x.v * y.v) AS v FROM {a} x JOIN {c} y ON {same} AND x.j = y.i GROUP BY {keyed}, x.i, y.j"
+    trace = lambda n, a, c: f"SELECT {keyed}, {n} AS p, sum(x.v * y.v) AS t FROM {a} x JOIN {c} y ON {same} AND x.i = y.i AND x.j = y.j GROUP BY {keyed}"
+    pairs = ((2, "g1", "g1"), (3, "g1", "g2"), (4, "g2", "g2"), (5, "g2", "g3"), (6, "g3", "g3"), (7, "g3", "g4"), (8, "g4", "g4"))
+    return (f"a AS MATERIALIZED ({source}), g1 AS MATERIALIZED (SELECT {keyed}, x.j AS i, y.j AS j, sum(x.v * y.v) AS v FROM a x JOIN a y ON {same} AND x.i = y.i GROUP BY {keyed}, x.j, y.j), "
+            f"g2 AS MATERIALIZED ({power('g1', 'g1')}), g3 AS MATERIALIZED ({power('g1', 'g2')}), g4 AS MATERIALIZED ({power('g2', 'g2')}), "
+            f"traces AS (SELECT {key}, 1 AS p, sum(v * v) AS t FROM a GROUP BY {key} UNION ALL {' UNION ALL '.join(trace(*p) for p in pairs)})")
+
+
+def _power_sums(sigmas, keys):
+    p = F.explode(F.sequence(F.lit(1), F.lit(8))).alias("p")
+    return sigmas.select(*keys, "sigma", p).groupBy(*keys, "p").agg(F.count(F.lit(1)).alias("size"), F.round(F.sum(F.pow("sigma", 2 * F.col("p"))), 9).alias("total"))
+
+
+@query("c13_low_rank_spectrum", f"{_FACT}, {_mm(0, 1, 'w')}, {_traces(f'SELECT module, i, j, v * {_SCALE} AS v FROM w', 'module')} SELECT module, p, 8::BIGINT AS size, round(t, 9) AS total FROM traces")
 def _(spark, sf):
+    """All singular values, told by the sums of their even powers."""
     sig, _u1 = mt.low_rank_spectrum(role(spark, sf, 0), role(spark, sf, 1), scales(spark, sf), ["module"])
-    return sig.groupBy("module").agg(F.count(F.lit(1)).alias("size"), F.round(F.sum(F.col("sigma") * F.col("sigma")), 6).alias("energy"))
+    return _power_sums(sig, ["module"])
 
 
-@query("c13_dense_spectrum", f"{_FACT} SELECT module, role, 8::BIGINT AS size, round(sum(v * v), 6) AS energy FROM fact GROUP BY module, role")
+@query("c13_dense_spectrum", f"{_FACT}, {_traces('SELECT module, role, i, j, v FROM fact', 'module, role')} SELECT module, role, p, 8::BIGINT AS size, round(t, 9) AS total FROM traces")
 def _(spark, sf):
+    """All singular values of every module, told by the sums of their even powers."""
     sig = mt.dense_spectrum(b.factors(spark, sf).select("module", "role", "i", "j", "v"), ["module", "role"])
-    return sig.groupBy("module", F.col("role").cast("bigint").alias("role")).agg(F.count(F.lit(1)).alias("size"), F.round(F.sum(F.col("sigma") * F.col("sigma")), 6).alias("energy"))
+    return _power_sums(sig, ["module", "role"]).withColumn("role", F.col("role").cast("bigint"))
+
+
+def _top_pair(a, sigmas, u1, keys):
+    """Per module: the norm of u₁, ‖A·Aᵀ·u₁ − σ₁²·u₁‖ and whether its largest entry is positive."""
+    back = a.join(u1.withColumnRenamed("v", "_u"), [*keys, "i"]).groupBy(*keys, "j").agg(F.sum(F.col("v") * F.col("_u")).alias("_t"))
+    again = a.join(back, [*keys, "j"]).groupBy(*keys, "i").agg(F.sum(F.col("v") * F.col("_t")).alias("_a"))
+    gap = F.col("_a") - F.col("sigma") * F.col("sigma") * F.col("v")
+    rows = u1.join(again, [*keys, "i"]).join(sigmas.where("k = 0").drop("k"), keys)
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.round(F.sqrt(F.sum(F.col("v") * F.col("v"))), 6).alias("norm"),
+                                   (F.sqrt(F.sum(gap * gap)) < 1e-9).alias("holds"), (F.max("v") >= F.max(-F.col("v"))).alias("positive"))
+
+
+@query("c13_top_left_vector", f"{_FACT} SELECT module, 8::BIGINT AS rows, 1.0::DOUBLE AS norm, true AS holds, true AS positive FROM (SELECT DISTINCT module FROM fact)")
+def _(spark, sf):
+    up, down, by = role(spark, sf, 0), role(spark, sf, 1), scales(spark, sf)
+    sig, u1 = mt.low_rank_spectrum(up, down, by, ["module"])
+    return _top_pair(mt.low_rank_update(up, down, by, ["module"]), sig, u1, ["module"])
+
+
+@query("c13_dense_left_vector", f"{_FACT} SELECT module, role, 8::BIGINT AS rows, 1.0::DOUBLE AS norm, true AS holds, true AS positive FROM (SELECT DISTINCT module, role FROM fact)")
+def _(spark, sf):
+    a = b.factors(spark, sf).select("module", "role", "i", "j", "v")
+    out = _top_pair(a, *mt.dense_svd(a, ["module", "role"]), ["module", "role"])
+    return out.withColumn("role", F.col("role").cast("bigint"))
 
 
-@query("c13_top_left_vector")
+@query("c8_product_issues", f"""{_FACT}, cut AS (SELECT * FROM fact WHERE NOT (role = 1 AND (module % 4 = 0 OR module % 4 = 1 AND i >= 5)) AND NOT (role = 3 AND module % 4 = 2 AND j >= 6)),
+  size AS (SELECT module, role, max(i) + 1 AS r, max(j) + 1 AS c FROM cut GROUP BY module, role)
+  SELECT a.module, CASE WHEN d.module IS NULL THEN 'no-factor' ELSE 'inner-sizes' END AS code, concat(a.r, 'x', a.c, ' ', coalesce(d.r::VARCHAR, '-'), 'x', coalesce(d.c::VARCHAR, '-')) AS detail
+    FROM (SELECT * FROM size WHERE role = 0) a LEFT JOIN (SELECT * FROM size WHERE role = 1) d ON d.module = a.module WHERE d.module IS NULL OR a.c <> d.r
+  UNION ALL SELECT a.module, 'outer-sizes', concat(a.r, 'x', d.c, ' ', e.r, 'x', f.c) FROM size a JOIN size d ON d.module = a.module AND d.role = 1 JOIN size e ON e.module = a.module AND e.role = 2
+    JOIN size f ON f.module = a.module AND f.role = 3 WHERE a.role = 0 AND (a.r <> e.r OR d.c <> f.c)""")
 def _(spark, sf):
-    _sig, u1 = mt.low_rank_spectrum(role(spark, sf, 0), role(spark, sf, 1), scales(spark, sf), ["module"])
-    return u1.select("module", "i", r6(F.col("v"), "v"))
+    """Modules whose two products are undefined or differ in shape."""
+    second = role(spark, sf, 1).where("NOT (module % 4 = 0 OR module % 4 = 1 AND i >= 5)")
+    fourth = role(spark, sf, 3).where("NOT (module % 4 = 2 AND j >= 6)")
+    return mt.hadamard_issues(role(spark, sf, 0), second, role(spark, sf, 2), fourth, ["module"])
 
 
 def sigma_rows(spark, sf):

@@ -139,6 +139,42 @@ def test_low_rank_spectrum_equals_dense(spark):
     assert all(abs(block[i, j] - 0.5 * (up @ down)[i, j]) < 1e-9 for i in range(30) for j in range(20))
 
 
+@pytest.mark.parametrize("elements", [1 << 22, 90])
+def test_dense_svd_of_any_shape(spark, monkeypatch, elements):
+    """Tall, wide, square, rank-deficient and zero modules, whole and cut into many column blocks."""
+    monkeypatch.setattr(matrices, "BLOCK_ELEMENTS", elements)
+    rng = np.random.default_rng(3)
+    mats = {"tall": rng.normal(size=(30, 11)), "wide": rng.normal(size=(7, 25)), "square": rng.normal(size=(20, 20)) * np.logspace(0, -9, 20), "low": rng.normal(size=(18, 3)) @ rng.normal(size=(3, 14)),
+            "zero": np.zeros((4, 5)), "one": np.array([[-2.0]])}
+    rows = [(m, i, j, float(v)) for m, a in mats.items() for (i, j), v in np.ndenumerate(a)]
+    sig, u1 = matrices.dense_svd(spark.createDataFrame(rows, "module string, i bigint, j bigint, v double"), ["module"])
+    values, vectors = {}, {}
+    for r in sig.orderBy("module", "k").collect():
+        values.setdefault(r["module"], []).append(r["sigma"])
+    for r in u1.orderBy("module", "i").collect():
+        vectors.setdefault(r["module"], []).append(r["v"])
+    for m, a in mats.items():
+        u, s, _ = np.linalg.svd(a)
+        assert np.allclose(values[m], s, rtol=1e-9, atol=1e-12), m
+        if m != "zero":
+            v = np.array(vectors[m])
+            assert np.allclose(np.abs(v), np.abs(u[:, 0]), atol=1e-8) and v[np.abs(v).argmax()] > 0
+
+
+def test_low_rank_spectrum_beyond_a_side(spark, monkeypatch):
+    """A rank above both sides, and factors cut into many rows."""
+    monkeypatch.setattr(matrices, "FACTOR_ROWS", 3)
+    monkeypatch.setattr(matrices, "FAN_IN", 2)
+    rng = np.random.default_rng(4)
+    for out, rank, inner in ((5, 9, 4), (40, 3, 33), (6, 6, 2)):
+        up, down = rng.normal(size=(out, rank)), rng.normal(size=(rank, inner))
+        m = lambda a: spark.createDataFrame([("m", i, j, float(v)) for (i, j), v in np.ndenumerate(a)], "module string, i bigint, j bigint, v double")
+        sig, u1 = matrices.low_rank_spectrum(m(up), m(down), spark.createDataFrame([("m", -0.5)], "module string, scale double"), ["module"])
+        u, s, _ = np.linalg.svd(-0.5 * up @ down)
+        assert np.allclose([r["sigma"] for r in sig.orderBy("k").collect()], s[: min(out, rank, inner)], rtol=1e-9)
+        assert np.allclose(np.abs([r["v"] for r in u1.orderBy("i").collect()]), np.abs(u[:, 0]), atol=1e-8)
+
+
 def test_photo_scale_is_the_upper_median_of_all_pairs(spark):
     rng = np.random.default_rng(2)
     rows = [("a", i, [float(x) for x in rng.normal(size=5)]) for i in range(41)] + [("b", 99, [0.0] * 5)] + [("c", i, [1.0] * 5) for i in range(9)]
