@@ -32,14 +32,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.llm.cover_dedup import _hashes, _prefix
 from palimpsest.session import materialized
 
 LONGEST = 4
 #: The bit filter: 8 MB, two bits a phrase.
 BITS = 1 << 26
 _FIELDS = (BITS - 5, BITS - 27)
-#: Words counted at a time, so a task numbers fewer than 2^21 different ones; distinct phrases it holds; and bytes it cuts at a time.
-MOST_TOKENS, MOST_PHRASES, CHUNK = 1_000_000, 1_500_000, 2 << 20
+#: Different words a task numbers before it starts afresh, so that with a stretch more they stay below 2^21; distinct phrases it holds; and bytes it cuts at a time.
+MOST_NUMBERS, MOST_PHRASES, CHUNK = 1_000_000, 1_500_000, 1 << 20
 #: The first threshold lies this many times the places asked for down the pairs; each further one this many times deeper.
 DEPTH = 4
 _WORD = (1 << 21) - 1
@@ -48,18 +49,83 @@ _WORD = (1 << 21) - 1
 _FOLD = bytes((b + 32 if 0x41 <= b <= 0x5A else 0x2E if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b) for b in range(256))
 
 
-class _Words(dict):
-    """Number of each word a task has met, from 1; 0 ends a piece."""
+class _Words:
+    """Numbers the different words a task has met, from 1; 0 ends a piece.
+
+    Words are looked up by a 64-bit hash, all of a stretch at once, and then
+    compared byte by byte with the word that has the number, so a hash that two
+    words share does not join them.
+    """
 
     def __init__(self):
-        super().__init__({b".": 0})
+        self.table: dict[int, int] = {}
+        self.others: dict[bytes, int] = {}
         self.spelled, self.checksums = [b"."], array("q", [0])
+        self.letters, self.starts = bytearray(b"."), array("q", [0, 1])
+
+    def __len__(self) -> int:
+        return len(self.spelled)
 
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self.spelled)
+    def _new(self, word: bytes) -> int:
         self.spelled.append(word)
         self.checksums.append(zlib.crc32(word))
-        return n
+        self.letters += word
+        self.starts.append(len(self.letters))
+        return len(self.spelled) - 1
+
+    def numbers(self, text: bytes) -> np.ndarray:
+        """The word numbers of a folded text, with a 0 between words of different pieces."""
+        raw = np.frombuffer(text, np.uint8)
+        ends_piece = raw == 0x2E
+        turns = np.flatnonzero(np.diff(np.concatenate([[False], ~(ends_piece | (raw == 0x20)), [False]]).view(np.int8)))
+        lo, hi = turns[::2], turns[1::2]
+        if not len(lo):
+            return np.zeros(0, np.int64)
+        hashes, first, inverse = np.unique(_hashes(_prefix(raw), lo, hi).view(np.int64), return_index=True, return_inverse=True)
+        codes = [self.table.get(h) for h in hashes.tolist()]
+        for k, code in enumerate(codes):
+            if code is None:
+                codes[k] = self.table[int(hashes[k])] = self._new(text[lo[first[k]] : hi[first[k]]])
+        codes = np.array(codes, np.int64)[inverse]
+        for k in self._unlike(raw, lo, hi, codes).tolist():
+            word = text[lo[k] : hi[k]]
+            if word not in self.others:
+                self.others[word] = self._new(word)
+            codes[k] = self.others[word]
+        piece = np.cumsum(ends_piece)[lo]
+        apart = np.concatenate([[0], np.cumsum(piece[1:] != piece[:-1])])
+        out = np.zeros(len(codes) + apart[-1], np.int64)
+        out[np.arange(len(codes)) + apart] = codes
+        return out
+
+    def _unlike(self, raw: np.ndarray, lo: np.ndarray, hi: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Places of words that are not spelled like the word of their number."""
+        starts = np.frombuffer(self.starts, np.int64)
+        size, there = hi - lo, starts[codes]
+        alike = starts[codes + 1] - there == size
+        lengths = np.where(alike, size, 0)
+        upto = np.cumsum(lengths)
+        step = np.arange(upto[-1])
+        mine = raw[np.repeat(lo - upto + lengths, lengths) + step]
+        theirs = np.frombuffer(self.letters, np.uint8)[np.repeat(there - upto + lengths, lengths) + step]
+        differs = np.concatenate([[0], np.cumsum(mine != theirs)])
+        return np.flatnonzero(~alike | (differs[upto] > differs[upto - lengths]))
+
+
+def _stretches(text: bytes, length: int):
+    """A folded text in stretches that end between words; each starts with the ``length`` - 1 words before it, so every phrase lies in one and in no two."""
+    start = carried = 0
+    while start < len(text):
+        end = len(text)
+        if end - start > 2 * CHUNK:
+            cut = max(text.rfind(b" ", start, start + CHUNK), text.rfind(b".", start, start + CHUNK))
+            end = cut + 1 if cut > start else next((k + 1 for k in sorted((text.find(b" ", start + CHUNK), text.find(b".", start + CHUNK))) if k >= 0), len(text))
+        yield text[carried:end]
+        start = carried = end
+        for _ in range(length - 1):
+            while carried and text[carried - 1] in b" .":
+                carried -= 1
+            carried = max(text.rfind(b" ", 0, carried), text.rfind(b".", 0, carried)) + 1
 
 
 def _fold(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,15 +221,13 @@ def phrase_counts(docs: DataFrame, length: int, least: int, kept=None, missing:
 
         def add(lang, texts):
             nonlocal words
-            found = b".".join(texts).translate(_FOLD).replace(b".", b" . ").split()
-            for start in range(0, len(found), MOST_TOKENS):
-                if len(words) > MOST_TOKENS:
+            for part in _stretches(b".".join(texts).translate(_FOLD), length):
+                if len(words) > MOST_NUMBERS:
                     yield from rows()
                     words = _Words()
                     if kept_here:
                         kept_here.frequent.clear()
-                part = found[start : start + MOST_TOKENS + length - 1]  # phrases that start in this stretch
-                codes = np.fromiter(map(words.__getitem__, part), np.int64, len(part))
+                codes = words.numbers(part)
                 keys = _keys(codes, np.array(words.checksums, np.int64), lang, length, missing, kept_here)
                 if len(keys):
                     held.setdefault(lang, []).append(_fold(keys, np.ones(len(keys), np.int64)))

@@ -50,7 +50,7 @@ def texts(seed, n=150):
 def test_collocations_equal_brute_force(spark, monkeypatch, places, least, depth):
     monkeypatch.setattr(phrases, "DEPTH", max(2, depth) if depth > 1 else 2)
     if depth == 1:
-        monkeypatch.setattr(phrases, "MOST_TOKENS", 5)  # stretches and renewed dictionaries
+        monkeypatch.setattr(phrases, "MOST_NUMBERS", 5)  # stretches and renewed dictionaries
         monkeypatch.setattr(phrases, "CHUNK", 40)
         monkeypatch.setattr(phrases, "MOST_PHRASES", 6)
     rows = texts(places)
@@ -58,6 +58,30 @@ def test_collocations_equal_brute_force(spark, monkeypatch, places, least, depth
     assert got(phrases.collocations(docs, places, least)) == brute(rows, places, least)
 
 
+def test_words_of_one_hash_stay_apart(monkeypatch):
+    """Every word hashes alike, yet words keep their own numbers."""
+    monkeypatch.setattr(phrases, "_hashes", lambda prefix, lo, hi: (hi - hi).astype("uint64"))
+    words = phrases._Words()
+    text = b"aa bb.aa  b bb a"
+    assert [words.spelled[c] for c in words.numbers(text)] == [b"aa", b"bb", b".", b"aa", b"b", b"bb", b"a"]
+    assert [words.spelled[c] for c in words.numbers(b"..bb.. cc ")] == [b"bb", b".", b"cc"]
+
+
+def test_stretches_hold_every_phrase_once(monkeypatch):
+    monkeypatch.setattr(phrases, "CHUNK", 7)
+    rng = random.Random(2)
+    for _ in range(300):
+        text = "".join(rng.choice("ab  .cd") for _ in range(rng.randint(0, 80))).encode()
+        for length in (1, 2, 4):
+            got, want = Counter(), Counter()
+            for out, parts in ((got, phrases._stretches(text, length)), (want, [text])):
+                for part in parts:
+                    for piece in part.split(b"."):
+                        words = piece.split()
+                        out.update(tuple(words[i : i + length]) for i in range(len(words) - length + 1))
+            assert got == want, (text, length)
+
+
 def test_missing_tails_are_counted(spark):
     """Four words that stick together although the last three alone are common with weak pairs."""
     rows = [("en", "p q r s")] * 8 + [("en", "q r s")] * 3 + [("en", t) for t in ["q r", "r s", "q x", "x s", "y z"] for _ in range(6)]
