@@ -138,17 +138,33 @@ def _(spark, sf):
     return out.groupBy("scan_id").agg(F.max_by(F.struct(*cols), "batch").alias("v")).select("scan_id", "v.*")
 
 
-@query("l2_quiet_progress")
+@query("l1_windowed_ledger", b.with_sql(["log"], """SELECT scan_id, CAST(epoch(hour) AS BIGINT) AS hour, coalesce(sum(bytes) FILTER (NOT cached), 0)::BIGINT AS network_bytes, coalesce(sum(bytes) FILTER (cached), 0)::BIGINT AS cached_bytes,
+  count(*) FILTER (NOT cached) AS requests FROM (SELECT *, date_trunc('hour', ts) AS hour FROM log) WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM log) GROUP BY scan_id, hour"""))
 def _(spark, sf):
+    """The ledger of every hour the watermark has closed, each told once."""
+    out = live.run_to_table(live.windowed_ledger(log_stream(spark, sf), ["scan_id"]))
+    return out.select("scan_id", F.col("window.start").cast("bigint").alias("hour"), "network_bytes", "cached_bytes", "requests")
+
+
+_STEP = f"(phase <> shown OR phase <> 'fetching' AND detail <> last OR phase = 'fetching' AND (detail <> '' AND detail <> last OR size - seen >= {live.STEP}))"
+
+
+@query("l2_quiet_progress", f"""WITH RECURSIVE ev AS MATERIALIZED (SELECT user_id % 20 AS scan_id, event_id AS seq, CASE WHEN event_type IN ('click', 'view') THEN 'fetching' ELSE event_type END AS phase,
+    CASE WHEN user_id % 3 = 0 THEN '' ELSE 'u' || event_id % 3 END AS detail, event_id * 100000 AS size, row_number() OVER (PARTITION BY user_id % 20 ORDER BY epoch_ms(ts), event_id) AS i
+    FROM events WHERE ts < date_trunc('minute', (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE)),
+  walk AS (SELECT scan_id, 0::BIGINT AS i, NULL::BIGINT AS seq, NULL::VARCHAR AS phase, NULL::VARCHAR AS detail, NULL::BIGINT AS size, '-' AS shown, '' AS last, 0::BIGINT AS seen, false AS news FROM (SELECT DISTINCT scan_id FROM ev)
+    UNION ALL SELECT scan_id, i, seq, phase, detail, size, CASE WHEN news THEN phase ELSE shown END, CASE WHEN news AND detail <> '' THEN detail ELSE last END, CASE WHEN news THEN size ELSE seen END, news FROM (
+      SELECT e.*, w.shown, w.last, w.seen, {_STEP.replace('phase', 'e.phase').replace('detail', 'e.detail').replace('size', 'e.size')} AS news FROM walk w JOIN ev e ON e.scan_id = w.scan_id AND e.i = w.i + 1))
+  SELECT scan_id, seq, phase, detail, size AS bytes FROM walk WHERE news""")
+def _(spark, sf):
+    """Progress worth showing, in event-time order, up to the last minute the watermark has passed."""
     ev = log_stream(spark, sf)
     phase = F.when(F.col("event_type").isin("click", "view"), "fetching").otherwise(F.col("event_type"))
-    rows = ev.select("scan_id", F.col("request_id").alias("seq"), phase.alias("phase"), F.when(F.col("cached"), "").otherwise(F.concat(F.lit("u"), (F.col("request_id") % 3).cast("string"))).alias("detail"),
+    rows = ev.select("scan_id", F.col("request_id").alias("seq"), "ts", phase.alias("phase"), F.when(F.col("cached"), "").otherwise(F.concat(F.lit("u"), (F.col("request_id") % 3).cast("string"))).alias("detail"),
                      (F.col("request_id") * 100_000).alias("bytes"))
     return live.run_to_table(live.quiet_progress(rows)).select("scan_id", "seq", "phase", "detail", "bytes")
 
 
-
-
 @query("l3_live_calibration", b.with_sql(["ctrl"], f"""SELECT run_id, id, p_value, CASE WHEN p_value > 0.05 THEN 'no-evidence' WHEN (id % 80) / 10.0 >= 4 THEN 'memorized' ELSE 'memorized-other-content' END AS verdict FROM (
   SELECT run_id, id, round((1 + n - below) / (1.0 + n), 6) AS p_value FROM (SELECT run_id, id, role, count(*) FILTER (role = 'control') OVER (PARTITION BY run_id) AS n,
   coalesce(count(*) FILTER (role = 'control') OVER (PARTITION BY run_id ORDER BY mass RANGE UNBOUNDED PRECEDING EXCLUDE TIES), 0) - CASE WHEN role = 'control' THEN 1 ELSE 0 END AS below FROM ctrl) WHERE role = 'reference')"""))

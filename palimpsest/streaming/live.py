@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from palimpsest.operators import catalog, evaluate
 from palimpsest.session import scratch_path
@@ -29,31 +28,67 @@ def windowed_ledger(log: DataFrame, keys: list[str], time: str = "ts", width: st
 PROGRESS = "scan_id bigint, seq bigint, phase string, detail string, bytes bigint"
 
 
-def _quiet(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keeps an event when its phase or detail says something new."""
-    phase, last, seen = state.get if state.exists else (None, "", 0)
-    rows = pd.concat(list(batches)).sort_values("seq")
-    kept = []
-    for row in rows.itertuples(index=False):
-        fetching = row.phase == "fetching"
-        fresh = bool(row.detail) and row.detail != last
-        show = row.phase != phase or (row.detail != last and not fetching) or (fetching and (fresh or row.bytes - seen >= STEP))
-        kept.append(show)
-        if show:
-            phase, seen = row.phase, int(row.bytes)
-            last = row.detail or last
-    state.update((phase, last, seen))
-    yield rows[kept][["scan_id", "seq", "phase", "detail", "bytes"]]
-
-
-def quiet_progress(events: DataFrame) -> DataFrame:
-    """Progress events worth showing, per scan, in event order within a batch.
-
-    State per scan is three values; a batch's events of one scan are the
-    trigger's size at most.
+class QuietProgress(StatefulProcessor):
+    """Keeps a scan's event when its phase or detail says something new, in event-time order across batches.
+
+    Events wait in the state store, not in memory, until the watermark has passed
+    them; then they are told in order of (time, seq) against the last event
+    shown. A timer per ``SLOT`` of event time bounds how many timers a scan has,
+    and the watermark's delay how much it holds back.
+    """
+
+    SLOT = 60_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.shown = handle.getValueState("shown", "phase string, detail string, bytes bigint")
+        self.waiting = handle.getMapState("waiting", "at bigint, seq bigint", "phase string, detail string, bytes bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        slots = set()
+        for row in rows:
+            self.waiting.updateValue((row.at, row.seq), (row.phase, row.detail, row.bytes))
+            slots.add((row.at // self.SLOT + 1) * self.SLOT)
+        for slot in slots:
+            self.handle.registerTimer(slot)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        upto = timerValues.getCurrentWatermarkInMs() // self.SLOT * self.SLOT  # whole slots, whichever timer comes first
+        due = sorted((tuple(k), tuple(v)) for k, v in self.waiting.iterator() if k[0] < upto)
+        phase, last, seen = tuple(self.shown.get()) if self.shown.exists() else (None, "", 0)
+        out = []
+        for (at, seq), (now, detail, size) in due:
+            self.waiting.removeKey((at, seq))
+            if tells_news(now, detail, size, phase, last, seen):
+                out.append(Row(scan_id=key[0], seq=seq, phase=now, detail=detail, bytes=size))
+                phase, last, seen = now, detail or last, size
+        if out:
+            self.shown.update((phase, last, seen))
+        return iter(out)
+
+    def close(self) -> None:
+        pass
+
+
+def tells_news(phase: str, detail: str, size: int, shown: str | None, last: str, seen: int) -> bool:
+    """A new phase, a new detail outside fetching, or while fetching a new detail or ``STEP`` more bytes."""
+    if phase != shown:
+        return True
+    if phase == "fetching":
+        return bool(detail) and detail != last or size - seen >= STEP
+    return detail != last
+
+
+def quiet_progress(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Progress events (scan_id, seq, ts, phase, detail, bytes) worth showing, per scan in event-time order.
+
+    An event is told once the watermark, ``late`` behind the latest event, has
+    passed its minute. Needs the RocksDB state store, which this sets for the session.
     """
-    return events.groupBy("scan_id").applyInPandasWithState(
-        _quiet, PROGRESS, "phase string, detail string, bytes bigint", "append", GroupStateTimeout.NoTimeout)
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    timed = events.select("scan_id", "seq", "ts", F.unix_millis("ts").alias("at"), "phase", F.coalesce("detail", F.lit("")).alias("detail"), "bytes").withWatermark("ts", late)
+    return timed.groupBy("scan_id").transformWithState(QuietProgress(), PROGRESS, "append", "eventTime")
 
 
 def live_calibration(batch: DataFrame, controls: DataFrame, alpha: float = 0.05) -> DataFrame:
