@@ -173,5 +173,6 @@ def _(spark, sf):
     arriving = orders.where("o_orderpriority <> '5-LOW'").select(F.col("o_orderstatus").alias("run_id"), F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 1000).alias("mass"),
                                                                  ((F.col("o_orderkey") % 80) / 10.0).alias("snap"))
     controls = b.masses(spark, sf).where("role = 'control'").select("run_id", "mass")
-    out = live.run_to_table(arriving, each=lambda batch: live.live_calibration(batch, controls))
+    ranks = live.control_ranks(controls)
+    out = live.run_to_table(arriving, each=lambda batch: live.live_calibration(batch, ranks))
     return out.select("run_id", "id", F.round("p_value", 6).alias("p_value"), "verdict")

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from palimpsest.operators import catalog, evaluate
-from palimpsest.session import scratch_path
+from palimpsest.operators import catalog, evaluate, ranking
+from palimpsest.session import materialized, scratch_path
 
 STEP = 8 << 20
 
@@ -91,16 +91,38 @@ def quiet_progress(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     return timed.groupBy("scan_id").transformWithState(QuietProgress(), PROGRESS, "append", "eventTime")
 
 
-def live_calibration(batch: DataFrame, controls: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """One micro-batch of regions scored against a static control table.
+#: Controls of a run that share one entry of its rank table.
+RANKS = 1024
 
-    ``batch(run_id, id, mass, snap)``, ``controls(run_id, mass)``. Ranks by
-    distinct mass, so neither a run with very many controls nor a run with
-    very many regions forms pairs or lands in one task.
+
+def control_ranks(controls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rank table of ``controls`` (run_id, mass), made once and read by every batch.
+
+    ``heads(run_id, controls, edges)`` has the first mass of each of a run's
+    entries; ``entries(run_id, entry, ranks, upto)`` the distinct masses of
+    about ``RANKS`` controls, each with the number of controls below it.
+    """
+    counted = ranking.running_counts(controls, ["run_id"], ["mass"], {"n": F.count(F.lit(1))}).withColumn("entry", F.expr(f"n_before div {RANKS}"))
+    entries = materialized(counted.groupBy("run_id", "entry").agg(F.array_sort(F.collect_list(F.struct("mass", "n_before"))).alias("ranks"), F.max(F.col("n_before") + F.col("n")).alias("upto")), "control-ranks")
+    heads = entries.groupBy("run_id").agg(F.max("upto").alias("controls"), F.array_sort(F.collect_list(F.struct(F.col("ranks")[0]["mass"].alias("mass"), "entry"))).alias("edges"))
+    return materialized(heads, "control-heads"), entries
+
+
+def live_calibration(batch: DataFrame, ranks: tuple[DataFrame, DataFrame], alpha: float = 0.05) -> DataFrame:
+    """One micro-batch of regions (run_id, id, mass, snap) scored against ``control_ranks``.
+
+    A region finds its run's entry by the entries' first masses and its rank
+    inside; the batch is joined twice on equal keys, and no control is ranked again.
     """
-    pooled = batch.select("run_id", "id", "mass", "snap", F.lit(False).alias("_c")).unionByName(
-        controls.select("run_id", F.lit(None).cast("bigint").alias("id"), "mass", F.lit(None).cast("double").alias("snap"), F.lit(True).alias("_c")))
-    out = evaluate.exceedance(pooled, "mass", ["run_id"], F.col("_c")).drop("_c")
+    heads, entries = ranks
+    met = batch.select("run_id", "id", "mass", "snap").join(heads, "run_id", "left")
+    entry = F.element_at(F.filter("edges", lambda e: e["mass"] <= F.col("mass")), -1)
+    # an empty list has no last entry: the region lies below every control
+    placed = met.withColumn("entry", F.when(F.size(F.filter("edges", lambda e: e["mass"] <= F.col("mass"))) > 0, entry["entry"])).drop("edges")
+    found = placed.join(entries, ["run_id", "entry"], "left")
+    at = F.get(F.filter("ranks", lambda r: r["mass"] >= F.col("mass")), F.lit(0))["n_before"]
+    below = F.coalesce(at, F.col("upto"), F.lit(0))
+    out = found.withColumn("controls", F.coalesce("controls", F.lit(0))).withColumn("p_value", F.when(F.col("controls") > 0, (1 + F.col("controls") - below) / (1 + F.col("controls"))))
     out = out.withColumn("significance", evaluate.significance(F.col("p_value"), alpha))
     verdict = (F.when(~evaluate.counts(F.col("significance")), "no-evidence").when(F.col("snap") >= 4.0, "memorized").otherwise("memorized-other-content"))
     return out.withColumn("verdict", verdict).select("run_id", "id", "mass", "snap", "controls", "p_value", "significance", "verdict")
