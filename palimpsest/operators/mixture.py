@@ -45,10 +45,13 @@ def _sumsq(a: Column) -> Column:
 def parse_regions(specs: DataFrame, side: int, default_kappa: float = 1.0) -> DataFrame:
     """``x,y,w,h[:κ]`` text to (scenario, ord, kappa, r0, r1, c0, c1); bad specs drop.
 
-    Rows and columns are half-open and clipped to the grid.
+    ``center`` stands for the middle half of each axis, ``whole`` for every
+    cell. Rows and columns are half-open and clipped to the grid.
     """
     parts = F.split("spec", ":")
-    box = F.transform(F.split(parts[0], ","), lambda p: F.trim(p).try_cast("double"))
+    name = F.trim(parts[0])
+    text = F.when(name == "center", "0.25,0.25,0.5,0.5").when(name == "whole", "0,0,1,1").otherwise(parts[0])
+    box = F.transform(F.split(text, ","), lambda p: F.trim(p).try_cast("double"))
     kappa = F.when(F.size(parts) > 1, parts[1].try_cast("double")).otherwise(F.lit(default_kappa))
     ok = ((F.size("box") == 4) & F.forall("box", lambda v: v.isNotNull() & (v >= 0) & (v <= 1))
           & (F.get("box", 2) > 0) & (F.get("box", 3) > 0) & F.col("kappa").between(0, 1))

@@ -421,6 +421,20 @@ def _(spark, sf):
     return out.select("unit", "format", "modules", "planned_modules", "planned_bytes", F.array_join("sample_modules", ",").alias("sample_modules"))
 
 
+@query("c28_inspection_metadata", f"""{_PLAN}, s AS (SELECT unit, count(*) FILTER (selected) AS planned_modules FROM walk WHERE ord > 0 GROUP BY unit),
+  keys AS (SELECT p_brand AS unit, string_agg(DISTINCT 'ss_' || lower(split_part(p_type, ' ', 1)), ',' ORDER BY 'ss_' || lower(split_part(p_type, ' ', 1))) AS metadata_keys FROM part GROUP BY p_brand)
+  SELECT unit, planned_modules, metadata_keys FROM s JOIN keys USING (unit)""")
+def _(spark, sf):
+    """Inspections with the keys of each unit's header metadata."""
+    mods = tens_modules(spark, sf)
+    marked = materialized(ad.conditioning(mods), "conditioning")
+    plan = materialized(ad.fetch_plan(marked, b.tensor_catalog(spark, sf), BUDGET), "plan")
+    pairs = table(spark, sf, "part").select(F.col("p_brand").alias("unit"), F.concat(F.lit("ss_"), F.lower(F.substring_index("p_type", " ", 1))).alias("k")).groupBy("unit", "k").agg(F.count(F.lit(1)).cast("string").alias("v"))
+    metadata = pairs.groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("metadata"))
+    out = ad.inspections(mods, marked, plan, metadata)
+    return out.select("unit", "planned_modules", F.array_join("metadata_keys", ",").alias("metadata_keys"))
+
+
 @query("c29_largest_adapter", """SELECT s_nationkey AS repo, arg_max(s_suppkey, s_suppkey * 37 % 101 * 1000000 + s_suppkey) AS unit, max(s_suppkey * 37 % 101) AS byte_size FROM supplier WHERE s_suppkey % 4 IN (0, 1) GROUP BY s_nationkey""")
 def _(spark, sf):
     s = table(spark, sf, "supplier")

@@ -54,6 +54,15 @@ def _(spark, sf):
 _STREAMS = ", ".join(f"('{s}')" for s in keyed.STREAMS)
 
 
+@query("e7_partition_invariance", f"""SELECT event_id, round({b.sql_normal("d")}, 9) AS eps, 0::BIGINT AS moved FROM (SELECT event_id, {b.sql_prf('scout', 'event_id')} AS d FROM events)""")
+def _(spark, sf):
+    """Draws over the table as it lies, and again dealt out anew: none moves."""
+    draw = lambda df: df.select("event_id", keyed.normal(keyed.prf_hex("scout", F.col("event_id"))).alias("eps"))
+    ev = table(spark, sf, "events").select("event_id")
+    again = draw(ev.repartition(13, F.col("event_id") % 7)).withColumnRenamed("eps", "_again")
+    return draw(ev).join(again, "event_id").select("event_id", F.round("eps", 9).alias("eps"), (F.col("eps") != F.col("_again")).cast("bigint").alias("moved"))
+
+
 @query("e6_named_streams", f"""SELECT stream, count(*) AS n, count(DISTINCT prf) AS distinct_prf, min(prf) AS lowest FROM (
   SELECT stream, substr({b._hmac(f"'{keyed.VERSION}|' || stream || '|' || o_orderkey")}, 1, 16) AS prf
   FROM orders, (SELECT * FROM (VALUES {_STREAMS}) AS v(stream))) GROUP BY stream""")

@@ -275,17 +275,38 @@ def _(spark, sf):
     return mx.region_cells(mx.parse_regions(_specs(spark, sf), 12), 12).select("scenario", "ord", "kappa", F.col("cell").cast("bigint").alias("cell"))
 
 
-@query("f21_disjoint_regions", f"""WITH RECURSIVE spec AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY ord) AS i FROM ({_PARSED})),
+@query("f20_named_masks", """SELECT c_custkey AS scenario, c_nationkey AS ord, CASE WHEN c_custkey % 2 = 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS kappa, (r * side + c)::BIGINT AS cell
+  FROM customer, (SELECT 10 AS side), range(10) a(r), range(10) d(c) WHERE c_custkey % 3 = 0 OR c_custkey % 3 = 1 AND r >= 2 AND r < 8 AND c >= 2 AND c < 8""")
+def _(spark, sf):
+    """The centre and the whole frame by name, on a side that a quarter does not divide; an unknown name has no cells."""
+    k = F.col("c_custkey")
+    name = F.element_at(F.array(F.lit("whole"), F.lit(" center"), F.lit("corner")), (k % 3 + 1).cast("int"))
+    specs = table(spark, sf, "customer").select(k.alias("scenario"), F.col("c_nationkey").alias("ord"), F.concat(name, F.when(k % 2 == 0, ":0.5").otherwise("")).alias("spec"))
+    return mx.region_cells(mx.parse_regions(specs, 10), 10).select("scenario", "ord", "kappa", F.col("cell").cast("bigint").alias("cell"))
+
+
+_DISJOINT = f"""WITH RECURSIVE spec AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY ord) AS i FROM ({_PARSED})),
   masks AS MATERIALIZED (SELECT scenario, i, any_value(ord) AS ord, any_value(kappa) AS kappa, list(r * 12 + c) FILTER (r >= r0 AND r < r1 AND c >= c0 AND c < c1) AS cells
     FROM spec, range(12) a(r), range(12) d(c) GROUP BY scenario, i),
   walk AS (SELECT scenario, 0::BIGINT AS i, NULL::BIGINT AS ord, NULL::DOUBLE AS kappa, []::BIGINT[] AS taken, []::BIGINT[] AS kept FROM (SELECT DISTINCT scenario FROM spec)
     UNION ALL SELECT scenario, i, ord, kappa, CASE WHEN len(free) >= 4 THEN list_concat(taken, free) ELSE taken END, CASE WHEN len(free) >= 4 THEN free ELSE []::BIGINT[] END FROM (
       SELECT m.scenario, m.i, m.ord, m.kappa, w.taken, list_filter(m.cells, lambda x: NOT list_contains(w.taken, x)) AS free FROM walk w JOIN masks m ON m.scenario = w.scenario AND m.i = w.i + 1))
-  SELECT scenario, ord, kappa, unnest(kept) AS cell FROM walk""")
+"""
+
+
+@query("f21_disjoint_regions", _DISJOINT + "SELECT scenario, ord, kappa, unnest(kept) AS cell FROM walk")
 def _(spark, sf):
     return mx.disjoint_regions(mx.parse_regions(_specs(spark, sf), 12), 12).select("scenario", "ord", "kappa", F.col("cell").cast("bigint").alias("cell"))
 
 
+@query("f21_rest_block", _DISJOINT + """SELECT DISTINCT scenario, cell::BIGINT AS cell FROM walk, range(144) g(cell) WHERE scenario IN (SELECT scenario FROM walk WHERE len(kept) > 0)
+  EXCEPT SELECT scenario, unnest(kept) FROM walk""")
+def _(spark, sf):
+    """The cells that no region of a scenario holds."""
+    masks = mx.disjoint_regions(mx.parse_regions(_specs(spark, sf), 12), 12)
+    return mx.complement(masks, ["scenario"], 144).select("scenario", F.col("cell").cast("bigint").alias("cell"))
+
+
 @query("f22_guidance_blend", b.with_sql(["emb"], """SELECT ref_id, cell, round(CASE WHEN u.v IS NULL OR w = 1 THEN c.value ELSE u.v + w * (c.value - u.v) END, 6) AS eps FROM
   (SELECT *, 1 + ref_id % 3 AS w FROM emb) c LEFT JOIN (SELECT label, cell, avg(value) AS v FROM emb WHERE label <> 4 GROUP BY label, cell) u USING (label, cell)"""))
 def _(spark, sf):
