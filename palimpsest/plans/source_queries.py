@@ -22,25 +22,46 @@ from palimpsest.streaming import live
 
 def tensor_folder(spark, sf):
     """One tensor file per vector (F32 [8, 8] and F16 [64]), written by the tasks that hold the vectors."""
-    folder = scratch_path(spark, "tensor-files").removeprefix("file://")
-    rows = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<float>").alias("v"))
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
+    folder = scratch_path(spark, "tensor-files")
 
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
-        os.makedirs(folder, exist_ok=True)
         for pdf in batches:
+            names, contents = [], []
             for vec_id, v in zip(pdf["vec_id"], pdf["v"]):
                 body = np.asarray(v, "<f4").tobytes() + np.asarray(v, "<f2").tobytes()
                 head = json.dumps({"__metadata__": {"vec": str(vec_id)}, "w": {"dtype": "F32", "shape": [8, 8], "data_offsets": [0, 256]},
                                    "h": {"dtype": "F16", "shape": [64], "data_offsets": [256, 384]}}).encode()
-                with open(f"{folder}/v{vec_id}.safetensors", "wb") as out:
-                    out.write(struct.pack("<Q", len(head)) + head + body)
-            yield pd.DataFrame({"n": [len(pdf)]})
+                names.append(f"v{vec_id}.safetensors")
+                contents.append(struct.pack("<Q", len(head)) + head + body)
+            yield pd.DataFrame({"name": names, "content": contents})
+
+    rows = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<float>").alias("v"))
+    tensor_files.write_files(rows.mapInPandas(build, "name string, content binary"), folder)
+    return folder
+
+
+def adapter_folder(spark, sf):
+    """A folder per supplier with an empty tensor file and, for all but every fourth, a config beside it."""
+    folder = scratch_path(spark, "adapters")
+    k = F.col("s_suppkey").cast("string")
+    head = F.concat(F.lit('{"w'), k, F.lit('": {"dtype": "F32", "shape": [0, 4], "data_offsets": [0, 0]}}'))
+    size = F.concat(F.lower(F.lpad(F.hex(F.length(head)), 2, "0")), F.lit("00000000000000"))
+    tensors = table(spark, sf, "supplier").select(F.concat(F.lit("s"), k, F.lit("/m.safetensors")).alias("name"), F.concat(F.unhex(size), head.cast("binary")).alias("content"))
+    configs = table(spark, sf, "supplier").where("s_suppkey % 4 > 0").select(
+        F.concat(F.lit("s"), k, F.lit("/adapter_config.json")).alias("name"), F.concat(F.lit('{"r": '), (F.col("s_suppkey") % 16).cast("string"), F.lit("}")).cast("binary").alias("content"))
+    tensor_files.write_files(tensors.unionByName(configs), folder)
+    return folder
+
 
-    rows.mapInPandas(write, "n bigint").agg(F.sum("n")).collect()
+def shard_folder(spark, sf):
+    """A shard index per nation that names a shard per supplier; one nation's is no JSON."""
+    folder = scratch_path(spark, "shards")
+    entry = F.concat(F.lit('"t'), F.col("s_suppkey").cast("string"), F.lit('": "'), (F.col("s_suppkey") % 5).cast("string"), F.lit('.safetensors"'))
+    listed = table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.array_join(F.sort_array(F.collect_list(entry)), ", ").alias("e"))
+    text = F.when(F.col("s_nationkey") == 3, "not json").otherwise(F.concat(F.lit('{"weight_map": {'), "e", F.lit("}}")))
+    tensor_files.write_files(listed.select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit(".safetensors.index.json")).alias("name"), text.cast("binary").alias("content")), folder)
     return folder
 
 
@@ -62,10 +83,20 @@ def _(spark, sf):
     return (out.groupBy(F.regexp_extract("path", r"v(\d+)\.", 1).cast("bigint").alias("vec_id")).agg(F.round(F.sum("value"), 6).alias("total"), F.count(F.lit(1)).alias("n")))
 
 
-@query("a5_local_adapters")
+@query("a2_shard_index", "SELECT DISTINCT 'n' || s_nationkey || '.safetensors' AS unit, s_suppkey % 5 || '.safetensors' AS shard FROM supplier WHERE s_nationkey <> 3")
+def _(spark, sf):
+    name = lambda c: F.regexp_extract(c, "([^/]*)$", 1).alias(c)
+    return tensor_files.shard_index(spark, shard_folder(spark, sf)).select(name("unit"), name("shard"))
+
+
+_EMPTY_TENSOR = """'{"w' || s_suppkey || '": {"dtype": "F32", "shape": [0, 4], "data_offsets": [0, 0]}}'"""
+
+
+@query("a5_local_adapters", f"""SELECT 's' || s_suppkey AS folder, 'w' || s_suppkey AS name, 'sha256:' || sha256(unhex(printf('%02x', length({_EMPTY_TENSOR})) || '00000000000000') || encode({_EMPTY_TENSOR})) AS pin,
+  CASE WHEN s_suppkey % 4 > 0 THEN '{{"r": ' || s_suppkey % 16 || '}}' END AS config FROM supplier""")
 def _(spark, sf):
-    out = tensor_files.local_adapters(spark, tensor_folder(spark, sf))
-    return out.select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), "name", "pin", "config")
+    out = tensor_files.local_adapters(spark, adapter_folder(spark, sf))
+    return out.select(F.regexp_extract("path", "([^/]*)/[^/]*$", 1).alias("folder"), "name", "pin", "config")
 
 
 @query("a8_report_round_trip")

@@ -9,15 +9,16 @@ decoding run inside the tasks. A file that cannot be read is a row with
 from __future__ import annotations
 
 import fnmatch
+import hashlib
 import json
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringContains, StringEndsWith, StringStartsWith
 
 # Element types and their byte sizes, header limits, and the
 # quantised types' names.
@@ -36,14 +37,42 @@ SCALARS = {0: "<B", 1: "<b", 2: "<H", 3: "<h", 4: "<I", 5: "<i", 6: "<f", 7: "<?
 SCHEMA = ("path string, file_size bigint, name string, dtype string, shape array<bigint>, byte_start bigint, byte_end bigint, "
           "metadata map<string,string>, version int, error string")
 FILES_PER_TASK = 64
+#: Bytes a header scan asks a file system for at a time, and a hash reads.
+HEADER_BUFFER, HASH_BLOCK = 1 << 16, 8 << 20
 
 
-def open_file(path: str):
-    """A seekable file on any file system Arrow knows, with its size."""
+def _located(path: str):
+    """The file system of a path or URI, and the path there."""
     from pyarrow import fs
 
-    system, inner = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-    return system.open_input_file(inner), system.get_file_info(inner).size
+    # Hadoop spells local URIs with one slash
+    return fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+
+
+def open_file(path: str):
+    """A seekable file on any file system Arrow knows."""
+    system, inner = _located(path)
+    return system.open_input_file(inner)
+
+
+def open_header(path: str):
+    """A file read from its start through a buffer, so that many small values cost few reads."""
+    system, inner = _located(path)
+    return system.open_input_stream(inner, buffer_size=HEADER_BUFFER)
+
+
+def write_files(rows: DataFrame, folder: str) -> int:
+    """Writes each row (name, content) as one file below ``folder``, a URI that all executors share; the number of files."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
+                system, inner = _located(f"{folder}/{name}")
+                system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(inner) as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return rows.select("name", F.col("content").cast("binary")).mapInArrow(write, "n bigint").agg(F.sum("n")).first()[0] or 0
 
 
 def list_files(path: str, pattern: str) -> list[tuple[str, int]]:
@@ -156,16 +185,24 @@ class _Batch(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, path: str, pattern: str, gguf: bool):
         self.path, self.pattern, self.gguf = path, pattern, gguf
+        self.tests: list = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Conditions on ``path`` leave other files unopened; Spark tests every condition again on the rows."""
+        checks = {EqualTo: lambda p, v: p == v, In: lambda p, v: p in v, StringStartsWith: str.startswith, StringEndsWith: str.endswith, StringContains: lambda p, v: v in p}
+        for f in filters:
+            if type(f) in checks and f.attribute == ("path",):
+                self.tests.append((checks[type(f)], f.value))
+            yield f
 
     def partitions(self) -> list[InputPartition]:
-        files = list_files(self.path, self.pattern)
+        files = [f for f in list_files(self.path, self.pattern) if all(check(f[0], value) for check, value in self.tests)]
         return [_Batch(files[i:i + FILES_PER_TASK]) for i in range(0, len(files), FILES_PER_TASK)] or [_Batch([])]
 
     def read(self, partition: _Batch) -> Iterator[tuple]:
         for path, size in partition.files:
             try:
-                handle, _ = open_file(path)
-                with handle:
+                with open_header(path) as handle:
                     if self.gguf:
                         version, metadata, entries = read_gguf_header(handle)
                         rows = [(n, t, s, o, None) for n, t, s, o in entries]
@@ -208,6 +245,7 @@ def scan_headers(spark: SparkSession, folder: str, gguf: bool = False) -> DataFr
     """One row per tensor; unreadable files keep one row with ``error``."""
     source = GgufHeaders if gguf else TensorHeaders
     spark.dataSource.register(source)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format(source.name()).load(folder)
 
 
@@ -251,32 +289,32 @@ def _eight_bit(code: np.ndarray, exponent_bits: int, mantissa_bits: int, bias: i
 CHUNK = 1 << 16
 
 
-DECODED = "path string, name string, idx bigint, value double, error string"
+CHUNKS = "path string, name string, first bigint, values array<double>, error string"
 
 
-def _decode_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decode_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Arrow in and out: NaN payloads stay NaN, only failures are NULL."""
-    types = [pa.string(), pa.string(), pa.int64(), pa.float64(), pa.string()]
-    names = ["path", "name", "idx", "value", "error"]
+    types = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.float64()), pa.string()]
+    names = ["path", "name", "first", "values", "error"]
     for batch in batches:
         for row in batch.to_pylist():
             n = row["count"]
             try:
-                handle, _ = open_file(row["path"])
-                with handle:
+                with open_file(row["path"]) as handle:
                     handle.seek(row["byte_start"] + row["first"] * row["width"])
                     values = decode(handle.read(n * row["width"]), row["dtype"], n)
-                columns = [[row["path"]] * n, [row["name"]] * n, np.arange(row["first"], row["first"] + n), values, [None] * n]
+                chunk = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array(values, pa.float64()))
+                columns = [[row["path"]], [row["name"]], [row["first"]], chunk, [None]]
             except Exception as error:  # the row carries the reason
-                columns = [[row["path"]], [row["name"]], [None], [None], [str(error)]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+                columns = [[row["path"]], [row["name"]], [row["first"]], [None], [str(error)]]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types)], names)
 
 
-def decode_payloads(tensors: DataFrame) -> DataFrame:
-    """(path, name, idx, value, error): the elements of catalogued tensors.
+def decode_chunks(tensors: DataFrame) -> DataFrame:
+    """(path, name, first, values, error): catalogued tensors in chunks of at most ``CHUNK`` elements from place ``first``.
 
-    A tensor is read in chunks that are spread over tasks, so one huge tensor
-    is many tasks' work; a size that does not match its shape is an error row.
+    Chunks are spread over tasks, so one huge tensor is many tasks' work; a size
+    that does not match its shape is an error row.
     """
     elements = F.aggregate("shape", F.lit(1).cast("bigint"), lambda a, b: a * b)
     size = F.lit(None).cast("int")
@@ -286,19 +324,45 @@ def decode_payloads(tensors: DataFrame) -> DataFrame:
     bad = F.when(F.col("width").isNull(), F.concat(F.lit("unsupported element type "), "dtype")).when(
         F.col("byte_end") - F.col("byte_start") != F.col("elements") * F.col("width"), "byte size does not match the shape")
     checked = known.withColumn("error", bad)
-    failed = checked.where("error IS NOT NULL").select("path", "name", F.lit(None).cast("bigint").alias("idx"), F.lit(None).cast("double").alias("value"), "error")
+    failed = checked.where("error IS NOT NULL").select("path", "name", F.lit(None).cast("bigint").alias("first"), F.lit(None).cast("array<double>").alias("values"), "error")
     good = checked.where("error IS NULL AND elements > 0").withColumn("first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("elements") - 1, F.lit(CHUNK).cast("bigint"))))
     jobs = good.select("path", "name", "dtype", "byte_start", "first", "width", F.least(F.lit(CHUNK), F.col("elements") - F.col("first")).alias("count"))
     spread = jobs.repartition(int(tensors.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path", "name", "first")
-    return spread.mapInArrow(_decode_rows, DECODED).unionByName(failed)
+    return spread.mapInArrow(_decode_chunks, CHUNKS).unionByName(failed)
+
+
+def decode_payloads(tensors: DataFrame) -> DataFrame:
+    """(path, name, idx, value, error): the single elements of ``decode_chunks``."""
+    chunks = decode_chunks(tensors)
+    each = chunks.select("path", "name", "first", "error", F.posexplode_outer("values").alias("_at", "value"))
+    return each.select("path", "name", (F.col("first") + F.col("_at")).alias("idx"), "value", "error")
+
+
+def file_pins(files: DataFrame) -> DataFrame:
+    """(path, pin) of each distinct ``path``: ``sha256:`` and the digest, read block by block; NULL for an unreadable file."""
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pins = []
+            for path in batch.column("path").to_pylist():
+                state = hashlib.sha256()
+                try:
+                    with open_file(path) as handle:
+                        while block := handle.read(HASH_BLOCK):
+                            state.update(block)
+                    pins.append(f"sha256:{state.hexdigest()}")
+                except OSError:
+                    pins.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(pins, pa.string())], names=["path", "pin"])
+
+    paths = files.select("path").distinct()
+    return paths.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path").mapInArrow(digest, "path string, pin string")
 
 
 def local_adapters(spark: SparkSession, folder: str) -> DataFrame:
     """Tensors with the file's SHA-256 pin and its sibling config text."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.safetensors").option("recursiveFileLookup", "true").load(folder)
-    clean = F.regexp_replace("path", "^file:/*", "/")
-    pins = files.select(clean.alias("path"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("pin"))
+    heads = scan_headers(spark, folder)
+    bare = lambda c: F.regexp_replace(c, "^file:/*", "/")
     config = spark.read.option("pathGlobFilter", "adapter_config.json").option("recursiveFileLookup", "true").text(folder, wholetext=True).select(
-        F.regexp_replace(F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/"), "/[^/]*$", "").alias("_dir"), F.col("value").alias("config"))
-    return (scan_headers(spark, folder).join(pins, "path", "left").withColumn("_dir", F.regexp_replace("path", "/[^/]*$", ""))
+        F.regexp_replace(bare(F.col("_metadata.file_path")), "/[^/]*$", "").alias("_dir"), F.col("value").alias("config"))
+    return (heads.join(file_pins(heads), "path", "left").withColumn("_dir", F.regexp_replace(bare(F.col("path")), "/[^/]*$", ""))
             .join(config, "_dir", "left").drop("_dir"))

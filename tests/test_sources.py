@@ -46,6 +46,22 @@ def test_headers_payloads_and_bad_files(spark, tmp_path):
     assert "does not match" in got["short"][0][2]
 
 
+def test_filters_on_the_path_open_no_other_file(spark, tmp_path):
+    """A file that is no tensor file gives an error row only where it is opened."""
+    for k in range(6):
+        safetensors(tmp_path / f"m{k}.safetensors", [("w", "F32", [1], b"\0" * 4)])
+    (tmp_path / "bad.safetensors").write_bytes(b"abc")
+    heads = tensor_files.scan_headers(spark, str(tmp_path))
+    assert heads.where(F.col("path").endswith("/m3.safetensors")).count() == 1
+    reader = tensor_files._Reader(str(tmp_path), "*.safetensors", False)
+    wanted = [tensor_files.StringEndsWith(("path",), "/m3.safetensors"), tensor_files.StringContains(("path",), "m"), tensor_files.EqualTo(("name",), "w")]
+    assert list(reader.pushFilters(wanted)) == wanted  # Spark tests them again
+    assert [f[0].rsplit("/", 1)[1] for p in reader.partitions() for f in p.files] == ["m3.safetensors"]
+    assert heads.where("error IS NOT NULL").count() == 1
+    chunks = tensor_files.decode_chunks(heads).collect()
+    assert len(chunks) == 6 and all(c["values"] == [0.0] and c["first"] == 0 for c in chunks)
+
+
 def test_shard_index_and_local_adapter(spark, tmp_path):
     (tmp_path / "m.safetensors.index.json").write_text(json.dumps({"weight_map": {"a": "1.safetensors", "b": "2.safetensors", "c": "1.safetensors"}}))
     (tmp_path / "x.safetensors.index.json").write_text("not json")
