@@ -15,8 +15,8 @@ from array import array
 
 import numpy as np
 
-#: A worker forgets its words beyond this many and starts afresh.
-MOST_WORDS = 400_000
+#: A worker forgets its words, and their pieces, beyond so many and starts afresh.
+MOST_WORDS, MOST_PIECES = 800_000, 400_000
 
 # The vocabulary's pre-token pattern, for lower-case ASCII and Latin letters.
 _LETTERS = "a-z\xdf-\xf6\xf8-\xffĀ-įı-ſ"
@@ -95,7 +95,7 @@ class WordEncoder:
             joined = b" ".join(words).decode()
         if not words:
             return
-        if len(self.pieces) > MOST_WORDS:
+        if len(self.pieces) > MOST_PIECES:
             self.pieces = self._no_pieces()
         found = _PRE_TOKENS.findall(joined.lower())
         codes = np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))
