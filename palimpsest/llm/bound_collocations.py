@@ -40,7 +40,7 @@ LONGEST = 4
 BITS = 1 << 26
 _FIELDS = (BITS - 5, BITS - 27)
 #: Different words a task numbers before it starts afresh, so that with a stretch more they stay below 2^21; distinct phrases it holds; and bytes it cuts at a time.
-MOST_NUMBERS, MOST_PHRASES, CHUNK = 1_000_000, 1_000_000, 1 << 19
+MOST_NUMBERS, MOST_PHRASES, CHUNK = 1_000_000, 1_000_000, 1 << 20
 #: The first threshold lies this many times the places asked for down the pairs; each further one this many times deeper.
 DEPTH = 4
 _WORD = (1 << 21) - 1
