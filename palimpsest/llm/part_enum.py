@@ -12,15 +12,14 @@ of two sets' limits leaves an agreeing part that both keep).
 Equal sets are one class. Classes sharing a signature are candidates, yet their
 pairs are never listed whole. Each signature's group has a root, the class that
 shares most with others; all members are compared exactly with it (linear in the
-group), and linked ones become components. A pair a, b that is still apart after
-that, where a is not linked to their root r, is linked only if either
-  - both share elements outside r: of a set's elements outside r, the rarest among
-    r's members, as many as a prefix filter needs, are the keys of finer groups; or
-  - b is smaller than r and both overlap r enough, which fixes b's size and a
-    least overlap with r; such pairs are found by (root, size).
-Finer groups are treated like signature groups, again and again, until every
-group lies in one component. What is left after ``ROUNDS`` rounds, if anything,
-is compared pair by pair.
+group), and linked ones become components. Classes of groups that still hold
+several components are regrouped by a prefix filter: linked sets share an element
+among the rarest of each, so those few elements are the keys of finer groups.
+In every round a finer group's members are dealt over ``ROOTS`` ** round salts,
+each salt names one root, roots meet the members of other components and leave the
+group, and groups within one component are settled. The number of roots grows
+until no group is mixed, so about log(largest group) rounds are needed and pairs
+that the components already decide are not listed.
 
 Sets are compared as 64-bit hashes of shingles.
 
@@ -35,7 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.cover_dedup import _hashes, _mix, _prefix
@@ -47,7 +46,8 @@ SHINGLE = 4
 #: Parts of a scheme for each element that linked sets may differ in, beyond the first.
 SPREAD = 1.8
 SLICE = 1 << 19
-ROUNDS = 5
+#: A finer group has so many times more roots in each round.
+ROOTS = 16
 #: One of so many classes is looked at for frequent signatures; at most so many are named.
 LOOK, MOST_FREQUENT = 64, 1000
 
@@ -168,8 +168,8 @@ def signature_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.select("raw").mapInArrow(emit, "sig long, cls long")
 
 
-def tested(pairs: DataFrame, sets: DataFrame, size: int, percent: int, outside: bool = False) -> DataFrame:
-    """``pairs`` (root, cls) compared exactly: sizes, overlap and link, and on demand the set's elements outside the root."""
+def tested(pairs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
+    """The linked ones of ``pairs`` (root, cls), compared exactly."""
     left = sets.select(F.col("cls").alias("root"), F.col("raw").alias("root_raw"))
     joined = pairs.select("root", "cls").join(sets, "cls").join(left, "root").select("root", "cls", "raw", "root_raw")
 
@@ -182,15 +182,13 @@ def tested(pairs: DataFrame, sets: DataFrame, size: int, percent: int, outside:
                 if root != last:
                     last, other = root, shingle_sets([raw.as_py()], size)[0]
                 place = np.searchsorted(other, elements).clip(max=max(len(other) - 1, 0))
-                inner = other[place] == elements if len(other) else np.zeros(len(elements), bool)
-                shared, n = int(inner.sum()), len(elements)
-                linked = 100 * shared >= percent * (n + len(other) - shared)
-                out.append((root, cls, len(other), n, shared, linked, elements[~inner].view(np.int64).tolist() if outside else []))
-            columns = list(zip(*out)) if out else [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["root", "cls", "root_n", "n", "shared", "linked", "outside"])
+                shared = int((other[place] == elements).sum()) if len(other) else 0
+                if 100 * shared >= percent * (len(elements) + len(other) - shared):
+                    out.append((root, cls))
+            columns = list(zip(*out)) if out else [()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["root", "cls"])
 
-    return joined.mapInArrow(compare, "root long, cls long, root_n long, n long, shared long, linked boolean, outside array<long>")
+    return joined.mapInArrow(compare, "root long, cls long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -240,35 +238,49 @@ def star_pairs(groups: DataFrame) -> DataFrame:
     return materialized(groups.join(roots, "key").where("root <> cls").select("root", "cls").distinct(), "pairs")
 
 
-def finer_groups(members: DataFrame, percent: int) -> DataFrame:
-    """(key, cls) groups of members of one root (root, cls, n, shared, outside) that share an element outside it.
+def elements(sets: DataFrame, size: int) -> DataFrame:
+    """(cls, n, element) of every element of ``sets`` (cls, raw)."""
 
-    Two members can be linked only if they share ``need`` such elements or more,
-    so all but the last ``need`` - 1 of a set's elements, rarest first, suffice.
-    Elements that no other member has come first and key nothing.
+    def emit(batches):
+        for batch in batches:
+            found = shingle_sets(batch.column("raw").to_pylist(), size)
+            counts = np.array([len(s) for s in found], np.int64)
+            owner = np.repeat(batch.column("cls").to_numpy(zero_copy_only=False), counts)
+            flat = np.concatenate([*found, np.zeros(0, np.uint64)])
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.repeat(counts, counts)), pa.array(flat.view(np.int64))], names=["cls", "n", "element"])
+
+    return sets.select("cls", "raw").mapInArrow(emit, "cls long, n long, element long")
+
+
+def finer_groups(rows: DataFrame, percent: int) -> DataFrame:
+    """(key, cls, n) groups of classes of ``rows`` (cls, n, element) that share one of their rarest elements.
+
+    A set has ``need`` elements or more in common with any set linked to it, so
+    all but the last ``need`` - 1 of its elements, rarest first, suffice.
+    Elements that no other class has come first and key nothing.
     """
-    need = F.greatest(F.ceil(percent * F.col("n") / 100) - F.col("shared"), F.lit(1))
-    elements = members.select("root", "cls", need.alias("need"), F.explode("outside").alias("element"))
-    often = elements.groupBy("root", "element").agg(F.count("*").alias("often")).where("often > 1")
-    own = Window.partitionBy("root", "cls")
-    ranked = elements.join(often, ["root", "element"]).select(
-        "root", "cls", "element", "need", F.row_number().over(own.orderBy("often", "element")).alias("place"), F.count("*").over(own).alias("n_common"))
-    return ranked.where("place <= n_common - need + 1").select(F.xxhash64("root", "element").alias("key"), "cls")
+    need = F.ceil(percent * F.col("n") / 100)
+    often = rows.groupBy("element").agg(F.count("*").alias("often")).where("often > 1")
+    own = Window.partitionBy("cls")
+    ranked = rows.join(often, "element").select(
+        "element", "cls", "n", F.row_number().over(own.orderBy("often", "element")).alias("place"), F.count("*").over(own).alias("n_common"))
+    return ranked.where(F.col("place") <= F.col("n_common") - need + 1).select(F.col("element").alias("key"), "cls", "n")
 
 
-def _least_shared(a: Column, b: Column, percent: int) -> Column:
-    """The overlap that sets of ``a`` and ``b`` elements need to be linked."""
-    return F.ceil(percent * (a + b) / F.lit(100.0 + percent))
+def rooted(groups: DataFrame, roots: int) -> DataFrame:
+    """``groups`` (key, cls, n, comp) with is_root: of a group's members with one salt of ``roots``, the class in most groups is the root."""
+    hubs = groups.groupBy("cls").agg(F.count("*").alias("hub"))
+    salted = groups.join(hubs, "cls").withColumn("salt", F.pmod(F.xxhash64("cls", F.lit(roots)), F.lit(roots)))
+    named = salted.groupBy("key", "salt").agg(F.max_by("cls", F.struct("hub", "cls")).alias("cls")).select("key", "cls", F.lit(True).alias("is_root"))
+    return groups.join(named, ["key", "cls"], "left").withColumn("is_root", F.coalesce("is_root", F.lit(False)))
 
 
-def _size_pairs(stars: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one root's members where one is not linked to the root, the other is smaller than it, and both overlap it enough."""
-    bigger = stars.where("not linked").select("root", F.col("cls").alias("a"), F.col("n").alias("a_n"), F.col("shared").alias("a_shared"), F.col("comp").alias("a_comp"), "root_n")
-    low, high = F.ceil(percent * F.col("a_n") / 100), F.least(F.floor((100 + percent) * F.col("a_shared") / percent) - F.col("a_n"), F.col("root_n") - 1)
-    sizes = bigger.withColumn("low", low).withColumn("high", high).where("low <= high").withColumn("n", F.explode(F.sequence("low", "high")))
-    other = stars.select("root", "n", "cls", "shared", "comp")
-    found = sizes.join(other, ["root", "n"]).where((F.col("comp") != F.col("a_comp")) & (F.least("shared", "a_shared") >= _least_shared(F.col("a_n"), F.col("n"), percent)))
-    return found.select(F.least("a", "cls").alias("root"), F.greatest("a", "cls").alias("cls")).distinct()
+def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Distinct (root, cls) of roots and members of one group of ``rooted`` that sizes and components leave open."""
+    roots = members.where("is_root").select("key", F.col("cls").alias("root"), F.col("n").alias("root_n"), F.col("comp").alias("root_comp"))
+    near = (percent * F.greatest("n", "root_n") <= 100 * F.least("n", "root_n")) & (F.col("comp") != F.col("root_comp"))
+    once = ~F.col("is_root") | (F.col("root") < F.col("cls"))
+    return members.join(roots, "key").where(near & once).select("root", "cls").distinct()
 
 
 def links(docs: DataFrame, named: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -277,31 +289,21 @@ def links(docs: DataFrame, named: DataFrame, size: int = SHINGLE, percent: int =
     heads = groups.select("cls").distinct()
     wanted = named.where("cls is not null").groupBy("cls").agg(F.min("kid").alias("kid")).join(heads, "cls", "left_semi")
     sets = materialized(docs.join(wanted, "kid").transform(lambda d: _same_class(d, size)).dropDuplicates(["cls"]), "sets")
-    found = materialized(sets.select(F.col("cls").alias("root"), "cls").limit(0), "links")
-    labels = found.select("cls", F.col("cls").alias("comp"))
-
-    def add(compared: DataFrame) -> None:
-        nonlocal found, labels
-        found = materialized(found.unionByName(compared.where("linked").select("root", "cls")).distinct(), "links")
-        labels = components(found)
-
-    for _ in range(ROUNDS):
-        stars = star_pairs(groups)
-        first = materialized(tested(stars, sets, size, percent), "stars")
-        add(first)
-        many = first.groupBy("root").agg(F.count("*").alias("members")).where("members > 1").select("root")
-        members = materialized(_mixed(_labelled(first.join(many, "root", "left_semi").drop("outside"), labels), "root"), "members")
-        add(tested(materialized(_size_pairs(members, percent), "pairs"), sets, size, percent))
-        members = _mixed(_labelled(members.drop("comp"), labels), "root")
-        apart = materialized(tested(members, sets, size, percent, outside=True), "outside")
-        finer = materialized(finer_groups(apart, percent), "finer")
-        groups = materialized(_mixed(_labelled(finer, labels), "key").select("key", "cls"), "groups")
-        if groups.isEmpty():
+    found = materialized(tested(star_pairs(groups), sets, size, percent), "links")
+    labels = components(found)
+    apart = _mixed(_labelled(groups, labels), "key").select("cls").distinct()
+    rows = materialized(elements(sets.join(apart, "cls", "left_semi"), size), "elements")
+    finer = _mixed(_labelled(finer_groups(rows, percent), labels), "key")
+    roots = 1
+    while True:
+        members = materialized(rooted(materialized(finer, "finer"), roots), "members")
+        if members.isEmpty():
             return found
-    left = _labelled(groups, labels)
-    other = left.select("key", F.col("cls").alias("root"), F.col("comp").alias("root_comp"))
-    add(tested(left.join(other, "key").where("root < cls and root_comp <> comp").select("root", "cls").distinct(), sets, size, percent))
-    return found
+        new = materialized(tested(materialized(cross_pairs(members, percent), "pairs"), sets, size, percent), "links")
+        found = found.unionByName(new)
+        labels = components(found)
+        finer = _mixed(_labelled(members.where("not is_root").drop("is_root", "comp"), labels), "key")
+        roots *= ROOTS
 
 
 def _same_class(docs: DataFrame, size: int) -> DataFrame:
