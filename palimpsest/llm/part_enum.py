@@ -253,22 +253,23 @@ def elements(sets: DataFrame, size: int) -> DataFrame:
 
 
 def finer_groups(rows: DataFrame, percent: int) -> DataFrame:
-    """(key, cls, n) groups of classes of ``rows`` (cls, n, element) that share one of their rarest elements.
+    """(key, cls, n, rest) groups of classes of ``rows`` (cls, n, element) that share one of their rarest elements.
 
     A set has ``need`` elements or more in common with any set linked to it, so
     all but the last ``need`` - 1 of its elements, rarest first, suffice.
-    Elements that no other class has come first and key nothing.
+    Elements that no other class has come first and key nothing. ``rest`` counts
+    the set's elements behind the key.
     """
     need = F.ceil(percent * F.col("n") / 100)
     often = rows.groupBy("element").agg(F.count("*").alias("often")).where("often > 1")
     own = Window.partitionBy("cls")
     ranked = rows.join(often, "element").select(
         "element", "cls", "n", F.row_number().over(own.orderBy("often", "element")).alias("place"), F.count("*").over(own).alias("n_common"))
-    return ranked.where(F.col("place") <= F.col("n_common") - need + 1).select(F.col("element").alias("key"), "cls", "n")
+    return ranked.where(F.col("place") <= F.col("n_common") - need + 1).select(F.col("element").alias("key"), "cls", "n", (F.col("n_common") - F.col("place")).alias("rest"))
 
 
 def rooted(groups: DataFrame, roots: int) -> DataFrame:
-    """``groups`` (key, cls, n, comp) with is_root: of a group's members with one salt of ``roots``, the class in most groups is the root."""
+    """``groups`` (key, cls, n, rest, comp) with is_root: of a group's members with one salt of ``roots``, the class in most groups is the root."""
     hubs = groups.groupBy("cls").agg(F.count("*").alias("hub"))
     salted = groups.join(hubs, "cls").withColumn("salt", F.pmod(F.xxhash64("cls", F.lit(roots)), F.lit(roots)))
     named = salted.groupBy("key", "salt").agg(F.max_by("cls", F.struct("hub", "cls")).alias("cls")).select("key", "cls", F.lit(True).alias("is_root"))
@@ -276,11 +277,16 @@ def rooted(groups: DataFrame, roots: int) -> DataFrame:
 
 
 def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Distinct (root, cls) of roots and members of one group of ``rooted`` that sizes and components leave open."""
-    roots = members.where("is_root").select("key", F.col("cls").alias("root"), F.col("n").alias("root_n"), F.col("comp").alias("root_comp"))
+    """Distinct (root, cls) of roots and members of one group of ``rooted`` that components, sizes and what follows the key leave open.
+
+    All that two sets share lies at or behind their first shared key, so in its
+    group the overlap that a link needs fits into one element and the shorter rest.
+    """
+    roots = members.where("is_root").select("key", F.col("cls").alias("root"), F.col("n").alias("root_n"), F.col("rest").alias("root_rest"), F.col("comp").alias("root_comp"))
     near = (percent * F.greatest("n", "root_n") <= 100 * F.least("n", "root_n")) & (F.col("comp") != F.col("root_comp"))
+    enough = (100 + percent) * (F.least("rest", "root_rest") + 1) >= percent * (F.col("n") + F.col("root_n"))
     once = ~F.col("is_root") | (F.col("root") < F.col("cls"))
-    return members.join(roots, "key").where(near & once).select("root", "cls").distinct()
+    return members.join(roots, "key").where(near & enough & once).select("root", "cls").distinct()
 
 
 def links(docs: DataFrame, named: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
