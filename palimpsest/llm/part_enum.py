@@ -342,14 +342,24 @@ def join_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     return rows.unionByName(empty.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def keep_first(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row per component: one of its smallest doc_id; all rows of empty sets stay.
 
-    Rows without doc_id stand for a component only if it has no id at all.
+    Rows without doc_id stand for a component only if it has no id at all. Extra
+    columns stay, whatever their names.
     """
+    kid, cls = _free(docs, "__kid"), _free(docs, "__cls")
     labelled, _ = labelled_rows(docs.select("doc_id", "text"), size, percent)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls")
-    kept = labelled.groupBy("comp").agg(F.min_by(F.struct("doc_id", "cls"), order).alias("k")).select(F.coalesce("k.doc_id", F.lit(-1)).alias("__kid"), F.col("k.cls").alias("__cls"))
+    kept = labelled.groupBy("comp").agg(F.min_by(F.struct("doc_id", "cls"), order).alias("k")).select(F.coalesce("k.doc_id", F.lit(-1)).alias(kid), F.col("k.cls").alias(cls))
     text_at, class_at = docs.columns.index("text"), len(docs.columns)
 
     def keep(batches):
@@ -358,8 +368,8 @@ def keep_first(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
             names = [class_id(s) if len(s) else None for s in shingle_sets(texts, size)]
             yield batch.filter(pa.array([a == b for a, b in zip(names, batch.column(class_at).to_pylist())], pa.bool_()))
 
-    keyed = docs.withColumn("__kid", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
-    matched = keyed.join(kept, "__kid").select(*docs.columns, "__cls")
-    once = matched.mapInArrow(keep, matched.schema).dropDuplicates(["__cls"]).select(*docs.columns)
+    keyed = docs.withColumn(kid, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
+    matched = keyed.join(kept, kid).select(*docs.columns, cls)
+    once = matched.mapInArrow(keep, matched.schema).dropDuplicates([cls]).select(*docs.columns)
     empty = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     return once.unionByName(docs.where(empty))

@@ -93,7 +93,7 @@ def test_sets_of_words():
 
 def test_keep_first(spark):
     rows = near_copies(11, 2, 10) + [(3, None, "en", "s", 0), (3, "", "en", "s", 0)] + near_copies(11, 2, 10)[:4]
-    docs = spark.createDataFrame([(*r, 1) for r in rows], SCHEMA + ", n int")
+    docs = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], SCHEMA + ", n int, __kid int, __cls string")
     kept = keep_first(docs)
     assert kept.columns == docs.columns
     want = sorted({c for i, n, c in brute(rows, 85) if n})
