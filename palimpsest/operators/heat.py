@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.operators.mixture import spread
+
 # The colour ramp's stops (t, red, green, blue) and its opacity range.
 RAMP = ((0.0, 0xFD, 0xE3, 0xD0), (0.25, 0xF6, 0xAE, 0x86), (0.5, 0xEB, 0x68, 0x34), (0.75, 0xB9, 0x46, 0x1A), (1.0, 0x6B, 0x24, 0x0A))
 ALPHA_LOW, ALPHA_HIGH = 0.55, 0.92
@@ -33,23 +35,29 @@ def pixel_cell(x: Column, y: Column, frame: tuple, rows: int, cols: int) -> Colu
 def sample(pixels: DataFrame, maps: DataFrame, keys: list[str], frame: tuple, rows: int, cols: int) -> DataFrame:
     """Bilinear value at each pixel, cell centres as knots, edges clamped.
 
-    A pixel becomes four weighted corner rows that meet the map in one
-    equi-join; pixels outside the frame drop.
+    Each map is folded to one array, and pixels meet it by a shuffled hash
+    join on the keys alone: Catalyst takes a map's cells, exploded from a short array, for
+    few enough to broadcast. Pixels outside the frame drop.
     """
     fx, fy, fw, fh = frame
     inside = pixels.where(_inside(F.col("px"), F.col("py"), frame))
     gx, gy = (F.col("px") - fx) / fw * cols - 0.5, (F.col("py") - fy) / fh * rows - 0.5
-    placed = inside.withColumns({"_x0": F.floor(gx), "_y0": F.floor(gy), "_fx": gx - F.floor(gx), "_fy": gy - F.floor(gy)})
+    clipped = {f"_{n}{d}": F.least(F.greatest(F.floor(g) + d, F.lit(0)), F.lit(size - 1)).cast("int") for n, g, size in (("y", gy, rows), ("x", gx, cols)) for d in (0, 1)}
+    placed = inside.withColumns({**clipped, "_fx": gx - F.floor(gx), "_fy": gy - F.floor(gy)})
 
-    def corner(dy: int, dx: int) -> Column:
-        r = F.least(F.greatest(F.col("_y0") + dy, F.lit(0)), F.lit(rows - 1))
-        c = F.least(F.greatest(F.col("_x0") + dx, F.lit(0)), F.lit(cols - 1))
+    def corner(dy: int, dx: int) -> tuple[Column, Column]:
         w = (F.col("_fy") if dy else 1 - F.col("_fy")) * (F.col("_fx") if dx else 1 - F.col("_fx"))
-        return F.struct((r * cols + c).cast("int").alias("cell"), w.alias("w"))
+        return F.col("_grid")[F.col(f"_y{dy}") * cols + F.col(f"_x{dx}")], w
 
-    corners = placed.select(*pixels.columns, F.explode(F.array(*[corner(dy, dx) for dy in (0, 1) for dx in (0, 1)])).alias("_k"))
-    joined = corners.select(*pixels.columns, "_k.cell", "_k.w").join(maps.select(*keys, "cell", "value"), [*keys, "cell"])
-    return joined.groupBy(*pixels.columns).agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+    cells = spread(maps.select(*keys, "cell", "value").where("cell IS NOT NULL"), *keys).groupBy(*keys, "cell").agg(F.struct(F.sum("value").alias("v")).alias("_s"))
+    grids = cells.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col("cell").cast("int").alias("cell"), "_s"))).alias("_m"))
+    every = F.sequence(F.lit(0), F.lit(rows * cols - 1))
+    grids = grids.select(*keys, F.transform(every, lambda i: F.col("_m")[i]).alias("_grid"))
+    corners = [corner(dy, dx) for dy in (0, 1) for dx in (0, 1)]
+    terms = [w * s["v"] for s, w in corners]
+    total = F.when(F.coalesce(*terms).isNotNull(), sum((F.coalesce(t, F.lit(0.0)) for t in terms[1:]), F.coalesce(terms[0], F.lit(0.0))))
+    known = F.coalesce(*[s for s, _ in corners]).isNotNull()
+    return placed.join(grids.hint("shuffle_hash"), keys).where(known).select(*pixels.columns, total.alias("value"))
 
 
 def ramp(t: Column) -> Column:
@@ -83,8 +91,9 @@ def overlay(pixels: DataFrame, maps: DataFrame, counted: DataFrame | None, keys:
             threshold: float, scale_max: float = 1.0) -> DataFrame:
     """Premultiplied overlay bytes; a thresholded layer only inside counted cells."""
     if counted is not None:
-        here = pixels.withColumn("cell", pixel_cell(F.col("px"), F.col("py"), frame, rows, cols))
-        pixels = here.join(counted.select(*keys, "cell").distinct(), [*keys, "cell"], "left_semi").select(*pixels.columns)
+        asked = spread(counted.select(*keys, "cell"), *keys).groupBy(*keys).agg(F.collect_set(F.col("cell").cast("int")).alias("_counted"))
+        here = pixel_cell(F.col("px"), F.col("py"), frame, rows, cols)
+        pixels = pixels.join(asked.hint("shuffle_hash"), keys).where(F.array_contains("_counted", here)).select(*pixels.columns)
         threshold = max(threshold, 1e-6)
     colored = sample(pixels, maps, keys, frame, rows, cols).withColumn("c", rgba(F.col("value"), threshold, scale_max)).where("c IS NOT NULL")
     return colored.select(*pixels.columns, "value", "c", *[F.floor(255 * F.col(f"c.{n}") * F.col("c.a")).cast("int").alias(n) for n in "rgb"],
@@ -94,7 +103,7 @@ def overlay(pixels: DataFrame, maps: DataFrame, counted: DataFrame | None, keys:
 def composite(image: DataFrame, heat: DataFrame, keys: list[str]) -> DataFrame:
     """Heat over a washed grey of the image; bytes. ``image(keys, ox, oy, red, green, blue)``."""
     grey = 0.5 + 0.5 * (0.2126 * F.col("red") + 0.7152 * F.col("green") + 0.0722 * F.col("blue")) / 255
-    joined = image.join(heat.select(*keys, "ox", "oy", "c"), [*keys, "ox", "oy"], "left").withColumn("_g", grey)
+    joined = image.join(heat.select(*keys, "ox", "oy", "c").hint("merge"), [*keys, "ox", "oy"], "left").withColumn("_g", grey)
 
     def mix(name: str) -> Column:
         v = F.when(F.col("c").isNull(), F.col("_g")).otherwise((1 - F.col("c.a")) * F.col("_g") + F.col("c.a") * F.col(f"c.{name}"))
