@@ -135,3 +135,16 @@ def test_weight_vectors_per_prompt(spark):
     assert np.allclose([np.exp(got["target", c]["log_weight"]) for c in range(3)], [0.75, 0.25, 0])
     assert np.allclose([np.exp(got["target", c]["by_prompt"]["sks"]) for c in range(3)], [0, 0.5, 0.5])
     assert got["base", 0]["log_weight"] == 0 and got["base", 0]["by_prompt"] == {}
+
+
+def test_products_of_blocks_equal_those_of_cells(spark):
+    lat = world(spark)
+    draws = keyed.draws(keyed.level_table(spark, [1.0, 3.0]), 2, SIDE * SIDE, "noise")
+    s = mx.score_all(lat, *mx.stored_pair(lat, PLANTED, 0.9), draws)
+    probes = keyed.probe_signs(keyed.level_table(spark, [1.0, 3.0]), 2, SIDE * SIDE)
+    whole, packed = ({tuple(r)[:7]: tuple(r)[7:] for r in mx.jacobian_vector(s[name], probes).collect()} for name in ("cells", "blocks"))
+    assert whole.keys() == packed.keys() and len(packed) == 40 * (12 + 2 * 4) * 4 * 2  # planted cells under two models
+    assert all(np.allclose(whole[k], packed[k], atol=1e-9) for k in packed)
+    # rows leave a block only once its components are summed
+    plan = mx.jacobian_vector(s["blocks"], probes)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == s["blocks"]._jdf.queryExecution().optimizedPlan().toString().count("Join")
