@@ -216,7 +216,8 @@ def _(spark, sf):
     return ct.check_responses(rows, 64 << 20).select("request_id", "outcome")
 
 
-_COALESCE = """blocks AS MATERIALIZED (SELECT file, min(lo) AS lo, max(hi) AS hi FROM (SELECT *, sum(brk) OVER (PARTITION BY file ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS g FROM (
+# of equal ranges the one that opens a block comes first, or the others would fall to the block before it
+_COALESCE = """blocks AS MATERIALIZED (SELECT file, min(lo) AS lo, max(hi) AS hi FROM (SELECT *, sum(brk) OVER (PARTITION BY file ORDER BY lo, hi, brk DESC ROWS UNBOUNDED PRECEDING) AS g FROM (
   SELECT *, CASE WHEN lo > max(hi) OVER (PARTITION BY file ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 4096 THEN 1 ELSE 0 END AS brk FROM rng WHERE hi > lo)) GROUP BY file, g)"""
 
 

@@ -2,6 +2,7 @@
 
 import os
 
+import duckdb
 import pytest
 
 from palimpsest.plans.catalog import ORACLE, QUERIES
@@ -22,3 +23,11 @@ def test_matches_oracle(spark, name):
 
 def test_every_oracle_belongs_to_a_query():
     assert set(ORACLE) <= set(QUERIES)
+
+
+def test_blocks_of_equal_ranges_do_not_depend_on_row_order(tmp_path):
+    """Every block opens with many equal ranges; whichever the engine meets first, blocks stay apart."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE lineitem AS SELECT 10 * (k % 7) AS l_suppkey, 5 * k AS l_orderkey, 1 AS l_linenumber, 1.0 AS l_quantity FROM range(20000) t(k), range(12) ORDER BY random()")
+    blocks = con.execute(f"SELECT count(*), max(hi - lo) FROM ({ORACLE['b11_coalesce_ranges']})").fetchall()
+    assert blocks == [(20000, 20)]
