@@ -115,3 +115,12 @@ def test_membership_snap_falls_back_to_the_frame(spark):
     got = {r["k"]: (round(r["membership_snap"], 9), round(r["frame_snap"], 9)) for r in probe.membership_snap(d, cells, ["k"]).collect()}
     frame = round(4.0 ** 0.25, 9)
     assert got == {0: (frame, frame), 1: (4.0, frame)}
+
+
+def test_sustained_level_ignores_rounding_noise(spark):
+    noise = 1.1e-16
+    # cell 0: pairs tie but for noise, and so do their members; cell 1: the second pair is truly higher
+    c = {0: [0.5, 0.5 + noise, 0.5 + 2 * noise, 0.5 + 4 * noise], 1: [0.5, 0.5, 0.5001, 0.5001]}
+    rows = [("a", level, cell, True, v, v) for cell, values in c.items() for level, v in enumerate(values, 1)]
+    out = probe.sustain(spark.createDataFrame(rows, "ref_id string, level_ix int, cell int, released boolean, c double, lower double"), ["ref_id"])
+    assert {r["cell"]: r["s_level"] for r in out.collect()} == {0: 1, 1: 3}
