@@ -124,3 +124,11 @@ def test_sustained_level_ignores_rounding_noise(spark):
     rows = [("a", level, cell, True, v, v) for cell, values in c.items() for level, v in enumerate(values, 1)]
     out = probe.sustain(spark.createDataFrame(rows, "ref_id string, level_ix int, cell int, released boolean, c double, lower double"), ["ref_id"])
     assert {r["cell"]: r["s_level"] for r in out.collect()} == {0: 1, 1: 3}
+
+
+def test_peak_level_ignores_rounding_noise(spark):
+    rows = [("a", 1, 0, 0.3), ("a", 1, 1, 0.0), ("a", 2, 0, 0.1), ("a", 2, 1, 0.2), ("a", 3, 0, 0.1), ("a", 3, 1, 0.1)]
+    cells = spark.createDataFrame([("a", 0, 0), ("a", 0, 1)], "ref_id string, root int, cell int")
+    fields = spark.createDataFrame(rows, "ref_id string, level_ix int, cell int, c double")
+    assert 0.1 + 0.2 > 0.3
+    assert [r["peak_level"] for r in probe.peak_levels(cells, fields, ["ref_id"]).collect()] == [1]
