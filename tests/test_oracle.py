@@ -4,7 +4,9 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from palimpsest.operators import probe
 from palimpsest.plans.catalog import ORACLE, QUERIES
 from tools.compare import compare, oracle_connection
 
@@ -31,3 +33,13 @@ def test_blocks_of_equal_ranges_do_not_depend_on_row_order(tmp_path):
     con.execute("CREATE TABLE lineitem AS SELECT 10 * (k % 7) AS l_suppkey, 5 * k AS l_orderkey, 1 AS l_linenumber, 1.0 AS l_quantity FROM range(20000) t(k), range(12) ORDER BY random()")
     blocks = con.execute(f"SELECT count(*), max(hi - lo) FROM ({ORACLE['b11_coalesce_ranges']})").fetchall()
     assert blocks == [(20000, 20)]
+
+
+def test_reasons_round_numbers_as_written(spark):
+    """451930.5 / 7000 is 64.5615, whose double lies below the half."""
+    row = "SELECT 1::BIGINT AS o_orderkey, 6::BIGINT AS o_custkey, 451930.5::DOUBLE AS o_totalprice, '2-HIGH' AS o_orderpriority"
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE orders AS {row}")
+    (_, _, told), = con.execute(ORACLE["h29_verdict"]).fetchall()
+    reasons = spark.sql("SELECT array(named_struct('code', 'x', 'arguments', array(64.5615D, -64.5615D, 1e-5D))) AS r").select(probe.reasons_text(F.col("r"))).first()[0]
+    assert reasons == "x 64.562 -64.562 0.000" and "64.562" in told
