@@ -57,7 +57,8 @@ def sample(pixels: DataFrame, maps: DataFrame, keys: list[str], frame: tuple, ro
     terms = [w * s["v"] for s, w in corners]
     total = F.when(F.coalesce(*terms).isNotNull(), sum((F.coalesce(t, F.lit(0.0)) for t in terms[1:]), F.coalesce(terms[0], F.lit(0.0))))
     known = F.coalesce(*[s for s, _ in corners]).isNotNull()
-    return placed.join(grids.hint("shuffle_hash"), keys).where(known).select(*pixels.columns, total.alias("value"))
+    # generated, so that colours and filters read the value instead of repeating its formula
+    return placed.join(grids.hint("shuffle_hash"), keys).where(known).select(*pixels.columns, F.explode(F.array(total)).alias("value"))
 
 
 def ramp(t: Column) -> Column:
