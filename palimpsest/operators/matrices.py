@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators.mixture import spread
 from palimpsest.operators.ranking import top_k
 from palimpsest.session import materialized
 
@@ -136,6 +137,8 @@ def apply_update(x: DataFrame, down: DataFrame, up: DataFrame, base: DataFrame,
 BLOCK_ELEMENTS, FACTOR_ROWS = 1 << 22, 4096
 #: Triangles that one task stacks.
 FAN_IN = 64
+#: Elements of a module small enough to be solved with many others in one batch.
+SMALL_ELEMENTS = 1024
 
 
 def _fields(df: DataFrame, keys: list[str]) -> str:
@@ -237,11 +240,50 @@ def orthogonal_columns(elements: DataFrame, keys: list[str], tolerance: float =
     raise ArithmeticError(f"columns still have a cosine of {worst} after {sweeps} sweeps")
 
 
+def _small_svd(packed: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, s, u) of small modules, one row each: a batch of rows is stacked by shape and solved at once.
+
+    ``packed(keys, out, in, p, v)``: places ``i * in + j`` and values of the elements that are there.
+    """
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, out, inner = len(pdf), pdf["out"].to_numpy(), pdf["in"].to_numpy()
+        s, u = np.empty(n, dtype=object), np.empty(n, dtype=object)
+        for rows, cols in set(zip(out.tolist(), inner.tolist())):
+            at = np.flatnonzero((out == rows) & (inner == cols))
+            places, values = [pdf["p"].iloc[a] for a in at], [pdf["v"].iloc[a] for a in at]
+            whole = np.zeros((len(at), rows * cols))
+            whole[np.repeat(np.arange(len(at)), [len(p) for p in places]), np.concatenate(places)] = np.concatenate(values)
+            left, sigma, _ = np.linalg.svd(whole.reshape(-1, rows, cols), full_matrices=False)
+            first = np.where(sigma[:, :1] > 0, left[:, :, 0], 0.0)
+            for place, a in enumerate(at):
+                s[a], u[a] = sigma[place], first[place]
+        return pdf[keys].assign(s=s, u=u)
+
+    return packed.mapInPandas(lambda batches: map(solve, batches), f"{_fields(packed, keys)}, s array<double>, u array<double>")
+
+
 def dense_svd(elements: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(keys, k, sigma) of dense modules, largest first, and the top left vector (keys, i, v).
 
     ``min(out, in)`` values each, 0 included; a module without a nonzero element has a zero vector.
+    Modules of at most ``SMALL_ELEMENTS`` are solved in batches, larger ones by column blocks.
     """
+    sizes = materialized(elements.groupBy(*keys).agg((F.max("i") + 1).alias("out"), (F.max("j") + 1).alias("in")), "sizes")
+    fits = F.col("out") * F.col("in") <= min(SMALL_ELEMENTS, BLOCK_ELEMENTS)
+    small, large = sizes.where(fits), sizes.where(~fits).select(*keys)
+    element = F.struct((F.col("i") * F.col("in") + F.col("j")).alias("p"), "v")
+    packed = spread(elements, *keys).join(small, keys).groupBy(*keys, "out", "in").agg(F.collect_list(element).alias("_e")).select(*keys, "out", "in", F.col("_e.p").alias("p"), F.col("_e.v").alias("v"))
+    solved = materialized(_small_svd(packed, keys), "solved")
+    sigmas = solved.select(*keys, F.posexplode("s").alias("k", "sigma")).withColumn("k", F.col("k").cast("bigint"))
+    vectors = canonical_sign(solved.select(*keys, F.posexplode("u").alias("i", "v")).withColumn("i", F.col("i").cast("bigint")), keys)
+    if large.isEmpty():
+        return sigmas, vectors
+    values, lead = _block_svd(elements.join(large, keys), keys)
+    return sigmas.unionByName(values), vectors.unionByName(lead)
+
+
+def _block_svd(elements: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """:func:`dense_svd` by orthogonal column blocks."""
     done = materialized(orthogonal_columns(elements, keys), "orthogonal")
 
     def norms(pdf: pd.DataFrame) -> pd.DataFrame:
