@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import keyed
+from palimpsest.operators.mixture import spread
 from palimpsest.session import materialized
 
 PHOTO_SCALE = 0.25
-BLOCK = 256
+BLOCK = 1024
+#: Rows of a block whose distances to another block are made at a time.
+STRIP = 64
 
 
 def perturbed_seeds(seeds: DataFrame, footprint: DataFrame, betas: list[float], trials: int, key: bytes = keyed.RESEARCH_KEY) -> DataFrame:
@@ -43,14 +46,15 @@ def photo_scores(samples: DataFrame, reference: DataFrame, mask: DataFrame, keys
     return out.withColumn("hit", F.col("score") >= threshold)
 
 
-def photo_scale(samples: DataFrame, keys: list[str], mask_sum: float = 1.0, bins: int = 64) -> DataFrame:
+def photo_scale(samples: DataFrame, keys: list[str], mask_sum: float = 1.0, bins: int = 4096) -> DataFrame:
     """Upper median of the masked squared distance over pairs i < j of a key's samples.
 
     ``samples(keys, id, vec)`` with the mask already applied. Vectors are cut
     into blocks; a task meets two blocks and returns only a histogram of its
-    distances, so no pair is ever a row. Each round narrows the bracket around
-    the middle distance; a last pass reads the exact value. NULL below two
-    samples.
+    distances, so no pair is ever a row. Each round makes all distances again and
+    narrows the bracket around the middle one to a bin of the last, until one
+    value is left. The first bracket comes from the longest vector. NULL below
+    two samples.
     """
     fields = ", ".join(f"`{k}` {samples.schema[k].dataType.simpleString()}" for k in keys)
     blocked = samples.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(1 << 20)))
@@ -69,27 +73,33 @@ def photo_scale(samples: DataFrame, keys: list[str], mask_sum: float = 1.0, bins
             a, c = m, m
         else:
             a, c = m[mine == pdf["_p"].iloc[0]], m[mine == pdf["_q"].iloc[0]]
-        d = ((a[:, None, :] - c[None, :, :]) ** 2).sum(axis=2) / mask_sum
+        d = np.zeros((len(a), len(c)))
+        ours, theirs = np.ascontiguousarray(a.T), np.ascontiguousarray(c.T)
+        for lo in range(0, len(a), STRIP):
+            strip = d[lo: lo + STRIP]
+            for x, y in zip(ours[:, lo: lo + STRIP], theirs):
+                gap = x[:, None] - y
+                strip += gap * gap
+        d /= mask_sum
         return d[np.triu_indices(len(m), 1)] if same else d.ravel()
 
     def histogram(pdf: pd.DataFrame) -> pd.DataFrame:
         d = distances(pdf)
         lo, hi = float(pdf["lo"].iloc[0]), float(pdf["hi"].iloc[0])
-        inside = d[(d >= lo) & (d <= hi)]
+        inside = np.sort(d[(d >= lo) & (d <= hi)])
         at = np.minimum(((inside - lo) / max(hi - lo, 1e-300) * bins).astype("int64"), bins - 1)
-        ids, counts = np.unique(at, return_counts=True)
-        low = [float(inside[at == i].min()) for i in ids]
-        high = [float(inside[at == i].max()) for i in ids]
+        ids, first, counts = np.unique(at, return_index=True, return_counts=True)
+        low, high = inside[first], inside[first + counts - 1]
         head = {k: [pdf[k].iloc[0]] * (len(ids) + 1) for k in keys}
         return pd.DataFrame({**head, "bin": [-1, *ids], "pairs": [int((d < lo).sum()), *counts], "low": [np.nan, *low], "high": [np.nan, *high]})
 
-    bracket = per.where("n >= 2").select(*keys, F.floor(F.col("n") * (F.col("n") - 1) / 4).alias("want"), F.lit(0.0).alias("lo"), F.lit(1e300).alias("hi"))
-    top = meet.join(bracket, keys).groupBy(*keys, "_p", "_q").applyInPandas(
-        lambda pdf: pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "hi": [float(d.max()) if len(d := distances(pdf)) else 0.0]}), f"{fields}, hi double")
-    bracket = materialized(bracket.drop("hi").join(top.groupBy(*keys).agg(F.max("hi").alias("hi")), keys), "bracket")
-    # the ends of a bracket are data values in different bins, so every round narrows it
+    # |a - c|² is at most 4 times the longest |a|²; a little more, for rounding
+    reach = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x) * (4.001 / mask_sum)
+    ends = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(reach).alias("hi")).where("n >= 2")
+    bracket = materialized(ends.select(*keys, F.floor(F.col("n") * (F.col("n") - 1) / 4).alias("want"), F.lit(0.0).alias("lo"), "hi"), "bracket")
+    # after a round the ends of a bracket are data values, in different bins of the next: every round narrows it
     while not bracket.where("lo < hi").isEmpty():
-        hist = (meet.join(bracket.where("lo < hi"), keys).groupBy(*keys, "_p", "_q")
+        hist = (spread(meet.join(bracket.where("lo < hi"), keys), *keys, "_p", "_q").groupBy(*keys, "_p", "_q")
                 .applyInPandas(histogram, f"{fields}, bin bigint, pairs bigint, low double, high double")
                 .groupBy(*keys, "bin").agg(F.sum("pairs").alias("pairs"), F.min("low").alias("low"), F.max("high").alias("high")))
         upto = Window.partitionBy(*keys).orderBy("bin")
