@@ -67,7 +67,7 @@ def test_ties_at_the_tenth_place_round_by_one_rule(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
-    for name, column, want in (("h12_lower_bound", "lower", lower),):
+    for name, column, want in (("h12_lower_bound", "lower", lower), ("h6_channel_field", "c_prompt", prompt)):
         assert sum(abs(v) * 10**10 % 10 == 5 for v in want.values()) >= 60
         ok, message = compare(spark, con, QUERIES[name], ORACLE[name], str(tmp_path))
         assert ok, f"{name}: {message}"
